@@ -143,21 +143,15 @@ def pivot_eav(eav: DataFrame, attributes: Sequence[str], *, visits=None, product
     code_cols = ([F.max(F.when(F.col("_code"), F.col("answer"))).alias(code_attribute)]
                  if code_attribute is not None else [])
 
+    # One grouping for both blocks.  ``_blk`` is 0 for fully non-null keys (the
+    # blocks meet, as the join would match them) and 1 / 2 for score / code rows
+    # of keys with a NULL part (a join never matches those, so they stay apart).
     nonnull = F.lit(True)
     for k in keys:
         nonnull = nonnull & F.col(k).isNotNull()
-    fused = src.where(nonnull).groupBy(*keys).agg(*score_cols, *code_cols)
-    if code_attribute is None:
-        return fused.unionByName(src.where(~nonnull).groupBy(*keys).agg(*score_cols))
-    # Keys with a NULL part: the two blocks never meet in a join, keep them apart.
-    nulls = src.where(~nonnull)
-    score_side = nulls.where("_scored").groupBy(*keys).agg(*score_cols).withColumn(
-        code_attribute, F.lit(None).cast("string"))
-    code_side = nulls.where("_code").groupBy(*keys).agg(*code_cols)
-    for a in attributes:
-        code_side = code_side.withColumn(a, F.lit(None).cast("double"))
-    cols = keys + list(attributes) + [code_attribute]
-    return fused.select(*cols).unionByName(score_side.select(*cols)).unionByName(code_side.select(*cols))
+    blk = F.when(nonnull, F.lit(0)).when(F.col("_scored"), F.lit(1)).otherwise(F.lit(2))
+    out = src.withColumn("_blk", blk).groupBy(*keys, "_blk").agg(*score_cols, *code_cols)
+    return out.drop("_blk")
 
 
 def long_form(wide: DataFrame, ids: Sequence[str], questions: Sequence[str],
