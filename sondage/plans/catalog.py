@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import discovery, pivots  # noqa: F401
+from . import cleaning, discovery, pivots  # noqa: F401
 from .registry import REGISTRY, oracle_text
 
 
