@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cleaning, discovery, pivots, summaries  # noqa: F401
+from . import cleaning, discovery, pivots, summaries, tests  # noqa: F401
 from .registry import REGISTRY, oracle_text
 
 
