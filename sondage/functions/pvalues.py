@@ -255,3 +255,11 @@ def fisher_p_udf(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.S
 def t_p_udf(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if _num(x) is None or _num(d) is None else t_two_sided(float(x), float(d))
                       for x, d in zip(t, df)], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def mcnemar_exact_udf(b: pd.Series, c: pd.Series) -> pd.Series:
+    """Exact McNemar p (unrounded): min(1, 2 * P(X <= min(b, c))), X ~ Bin(b + c, 1/2)."""
+    return pd.Series([None if _num(x) is None or _num(y) is None
+                      else binom_two_sided_half(int(min(x, y)), int(x + y)) for x, y in zip(b, c)],
+                     dtype="float64")
