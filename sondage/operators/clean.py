@@ -134,3 +134,37 @@ def pair_alignment_check(df: DataFrame, key: str = "customer_id", group: str = "
     agg = per.groupBy(key).agg(F.count(F.lit(1)).alias("n_groups_present"),
                                F.max("_n").alias("max_count"))
     return agg.where((F.col("n_groups_present") != n_groups) | (F.col("max_count") != 1))
+
+
+# Likert text -> level.  The level table is the questionnaire's Likert map
+# (at most 20 levels of a few labels each), so broadcasting it is bounded; the
+# bound is still checked before the hint is given.
+BROADCAST_MAX_ROWS = 100_000
+
+
+def _maybe_broadcast(dim: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    return F.broadcast(dim) if dim.limit(max_rows + 1).count() <= max_rows else dim
+
+
+def likert_lookup(likert: DataFrame) -> DataFrame:
+    """(label, level): the FIRST level listing each label wins."""
+    return likert.groupBy("label").agg(F.min("level").cast("double").alias("level"))
+
+
+def likert_map(df: DataFrame, column: str, likert: DataFrame, out: str | None = None) -> DataFrame:
+    """Trimmed text -> numeric level (NULL when unrecognised), one broadcast join."""
+    lk = _maybe_broadcast(likert_lookup(likert).withColumnRenamed("label", "_label")
+                          .withColumnRenamed("level", "_level"))
+    j = df.join(lk, S.strip_whitespace(F.col(column)) == F.col("_label"), "left")
+    return j.drop("_label").withColumnRenamed("_level", out or f"{column}_level")
+
+
+def apply_likert_mapping(wide: DataFrame, likert: DataFrame, ids: Sequence[str], skip: Sequence[str]) -> DataFrame:
+    """Map every non-skipped column: unpivot -> one join -> pivot back."""
+    cols = [c for c in wide.columns if c not in set(skip) and c not in set(ids)]
+    lng = wide.select(*ids, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
+        list(ids), cols, "question", "text")
+    mapped = likert_map(lng, "text", likert, "value")
+    piv = mapped.groupBy(*ids).pivot("question", cols).agg(F.first("value"))
+    return wide.select(*ids, *[c for c in wide.columns if c in set(skip) and c not in set(ids)]).join(
+        piv, list(ids), "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cleaning, discovery, drivers, pivots, sensory, summaries, tests  # noqa: F401
+from . import cleaning, discovery, drivers, io, pivots, sensory, summaries, tests  # noqa: F401
 from .registry import REGISTRY, oracle_text
 
 
