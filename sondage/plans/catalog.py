@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from . import cleaning, discovery, drivers, io, pivots, sensory, summaries, tests  # noqa: F401
+import functools
+
+from ..session import ensure_checkpoint_dir, ship_package
+
+from . import cleaning, discovery, drivers, io, pivots, sensory, summaries, tests, text  # noqa: F401
 from .registry import REGISTRY, oracle_text
 
 
+def _prepared(build):
+    @functools.wraps(build)
+    def run(spark, sf_dir):
+        ship_package(spark)
+        ensure_checkpoint_dir(spark)
+        return build(spark, sf_dir)
+    return run
+
+
 def queries():
-    return {k: q.build for k, q in REGISTRY.items()}
+    return {k: _prepared(q.build) for k, q in REGISTRY.items()}
 
 
 def oracle_sql():
