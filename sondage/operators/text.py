@@ -79,7 +79,7 @@ def spell_summary(df: DataFrame, columns: Sequence[str], dictionary: DataFrame,
     for c in columns:
         if c not in df.columns:
             raise ValueError(f"Column '{c}' not found.")
-        items = (df.where(F.col(c).isNotNull())
+        items = (balance(df.select(c), c).where(F.col(c).isNotNull())
                  .select(F.explode(F.split(F.col(c).cast("string"), ",")).alias("item"))
                  .select(F.lower(S.strip_whitespace("item")).alias("item")).where(F.col("item") != ""))
         ic = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
@@ -129,37 +129,54 @@ def translate_tm(df: DataFrame, column: str, lang_col: str, source_lang: str, me
 # ---------------------------------------------------------------------------
 
 
-def tfidf_long(docs: DataFrame, id_col: str, text_col: str, max_features: int = 5000, min_df: int = 2,
+def balance(df: DataFrame, key: str) -> DataFrame:
+    """Hash-repartition by ``key`` when the input has fewer splits than 2x the cores.
+
+    Documents range from one word to tens of thousands; a few large input
+    splits would leave most cores idle during tokenisation.  With many input
+    splits (the large-scale case) the data are left where they are.
+    """
+    target = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target, key) if df.rdd.getNumPartitions() < target else df
+
+
+def tfidf_rows(docs: DataFrame, id_col: str, text_col: str, max_features: int = 5000, min_df: int = 2,
                ngram: int = 2, stop_words: bool = True):
-    """Sparse TF-IDF (id, term_idx, w) with L2-normalised rows, and the vocabulary list.
+    """Sparse TF-IDF rows (id, idx array<int>, val array<double>), L2-normalised, and the vocabulary.
 
-    Tokens: lower-cased runs of >= 2 word characters; English stop words removed
-    before n-grams; smooth idf ln((1+n)/(1+df)) + 1; vocabulary = the
-    ``max_features`` most frequent terms with document frequency >= ``min_df``.
+    Tokens: lower-cased maximal runs of >= 2 word characters (split on
+    non-word runs); English stop words removed before n-grams; smooth idf
+    ln((1+n)/(1+df)) + 1; vocabulary = the ``max_features`` most frequent terms
+    with document frequency >= ``min_df``.  The term-frequency table is
+    checkpointed once (it feeds the vocabulary job and the weight job).
     """
-    toks = docs.select(id_col, F.regexp_extract_all(F.lower(text_col), F.lit(r"((?U)\b\w\w+\b)"), 1)
-                       .alias("t"))
+    spark = docs.sparkSession
+    docs = balance(docs, id_col)
+    words = F.filter(F.split(F.lower(F.col(text_col)), r"(?U)\W+"), lambda x: F.char_length(x) >= 2)
+    toks = docs.select(id_col, words.alias("t"))
     if stop_words:
         sw = StopWordsRemover.loadDefaultStopWords("english")
         toks = toks.withColumn("t", F.filter("t", lambda x: ~x.isin(sw)))
-    grams = [F.col("t")]
+    grams = F.col("t")
     if ngram >= 2:
-        grams.append(F.expr("IF(size(t) < 2, array(), transform(sequence(1, size(t) - 1), "
-                             "i -> concat(t[i - 1], ' ', t[i])))"))
-    terms = toks.select(id_col, F.explode(F.concat(*grams) if len(grams) > 1 else grams[0]).alias("term"))
-    tf = terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+        grams = F.concat(F.col("t"), F.expr("IF(size(t) < 2, array(), zip_with(slice(t, 1, size(t) - 1), "
+                                            "slice(t, 2, size(t)), (a, b) -> concat(a, ' ', b)))"))
+    tf = (toks.select(id_col, F.explode(grams).alias("term"))
+          .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+    tf = tf.persist()  # reused by the vocabulary and the weight jobs
     n_docs = docs.count()
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     top = stats.where(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(max_features).collect()
     vocab = [r["term"] for r in top]  # bounded by max_features
     if not vocab:
         return None, []
-    spark = docs.sparkSession
     vdf = spark.createDataFrame([(t, i, math.log((1 + n_docs) / (1 + r["df"])) + 1.0)
                                  for i, (t, r) in enumerate(zip(vocab, top))], "term string, term_idx int, idf double")
     w = tf.join(F.broadcast(vdf), "term").select(id_col, "term_idx", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
-    return w.select(id_col, "term_idx", (F.col("w") / norm).alias("w")), vocab
+    rows = w.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("term_idx", "w"))).alias("s"))
+    norm = F.sqrt(F.aggregate(F.col("s.w"), F.lit(0.0), lambda acc, x: acc + x * x))
+    return rows.select(id_col, F.col("s.term_idx").alias("idx"),
+                       F.transform(F.col("s.w"), lambda x: x / norm).alias("val")), vocab
 
 
 def _batch_w(rows: pd.DataFrame, H: np.ndarray, inner: int, eps: float = 1e-10):
@@ -170,8 +187,7 @@ def _batch_w(rows: pd.DataFrame, H: np.ndarray, inner: int, eps: float = 1e-10):
     cidx = np.concatenate(rows["idx"].to_numpy()) if nd else np.zeros(0, dtype=int)
     vals = np.concatenate(rows["val"].to_numpy()) if nd else np.zeros(0)
     cidx = cidx.astype(int)
-    XHt = np.zeros((nd, k))
-    np.add.at(XHt, ridx, vals[:, None] * H[:, cidx].T)
+    XHt = np.stack([np.bincount(ridx, weights=vals * H[t, cidx], minlength=nd) for t in range(k)], axis=1)
     HHt = H @ H.T
     W = np.full((nd, k), math.sqrt(max(vals.mean() if len(vals) else 0.0, eps) / k))
     for _ in range(inner):
@@ -196,7 +212,8 @@ def nmf(rows: DataFrame, id_col: str, k: int, V: int, outer: int = 40, inner: in
                 if len(pdf) == 0:
                     continue
                 W, ridx, cidx, vals = _batch_w(pdf, Hl, inner)
-                np.add.at(num, cidx, vals[:, None] * W[ridx])
+                num += np.stack([np.bincount(cidx, weights=vals * W[ridx, t], minlength=VV)
+                                 for t in range(kk)], axis=1)
                 wtw += W.T @ W
             touched = np.nonzero(num.any(axis=1))[0]
             # one row per term touched by this partition, plus row -1 carrying W'W
@@ -244,19 +261,17 @@ def themes(df: DataFrame, id_col: str, text_col: str, n_topics: int | None = Non
     label = column_label or text_col
     docs = (df.select(id_col, S.clean_text(F.col(text_col)).alias("_text"))
             .where(F.col("_text").isNotNull() & (F.length("_text") > 0)))
-    docs = docs.checkpoint() if spark.sparkContext.getCheckpointDir() else docs
     n = docs.count()
     k = n_topics or (max(3, min(8, int(round(2 * math.log(n))))) if n > 10 else 3)
-    tf, vocab = tfidf_long(docs, id_col, "_text", max_features, min_df, 2, True)
+    rows, vocab = tfidf_rows(docs, id_col, "_text", max_features, min_df, 2, True)
     if not vocab:
-        tf, vocab = tfidf_long(docs, id_col, "_text", max_features, 1, 1, False)
+        rows, vocab = tfidf_rows(docs, id_col, "_text", max_features, 1, 1, False)
     if not vocab:
         empty = spark.createDataFrame([], "theme int, label string, top_terms string, count long, pct double")
         return {"themes": empty, "assignments": None, "exemplars": None, "k": 0}
     k = min(k, n, len(vocab))
-    rows = (tf.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("term_idx", "w"))).alias("s"))
-            .select(id_col, F.col("s.term_idx").alias("idx"), F.col("s.w").alias("val")))
-    rows = rows.checkpoint() if spark.sparkContext.getCheckpointDir() else rows.cache()
+    rows = rows.persist()  # read once per NMF pass
+    rows.count()
     H, W = nmf(rows, id_col, k, len(vocab), outer, inner, seed)
     terms = [[vocab[j] for j in np.argsort(-H[t], kind="stable")[:top_terms]] for t in range(k)]
     labels = [f"Theme {t + 1}: " + ", ".join(terms[t][:3]) for t in range(k)]
