@@ -88,3 +88,20 @@ def rsplit_colon(c) -> tuple[Column, Column]:
     pat = r"^(.*):([^:]*)$"
     has = x.rlike(pat)
     return (F.when(has, F.regexp_extract(x, pat, 1)), F.when(has, F.regexp_extract(x, pat, 2)))
+
+
+def safe_sheet_labels(df, col: str, suffix: str = "", out: str = "sheet"):
+    """Unique sheet labels: bad characters -> space, trimmed, cut to fit 31 with ``suffix``;
+    repeated labels get ``_2``, ``_3`` ... in order of ``col`` (a window over each label's
+    duplicates only)."""
+    from pyspark.sql import Window
+
+    clean = F.trim(F.regexp_replace(F.col(col), SAFE_SHEET_BAD_CHARS, " "))
+    maxl = max(SHEET_MAX - len(suffix), 1)
+    base = F.concat(F.rtrim(F.substring(clean, 1, maxl)), F.lit(suffix))
+    x = df.withColumn("_base", base)
+    k = F.row_number().over(Window.partitionBy("_base").orderBy(col))
+    tail = F.concat(F.lit("_"), k.cast("string"))
+    label = F.when(k == 1, F.col("_base")).otherwise(
+        F.concat(F.substring("_base", 1, F.lit(SHEET_MAX) - F.char_length(tail)), tail))
+    return x.withColumn(out, label).drop("_base")

@@ -133,3 +133,23 @@ def report_sink(spark, sf):
     box = A.box_scores(survey_wide(spark, sf), ["t2b_store"], ["ten_taste", "ten_aroma", "ten_foam"])
     SK.report_sink(box.withColumn("sheet", F.concat(F.lit("Box: "), "product")), path)
     return spark.read.parquet(path)
+
+
+@query("study_run", views=WIDE)
+def study_run(spark, sf):
+    from ..fixtures import STUDY, TARGET
+    from .study import run_study
+    return run_study(spark, survey_wide(spark, sf), STUDY, TARGET,
+                     abbreviations={"jar_sweet": "Sweetness", "jar_thick": "Thickness"})
+
+
+@query("safe_labels_unique", """
+WITH b AS (SELECT attribute, rtrim(substr(trim(regexp_replace(attribute, '[:\\\\/?*\\[\\]]', ' ', 'g')), 1, 23)) || '_Summary' AS base
+           FROM (SELECT DISTINCT attribute FROM survey_eav)),
+r AS (SELECT attribute, base, row_number() OVER (PARTITION BY base ORDER BY attribute) AS k FROM b)
+SELECT attribute, CASE WHEN k = 1 THEN base
+  ELSE substr(base, 1, 31 - length('_' || CAST(k AS VARCHAR))) || '_' || CAST(k AS VARCHAR) END AS sheet FROM r""")
+def safe_labels_unique(spark, sf):
+    from ..functions.scalar import safe_sheet_labels
+    e = survey_eav(spark, sf).select("attribute").distinct()
+    return safe_sheet_labels(e, "attribute", "_Summary")
