@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pvalues as PV
-from .reshape import long_form
+from .reshape import long_form, occurrence_index
 
 REJECT = "Reject null => Significant difference"
 ACCEPT = "Accept null => No significant difference"
@@ -124,13 +124,19 @@ def cliffs_delta(wide: DataFrame, questions: Sequence[str]) -> DataFrame:
 
 
 def _paired(long: DataFrame, key: str) -> DataFrame:
-    """(question, name1, name2, key, x, y) for respondents present in both products."""
+    """(question, name1, name2, key, x, y) for respondents present in both products.
+
+    Respondents are matched on ``key``; if a respondent answered a product more
+    than once, the k-th answer pairs with the k-th (``occurrence_index``), so
+    the join stays one-to-one however many rows one key holds.
+    """
     pairs = product_pairs(long)
-    a = long.join(pairs, long["product"] == pairs["name1"]).select(
-        "question", "name1", "name2", key, F.col("score").alias("x"))
-    b = long.join(pairs, long["product"] == pairs["name2"]).select(
-        "question", "name1", "name2", key, F.col("score").alias("y"))
-    return a.join(b, ["question", "name1", "name2", key])
+    occ = occurrence_index(long, ["product", "question", key])
+    a = occ.join(pairs, occ["product"] == pairs["name1"]).select(
+        "question", "name1", "name2", key, "_occ", F.col("score").alias("x"))
+    b = occ.join(pairs, occ["product"] == pairs["name2"]).select(
+        "question", "name1", "name2", key, "_occ", F.col("score").alias("y"))
+    return a.join(b, ["question", "name1", "name2", key, "_occ"]).drop("_occ")
 
 
 def mcnemar(binary_wide: DataFrame, questions: Sequence[str], key: str = "customer_id") -> DataFrame:

@@ -241,3 +241,19 @@ def test_linear_drivers_invariants(spark):
         assert res["a"][col] > res["b"][col] > res["c"][col]
     ols = {r["variable"]: r for r in D.ols_signed(df, ["a", "b", "c"], "y").collect()}
     assert ols["a"]["ols_coefficient"] > 0.8 and ols["a"]["r2"] > 0.95
+
+
+def test_hot_respondent_pairs_linearly(spark):
+    # one respondent id holding most rows: k-th answer pairs with k-th, not all x all
+    data = [(0, "P1", float(i % 10 + 1)) for i in range(600)] + [(0, "P2", float(i % 7 + 1)) for i in range(500)]
+    data += [(i, "P1", 5.0) for i in range(1, 50)] + [(i, "P2", 6.0) for i in range(1, 50)]
+    df = spark.createDataFrame(data, "customer_id long, product string, q double").repartition(7)
+    w = H.wilcoxon(df, ["q"]).first()
+    assert w["n_pairs"] == 500 + 49
+
+
+def test_occurrence_index_unique_keys_are_one(spark):
+    df = spark.createDataFrame([(i, "a") for i in range(100)], "k long, v string").repartition(5)
+    assert {r["_occ"] for r in R.occurrence_index(df, ["k"]).collect()} == {1}
+    dup = spark.createDataFrame([(1, "a")] * 30, "k long, v string").repartition(4)
+    assert sorted(r["_occ"] for r in R.occurrence_index(dup, ["k"]).collect()) == list(range(1, 31))
