@@ -197,25 +197,3 @@ def cata_dummies(df: DataFrame, column: str, ids: Sequence[str]) -> DataFrame:
             .na.fill(0, subset=vocab) if vocab else exploded.select(*ids).distinct())
     return wide.select(*ids, *[F.col(f"`{t}`").cast("int").alias(f"{column}_{t}") for t in vocab])
 
-
-def occurrence_index(df: DataFrame, keys: Sequence[str], out: str = "_occ") -> DataFrame:
-    """1-based index of each row among the rows sharing ``keys``, computed without
-    putting any key's rows in one task.
-
-    Rows are numbered within (keys, input partition) — a window whose groups
-    are bounded by a partition — and offset by the counts of the same key in
-    earlier partitions (a window over at most #partitions rows per key).  With
-    unique keys every row gets 1.  Used to pair the k-th answer of a
-    respondent in one product with the k-th in another, so a respondent id
-    holding a large share of rows pairs linearly instead of quadratically.
-    """
-    keys = list(keys)
-    x = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    local = F.row_number().over(Window.partitionBy(*keys, "_pid").orderBy("_mid"))
-    x = x.withColumn("_loc", local)
-    cnt = x.groupBy(*keys, "_pid").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_pid")
-                                         .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cnt = cnt.withColumn("_off", before).drop("_n")
-    return (x.join(cnt, [*keys, "_pid"]).withColumn(out, F.col("_off") + F.col("_loc"))
-            .drop("_pid", "_mid", "_loc", "_off"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pvalues as PV
-from .reshape import long_form, occurrence_index
+from .reshape import long_form
 
 REJECT = "Reject null => Significant difference"
 ACCEPT = "Accept null => No significant difference"
@@ -123,20 +123,32 @@ def cliffs_delta(wide: DataFrame, questions: Sequence[str]) -> DataFrame:
                      .otherwise(F.lit("insufficient data")).alias("strength"))
 
 
-def _paired(long: DataFrame, key: str) -> DataFrame:
-    """(question, name1, name2, key, x, y) for respondents present in both products.
+def paired_counts(long: DataFrame, key: str) -> DataFrame:
+    """(question, name1, name2, x, y, n): answered pairs across every product pair.
 
-    Respondents are matched on ``key``; if a respondent answered a product more
-    than once, the k-th answer pairs with the k-th (``occurrence_index``), so
-    the join stays one-to-one however many rows one key holds.
+    Respondents are matched on ``key``.  Each respondent's answers are first
+    aggregated to (value, count) — so a respondent id holding any share of the
+    rows is one small group — and turned into rank intervals [lo, hi) in value
+    order (a window over at most #levels rows).  The k-th answer in one
+    product pairs with the k-th in the other by interval overlap, so duplicate
+    answers pair one-to-one (in value order) and the join is linear; with a
+    unique key it is exactly the plain equi-join.
     """
+    f = (long.where(F.col("score").isNotNull())
+         .groupBy("product", "question", key, "score").agg(F.count(F.lit(1)).alias("c")))
+    w = Window.partitionBy("product", "question", key).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+    f = f.withColumn("hi", F.sum("c").over(w)).withColumn("lo", F.col("hi") - F.col("c"))
     pairs = product_pairs(long)
-    occ = occurrence_index(long, ["product", "question", key])
-    a = occ.join(pairs, occ["product"] == pairs["name1"]).select(
-        "question", "name1", "name2", key, "_occ", F.col("score").alias("x"))
-    b = occ.join(pairs, occ["product"] == pairs["name2"]).select(
-        "question", "name1", "name2", key, "_occ", F.col("score").alias("y"))
-    return a.join(b, ["question", "name1", "name2", key, "_occ"]).drop("_occ")
+    a = f.join(pairs, f["product"] == pairs["name1"]).select(
+        "question", "name1", "name2", key, F.col("score").alias("x"), F.col("lo").alias("alo"),
+        F.col("hi").alias("ahi"))
+    b = f.join(pairs, f["product"] == pairs["name2"]).select(
+        "question", "name1", "name2", key, F.col("score").alias("y"), F.col("lo").alias("blo"),
+        F.col("hi").alias("bhi"))
+    j = a.join(b, ["question", "name1", "name2", key]).where((F.col("alo") < F.col("bhi")) &
+                                                              (F.col("blo") < F.col("ahi")))
+    n = F.least("ahi", "bhi") - F.greatest("alo", "blo")
+    return j.groupBy("question", "name1", "name2", "x", "y").agg(F.sum(n).alias("n"))
 
 
 def mcnemar(binary_wide: DataFrame, questions: Sequence[str], key: str = "customer_id") -> DataFrame:
@@ -151,11 +163,11 @@ def mcnemar(binary_wide: DataFrame, questions: Sequence[str], key: str = "custom
     """
     long = long_form(binary_wide, [key, "product"], questions)
     lens = (long.groupBy("product", "question").agg(F.count(F.lit(1)).alias("len")))
-    pr = _paired(long, key).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    pr = paired_counts(long, key)
     agg = pr.groupBy("question", "name1", "name2").agg(
-        F.count(F.lit(1)).alias("n_pairs"),
-        F.count_if((F.col("x") == 0) & (F.col("y") == 1)).alias("b"),
-        F.count_if((F.col("x") == 1) & (F.col("y") == 0)).alias("c"),
+        F.sum("n").alias("n_pairs"),
+        F.sum(F.when((F.col("x") == 0) & (F.col("y") == 1), F.col("n")).otherwise(0)).alias("b"),
+        F.sum(F.when((F.col("x") == 1) & (F.col("y") == 0), F.col("n")).otherwise(0)).alias("c"),
         # the 2x2 condition: both values present on each side (0/1 columns)
         (F.min("x") != F.max("x")).alias("vx"), (F.min("y") != F.max("y")).alias("vy"))
     l1 = lens.select(F.col("product").alias("name1"), "question", F.col("len").alias("len1"))
@@ -188,9 +200,9 @@ def wilcoxon(wide: DataFrame, questions: Sequence[str], key: str = "customer_id"
     = |Phi^-1(p/2)|, ``r`` = z / sqrt(all pairs incl. zeros).
     """
     long = long_form(wide, [key, "product"], questions)
-    pr = _paired(long, key).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    pr = paired_counts(long, key)
     keys = ["question", "name1", "name2"]
-    dd = pr.groupBy(*keys, (F.col("x") - F.col("y")).alias("d")).agg(F.count(F.lit(1)).alias("nd"))
+    dd = pr.groupBy(*keys, (F.col("x") - F.col("y")).alias("d")).agg(F.sum("n").alias("nd"))
     nz = dd.where(F.col("d") != 0).withColumn("ad", F.abs("d"))
     ad = nz.groupBy(*keys, "ad").agg(F.sum("nd").alias("t"))
     ad = _midranks(ad, keys, "ad")

@@ -251,9 +251,3 @@ def test_hot_respondent_pairs_linearly(spark):
     w = H.wilcoxon(df, ["q"]).first()
     assert w["n_pairs"] == 500 + 49
 
-
-def test_occurrence_index_unique_keys_are_one(spark):
-    df = spark.createDataFrame([(i, "a") for i in range(100)], "k long, v string").repartition(5)
-    assert {r["_occ"] for r in R.occurrence_index(df, ["k"]).collect()} == {1}
-    dup = spark.createDataFrame([(1, "a")] * 30, "k long, v string").repartition(4)
-    assert sorted(r["_occ"] for r in R.occurrence_index(dup, ["k"]).collect()) == list(range(1, 31))
