@@ -280,7 +280,7 @@ def random_forest_importance(df: DataFrame, predictors: Sequence[str], target: s
 
 def gbt_permutation_importance(df: DataFrame, predictors: Sequence[str], target: str, threshold: float = 0.99,
                                group: str = "product", repeats: int = 5, seed: int = 42,
-                               buckets: int = 64, max_iter: int = 100) -> DataFrame:
+                               buckets: int = 64, max_iter: int = 100, rows_per_bucket: int = 500_000) -> DataFrame:
     """Boosted-tree permutation importance (MSE increase, clipped at 0, to 100) per group.
 
     Threshold > 1 is a percentage.  Null predictors are kept (MLlib trees need
@@ -304,7 +304,10 @@ def gbt_permutation_importance(df: DataFrame, predictors: Sequence[str], target:
         d = (df.where((F.col(group) == g) & F.col(target).isNotNull())
              .select(*[F.col(c).cast("double") for c in vp], F.col(target).cast("double").alias("_y"))
              .withColumn("_id", F.monotonically_increasing_id()))
-        d = d.fillna(0.0, subset=vp)
+        # pin the generated row ids: the permutation joins two branches of this frame
+        d = d.fillna(0.0, subset=vp).checkpoint()
+        # permutation windows run per hash bucket: keep each bucket near ``rows_per_bucket``
+        nb = max(buckets, -(-d.count() // rows_per_bucket))
         va = VectorAssembler(inputCols=vp, outputCol="features", handleInvalid="keep")
         model = GBTRegressor(featuresCol="features", labelCol="_y", stepSize=0.1, maxIter=max_iter,
                              minInstancesPerNode=20, maxDepth=5, seed=seed).fit(va.transform(d))
@@ -313,7 +316,7 @@ def gbt_permutation_importance(df: DataFrame, predictors: Sequence[str], target:
         copies = []
         for f in vp:
             for r in range(repeats):
-                b = F.abs(F.xxhash64("_id", F.lit(f), F.lit(r), F.lit(seed))) % buckets
+                b = F.abs(F.xxhash64("_id", F.lit(f), F.lit(r), F.lit(seed))) % nb
                 x = d.withColumn("_b", b)
                 w_pos = Window.partitionBy("_b").orderBy("_id")
                 w_rnd = Window.partitionBy("_b").orderBy(F.xxhash64("_id", F.lit(r), F.lit(seed + 1)), "_id")
