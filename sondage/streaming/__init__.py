@@ -1 +1,6 @@
+"""No streaming operators.
 
+The reference works on files exported from a survey database: it has no
+continuous sources, event-time windows, watermarks or state, so none are
+invented here.  Batch file sources live in ``sondage.sources``.
+"""
