@@ -86,7 +86,7 @@ def cata_penalty(wide: DataFrame, column: str, target: str, group: Sequence[str]
     # per ROW semantics: a generated row id, unique by construction, so a respondent id
     # repeated many times cannot multiply the checked-token x target join
     rows = wide.select(*g, F.col(column).alias("_cell"), F.col(target).cast("double").alias("_y")) \
-        .withColumn("_row", F.monotonically_increasing_id()).persist()
+        .withColumn("_row", F.monotonically_increasing_id()).checkpoint()
     key = "_row"
     rt = (rows.where(F.col("_cell").isNotNull())
           .select(*g, key, F.explode(F.transform(F.split("_cell", ","), F.trim)).alias("u"))
