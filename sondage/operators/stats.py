@@ -30,10 +30,11 @@ def verdict(p, alpha: float):
 def product_pairs(df: DataFrame, col: str = "product") -> DataFrame:
     """All unordered pairs (name1 < name2) of the distinct values of ``col``.
 
-    The product dimension is tiny (one row per product studied); the
-    non-equi self join runs as a broadcast nested loop over it.
+    Built inside the same plan (pass an already aggregated frame, e.g. the
+    frequencies, so the distinct step reads a few rows); the product dimension
+    is one row per product studied, and AQE broadcasts it from its runtime size.
     """
-    p = df.select(F.col(col).alias("_p")).distinct()
+    p = df.select(F.col(col).alias("_p")).where(F.col("_p").isNotNull()).distinct()
     return (p.alias("a").join(p.alias("b"), F.col("a._p") < F.col("b._p"))
             .select(F.col("a._p").alias("name1"), F.col("b._p").alias("name2")))
 
@@ -63,8 +64,9 @@ def _midranks(df: DataFrame, keys: Sequence[str], order: str, t: str = "t") -> D
 
 def rank_sums(long: DataFrame) -> DataFrame:
     """Per (question, name1, name2): n1, n2, R1, U1 and the tie term sum(t^3 - t)."""
-    pairs = product_pairs(long)
-    c = _paired_by_pair(_freq(long), pairs).withColumn("t", F.col("n1") + F.col("n2"))
+    fq = _freq(long)
+    pairs = product_pairs(fq)
+    c = _paired_by_pair(fq, pairs).withColumn("t", F.col("n1") + F.col("n2"))
     keys = ["question", "name1", "name2"]
     r = _midranks(c, keys, "value")
     agg = r.groupBy(*keys).agg(
@@ -138,7 +140,7 @@ def paired_counts(long: DataFrame, key: str) -> DataFrame:
          .groupBy("product", "question", key, "score").agg(F.count(F.lit(1)).alias("c")))
     w = Window.partitionBy("product", "question", key).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
     f = f.withColumn("hi", F.sum("c").over(w)).withColumn("lo", F.col("hi") - F.col("c"))
-    pairs = product_pairs(long)
+    pairs = product_pairs(f)
     a = f.join(pairs, f["product"] == pairs["name1"]).select(
         "question", "name1", "name2", key, F.col("score").alias("x"), F.col("lo").alias("alo"),
         F.col("hi").alias("ahi"))
@@ -202,20 +204,23 @@ def wilcoxon(wide: DataFrame, questions: Sequence[str], key: str = "customer_id"
     long = long_form(wide, [key, "product"], questions)
     pr = paired_counts(long, key)
     keys = ["question", "name1", "name2"]
-    dd = pr.groupBy(*keys, (F.col("x") - F.col("y")).alias("d")).agg(F.sum("n").alias("nd"))
-    nz = dd.where(F.col("d") != 0).withColumn("ad", F.abs("d"))
-    ad = nz.groupBy(*keys, "ad").agg(F.sum("nd").alias("t"))
-    ad = _midranks(ad, keys, "ad")
-    ranked = nz.join(ad, [*keys, "ad"])
-    wagg = ranked.groupBy(*keys).agg(
-        F.sum(F.when(F.col("d") > 0, F.col("nd") * F.col("midrank")).otherwise(0.0)).alias("w_plus"),
-        F.sum(F.when(F.col("d") < 0, F.col("nd") * F.col("midrank")).otherwise(0.0)).alias("w_minus"),
-        F.sum("nd").alias("n_nonzero"), F.max("nd").alias("_maxdup"))
-    ties = ad.groupBy(*keys).agg(F.sum(F.col("t") * (F.col("t") * F.col("t") - 1)).alias("tie"),
-                                 F.max("t").alias("max_t"))
-    tot = dd.groupBy(*keys).agg(F.sum("nd").alias("n_pairs"),
-                                F.sum(F.when(F.col("d") == 0, F.col("nd")).otherwise(0)).alias("n_zero"))
-    a = tot.join(wagg, keys, "left").join(ties, keys, "left")
+    # one chain: counts per |d| (signed) -> mid-ranks over |d| > 0 -> one aggregate
+    d = F.col("x") - F.col("y")
+    g = pr.groupBy(*keys, F.abs(d).alias("ad")).agg(
+        F.sum(F.when(d > 0, F.col("n")).otherwise(0)).alias("pos"),
+        F.sum(F.when(d < 0, F.col("n")).otherwise(0)).alias("neg"),
+        F.sum("n").alias("all"))
+    g = g.withColumn("t", F.when(F.col("ad") > 0, F.col("pos") + F.col("neg")).otherwise(F.lit(0)))
+    g = _midranks(g, keys, "ad")
+    a = g.groupBy(*keys).agg(
+        F.sum(F.col("pos") * F.col("midrank")).alias("w_plus"),
+        F.sum(F.col("neg") * F.col("midrank")).alias("w_minus"),
+        F.sum("t").alias("n_nonzero"), F.sum(F.col("t") * (F.col("t") * F.col("t") - 1)).alias("tie"),
+        F.max("t").alias("max_t"), F.sum("all").alias("n_pairs"),
+        F.sum(F.when(F.col("ad") == 0, F.col("all")).otherwise(0)).alias("n_zero"))
+    a = a.withColumn("w_plus", F.when(F.col("n_nonzero") > 0, F.col("w_plus"))) \
+         .withColumn("w_minus", F.when(F.col("n_nonzero") > 0, F.col("w_minus"))) \
+         .withColumn("max_t", F.when(F.col("n_nonzero") > 0, F.col("max_t")))
     n = F.coalesce(F.col("n_nonzero"), F.lit(0))
     stat = F.least("w_plus", "w_minus")
     var = (n * (n + 1) * (2 * n + 1) - 0.5 * F.coalesce(F.col("tie"), F.lit(0))) / 24.0
@@ -241,7 +246,8 @@ def fisher(wide: DataFrame, questions: Sequence[str]) -> DataFrame:
     exactly two gives an error row.
     """
     long = long_form(wide, ["product"], questions)
-    c = _paired_by_pair(_freq(long), product_pairs(long))
+    fq = _freq(long)
+    c = _paired_by_pair(fq, product_pairs(fq))
     agg = c.groupBy("question", "name1", "name2").agg(
         F.count(F.lit(1)).alias("k"),
         F.min_by("n1", "value").alias("a"), F.min_by("n2", "value").alias("b"),

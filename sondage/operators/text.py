@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalar as S
+from ..partitioning import balance
 
 TOKEN_PATTERN = r"(?U)\b\w\w+\b"
 WORD_SPLIT = r"(\w+|[^\w\s]|\s)"
@@ -129,17 +130,6 @@ def translate_tm(df: DataFrame, column: str, lang_col: str, source_lang: str, me
 # ---------------------------------------------------------------------------
 
 
-def balance(df: DataFrame, key: str) -> DataFrame:
-    """Hash-repartition by ``key`` when the input has fewer splits than 2x the cores.
-
-    Documents range from one word to tens of thousands; a few large input
-    splits would leave most cores idle during tokenisation.  With many input
-    splits (the large-scale case) the data are left where they are.
-    """
-    target = 2 * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target, key) if df.rdd.getNumPartitions() < target else df
-
-
 def tfidf_rows(docs: DataFrame, id_col: str, text_col: str, max_features: int = 5000, min_df: int = 2,
                ngram: int = 2, stop_words: bool = True):
     """Sparse TF-IDF rows (id, idx array<int>, val array<double>), L2-normalised, and the vocabulary.

@@ -21,10 +21,10 @@ REJ, ACC = H.REJECT, H.ACCEPT
 
 
 def binary_wide(spark, sf):
+    """T4B (7-10) and T2B (4-5) dichotomisation in one projection of the wide table."""
     w = survey_wide(spark, sf)
-    a = R.dichotomize(w, BIN_T4B, [7, 8, 9, 10], keep=["customer_id", "product"])
-    b = R.dichotomize(w, BIN_T2B, [4, 5], keep=["customer_id", "product"])
-    return a.join(b, ["customer_id", "product"])
+    a = R.dichotomize(w, BIN_T4B, [7, 8, 9, 10], keep=["customer_id", "product", *BIN_T2B])
+    return R.dichotomize(a, BIN_T2B, [4, 5], keep=["customer_id", "product", *BIN_T4B])
 
 
 def _binary_sql():
