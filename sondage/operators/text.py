@@ -131,7 +131,7 @@ def translate_tm(df: DataFrame, column: str, lang_col: str, source_lang: str, me
 
 
 def tfidf_rows(docs: DataFrame, id_col: str, text_col: str, max_features: int = 5000, min_df: int = 2,
-               ngram: int = 2, stop_words: bool = True):
+               ngram: int = 2, stop_words: bool = True, n_docs: int | None = None):
     """Sparse TF-IDF rows (id, idx array<int>, val array<double>), L2-normalised, and the vocabulary.
 
     Tokens: lower-cased maximal runs of >= 2 word characters (split on
@@ -154,7 +154,7 @@ def tfidf_rows(docs: DataFrame, id_col: str, text_col: str, max_features: int =
     tf = (toks.select(id_col, F.explode(grams).alias("term"))
           .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
     tf = tf.persist()  # reused by the vocabulary and the weight jobs
-    n_docs = docs.count()
+    n_docs = docs.count() if n_docs is None else n_docs
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     top = stats.where(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(max_features).collect()
     vocab = [r["term"] for r in top]  # bounded by max_features
@@ -253,9 +253,9 @@ def themes(df: DataFrame, id_col: str, text_col: str, n_topics: int | None = Non
             .where(F.col("_text").isNotNull() & (F.length("_text") > 0)))
     n = docs.count()
     k = n_topics or (max(3, min(8, int(round(2 * math.log(n))))) if n > 10 else 3)
-    rows, vocab = tfidf_rows(docs, id_col, "_text", max_features, min_df, 2, True)
+    rows, vocab = tfidf_rows(docs, id_col, "_text", max_features, min_df, 2, True, n_docs=n)
     if not vocab:
-        rows, vocab = tfidf_rows(docs, id_col, "_text", max_features, 1, 1, False)
+        rows, vocab = tfidf_rows(docs, id_col, "_text", max_features, 1, 1, False, n_docs=n)
     if not vocab:
         empty = spark.createDataFrame([], "theme int, label string, top_terms string, count long, pct double")
         return {"themes": empty, "assignments": None, "exemplars": None, "k": 0}

@@ -45,7 +45,7 @@ def _themes(spark, sf):
     key = (id(spark), sf)
     if key not in _THEMES:
         docs = read_table(spark, sf, "documents").select("doc_id", "text")
-        _THEMES[key] = X.themes(docs, "doc_id", "text", column_label="documents.text", outer=30, inner=10)
+        _THEMES[key] = X.themes(docs, "doc_id", "text", column_label="documents.text", outer=20, inner=15)
     return _THEMES[key]
 
 

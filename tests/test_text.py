@@ -63,7 +63,7 @@ def test_themes_invariants(spark):
         rows.append((i, " ".join(rnd.choice(t) for _ in range(12))))
     rows.append((999, "?? !!"))  # no vocabulary term
     df = spark.createDataFrame(rows, "id long, text string")
-    res = X.themes(df, "id", "text", n_topics=3, outer=30, inner=15)
+    res = X.themes(df, "id", "text", n_topics=3, outer=20, inner=15)
     th = res["themes"].orderBy("theme").collect()
     assert len(th) == 3
     term_sets = [set(r["top_terms"].split(", ")[:4]) for r in th]
