@@ -71,7 +71,28 @@ def one_pager(spark, sf):
     return A.one_pager(A.box_scores(survey_wide(spark, sf), T2B, TEN), "% T2B", PRODUCTS)
 
 
-@query("box_appended", views=WIDE)
+BOX_COLS = list(dict.fromkeys(T2B + TEN))
+
+
+def _box_appended_sql() -> str:
+    piv = ",\n".join(f"MAX(CASE WHEN question = '{c}' THEN v END) AS {c}" for c in BOX_COLS)
+    cols = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in BOX_COLS)
+    return f"""
+WITH {_grid_sql(BOX_COLS)},
+t AS (SELECT product, question, SUM(n) AS total FROM g GROUP BY product, question),
+s AS (
+  SELECT product, question, 'Summary_' || CAST(value AS VARCHAR) AS row_label, CAST(n AS DOUBLE) AS v FROM g
+  UNION ALL SELECT product, question, 'Summary_Total', CAST(total AS DOUBLE) FROM t
+  UNION ALL SELECT g.product, g.question, 'Percentage_' || CAST(g.value AS VARCHAR),
+    CAST(g.n AS DOUBLE) * 100 / NULLIF(t.total, 0) FROM g JOIN t ON g.product = t.product AND g.question = t.question
+  UNION ALL SELECT product, question, 'Percentage_Total', CASE WHEN total > 0 THEN 100.0 END FROM t
+  UNION ALL SELECT product, question, metric, value FROM ({BOX_SQL}) b)
+SELECT row_label, product, {piv} FROM s GROUP BY row_label, product
+UNION ALL
+SELECT CAST(customer_id AS VARCHAR) AS row_label, product, {cols} FROM survey_wide"""
+
+
+@query("box_appended", _box_appended_sql(), views=WIDE)
 def box_appended(spark, sf):
     return A.box_appended(survey_wide(spark, sf), T2B, TEN, ids=["customer_id"])
 
