@@ -30,9 +30,9 @@ def verdict(p, alpha: float):
 def product_pairs(df: DataFrame, col: str = "product") -> DataFrame:
     """All unordered pairs (name1 < name2) of the distinct values of ``col``.
 
-    Built inside the same plan (pass an already aggregated frame, e.g. the
-    frequencies, so the distinct step reads a few rows); the product dimension
-    is one row per product studied, and AQE broadcasts it from its runtime size.
+    Built inside the same plan (a one-column distinct with map-side
+    aggregation); the product dimension is one row per product studied, and
+    AQE broadcasts it from its runtime size.
     """
     p = df.select(F.col(col).alias("_p")).where(F.col("_p").isNotNull()).distinct()
     return (p.alias("a").join(p.alias("b"), F.col("a._p") < F.col("b._p"))
@@ -65,7 +65,7 @@ def _midranks(df: DataFrame, keys: Sequence[str], order: str, t: str = "t") -> D
 def rank_sums(long: DataFrame) -> DataFrame:
     """Per (question, name1, name2): n1, n2, R1, U1 and the tie term sum(t^3 - t)."""
     fq = _freq(long)
-    pairs = product_pairs(fq)
+    pairs = product_pairs(long)  # every product present, even one with no answers
     c = _paired_by_pair(fq, pairs).withColumn("t", F.col("n1") + F.col("n2"))
     keys = ["question", "name1", "name2"]
     r = _midranks(c, keys, "value")
@@ -140,7 +140,7 @@ def paired_counts(long: DataFrame, key: str) -> DataFrame:
          .groupBy("product", "question", key, "score").agg(F.count(F.lit(1)).alias("c")))
     w = Window.partitionBy("product", "question", key).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
     f = f.withColumn("hi", F.sum("c").over(w)).withColumn("lo", F.col("hi") - F.col("c"))
-    pairs = product_pairs(f)
+    pairs = product_pairs(long)
     a = f.join(pairs, f["product"] == pairs["name1"]).select(
         "question", "name1", "name2", key, F.col("score").alias("x"), F.col("lo").alias("alo"),
         F.col("hi").alias("ahi"))
@@ -247,7 +247,7 @@ def fisher(wide: DataFrame, questions: Sequence[str]) -> DataFrame:
     """
     long = long_form(wide, ["product"], questions)
     fq = _freq(long)
-    c = _paired_by_pair(fq, product_pairs(fq))
+    c = _paired_by_pair(fq, product_pairs(long))
     agg = c.groupBy("question", "name1", "name2").agg(
         F.count(F.lit(1)).alias("k"),
         F.min_by("n1", "value").alias("a"), F.min_by("n2", "value").alias("b"),
