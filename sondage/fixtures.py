@@ -96,12 +96,12 @@ TARGET = "liking"
 PREDICTORS = ["ten_taste", "ten_aroma", "ten_foam", "t2b_store", "jar_sweet", "jar_thick"]
 
 
-FACT_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey"}
+FACT_KEYS = {"lineitem": "l_orderkey"}  # the streamed side; dimension sides are broadcast
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    # fact tables: spread a scan with too few input splits over the cores (no-op at scale)
+    # fact table: spread a scan with too few input splits over the cores (no-op at scale)
     return balance(df, FACT_KEYS[name]) if name in FACT_KEYS else df
 
 
