@@ -28,8 +28,10 @@ from pyspark.sql import types as T
 from ..functions import scalar as S
 from ..partitioning import balance
 
-TOKEN_PATTERN = r"(?U)\b\w\w+\b"
-WORD_SPLIT = r"(\w+|[^\w\s]|\s)"
+# Word characters as Python 3 regexes see them (letters, digits, underscore in any script);
+# Java's plain \w is ASCII-only, so the class is spelled out.
+WORD = r"[\p{L}\p{N}_]"
+WORD_SPLIT = rf"({WORD}+|[^\p{{L}}\p{{N}}_\s]|\s)"
 
 # ---------------------------------------------------------------------------
 # Spelling
@@ -49,7 +51,7 @@ def _deletes(col: str, max_d: int = 2):
 def word_counts(df: DataFrame, column: str, lower: bool = True) -> DataFrame:
     """(word, freq) over all ``\\w+`` words of a text column."""
     x = F.lower(F.col(column)) if lower else F.col(column)
-    return (df.select(F.explode(F.regexp_extract_all(x, F.lit(r"(\w+)"), 1)).alias("word"))
+    return (df.select(F.explode(F.regexp_extract_all(x, F.lit(f"({WORD}+)"), 1)).alias("word"))
             .groupBy("word").agg(F.count(F.lit(1)).alias("freq")))
 
 
@@ -85,7 +87,7 @@ def spell_summary(df: DataFrame, columns: Sequence[str], dictionary: DataFrame,
                  .select(F.lower(S.strip_whitespace("item")).alias("item")).where(F.col("item") != ""))
         ic = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
         toks = ic.select("item", F.posexplode(F.regexp_extract_all("item", F.lit(WORD_SPLIT), 1)).alias("pos", "tok"))
-        words = toks.where(F.col("tok").rlike(r"^\w+$")).select(F.col("tok").alias("word"))
+        words = toks.where(F.col("tok").rlike(f"^{WORD}+$")).select(F.col("tok").alias("word"))
         corr = spelling_corrections(words, dictionary, max_distance)
         fixed = (toks.join(corr, toks["tok"] == corr["word"], "left")
                  .select("item", "pos", F.coalesce("corrected", "tok").alias("tok")))
@@ -96,7 +98,7 @@ def spell_summary(df: DataFrame, columns: Sequence[str], dictionary: DataFrame,
         tot = cnt.select(F.sum("count")).scalar()  # scalar subquery, no single-partition window
         parts.append(cnt.select(F.lit(c).alias("question"), F.col("corrected").alias("item"),
                                 F.col("count").cast("long").alias("count"),
-                                F.bround(F.col("count") * 100.0 / tot, 2).alias("pct")))
+                                F.bround(F.col("count") / F.lit(tot) * 100.0, 2).alias("pct")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

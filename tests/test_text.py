@@ -74,3 +74,13 @@ def test_themes_invariants(spark):
     assert sum(r["count"] for r in th) >= 91
     ex = res["exemplars"].collect()
     assert all(r["rank"] <= 3 for r in ex)
+
+
+def test_unicode_words(spark):
+    df = spark.createDataFrame([("Crème brûlée, crème",)], "t string")
+    wc = {r["word"]: r["freq"] for r in X.word_counts(df, "t").collect()}
+    assert wc == {"crème": 2, "brûlée": 1}
+    d = spark.createDataFrame([("crème", 5)], "word string, freq long")
+    w = spark.createDataFrame([("crème",), ("crme",)], "word string")
+    assert {r["word"]: r["corrected"] for r in X.spelling_corrections(w, d).collect()} == {
+        "crème": "crème", "crme": "crème"}
