@@ -110,20 +110,32 @@ def spell_summary(df: DataFrame, columns: Sequence[str], dictionary: DataFrame,
 # ---------------------------------------------------------------------------
 
 
-def translate_tm(df: DataFrame, column: str, lang_col: str, source_lang: str, memory: DataFrame,
-                 out: str | None = None) -> DataFrame:
-    """Translate cells whose language is ``source_lang`` from a translation memory
-    (lang, text, translated); blank stays '', a miss keeps the original text."""
+def translate_tm(df: DataFrame, column: str, lang_col: str | None, source_lang: str, memory: DataFrame,
+                 out: str | None = None, check_language: bool = True) -> DataFrame:
+    """Translate a text column from a translation memory (lang, text, translated).
+
+    ``check_language=True``: NULL and blank cells become '', cells whose language
+    is ``source_lang`` take the stored translation, a miss keeps the original.
+    ``check_language=False`` (the service variant): every cell is looked up in
+    ``source_lang``'s memory except blank / 'nan' / 'none', which stay as they
+    are (NULL stays NULL).  Memory rows are deduplicated per (lang, text), so a
+    repeated text never multiplies documents; the join key is a text hash.
+    """
     out = out or f"{column}_translated"
-    # one entry per (lang, text): duplicate memory rows must not multiply documents
     tm = (memory.groupBy("lang", "text").agg(F.min("translated").alias("translated"))
           .select(F.col("lang").alias("_l"), F.xxhash64("text").alias("_h"), F.col("text").alias("_t"),
                   "translated"))
     x = df.withColumn("_h", F.xxhash64(column))
-    j = x.join(tm, (x["_h"] == tm["_h"]) & (F.col(lang_col) == tm["_l"]) & (F.col(column) == tm["_t"]), "left")
+    row_lang = F.col(lang_col) if (check_language and lang_col) else F.lit(source_lang)
+    j = x.join(tm, (x["_h"] == tm["_h"]) & (row_lang == tm["_l"]) & (F.col(column) == tm["_t"]), "left")
     c = F.col(column)
-    res = (F.when(c.isNull(), c).when(F.trim(c) == "", F.lit(""))
-           .when(F.col(lang_col) == source_lang, F.coalesce("translated", c)).otherwise(c))
+    stripped = S.strip_whitespace(c)
+    if check_language:
+        res = (F.when(c.isNull() | (stripped == ""), F.lit(""))
+               .when(F.col(lang_col) == source_lang, F.coalesce("translated", c)).otherwise(c))
+    else:
+        res = F.when(c.isNull() | F.lower(stripped).isin("", "nan", "none"), c).otherwise(
+            F.coalesce("translated", c))
     return j.select(*[x[k] for k in df.columns], res.alias(out))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import read_table
+from ..functions.scalar import PY_WHITESPACE as WS
 from ..operators import text as X
 from .registry import query
 
@@ -30,17 +31,30 @@ def memory(spark, sf):
         "lang", "text", F.concat(F.lit("[en] "), F.upper("text")).alias("translated"))
 
 
-@query("translate_tm", """
+@query("translate_tm", f"""
 WITH tm AS (SELECT lang, text, MIN('[en] ' || upper(text)) AS translated FROM documents
             WHERE lang = 'fr' AND source < 'src5' GROUP BY lang, text)
 SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars,
-  CASE WHEN d.text IS NULL THEN NULL WHEN trim(d.text) = '' THEN ''
+  CASE WHEN d.text IS NULL OR regexp_replace(d.text, '\\A{WS}+|{WS}+\\z', '', 'g') = '' THEN ''
        WHEN d.lang = 'fr' THEN COALESCE(tm.translated, d.text) ELSE d.text END AS text_translated
 FROM documents d LEFT JOIN tm ON tm.lang = d.lang AND tm.text = d.text""", views=())
 def translate_tm(spark, sf):
     return X.translate_tm(read_table(spark, sf, "documents"), "text", "lang", "fr", memory(spark, sf))
 
 
+@query("translate_tm_api", f"""
+WITH tm AS (SELECT lang, text, MIN('[en] ' || upper(text)) AS translated FROM documents
+            WHERE lang = 'fr' AND source < 'src5' GROUP BY lang, text)
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars,
+  CASE WHEN d.text IS NULL THEN NULL
+       WHEN lower(regexp_replace(d.text, '\\A{WS}+|{WS}+\\z', '', 'g')) IN ('', 'nan', 'none') THEN d.text
+       ELSE COALESCE(tm.translated, d.text) END AS text_translated
+FROM documents d LEFT JOIN tm ON tm.text = d.text""", views=())
+def translate_tm_api(spark, sf):
+    return X.translate_tm(read_table(spark, sf, "documents"), "text", None, "fr", memory(spark, sf),
+                          check_language=False)
+
+
 def _themes(spark, sf):
     key = (id(spark), sf)
     if key not in _THEMES:

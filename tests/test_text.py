@@ -84,3 +84,14 @@ def test_unicode_words(spark):
     w = spark.createDataFrame([("crème",), ("crme",)], "word string")
     assert {r["word"]: r["corrected"] for r in X.spelling_corrections(w, d).collect()} == {
         "crème": "crème", "crme": "crème"}
+
+
+def test_translate_service_variant(spark):
+    df = spark.createDataFrame([(1, "bonjour", "en"), (2, "nan", "fr"), (3, None, "fr"), (4, "salut", "fr")],
+                               "id int, text string, lang string")
+    tm = spark.createDataFrame([("fr", "bonjour", "hello")], "lang string, text string, translated string")
+    got = {r["id"]: r["text_translated"] for r in
+           X.translate_tm(df, "text", None, "fr", tm, check_language=False).collect()}
+    assert got == {1: "hello", 2: "nan", 3: None, 4: "salut"}
+    got2 = {r["id"]: r["text_translated"] for r in X.translate_tm(df, "text", "lang", "fr", tm).collect()}
+    assert got2 == {1: "bonjour", 2: "nan", 3: "", 4: "salut"}
