@@ -65,3 +65,31 @@ def test_betainc_edges():
     assert PV.betainc(2.0, 3.0, 1.0) == 1.0
     # I_0.5(a, a) = 0.5
     assert PV.betainc(4.5, 4.5, 0.5) == pytest.approx(0.5, abs=1e-14)
+
+
+def test_mwu_exact_matches_enumeration():
+    import itertools
+
+    def brute(u, n1, n2):
+        tot = cnt = 0
+        for pos in itertools.combinations(range(n1 + n2), n1):
+            s, U, ys = set(pos), 0, 0
+            for r in range(n1 + n2):
+                if r in s:
+                    U += ys
+                else:
+                    ys += 1
+            tot += 1
+            cnt += U >= u
+        return cnt / tot
+
+    for n1, n2 in [(2, 5), (5, 2), (4, 6), (1, 7), (8, 3)]:
+        for u in range(0, n1 * n2 + 2):
+            assert PV.mwu_exact_sf(u, n1, n2) == pytest.approx(brute(u, n1, n2), abs=1e-12)
+
+
+def test_mwu_exact_large_other_side_is_fast():
+    import time
+    t = time.time()
+    assert PV.mwu_exact_sf(8 * 100000 / 2, 8, 100000) == pytest.approx(0.5, abs=1e-3)
+    assert time.time() - t < 5
