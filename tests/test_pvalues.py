@@ -93,3 +93,16 @@ def test_mwu_exact_large_other_side_is_fast():
     t = time.time()
     assert PV.mwu_exact_sf(8 * 100000 / 2, 8, 100000) == pytest.approx(0.5, abs=1e-3)
     assert time.time() - t < 5
+
+
+def test_fisher_vectorised_matches_loop_and_scales():
+    import random
+    import time
+    rnd = random.Random(5)
+    for _ in range(200):
+        a, b, c, d = (rnd.randint(0, 40) for _ in range(4))
+        if a + b + c + d:
+            assert PV.fisher_two_sided(a, b, c, d) == pytest.approx(PV._fisher_loop(a, b, c, d), abs=1e-12)
+    t = time.time()
+    PV.fisher_two_sided(400_000_000, 410_000_000, 390_000_000, 400_000_000)
+    assert time.time() - t < 5
