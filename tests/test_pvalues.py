@@ -106,3 +106,16 @@ def test_fisher_vectorised_matches_loop_and_scales():
     t = time.time()
     PV.fisher_two_sided(400_000_000, 410_000_000, 390_000_000, 400_000_000)
     assert time.time() - t < 5
+
+
+def test_binomial_exact_matches_integers_and_scales():
+    import math
+    import time
+    for n in range(1, 80):
+        for k in range(0, n + 1):
+            kk = min(k, n - k)
+            exp = min(1.0, 2 * sum(math.comb(n, i) for i in range(kk + 1)) / 2 ** n)
+            assert PV.binom_two_sided_half(k, n) == pytest.approx(exp, abs=1e-12)
+    t = time.time()
+    assert PV.binom_two_sided_half(499_990_000, 1_000_000_000) == pytest.approx(0.5271104, abs=1e-6)
+    assert time.time() - t < 5
