@@ -113,6 +113,10 @@ def t_two_sided(t: float, df: float) -> float:
         return math.nan
     if math.isinf(t):
         return 0.0
+    if df > 1e7:
+        # normal limit: the t correction is O(t phi(t) (t^2 + 1) / df) < 1e-8 here, while the
+        # continued fraction loses precision for such large parameters
+        return 2.0 * norm_sf(abs(t))
     return betainc(df / 2.0, 0.5, df / (df + t * t))
 
 

@@ -119,3 +119,9 @@ def test_binomial_exact_matches_integers_and_scales():
     t = time.time()
     assert PV.binom_two_sided_half(499_990_000, 1_000_000_000) == pytest.approx(0.5271104, abs=1e-6)
     assert time.time() - t < 5
+
+
+def test_t_large_df_tends_to_normal():
+    for t in (0.5, 2.0, 5.0):
+        for df in (1e8, 1e12):
+            assert PV.t_two_sided(t, df) == pytest.approx(2 * PV.norm_sf(t), rel=1e-6)
