@@ -251,3 +251,19 @@ def test_hot_respondent_pairs_linearly(spark):
     w = H.wilcoxon(df, ["q"]).first()
     assert w["n_pairs"] == 500 + 49
 
+
+
+def test_column_listing_ordinal(spark):
+    from sondage.operators import discovery as Q
+    df = spark.createDataFrame([(1, "a", 2.0)], "customerid long, attribute string, answerscore double")
+    assert Q.column_listing(df) == [(1, "customerid", "bigint"), (2, "attribute", "string"),
+                                    (3, "answerscore", "double")]
+
+
+def test_safe_sheet_labels_unique(spark):
+    names = ["What is: the overall taste of product?", "What is: the overall taste of product?!",
+             "Short"]
+    df = spark.createDataFrame([(n,) for n in names], "q string")
+    got = [r["sheet"] for r in S.safe_sheet_labels(df, "q", "_Summary").orderBy("q").collect()]
+    assert len(set(got)) == 3 and all(len(x) <= 31 for x in got)
+    assert "Short_Summary" in got and any(x.endswith("_2") for x in got)
