@@ -178,9 +178,10 @@ def tfidf_rows(docs: DataFrame, id_col: str, text_col: str, max_features: int =
                                  for i, (t, r) in enumerate(zip(vocab, top))], "term string, term_idx int, idf double")
     w = tf.join(F.broadcast(vdf), "term").select(id_col, "term_idx", (F.col("tf") * F.col("idf")).alias("w"))
     rows = w.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("term_idx", "w"))).alias("s"))
-    norm = F.sqrt(F.aggregate(F.col("s.w"), F.lit(0.0), lambda acc, x: acc + x * x))
+    # the norm is its own column: referenced inside the lambda it would be recomputed per element
+    rows = rows.withColumn("_norm", F.sqrt(F.aggregate(F.col("s.w"), F.lit(0.0), lambda acc, x: acc + x * x)))
     return rows.select(id_col, F.col("s.term_idx").alias("idx"),
-                       F.transform(F.col("s.w"), lambda x: x / norm).alias("val")), vocab
+                       F.transform(F.col("s.w"), lambda x: x / F.col("_norm")).alias("val")), vocab
 
 
 def _batch_w(rows: pd.DataFrame, H: np.ndarray, inner: int, eps: float = 1e-10):
