@@ -40,3 +40,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def n_words(text: Column) -> Column:
     """Number of maximal runs of non-space characters; null counts none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def spread_sample(df: DataFrame, rows: int, n: int, *keys: str) -> DataFrame:
+    """About ``rows`` of the ``n`` rows of ``df``, chosen by a hash of ``keys`` (all, if fewer)."""
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(max(n, 1))) < rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, url_filter
+from . import mixing, quality_rules, simhash, url_filter
 from .common import prepare, table, written
 
 QUERIES: dict = {}
@@ -30,6 +30,12 @@ def op3_quality_rules(spark, sf_dir):
                          "base_failed", "kept")
 
 
+@query
+def op6_simhash_vp_tree(spark, sf_dir):
+    groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 @query
 def op7_source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

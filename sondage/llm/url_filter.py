@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, shuffle_partitions
+from .common import UPPER, shuffle_partitions, spread_sample
 
 SAMPLE_ROWS = 8192  # rows that place the cuts between ranges; they only balance the work
 
@@ -110,7 +110,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     host, path = split_url(F.col(url_col))
     points = (pages.select(F.col(id_col).cast("long").alias("id"), host.alias("host"), path.alias("path"))
               .withColumn("key", reversed_host(F.col("host"))))
-    sample = (points.orderBy(F.xxhash64("id", "key", "path")).limit(SAMPLE_ROWS)
+    sample = (spread_sample(points, SAMPLE_ROWS, pages.count(), "id", "key", "path")
               .select("key", "path", F.coalesce("id", F.lit(-1)).alias("id")).collect())
     n = 4 * shuffle_partitions(spark)
     sample = sorted(tuple(r) for r in sample)
