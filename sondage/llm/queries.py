@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, simhash, url_filter
+from . import mixing, quality_rules, simhash, substring_dedup, url_filter
 from .common import prepare, table, written
 
 QUERIES: dict = {}
@@ -21,6 +21,12 @@ def query(fn):
     return run
 
 
+@query
+def op2_substring_dedup(spark, sf_dir):
+    cut = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), window=50)
+    return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query
 def op3_quality_rules(spark, sf_dir):
     # the counts feed learning and judging; written once, as they cost the most
