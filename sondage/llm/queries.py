@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, simhash, substring_dedup, url_filter
+from . import mixing, quality_rules, simhash, substring_dedup, url_filter, warc
 from .common import prepare, table, written
 
 QUERIES: dict = {}
@@ -36,6 +36,12 @@ def op3_quality_rules(spark, sf_dir):
                          "base_failed", "kept")
 
 
+@query
+def op4_warc_chunk_table(spark, sf_dir):
+    archive = warc.write_archive(table(spark, sf_dir, "pages"), min_bytes=0)
+    return warc.read_archive(archive).withColumnRenamed("id", "page_id")
+
+
 @query
 def op6_simhash_vp_tree(spark, sf_dir):
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=4, radius=4)
@@ -69,3 +75,16 @@ f AS (SELECT c.*, rhost || rpath AS rule, action, row_number() OVER (PARTITION B
   FROM c LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM f WHERE k = 1
 """
+
+
+ORACLES["op4_warc_chunk_table"] = """
+WITH a AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT page_id, strlen(t) AS payload_bytes, min(page_id) OVER (PARTITION BY t) AS least,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * (d // 16 % 2) + 8 * (d // 8 % 2) + 4 * (d // 4 % 2)
+      + 2 * (d // 2 % 2) + d % 2, 1)
+    FOR d IN [list_reduce([strpos('0123456789abcdef', substr(h, 5 * (i // 4) + k, 1)) - 1 FOR k IN [1, 2, 3, 4, 5]],
+      lambda x, y: 16 * x + y) // (CASE i % 4 WHEN 0 THEN 32768 WHEN 1 THEN 1024 WHEN 2 THEN 32 ELSE 1 END) % 32
+      FOR i IN range(32)]], '') AS payload_digest FROM a)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> least THEN least END AS refers_to FROM b
+"""
