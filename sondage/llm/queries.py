@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, simhash, substring_dedup, url_filter, warc
+from . import mixing, packing, quality_rules, simhash, substring_dedup, token_shards, url_filter, warc
 from .common import prepare, table, written
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers  # vocabulary files installed beside the library
+
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -42,6 +48,11 @@ def op4_warc_chunk_table(spark, sf_dir):
     return warc.read_archive(archive).withColumnRenamed("id", "page_id")
 
 
+@query
+def op5_minimum_slack_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
 @query
 def op6_simhash_vp_tree(spark, sf_dir):
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=4, radius=4)
@@ -53,6 +64,11 @@ def op7_source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op9_token_shards(spark, sf_dir):
+    return token_shards.token_shards(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
+
+
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
              ("org", "/fr/", "allow")]
 
