@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_rules, simhash, substring_dedup, token_shards, url_filter, warc
+from . import mixing, packing, quality_rules, simhash, substring_dedup, token_counts, token_shards, url_filter, warc
 from .common import prepare, table, written
 
 def tokenizer(name: str) -> str:
@@ -64,6 +64,11 @@ def op7_source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op8_token_transducer(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=1024)
+
+
 @query
 def op9_token_shards(spark, sf_dir):
     return token_shards.token_shards(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
