@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_rules, simhash, substring_dedup, token_counts, token_shards, url_filter, warc
+from . import (
+    mixing,
+    multi_index,
+    packing,
+    quality_rules,
+    simhash,
+    substring_dedup,
+    token_counts,
+    token_shards,
+    url_filter,
+    warc,
+)
 from .common import prepare, table, written
 
 def tokenizer(name: str) -> str:
@@ -27,6 +38,12 @@ def query(fn):
     return run
 
 
+@query
+def op1_inverted_multi_index(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return multi_index.nearest(rows, rows.where(F.col("vec_id") % 50 == 0), top=5, recall=0.97)
+
+
 @query
 def op2_substring_dedup(spark, sf_dir):
     cut = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), window=50)
