@@ -64,8 +64,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], max_epochs: int)
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int = 3, id_col: str = "doc_id",
-        text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, size, source_size, target, epochs, part, taken) for every row of ``docs``.
+        text_col: str = "text", source_col: str = "source", also: tuple[str, ...] = ()) -> DataFrame:
+    """(id, ``also``, source, size, source_size, target, epochs, part, taken) for every row of ``docs``.
 
     ``epochs``: complete copies of the row; ``part``: its words taken in the fractional
     epoch (0 to size); ``taken`` = epochs * size + part.  A null source is a source of its
@@ -76,7 +76,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int =
     text = F.col(text_col)
     u = (F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col), text), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     sized = written(docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text).alias("size"),
+        F.col(id_col).alias("id"), *also, F.col(source_col).alias("source"), n_words(text).alias("size"),
         (-F.log(u) / quality_weight(text)).alias("key")), "mix-sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(per_source, weights, max_epochs)
@@ -98,5 +98,5 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int =
     d = d.alias("d").join(starts.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))
                           & (F.col("d.bucket") == F.col("s.bucket")))
     part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("start") - F.col("before"))).cast("long")
-    return d.select(F.col("d.id").alias(id_col), F.col("d.source").alias(source_col), "size", "source_size", "target",
+    return d.select(F.col("d.id").alias(id_col), *also, F.col("d.source").alias(source_col), "size", "source_size", "target",
                     "epochs", part.alias("part")).withColumn("taken", F.col("epochs") * F.col("size") + F.col("part"))

@@ -31,16 +31,17 @@ FEATURES = ("mean_word", "symbol_share", "dup_line_share", "repeat_share", "log_
 BINS = 8  # thresholds per feature
 
 
-def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` -> (id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), all long.
+def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` -> (id, ``also``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), all long.
 
     A null text counts as empty: every count is 0.
     """
+    ids = [id_col, *also]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col), text.alias("t"))
+    d = docs.select(*ids, text.alias("t"))
     lines = F.filter(F.split("t", "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     d = d.select(
-        id_col,
+        *ids,
         F.length(F.translate("t", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
@@ -55,7 +56,7 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         " CASE WHEN x.h = get(g, k - 1).h OR x.h = get(g, k + 1).h THEN x.i END), i -> i IS NOT NULL))"))
     covered = F.expr("aggregate(places, struct(-3 AS last, 0L AS n),"
                      " (s, p) -> struct(p AS last, s.n + least(3, p - s.last) AS n), s -> s.n)")
-    return d.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines",
+    return d.select(*ids, "n_words", "word_chars", "n_symbols", "n_dup_lines",
                     F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 

@@ -98,7 +98,7 @@ def _minimizers(run_hashes: np.ndarray, window: int) -> np.ndarray:
 
 
 def _scan(window: int):
-    """(id, text) -> id, n_words, sha (of the words joined by one space), the distinct minimizers."""
+    """(id, text, hash) -> id, hash, n_words, sha (of the words joined by one space), the distinct minimizers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts, shas, marks = [], [], []
@@ -113,8 +113,9 @@ def _scan(window: int):
                 marks.append(found.view(np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(m) for m in marks]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(marks) if marks else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.binary()), lists],
-                                             names=["id", "n_words", "sha", "marks"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), pa.array(counts, pa.int64()), pa.array(shas, pa.binary()), lists],
+                names=["id", "text_hash", "n_words", "sha", "marks"])
     return run
 
 
@@ -265,8 +266,9 @@ def _cut(window: int):
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_removed, kept_sha256, kept_text, spans) for every row of ``docs``.
+    """(id, text_hash, n_words, n_removed, kept_sha256, kept_text, spans) for every row of ``docs``.
 
+    text_hash (xxhash64 of the text) tells rows of an equal id apart when joining back.
     kept_text: the kept words joined by one space, null where nothing was removed; spans:
     the removed (at, n) in words.  A null or blank text has no words and nothing to remove.
     Windows of rows with equal ids do not count against each other, so of repeated rows
@@ -274,7 +276,8 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    scanned = written(src.mapInArrow(_scan(window), "id long, n_words long, sha binary, marks array<long>"), "substring-scan")
+    scanned = written(src.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+        _scan(window), "id long, text_hash long, n_words long, sha binary, marks array<long>"), "substring-scan")
 
     # equal texts: only the one with the smallest id is matched, the others go altogether
     owners = scanned.where("id IS NOT NULL").groupBy("sha").agg(F.min("id").alias("owner"))
@@ -321,8 +324,8 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
 
     copy = (F.col("id") > F.col("owner")) & (F.col("n_words") >= window)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("at"), F.col("n_words").alias("n")))
-    return (scanned.select("id", "n_words", "sha").join(owners, "sha", "left").join(cut, ["id", "sha"], "left").select(
-        F.col("id").alias(id_col), "n_words",
+    return (scanned.select("id", "text_hash", "n_words", "sha").join(owners, "sha", "left").join(cut, ["id", "sha"], "left").select(
+        F.col("id").alias(id_col), "text_hash", "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copy, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),
         F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
