@@ -67,8 +67,8 @@ def cata_sheet_name(c) -> Column:
 
 def clean_text(c) -> Column:
     """Zero-width space -> space, collapse whitespace runs, strip."""
-    x = F.regexp_replace(_c(c).cast("string"), "​", " ")
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
+    x = F.regexp_replace(_c(c).cast("string"), "\u200b", " ")
+    return F.trim(F.regexp_replace(x, f"{PY_WHITESPACE}+", " "))
 
 
 def auto_topics(n) -> Column:
@@ -91,17 +91,32 @@ def rsplit_colon(c) -> tuple[Column, Column]:
 
 
 def safe_sheet_labels(df, col: str, suffix: str = "", out: str = "sheet"):
-    """Unique sheet labels: bad characters -> space, trimmed, cut to fit 31 with ``suffix``;
-    repeated labels get ``_2``, ``_3`` ... in order of ``col`` (a window over each label's
-    duplicates only)."""
-    from pyspark.sql import Window
+    """Unique sheet labels: bad characters -> space, stripped, cut to fit 31 with ``suffix``.
 
-    clean = F.trim(F.regexp_replace(F.col(col), SAFE_SHEET_BAD_CHARS, " "))
+    In order of ``col``, a label that is taken gets ``_2``, ``_3`` ... until it is free, so
+    numbering a label never hits another column's own name.  Labels that can meet share
+    their first characters (without trailing numbers), which is what they are grouped by.
+    """
+    clean = strip_whitespace(F.regexp_replace(F.col(col), SAFE_SHEET_BAD_CHARS, " "))
     maxl = max(SHEET_MAX - len(suffix), 1)
     base = F.concat(F.rtrim(F.substring(clean, 1, maxl)), F.lit(suffix))
     x = df.withColumn("_base", base)
-    k = F.row_number().over(Window.partitionBy("_base").orderBy(col))
-    tail = F.concat(F.lit("_"), k.cast("string"))
-    label = F.when(k == 1, F.col("_base")).otherwise(
-        F.concat(F.substring("_base", 1, F.lit(SHEET_MAX) - F.char_length(tail)), tail))
-    return x.withColumn(out, label).drop("_base")
+    x = x.withColumn("_meet", F.substring(F.regexp_replace("_base", r"(_\d+)+$", ""), 1, 20))
+    named = x.select(F.col(col), "_base", "_meet").distinct()
+
+    def number(pdf):
+        taken, labels = set(), []
+        pdf = pdf.sort_values([col, "_base"])
+        for label in pdf["_base"]:
+            free, k = label, 2
+            while free in taken:
+                free = label[:SHEET_MAX - len(f"_{k}")] + f"_{k}"
+                k += 1
+            taken.add(free)
+            labels.append(free)
+        return pdf.assign(_label=labels)[[col, "_base", "_label"]]
+
+    schema = named.select(col, "_base", F.lit("").alias("_label")).schema
+    labels = named.groupBy("_meet").applyInPandas(number, schema)
+    same = x[col].eqNullSafe(labels[col]) & x["_base"].eqNullSafe(labels["_base"])
+    return x.join(labels, same, "left").select(*[x[c] for c in df.columns], F.col("_label").alias(out))

@@ -54,16 +54,24 @@ def replace_if_contains(df: DataFrame, column: str, pattern: str, replacement: s
 
 def find_and_replace(df: DataFrame, columns: Sequence[str],
                      replacements: Sequence[tuple[Sequence, object]]) -> DataFrame:
-    """Exact-cell replacement; each (values, replacement) in order, each value in order (chains)."""
+    """Exact-cell replacement; each (values, replacement) in order, each value in order (chains).
+
+    All values are literals, so each chain is followed to its end when planning: the
+    plan holds one branch per distinct value, however long the chains are.
+    """
+    final: dict = {}
+    for values, rep in replacements:
+        for v in values:
+            final.update({k: rep for k, x in final.items() if x == v})
+            final.setdefault(v, rep)
     out = {}
     for col in columns:
-        if col not in df.columns:
+        if col not in df.columns or not final:
             continue
-        expr = F.col(col)
-        for values, rep in replacements:
-            for v in values:
-                expr = F.when(expr == F.lit(v), F.lit(rep)).otherwise(expr)
-        out[col] = expr
+        case = F
+        for v, rep in final.items():
+            case = case.when(F.col(col) == F.lit(v), F.lit(rep))
+        out[col] = case.otherwise(F.col(col))
     return df.withColumns(out) if out else df
 
 
@@ -140,6 +148,7 @@ def pair_alignment_check(df: DataFrame, key: str = "customer_id", group: str = "
 # (at most 20 levels of a few labels each), so broadcasting it is bounded; the
 # bound is still checked before the hint is given.
 BROADCAST_MAX_ROWS = 100_000
+LIKERT_MAX_LABELS = 2_000
 
 
 def _maybe_broadcast(dim: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
@@ -160,11 +169,16 @@ def likert_map(df: DataFrame, column: str, likert: DataFrame, out: str | None =
 
 
 def apply_likert_mapping(wide: DataFrame, likert: DataFrame, ids: Sequence[str], skip: Sequence[str]) -> DataFrame:
-    """Map every non-skipped column: unpivot -> one join -> pivot back."""
-    cols = [c for c in wide.columns if c not in set(skip) and c not in set(ids)]
-    lng = wide.select(*ids, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
-        list(ids), cols, "question", "text")
-    mapped = likert_map(lng, "text", likert, "value")
-    piv = mapped.groupBy(*ids).pivot("question", cols).agg(F.first("value"))
-    return wide.select(*ids, *[c for c in wide.columns if c in set(skip) and c not in set(ids)]).join(
-        piv, list(ids), "left")
+    """Map every column but ``ids`` and ``skip`` by a literal label lookup: narrow, row by row.
+
+    ``likert`` is the questionnaire's level table (at most ``LIKERT_MAX_LABELS`` labels,
+    checked); unrecognised text becomes NULL.  Repeated ids stay rows of their own.
+    """
+    levels = likert_lookup(likert).limit(LIKERT_MAX_LABELS + 1).collect()
+    if len(levels) > LIKERT_MAX_LABELS:
+        raise ValueError(f"more than {LIKERT_MAX_LABELS} Likert labels")
+    lookup = F.create_map(*[F.lit(x) for r in levels if r["label"] is not None for x in (r["label"], r["level"])])
+    fixed = {*ids, *skip}
+    return wide.select(*[F.col(f"`{c}`") if c in fixed else
+                         F.try_element_at(lookup, S.strip_whitespace(F.col(f"`{c}`").cast("string"))).alias(c)
+                         for c in wide.columns])

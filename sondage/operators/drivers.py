@@ -128,8 +128,12 @@ def _solve_linear(pdf: pd.DataFrame, group: str, cols: list, target: str, valid:
             continue
         p_all = len(cols)
         n, m, cov = _moments(row, p_all)
-        idx = [cols.index(c) for c in preds]
         t = cols.index(target)
+        # a constant predictor (or target) has no correlation; it is left out
+        preds = [c for c in preds if cov[cols.index(c), cols.index(c)] > 1e-12]
+        if not preds or cov[t, t] <= 1e-12:
+            continue
+        idx = [cols.index(c) for c in preds]
         r, sd = _corr(cov)
         rxx, rxy = r[np.ix_(idx, idx)], r[idx, t]
         # standardised OLS with intercept (min-norm solution when singular)
@@ -155,7 +159,8 @@ def linear_drivers(df: DataFrame, predictors: Sequence[str], target: str, thresh
     """Linear (|standardised beta|), Johnson relative weights and lasso |coef|, each summing to 100.
 
     Predictors over the missing-share ``threshold`` are dropped per group, then
-    rows incomplete on the kept predictors or the target are deleted.
+    rows incomplete on the kept predictors or the target are deleted.  Predictors that
+    do not vary in a group get no row there, nor does a group whose target is constant.
     """
     preds = [c for c in dict.fromkeys(predictors) if c != target]
     valid = valid_predictors(df, preds, threshold, group)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pvalues as PV
+from ..functions import scalar as S
 from .reshape import long_form
 from .stats import product_pairs, t_test_from_moments
 
@@ -89,7 +90,7 @@ def cata_penalty(wide: DataFrame, column: str, target: str, group: Sequence[str]
         .withColumn("_row", F.monotonically_increasing_id()).checkpoint()
     key = "_row"
     rt = (rows.where(F.col("_cell").isNotNull())
-          .select(*g, key, F.explode(F.transform(F.split("_cell", ","), F.trim)).alias("u"))
+          .select(*g, key, F.explode(F.transform(F.split("_cell", ","), S.strip_whitespace)).alias("u"))
           .where(F.col("u") != "").distinct())
     vocab = rt.select(*g, "u").distinct()
     if mode == "exact":

@@ -114,8 +114,10 @@ def mann_whitney(wide: DataFrame, questions: Sequence[str], group: str = "produc
         F.when(ok, r_lab).otherwise(F.lit("N/A")).alias("r_z_strength"),
         z_c.alias("z_corrected"), p.alias("p_value"))
     nd = F.lit("Not enough data")
-    return out.select("*", F.when(ok, verdict(F.col("p_value"), 0.05)).otherwise(nd).alias("hypothesis_95"),
-                      F.when(ok, verdict(F.col("p_value"), 0.10)).otherwise(nd).alias("hypothesis_90"))
+    # without a p-value (all values tie) nothing is below the level, so the null is accepted
+    told = lambda alpha: F.coalesce(verdict(F.col("p_value"), alpha), F.lit(ACCEPT))
+    return out.select("*", F.when(ok, told(0.05)).otherwise(nd).alias("hypothesis_95"),
+                      F.when(ok, told(0.10)).otherwise(nd).alias("hypothesis_90"))
 
 
 def cliffs_delta(wide: DataFrame, questions: Sequence[str]) -> DataFrame:
@@ -125,39 +127,42 @@ def cliffs_delta(wide: DataFrame, questions: Sequence[str]) -> DataFrame:
                      .otherwise(F.lit("insufficient data")).alias("strength"))
 
 
+DUPLICATES = "error (duplicate respondents)"
+
+
+def _answers(long: DataFrame, key: str) -> DataFrame:
+    """One row per (question, product, key) with its number of answers (a repeated key is one row)."""
+    return (long.where(F.col("score").isNotNull()).groupBy("question", key, "product")
+            .agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("score")))
+
+
 def paired_counts(long: DataFrame, key: str) -> DataFrame:
-    """(question, name1, name2, x, y, n): answered pairs across every product pair.
-
-    Respondents are matched on ``key``.  Each respondent's answers are first
-    aggregated to (value, count) — so a respondent id holding any share of the
-    rows is one small group — and turned into rank intervals [lo, hi) in value
-    order (a window over at most #levels rows).  The k-th answer in one
-    product pairs with the k-th in the other by interval overlap, so duplicate
-    answers pair one-to-one (in value order) and the join is linear; with a
-    unique key it is exactly the plain equi-join.
+    """(question, name1, name2, x, y, n, duplicates): answered pairs across every product pair.
+
+    Respondents are matched on ``key``: their answers to a question meet in one row (one
+    shuffle, however many products there are), which emits its product pairs straight into
+    a partial count.  ``duplicates`` tells that a respondent answers more than once for one
+    of the two products; such a pair has no pairing, and its statistics are an error.
     """
-    f = (long.where(F.col("score").isNotNull())
-         .groupBy("product", "question", key, "score").agg(F.count(F.lit(1)).alias("c")))
-    w = Window.partitionBy("product", "question", key).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    f = f.withColumn("hi", F.sum("c").over(w)).withColumn("lo", F.col("hi") - F.col("c"))
-    pairs = product_pairs(long)
-    a = f.join(pairs, f["product"] == pairs["name1"]).select(
-        "question", "name1", "name2", key, F.col("score").alias("x"), F.col("lo").alias("alo"),
-        F.col("hi").alias("ahi"))
-    b = f.join(pairs, f["product"] == pairs["name2"]).select(
-        "question", "name1", "name2", key, F.col("score").alias("y"), F.col("lo").alias("blo"),
-        F.col("hi").alias("bhi"))
-    j = a.join(b, ["question", "name1", "name2", key]).where((F.col("alo") < F.col("bhi")) &
-                                                              (F.col("blo") < F.col("ahi")))
-    n = F.least("ahi", "bhi") - F.greatest("alo", "blo")
-    return j.groupBy("question", "name1", "name2", "x", "y").agg(F.sum(n).alias("n"))
+    f = _answers(long, key)
+    by_respondent = f.groupBy("question", key).agg(F.sort_array(F.collect_list(F.struct("product", "score"))).alias("a"))
+    pairs = by_respondent.select("question", F.explode(F.expr(
+        "flatten(transform(a, (p, i) -> transform(slice(a, i + 2, size(a)), q ->"
+        " struct(p.product AS name1, q.product AS name2, p.score AS x, q.score AS y))))")).alias("p"))
+    counts = pairs.groupBy("question", "p.name1", "p.name2", "p.x", "p.y").agg(F.count(F.lit(1)).alias("n"))
+    twice = f.where("c > 1").select("question", "product").distinct()
+    for side in ("name1", "name2"):
+        flagged = twice.select("question", F.col("product").alias(side), F.lit(True).alias(f"_{side}"))
+        counts = counts.join(flagged, ["question", side], "left")
+    dup = F.coalesce("_name1", F.lit(False)) | F.coalesce("_name2", F.lit(False))
+    return counts.select("question", "name1", "name2", "x", "y", "n", dup.alias("duplicates"))
 
 
 def mcnemar(binary_wide: DataFrame, questions: Sequence[str], key: str = "customer_id") -> DataFrame:
     """Paired McNemar on 0/1 columns for every product pair (respondents joined on ``key``).
 
     b = #(first 0, second 1), c = #(first 1, second 0) over respondents answered
-    in both.  Not 2x2 (a value missing on either side) -> skip; b + c = 0 -> no
+    in both.  A respondent twice in a product -> error; not 2x2 (a value missing on either side) -> skip; b + c = 0 -> no
     discordant pairs; b + c >= 25 -> chi-square without continuity correction,
     p from the statistic rounded to 4 dp; otherwise exact binomial, flag 'E'.
     Verdicts compare the p rounded to 4 dp.  ``len1``/``len2`` are each
@@ -171,15 +176,16 @@ def mcnemar(binary_wide: DataFrame, questions: Sequence[str], key: str = "custom
         F.sum(F.when((F.col("x") == 0) & (F.col("y") == 1), F.col("n")).otherwise(0)).alias("b"),
         F.sum(F.when((F.col("x") == 1) & (F.col("y") == 0), F.col("n")).otherwise(0)).alias("c"),
         # the 2x2 condition: both values present on each side (0/1 columns)
-        (F.min("x") != F.max("x")).alias("vx"), (F.min("y") != F.max("y")).alias("vy"))
+        (F.min("x") != F.max("x")).alias("vx"), (F.min("y") != F.max("y")).alias("vy"),
+        F.max("duplicates").alias("dup"))
     l1 = lens.select(F.col("product").alias("name1"), "question", F.col("len").alias("len1"))
     l2 = lens.select(F.col("product").alias("name2"), "question", F.col("len").alias("len2"))
     agg = agg.join(l1, ["name1", "question"], "left").join(l2, ["name2", "question"], "left")
     b, c = F.col("b"), F.col("c")
-    is22 = F.col("vx") & F.col("vy")
+    is22 = F.col("vx") & F.col("vy") & ~F.col("dup")
     disc = b + c
     stat = F.bround(F.try_divide(F.pow((b - c).cast("double"), 2), disc.cast("double")), 4)
-    status = (F.when(~is22, "skip (not 2x2)").when(disc == 0, "no discordant pairs").otherwise("ok"))
+    status = (F.when(F.col("dup"), DUPLICATES).when(~is22, "skip (not 2x2)").when(disc == 0, "no discordant pairs").otherwise("ok"))
     p = F.when(is22 & (disc > 0), PV.mcnemar_p_udf(b, c, stat))
     out = agg.select(
         "question", "name1", "name2", "len1", "len2", "n_pairs",
@@ -202,7 +208,8 @@ def wilcoxon(wide: DataFrame, questions: Sequence[str], key: str = "customer_id"
     = |Phi^-1(p/2)|, ``r`` = z / sqrt(all pairs incl. zeros).
     """
     long = long_form(wide, [key, "product"], questions)
-    pr = paired_counts(long, key)
+    every = paired_counts(long, key)
+    pr = every.where(~F.col("duplicates"))
     keys = ["question", "name1", "name2"]
     # one chain: counts per |d| (signed) -> mid-ranks over |d| > 0 -> one aggregate
     d = F.col("x") - F.col("y")
@@ -235,8 +242,13 @@ def wilcoxon(wide: DataFrame, questions: Sequence[str], key: str = "customer_id"
     r = F.col("r")
     inten = (F.when(r > 0.5, "large").when(r > 0.3, "moderate").when(r >= 0.1, "small")
              .otherwise("undetermined"))
-    return out.select("*", inten.alias("intensity"), verdict(F.col("p_value"), 0.05).alias("hypothesis_95"),
-                      verdict(F.col("p_value"), 0.10).alias("hypothesis_90"))
+    out = out.select("*", inten.alias("intensity"), verdict(F.col("p_value"), 0.05).alias("hypothesis_95"),
+                     verdict(F.col("p_value"), 0.10).alias("hypothesis_90"))
+    # a pair with a respondent twice in one product keeps its row, as an error
+    failed = every.where("duplicates").groupBy(*keys).agg(F.sum("n").cast("long").alias("n_pairs"))
+    failed = failed.select(*keys, "n_pairs", F.lit("undetermined").alias("intensity"),
+                           F.lit(DUPLICATES).alias("hypothesis_95"), F.lit(DUPLICATES).alias("hypothesis_90"))
+    return out.unionByName(failed, allowMissingColumns=True)
 
 
 def fisher(wide: DataFrame, questions: Sequence[str]) -> DataFrame:

@@ -226,7 +226,7 @@ def maxdiff(wide: DataFrame, columns: Sequence[str], group: Sequence[str] = ())
         list(group), list(columns), "question", "cell").where(F.col("cell").isNotNull())
     toks = lng.select(*group, F.explode(F.split("cell", ",")).alias("tok"))
     attr, choice = S.rsplit_colon(F.col("tok"))
-    toks = toks.select(*group, F.trim(attr).alias("attribute"), F.trim(choice).alias("choice"))
+    toks = toks.select(*group, S.strip_whitespace(attr).alias("attribute"), S.strip_whitespace(choice).alias("choice"))
     agg = (toks.where(F.col("attribute").isNotNull()).groupBy(*group, "attribute")
            .agg(F.sum(F.when(F.col("choice") == "M", 1).otherwise(0)).cast("long").alias("most"),
                 F.sum(F.when(F.col("choice") == "L", 1).otherwise(0)).cast("long").alias("least")))

@@ -90,9 +90,6 @@ def combine_files(spark, sf):
     return SF.combine_files(spark, paths, MAPPING)
 
 
-BOX_SQL_KEY = "box_scores"
-
-
 @query("store_roundtrip", """
 SELECT product, COUNT(*) AS n, AVG(liking) AS mean_liking FROM survey_wide GROUP BY product""", views=WIDE)
 def store_roundtrip(spark, sf):
@@ -103,18 +100,19 @@ def store_roundtrip(spark, sf):
     return store.load("liking_by_product")
 
 
-@query("store_list", views=WIDE)
+@query("store_list", """
+SELECT concat('Product ', product) AS key, COUNT(*) AS rows FROM survey_wide GROUP BY product""", views=WIDE)
 def store_list(spark, sf):
     store = TableStore(spark, prefix="lst_")
+    for key in store.list():  # of an earlier run in this session
+        store.delete(key)
     w = survey_wide(spark, sf)
-    for p in ("A", "N", "R"):
-        store.save(w.where(F.col("product") == p), f"product_{p}")
+    for r in w.select("product").distinct().collect():  # one row per product studied
+        store.save(w.where(F.col("product") == r[0]), f"Product {r[0]}")
     store.save(w.limit(0), "scratch")
     store.delete("scratch")
-    names = store.list()
-    return spark.createDataFrame([(n,) for n in names], "key string").join(
-        w.groupBy(F.concat(F.lit("product_"), "product").alias("key")).agg(F.count(F.lit(1)).alias("rows")),
-        "key", "left")
+    counted = [(k, store.load(k).count()) for k in store.list()]
+    return spark.createDataFrame(counted, "key string, rows long")
 
 
 @query("encoding_audit", views=WIDE)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import csv
-import io
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,32 +12,38 @@ UTF8 = "UTF-8"
 LATIN1 = "ISO-8859-1"
 
 
-def read_header(spark: SparkSession, path: str, encoding: str = UTF8) -> list[str]:
+def _csv(spark: SparkSession, multiline: bool, encoding: str = UTF8):
+    """A CSV reader with standard quoting: a doubled quote is a quote; ``multiline`` lets cells hold line ends."""
+    return (spark.read.option("encoding", encoding).option("quote", '"').option("escape", '"')
+            .option("multiLine", multiline))
+
+
+def read_header(spark: SparkSession, path: str, encoding: str = UTF8, multiline: bool = False) -> list[str]:
     """The raw header fields of a CSV file (BOM removed), parsed with CSV quoting rules."""
-    line = (spark.read.option("encoding", encoding).text(path).limit(1).collect() or [None])[0]
-    if line is None:
+    row = (_csv(spark, multiline, encoding).option("header", False).csv(path).limit(1).collect() or [None])[0]
+    if row is None:
         return []
-    text = line[0].lstrip("﻿")
-    return next(csv.reader(io.StringIO(text)))
+    return [(v or "").lstrip("\ufeff").strip('"') if i == 0 else v or "" for i, v in enumerate(row)]
 
 
 def csv_clean(spark: SparkSession, path: str, headers_to_replace: Mapping[str, str] | None = None,
-              columns_to_drop: Sequence[str] = (), output: str | None = None) -> DataFrame:
+              columns_to_drop: Sequence[str] = (), output: str | None = None, multiline: bool = False) -> DataFrame:
     """Strip header names, rename by dict, drop blank / listed headers (every matching position).
 
-    Data are read as strings (no inference); when ``output`` is given the
-    cleaned table is also written there as CSV with a header.
+    Data are read as strings (no inference).  ``multiline`` reads cells that hold line
+    breaks (a file is then not split).  When ``output`` is given the cleaned table is
+    also written there as CSV with a header.
     """
     headers_to_replace = headers_to_replace or {}
-    raw = [h.strip() for h in read_header(spark, path)]
+    raw = [h.strip() for h in read_header(spark, path, multiline=multiline)]
     names = [headers_to_replace.get(h, h) for h in raw]
-    df = spark.read.option("header", True).option("encoding", UTF8).csv(path)
+    df = _csv(spark, multiline).option("header", True).csv(path)
     positional = [f"_p{i}" for i in range(len(df.columns))]
     df = df.toDF(*positional)
     keep = [(p, n) for p, n in zip(positional, names) if n and n not in set(columns_to_drop)]
     out = df.select(*[F.col(p).alias(n) for p, n in keep])
     if output:
-        out.write.mode("overwrite").option("header", True).csv(output)
+        out.write.mode("overwrite").option("header", True).option("escape", '"').csv(output)
     return out
 
 
@@ -51,12 +55,12 @@ def select_all_columns(spark: SparkSession, path: str) -> DataFrame:
 
 
 def combine_files(spark: SparkSession, paths: Sequence[str], column_mapping: Mapping[str, str],
-                  output: str | None = None) -> DataFrame:
+                  output: str | None = None, multiline: bool = False) -> DataFrame:
     """Stack CSV files keeping only mappable columns, renamed; skip unreadable / unmappable files."""
     frames = []
     for p in paths:
         try:
-            df = spark.read.option("header", True).csv(p)
+            df = _csv(spark, multiline).option("header", True).csv(p)
         except Exception:  # noqa: BLE001 - a missing or unreadable file is skipped
             continue
         cols = [c for c in df.columns if c in column_mapping]
@@ -69,7 +73,7 @@ def combine_files(spark: SparkSession, paths: Sequence[str], column_mapping: Map
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     if output:
-        out.write.mode("overwrite").option("header", True).csv(output)
+        out.write.mode("overwrite").option("header", True).option("escape", '"').csv(output)
     return out
 
 

@@ -1,19 +1,24 @@
 """Named intermediate store: parquet tables in the session catalog under a shared root.
 
-Replaces the reference's single-file keyed store: ``save`` overwrites a named
-table (data at ``<root>/<key>``), ``load`` returns it or None, ``list`` and
-``delete`` manage the names.  The root defaults to a folder under the
-cluster's shared checkpoint location, never a machine-local one.
+``save`` writes a key's rows to a new path and then points its table there, so rows
+read from the old version can be saved under the same key; ``load`` returns the table
+or None, ``list`` and ``delete`` manage the keys.  The catalog lower-cases table names,
+so the key itself is kept as a table property.  The root defaults to a folder under
+the cluster's shared checkpoint location, never a machine-local one.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
 
+KEY = "store.key"
+
 
 class TableStore:
     def __init__(self, spark: SparkSession, root: str | None = None, prefix: str = "store_"):
@@ -22,12 +27,16 @@ class TableStore:
         self.prefix = prefix
 
     def _name(self, key: str) -> str:
-        return self.prefix + re.sub(r"[^0-9A-Za-z_]", "_", key)
+        # the digest keeps apart keys that differ in case or in replaced characters only
+        return f"{self.prefix}{re.sub(r'[^0-9A-Za-z_]', '_', key)}_{hashlib.sha256(key.encode()).hexdigest()[:8]}".lower()
 
     def save(self, df: DataFrame, key: str) -> str:
         name = self._name(key)
+        path = f"{self.root}/{name}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        df.write.mode("overwrite").format("parquet").option("path", f"{self.root}/{name}").saveAsTable(name)
+        quoted = key.replace("\\", "\\\\").replace("'", "\\'")
+        self.spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{path}' TBLPROPERTIES ('{KEY}' = '{quoted}')")
         return name
 
     def load(self, key: str) -> DataFrame | None:
@@ -35,8 +44,14 @@ class TableStore:
         return self.spark.table(name) if self.spark.catalog.tableExists(name) else None
 
     def list(self) -> list[str]:
-        return sorted(t.name[len(self.prefix):] for t in self.spark.catalog.listTables()
-                      if t.name.startswith(self.prefix) and not t.isTemporary)
+        tables = [t.name for t in self.spark.catalog.listTables() if t.name.startswith(self.prefix.lower()) and not t.isTemporary]
+        found = [self.spark.sql(f"SHOW TBLPROPERTIES {t}").where(f"key = '{KEY}'").select("value").first() for t in tables]
+        return sorted(r[0] for r in found if r)
 
     def delete(self, key: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self._name(key)}")
+        """Drop the table and delete the files of all its versions under this store's root."""
+        name = self._name(key)
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path.getFileSystem(conf).delete(path, True)

@@ -243,14 +243,59 @@ def test_linear_drivers_invariants(spark):
     assert ols["a"]["ols_coefficient"] > 0.8 and ols["a"]["r2"] > 0.95
 
 
-def test_hot_respondent_pairs_linearly(spark):
-    # one respondent id holding most rows: k-th answer pairs with k-th, not all x all
+def test_duplicate_respondents_are_an_error_row(spark):
+    # one respondent id holding most rows is one small row, and no pairing is made up for it
     data = [(0, "P1", float(i % 10 + 1)) for i in range(600)] + [(0, "P2", float(i % 7 + 1)) for i in range(500)]
-    data += [(i, "P1", 5.0) for i in range(1, 50)] + [(i, "P2", 6.0) for i in range(1, 50)]
+    data += [(i, p, v) for i in range(1, 50) for p, v in (("P1", 5.0), ("P2", 6.0), ("P3", float(i % 9)))]
     df = spark.createDataFrame(data, "customer_id long, product string, q double").repartition(7)
-    w = H.wilcoxon(df, ["q"]).first()
-    assert w["n_pairs"] == 500 + 49
+    w = {(r["name1"], r["name2"]): r for r in H.wilcoxon(df, ["q"]).collect()}
+    assert len(w) == 3 and all(r["statistic"] is None and r["hypothesis_95"] == H.DUPLICATES for r in w.values())
+    m = H.mcnemar(spark.createDataFrame([(1, "A", 0.0), (1, "A", 1.0), (1, "B", 1.0), (1, "B", 0.0)],
+                                        "customer_id long, product string, q double"), ["q"]).first()
+    assert m["status"] == H.DUPLICATES and m["b"] is None and m["p_value"] is None
+
+
+def test_mann_whitney_all_tied_accepts(spark):
+    df = spark.createDataFrame([(i, p, 3.0) for i in range(8) for p in ("A", "B")], "customer_id long, product string, q double")
+    r = H.mann_whitney(df, ["q"]).first()
+    assert r["hypothesis_95"] == r["hypothesis_90"] == H.ACCEPT
+
+
+def test_find_replace_many_values(spark):
+    import time
+    df = spark.createDataFrame([("v7",), ("v199",), ("x",), (None,)], "v string")
+    t = time.time()
+    out = C.find_and_replace(df, ["v"], [([f"v{i}" for i in range(200)], "w"), (["w"], "z")])
+    out.explain()
+    assert time.time() - t < 5
+    assert [r[0] for r in out.collect()] == ["z", "z", "x", None]
+
+
+def test_constant_predictor_is_left_out(spark):
+    df = spark.createDataFrame([("P", float(i % 7), 4.0, float(i % 7 + i % 3)) for i in range(60)]
+                               + [("Q", float(i % 5), float(i % 2), 1.0) for i in range(20)],
+                               "product string, a double, b double, y double")
+    got = D.linear_drivers(df, ["a", "b"], "y").collect()
+    assert [(r["product"], r["variable"]) for r in got] == [("P", "a")] and got[0]["johnson_weight"] == pytest.approx(100.0)
+
+
+def test_labels_stay_unique_when_numbers_meet_names(spark):
+    df = spark.createDataFrame([("foo bar",), ("foo/bar",), ("foo bar_2",), ("\u00a0x",)], "q string")
+    got = [r["sheet"] for r in S.safe_sheet_labels(df, "q").collect()]
+    assert len(set(got)) == 4 and {"foo bar", "foo bar_2", "x"} <= set(got)
+
+
+def test_clean_text_unicode_spaces(spark):
+    df = spark.createDataFrame([("\u00a0a\u3000\u200b b ",)], "t string")
+    assert df.select(S.clean_text("t")).first()[0] == "a b"
+
 
+def test_likert_mapping_of_a_table(spark):
+    likert = spark.createDataFrame([(1, "No"), (5, "Yes"), (7, "Yes")], "level int, label string")
+    df = spark.createDataFrame([(1, " Yes", "No", "k"), (1, "?", None, "k")], "id long, a string, b string, s string")
+    got = C.apply_likert_mapping(df, likert, ["id"], ["s"])
+    assert got.columns == ["id", "a", "b", "s"]
+    assert [tuple(r) for r in got.collect()] == [(1, 5.0, 1.0, "k"), (1, None, None, "k")]
 
 
 def test_column_listing_ordinal(spark):

@@ -74,3 +74,46 @@ def test_store_roundtrip(spark):
     assert "k1" in store.list()
     store.delete("k1")
     assert "k1" not in store.list()
+
+
+def test_csv_quotes_and_line_breaks(spark):
+    p = os.path.join(_tmp(), "raw.csv")
+    with open(p, "w", encoding="utf-8") as f:
+        f.write('id,"a ""q"" name"\n1,"he said ""hi"", ok"\n2,"two\nlines"\n')
+    out = SF.csv_clean(spark, p, multiline=True)
+    assert out.columns == ["id", 'a "q" name']
+    assert [tuple(r) for r in out.orderBy("id").collect()] == [("1", 'he said "hi", ok'), ("2", "two\nlines")]
+    got = SF.combine_files(spark, [p], {'a "q" name': "text"}, multiline=True).collect()
+    assert sorted(r[0] for r in got) == ['he said "hi", ok', "two\nlines"]
+
+
+def test_store_keeps_keys_and_saves_over_itself(spark):
+    store = TableStore(spark, _tmp(), prefix="Own_")
+    store.save(spark.range(3), "a-B")
+    store.save(spark.range(5), "a_B")
+    store.save(store.load("a-B").where("id > 0"), "a-B")
+    assert store.list() == ["a-B", "a_B"]
+    assert store.load("a-B").count() == 2 and store.load("a_B").count() == 5
+    store.delete("a-B")
+    assert store.list() == ["a_B"] and store.load("a-B") is None
+
+
+def test_no_local_scratch_on_a_cluster():
+    import pytest
+
+    from sondage.session import ensure_checkpoint_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Session())
