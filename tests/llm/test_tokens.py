@@ -122,8 +122,9 @@ def test_combinations_use_up_every_piece():
         for a, n in uses:
             used[a] = used.get(a, 0) + times * n
     assert used == counts
-    total = sum(a * n for a, n in counts.items())
-    assert sum(t for t, _ in plan) <= -(-total // 256) + 2 and len(plan) < 2000
+    # no plan does with fewer bins than the tokens fill, or than there are pieces over half a bin
+    bound = max(-(-sum(a * n for a, n in counts.items()) // 256), sum(n for a, n in counts.items() if a > 128))
+    assert bound <= sum(t for t, _ in plan) <= 1.002 * bound and len(plan) < 2000
 
 
 def test_token_shards(spark, rows, tmp_path):
