@@ -30,8 +30,11 @@ BUCKET_ROWS = 400  # pieces of a bucket to aim at
 Combination = tuple[int, list[tuple[int, int]]]  # how often, [(length, how many in a bin)]
 
 
-def fullest(left: dict[int, int], room: int) -> list[tuple[int, int]]:
-    """The lengths (and how many of each) with the largest sum of at most ``room``, longer ones first."""
+def fullest(left: dict[int, int], room: int, slack: int = 0) -> list[tuple[int, int]]:
+    """The lengths (and how many of each) with the largest sum of at most ``room``, longer ones first.
+
+    Shorter lengths are not tried once the longer ones reach a sum within ``slack`` of the room.
+    """
     reach, steps, within = 1, [], (1 << room + 1) - 1
     for length in sorted((x for x in left if 0 < x <= room), reverse=True):
         most, k = min(left[length], room // length), 1
@@ -40,7 +43,7 @@ def fullest(left: dict[int, int], room: int) -> list[tuple[int, int]]:
             steps.append((length, k, reach))
             reach = (reach | reach << k * length) & within
             most, k = most - k, 2 * k
-        if reach >> room & 1:
+        if reach >> max(room - slack, 0):
             break
     total, used = reach.bit_length() - 1, {}
     for length, k, before in reversed(steps):
@@ -51,13 +54,23 @@ def fullest(left: dict[int, int], room: int) -> list[tuple[int, int]]:
 
 
 def combinations(counts: dict[int, int], capacity: int) -> list[Combination]:
-    """Minimum bin slack over a histogram of lengths from 1 to capacity."""
+    """Minimum bin slack over a histogram of lengths from 1 to capacity.
+
+    Filling every bin to the brim uses up the short pieces that later bins would need, so
+    plans that are content with a slack of 0, 1, 2, 4 ... are made, and the one with the
+    fewest bins is taken (of equal ones that of the least slack).
+    """
+    plans = [_combinations(counts, capacity, slack) for slack in (0, *(1 << k for k in range((capacity // 8).bit_length())))]
+    return min(plans, key=lambda plan: sum(times for times, _ in plan))
+
+
+def _combinations(counts: dict[int, int], capacity: int, slack: int) -> list[Combination]:
     left = {length: n for length, n in counts.items() if n}
     out: list[Combination] = []
     while left:
         longest = max(left)
         left[longest] -= 1
-        uses = dict(fullest(left, capacity - longest))
+        uses = dict(fullest(left, capacity - longest, slack))
         left[longest] += 1
         uses[longest] = uses.get(longest, 0) + 1
         times = min(left[length] // n for length, n in uses.items())

@@ -124,7 +124,7 @@ def test_combinations_use_up_every_piece():
     assert used == counts
     # no plan does with fewer bins than the tokens fill, or than there are pieces over half a bin
     bound = max(-(-sum(a * n for a, n in counts.items()) // 256), sum(n for a, n in counts.items() if a > 128))
-    assert bound <= sum(t for t, _ in plan) <= 1.002 * bound and len(plan) < 2000
+    assert bound <= sum(t for t, _ in plan) <= 1.01 * bound and len(plan) < 2000
 
 
 def test_token_shards(spark, rows, tmp_path):
