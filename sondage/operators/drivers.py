@@ -9,7 +9,7 @@ is a p x p computation on that row, done per product inside
 ``applyInPandas`` — the data itself never leaves Spark.
 
 Tree methods use MLlib (RandomForestRegressor, GBTRegressor); permutation
-importance permutes a column within hash buckets (a distributed shuffle)
+importance deals the rows at random once, permutes columns within Arrow batches
 and scores all (feature, repeat) copies in one pass.
 """
 
@@ -19,7 +19,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -260,8 +260,11 @@ def _groups(df: DataFrame, group: str) -> list:
 
 def random_forest_importance(df: DataFrame, predictors: Sequence[str], target: str, threshold: float = 0.3,
                              group: str = "product", num_trees: int = 100, seed: int = 42,
-                             max_depth: int = 12) -> DataFrame:
-    """Impurity importances of a 100-tree random forest (sqrt features), to 100, per group."""
+                             max_depth: int = 30) -> DataFrame:
+    """Impurity importances of a 100-tree random forest (sqrt features), to 100, per group.
+
+    Trees grow to depth 30, the most that MLlib allows.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
@@ -285,14 +288,14 @@ def random_forest_importance(df: DataFrame, predictors: Sequence[str], target: s
 
 def gbt_permutation_importance(df: DataFrame, predictors: Sequence[str], target: str, threshold: float = 0.99,
                                group: str = "product", repeats: int = 5, seed: int = 42,
-                               buckets: int = 64, max_iter: int = 100, rows_per_bucket: int = 500_000) -> DataFrame:
+                               max_iter: int = 100) -> DataFrame:
     """Boosted-tree permutation importance (MSE increase, clipped at 0, to 100) per group.
 
     Threshold > 1 is a percentage.  Null predictors are kept (MLlib trees need
-    numbers, so they become the sentinel 0, below every scale point); all-0/1
-    columns are zero-filled; rows with a NULL target are dropped.  A column is
-    permuted within hash buckets of the row id (windows partitioned by bucket),
-    and every (feature, repeat) copy is scored in one ``transform``.
+    numbers, so they become the sentinel 0, below every scale point); rows with a
+    NULL target are dropped.  Rows are dealt at random once; each Arrow batch then
+    permutes every column ``repeats`` times, and all copies are scored in one
+    ``transform`` and averaged by (feature, repeat).
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
@@ -308,46 +311,39 @@ def gbt_permutation_importance(df: DataFrame, predictors: Sequence[str], target:
             continue
         d = (df.where((F.col(group) == g) & F.col(target).isNotNull())
              .select(*[F.col(c).cast("double") for c in vp], F.col(target).cast("double").alias("_y"))
-             .withColumn("_id", F.monotonically_increasing_id()))
-        # pin the generated row ids: the permutation joins two branches of this frame
-        d = d.fillna(0.0, subset=vp).checkpoint()
-        # permutation windows run per hash bucket: keep each bucket near ``rows_per_bucket``
-        nb = max(buckets, -(-d.count() // rows_per_bucket))
+             .fillna(0.0, subset=vp))
         va = VectorAssembler(inputCols=vp, outputCol="features", handleInvalid="keep")
         model = GBTRegressor(featuresCol="features", labelCol="_y", stepSize=0.1, maxIter=max_iter,
                              minInstancesPerNode=20, maxDepth=5, seed=seed).fit(va.transform(d))
-        base_mse = (model.transform(va.transform(d))
-                    .agg(F.avg(F.pow(F.col("prediction") - F.col("_y"), 2))).first()[0])
-        copies = []
-        for f in vp:
-            for r in range(repeats):
-                b = F.abs(F.xxhash64("_id", F.lit(f), F.lit(r), F.lit(seed))) % nb
-                x = d.withColumn("_b", b)
-                w_pos = Window.partitionBy("_b").orderBy("_id")
-                w_rnd = Window.partitionBy("_b").orderBy(F.xxhash64("_id", F.lit(r), F.lit(seed + 1)), "_id")
-                left = x.withColumn("_k", F.row_number().over(w_pos))
-                right = x.select("_b", F.row_number().over(w_rnd).alias("_k"), F.col(f).alias("_perm"))
-                perm = left.join(right, ["_b", "_k"]).withColumn(f, F.col("_perm")).drop("_perm", "_b", "_k")
-                copies.append(perm.select(*vp, "_y", F.lit(f).alias("_feature"), F.lit(r).alias("_rep")))
-        allc = copies[0]
-        for c in copies[1:]:
-            allc = allc.unionByName(c)
-        scored = model.transform(va.transform(allc))
+
+        def copies(batches, vp=vp):
+            from pyspark import TaskContext
+            part = TaskContext.get().partitionId()
+            for k, pdf in enumerate(batches):
+                yield pdf.assign(_feature=-1, _rep=0)  # as it is
+                for f, name in enumerate(vp):
+                    for r in range(repeats):
+                        order = np.random.default_rng([seed, part, k, f, r]).permutation(len(pdf))
+                        yield pdf.assign(**{name: pdf[name].to_numpy()[order]}, _feature=f, _rep=r)
+
+        fields = ", ".join(f"`{c}` double" for c in [*vp, "_y"])
+        dealt = d.repartition(max(1, spark.sparkContext.defaultParallelism))
+        scored = model.transform(va.transform(dealt.mapInPandas(copies, f"{fields}, _feature int, _rep int")))
         mse = (scored.groupBy("_feature", "_rep").agg(F.avg(F.pow(F.col("prediction") - F.col("_y"), 2)).alias("m"))
                .groupBy("_feature").agg(F.avg("m").alias("m")).collect())
-        imp = {r2["_feature"]: max(r2["m"] - base_mse, 0.0) for r2 in mse}
+        mean = {r["_feature"]: r["m"] for r in mse}
+        imp = {vp[f]: max(m - mean[-1], 0.0) for f, m in mean.items() if f >= 0}
         tot = sum(imp.values())
         rows += [(g, v, 100.0 * imp.get(v, 0.0) / tot if tot > 0 else 0.0) for v in vp]
     return spark.createDataFrame(rows, f"{group} string, variable string, hgb_weight double")
 
 
 def driver_merge(df: DataFrame, predictors: Sequence[str], target: str, threshold: float = 0.3,
-                 group: str = "product", run_trees: bool = True) -> DataFrame:
-    """All methods outer-merged on (group, variable)."""
-    lin = linear_drivers(df, predictors, target, threshold, group).drop("n_rows")
-    out = lin
-    if run_trees:
-        rf = random_forest_importance(df, predictors, target, threshold, group)
-        gb = gbt_permutation_importance(df, predictors, target, threshold, group)
-        out = out.join(rf, [group, "variable"], "full_outer").join(gb, [group, "variable"], "full_outer")
+                 group: str = "product", run_hgb: bool = True) -> DataFrame:
+    """Linear, Johnson, lasso and forest weights (and boosted trees) outer-merged on (group, variable)."""
+    out = linear_drivers(df, predictors, target, threshold, group).drop("n_rows")
+    out = out.join(random_forest_importance(df, predictors, target, threshold, group), [group, "variable"], "full_outer")
+    if run_hgb:
+        hgb = gbt_permutation_importance(df, predictors, target, threshold, group)
+        out = out.join(hgb, [group, "variable"], "full_outer")
     return out

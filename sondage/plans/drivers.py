@@ -103,15 +103,9 @@ def driver_rf(spark, sf):
 
 @query("gbt_importance", views=WIDE)
 def gbt_importance(spark, sf):
-    return D.gbt_permutation_importance(survey_wide(spark, sf), PREDICTORS, TARGET, threshold=0.99,
-                                        repeats=2, max_iter=20)
+    return D.gbt_permutation_importance(survey_wide(spark, sf), PREDICTORS, TARGET, threshold=0.99)
 
 
 @query("driver_merge", views=WIDE)
 def driver_merge(spark, sf):
-    w = survey_wide(spark, sf)
-    lin = D.linear_drivers(w, PREDICTORS, TARGET).drop("n_rows")
-    rf = D.random_forest_importance(w, PREDICTORS, TARGET, num_trees=30)
-    ols = D.ols_signed(w, PREDICTORS, TARGET).select("product", "variable", "ols_coefficient")
-    return lin.join(rf, ["product", "variable"], "full_outer").join(ols, ["product", "variable"], "full_outer") \
-        .orderBy("product", F.desc("linear_weight"))
+    return D.driver_merge(survey_wide(spark, sf), PREDICTORS, TARGET)

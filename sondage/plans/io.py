@@ -138,7 +138,7 @@ def study_run(spark, sf):
     from ..fixtures import STUDY, TARGET
     from .study import run_study
     return run_study(spark, survey_wide(spark, sf), STUDY, TARGET,
-                     abbreviations={"jar_sweet": "Sweetness", "jar_thick": "Thickness"})
+                     abbreviations={"jar_sweet": "Sweetness", "jar_thick": "Thickness"}).drop("path")
 
 
 @query("safe_labels_unique", """

@@ -8,6 +8,9 @@ Spark job over all products, and each result goes to the report sink under
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,21 +18,29 @@ from ..operators import drivers as D
 from ..operators import sensory as E
 from ..operators import stats as H
 from ..operators import summarise as A
+from ..operators.clean import predictor_set
 from ..operators.reshape import dichotomize
 from ..session import scratch_path
 
 
 def run_study(spark: SparkSession, wide: DataFrame, config: dict, target: str, out_root: str | None = None,
-              threshold: float = 0.3, inverted_jar: bool = True, run_trees: bool = False,
-              abbreviations: dict | None = None) -> DataFrame:
-    """Run the study's reports; returns a manifest (table, rows, path)."""
+              threshold: float = 0.3, inverted_jar: bool = True, abbreviations: dict | None = None,
+              ri_remove: Sequence[str] = (), ri_remove_all: Sequence[str] | None = None,
+              hgb: dict | None = None) -> DataFrame:
+    """Run the study's reports; returns a manifest (table, rows, path).
+
+    Drivers are sought among the T2B and 10-point questions: boosted trees, which bear
+    missing answers, without ``ri_remove``; all other methods without ``ri_remove_all``
+    (by default the same), merged into one table.  ``hgb``: options of the boosted trees.
+    """
     out_root = (out_root or scratch_path(spark, "study")).rstrip("/")
     ten, t2b, jar, cata, md = (config.get(k, []) for k in ("TEN", "T2B", "JAR", "CATA", "MD"))
     wide = wide.persist()
     five_ten = [c for c in ten]
     w5 = wide.withColumns({c: F.when(F.col(c).isin([float(i) for i in range(1, 11)]),
                                      F.ceil(F.col(c) / 2).cast("double")).otherwise(F.col(c)) for c in five_ten})
-    preds = [c for c in dict.fromkeys(ten + t2b + jar) if c != target]
+    broad = predictor_set(t2b + ten, target, ri_remove)
+    clean = predictor_set(t2b + ten, target, ri_remove if ri_remove_all is None else ri_remove_all)
     tables = {
         "spearman": E.spearman(w5, ten + t2b + [target]),
         "condition_index": D.condition_index(w5, ten + t2b, threshold),
@@ -40,18 +51,16 @@ def run_study(spark: SparkSession, wide: DataFrame, config: dict, target: str, o
         "likert_counts": A.likert_counts(wide, ten + t2b),
         "crosstab": A.crosstab(wide, config.get("column_pairs_dict", {})) if config.get("column_pairs_dict") else None,
         "cata_counts": A.cata_counts(wide, cata) if cata else None,
-        "cata_penalty": (E.cata_penalty(wide, cata[0], target) if cata else None),
+        "cata_penalty": functools.reduce(DataFrame.unionByName, [E.cata_penalty(wide, c, target) for c in cata]) if cata else None,
         "maxdiff": A.maxdiff(wide, md, group=["product"]) if md else None,
-        "drivers_linear": D.linear_drivers(wide, preds, target, threshold),
-        "ols_signed": D.ols_signed(wide, preds, target),
+        "drivers_hgb": D.gbt_permutation_importance(wide, broad, target, 0.99, **(hgb or {})),
+        "drivers_combined": D.driver_merge(wide, clean, target, threshold, run_hgb=False),
+        "ols_signed": D.ols_signed(wide, clean, target),
         "mann_whitney": H.mann_whitney(wide, ten + t2b),
         "wilcoxon": H.wilcoxon(wide, ten),
         "mcnemar": H.mcnemar(dichotomize(wide, t2b + jar, [4, 5], keep=["customer_id", "product"]), t2b + jar),
         "cata_mcnemar": E.cata_mcnemar(wide, cata) if cata else None,
     }
-    if run_trees:
-        tables["drivers_rf"] = D.random_forest_importance(wide, preds, target, threshold)
-        tables["drivers_hgb"] = D.gbt_permutation_importance(wide, preds, target, 0.99)
     manifest = []
     for name, df in tables.items():
         if df is None:
