@@ -23,6 +23,11 @@ def column_listing(eav: DataFrame) -> list[tuple[int, str, str]]:
     return [(i + 1, f.name, f.dataType.simpleString()) for i, f in enumerate(eav.schema.fields)]
 
 
+def columns_table(eav: DataFrame) -> DataFrame:
+    """``column_listing`` as a table: (ordinal, column_name, data_type)."""
+    return eav.sparkSession.createDataFrame(column_listing(eav), "ordinal int, column_name string, data_type string")
+
+
 def sample_rows(eav: DataFrame, year: int, n: int = 50) -> DataFrame:
     """TOP n rows with a text answer in ``year``; a total order makes it repeatable."""
     return (eav.where(F.col("answer").isNotNull() & (F.col("year") == year))

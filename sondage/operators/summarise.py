@@ -217,14 +217,25 @@ def cata_counts(wide: DataFrame, columns: Sequence[str], group: Sequence[str] =
     return out
 
 
+def _maxdiff_tokens(wide: DataFrame, columns: Sequence[str], group: Sequence[str]) -> DataFrame:
+    lng = wide.select(*group, *[F.col(c).cast("string").alias(c) for c in columns]).unpivot(
+        list(group), list(columns), "question", "cell").where(F.col("cell").isNotNull())
+    return lng.select(*group, "question", F.explode(F.split("cell", ",")).alias("tok"))
+
+
+def maxdiff_malformed(wide: DataFrame, columns: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
+    """(group, question, tokens, malformed): all MaxDiff tokens, and those without a colon, which count nowhere."""
+    toks = _maxdiff_tokens(wide, columns, group)
+    return toks.groupBy(*group, "question").agg(
+        F.count(F.lit(1)).alias("tokens"), F.count_if(~F.col("tok").contains(":")).alias("malformed"))
+
+
 def maxdiff(wide: DataFrame, columns: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """Most (M) / Least (L) counts per attribute over all MaxDiff cells; Net = M - L.
 
-    Tokens without a colon cannot be split and are skipped (counted in ``malformed``).
+    Tokens without a colon cannot be split and are skipped (``maxdiff_malformed`` counts them).
     """
-    lng = wide.select(*group, *[F.col(c).cast("string").alias(c) for c in columns]).unpivot(
-        list(group), list(columns), "question", "cell").where(F.col("cell").isNotNull())
-    toks = lng.select(*group, F.explode(F.split("cell", ",")).alias("tok"))
+    toks = _maxdiff_tokens(wide, columns, group)
     attr, choice = S.rsplit_colon(F.col("tok"))
     toks = toks.select(*group, S.strip_whitespace(attr).alias("attribute"), S.strip_whitespace(choice).alias("choice"))
     agg = (toks.where(F.col("attribute").isNotNull()).groupBy(*group, "attribute")

@@ -1,8 +1,8 @@
 """Open-ended text: spelling normalisation, translation memory, TF-IDF + NMF themes.
 
-* Spelling: exact symmetric-delete candidate generation (every dictionary word
-  within edit distance 2 shares a <=2-deletion key with the query word), a join
-  on those keys, ``levenshtein`` on the candidates, and the best candidate by
+* Spelling: exact candidates by segments (of a dictionary word's three segments two
+  edits leave one untouched, so it occurs in the query word near its place), a join
+  on those keys, of which a word has a bounded number, ``levenshtein`` on the candidates, and the best candidate by
   (distance, -frequency, word).  Only DISTINCT words are corrected; the
   word -> correction map is joined back.
 * Translation: a translation-memory join keyed by (language, text hash).
@@ -38,14 +38,31 @@ WORD_SPLIT = rf"({WORD}+|[^\p{{L}}\p{{N}}_\s]|\s)"
 # ---------------------------------------------------------------------------
 
 
-def _deletes(col: str, max_d: int = 2):
-    """Array of col with up to ``max_d`` characters deleted (including col itself), non-empty."""
-    d1 = (f"transform(sequence(1, char_length({col})), i -> "
-          f"concat(substr({col}, 1, i - 1), substr({col}, i + 1)))")
-    d2 = (f"flatten(transform({d1}, d -> IF(char_length(d) = 0, array(), transform(sequence(1, char_length(d)), "
-          f"j -> concat(substr(d, 1, j - 1), substr(d, j + 1))))))")
-    parts = [f"array({col})", d1] + ([d2] if max_d >= 2 else [])
-    return F.expr(f"filter(array_distinct(concat({', '.join(parts)})), x -> char_length(x) > 0)")
+def _segment(length: str, i: str) -> tuple[str, str]:
+    """(start from 0, size) of the i-th of three segments of a word of ``length``, as SQL."""
+    return f"({i} * ({length} div 3) + least({i}, {length} % 3))", f"({length} div 3 + IF({i} < {length} % 3, 1, 0))"
+
+
+def _own_segments(word: str):
+    """Keys of a dictionary word: its length, and each of its three segments (or that it is short)."""
+    start, size = _segment(f"char_length({word})", "i")
+    return F.expr(f"IF(char_length({word}) < 3, array(concat(char_length({word}), '|')), transform(sequence(0, 2), i ->"
+                  f" concat_ws('|', char_length({word}), i, substr({word}, {start} + 1, {size}))))")
+
+
+def _met_segments(word: str, max_d: int):
+    """Keys of every dictionary word that ``word`` may be within ``max_d`` (at most 2) edits of.
+
+    Of a word's three segments two edits leave one untouched, at most ``max_d`` places off.
+    The keys number at most (2 max_d + 1) lengths x 3 segments x (2 max_d + 1) places,
+    however long the word is.
+    """
+    start, size = _segment("l", "i")
+    at = f"({start} + 1 + s)"
+    return F.expr(f"""array_distinct(filter(flatten(transform(sequence(greatest(char_length({word}) - {max_d}, 1), char_length({word}) + {max_d}), l ->
+        IF(l < 3, array(concat(l, '|')), flatten(transform(sequence(0, 2), i -> transform(sequence(-{max_d}, {max_d}), s ->
+          IF({at} >= 1 AND {at} + {size} - 1 <= char_length({word}), concat_ws('|', l, i, substr({word}, {at}, {size})), NULL))))))),
+        k -> k IS NOT NULL))""")
 
 
 def word_counts(df: DataFrame, column: str, lower: bool = True) -> DataFrame:
@@ -63,8 +80,10 @@ def spelling_corrections(words: DataFrame, dictionary: DataFrame, max_distance:
     dic = dictionary.select(F.col("word").alias("cand"), "freq")
     known = w.join(dic, w["word"] == dic["cand"], "left_semi")
     unknown = w.join(dic, w["word"] == dic["cand"], "left_anti")
-    qk = unknown.select("word", F.explode(_deletes("word", max_distance)).alias("key"))
-    dk = dic.select("cand", "freq", F.explode(_deletes("cand", max_distance)).alias("key"))
+    if max_distance > 2:
+        raise ValueError("words are matched by three segments, which bears two edits at most")
+    qk = unknown.select("word", F.explode(_met_segments("word", max_distance)).alias("key"))
+    dk = dic.where(F.col("cand") != "").select("cand", "freq", F.explode(_own_segments("cand")).alias("key"))
     cands = (qk.join(dk, "key").select("word", "cand", "freq").distinct()
              .withColumn("dist", F.levenshtein("word", "cand", max_distance))
              .where((F.col("dist") >= 0) & (F.col("dist") <= max_distance)))
@@ -87,10 +106,13 @@ def spell_summary(df: DataFrame, columns: Sequence[str], dictionary: DataFrame,
                  .select(F.lower(S.strip_whitespace("item")).alias("item")).where(F.col("item") != ""))
         ic = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
         toks = ic.select("item", F.posexplode(F.regexp_extract_all("item", F.lit(WORD_SPLIT), 1)).alias("pos", "tok"))
-        words = toks.where(F.col("tok").rlike(f"^{WORD}+$")).select(F.col("tok").alias("word"))
-        corr = spelling_corrections(words, dictionary, max_distance)
-        fixed = (toks.join(corr, toks["tok"] == corr["word"], "left")
-                 .select("item", "pos", F.coalesce("corrected", "tok").alias("tok")))
+        is_word = F.col("tok").rlike(f"^{WORD}+$")
+        said = toks.where(is_word)
+        corr = spelling_corrections(said.select(F.col("tok").alias("word")), dictionary, max_distance)
+        # white space and signs, half of all tokens, pass by the join
+        fixed = (said.join(corr, said["tok"] == corr["word"], "left")
+                 .select("item", "pos", F.coalesce("corrected", "tok").alias("tok"))
+                 .unionByName(toks.where(~is_word)))
         rebuilt = fixed.groupBy("item").agg(
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda s: s["tok"]),
                          "").alias("corrected"))

@@ -115,6 +115,28 @@ def store_list(spark, sf):
     return spark.createDataFrame(counted, "key string, rows long")
 
 
+@query("store_load_many", """
+SELECT product AS store_key, COUNT(*) AS rows, SUM(liking) AS liking FROM survey_wide GROUP BY product""", views=WIDE)
+def store_load_many(spark, sf):
+    store = TableStore(spark, prefix="many_")
+    w = survey_wide(spark, sf)
+    keys = [r[0] for r in w.select("product").distinct().collect()]  # one row per product studied
+    for k in keys:
+        store.save(w.where(F.col("product") == k).drop("product"), k)
+    return store.load_many([*keys, "absent"]).groupBy("store_key").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("liking").alias("liking"))
+
+
+@query("likert_map_all", """
+SELECT customer_id, product, email, CAST(t2b_store AS DOUBLE) AS t2b_store, CAST(jar_sweet AS DOUBLE) AS jar_sweet,
+  CASE CAST(ten_taste AS INT) WHEN 1 THEN 1.0 WHEN 2 THEN 2.0 WHEN 3 THEN 3.0 WHEN 4 THEN 4.0 WHEN 5 THEN 5.0
+    WHEN 6 THEN 6.0 WHEN 7 THEN 7.0 WHEN 8 THEN 8.0 WHEN 9 THEN 9.0 WHEN 10 THEN 10.0 END AS ten_taste FROM survey_wide""", views=WIDE)
+def likert_map_all(spark, sf):
+    text = [F.concat(F.lit(" "), F.col(c).cast("int").cast("string")).alias(c) for c in ("t2b_store", "jar_sweet", "ten_taste")]
+    w = survey_wide(spark, sf).select("customer_id", "product", "email", *text)
+    return C.apply_likert_mapping(w, likert_table(spark), ["customer_id", "product"], ["email"])
+
+
 @query("encoding_audit", views=WIDE)
 def encoding_audit(spark, sf):
     root = scratch_path(spark, "encodings")

@@ -196,3 +196,11 @@ SELECT attribute, most, least, net_score, CAST(hm AS DOUBLE) AS most_split, CAST
 FROM m, s""", views=WIDE)
 def maxdiff_quadrant(spark, sf):
     return A.maxdiff_quadrant(A.maxdiff(survey_wide(spark, sf), MD))
+
+
+@query("maxdiff_malformed", """
+WITH t AS (SELECT product, unnest(string_split(maxdiff, ',')) AS tok FROM survey_wide WHERE maxdiff IS NOT NULL)
+SELECT product, 'maxdiff' AS question, COUNT(*) AS tokens, COUNT(CASE WHEN NOT contains(tok, ':') THEN 1 END) AS malformed
+FROM t GROUP BY product""", views=WIDE)
+def maxdiff_malformed(spark, sf):
+    return A.maxdiff_malformed(survey_wide(spark, sf), MD, ["product"])

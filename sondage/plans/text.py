@@ -12,16 +12,17 @@ from .registry import query
 _THEMES: dict = {}
 
 
-def dictionary(spark, sf):
-    """Spelling dictionary: English document words seen at least 5 times."""
-    d = read_table(spark, sf, "documents").where(F.col("lang") == "en")
-    return X.word_counts(d, "text").where(F.col("freq") >= 5)
+MIN_FREQ = 5  # occurrences that make a word of the documents a dictionary word
+
+
+def dictionary(spark, sf, min_freq: int = MIN_FREQ):
+    """Spelling dictionary: document words seen at least ``min_freq`` times."""
+    return X.word_counts(read_table(spark, sf, "documents"), "text").where(F.col("freq") >= min_freq)
 
 
 @query("spell_summary", views=())
 def spell_summary(spark, sf):
-    conv = read_table(spark, sf, "conversations").where(F.col("role") == "user")
-    return X.spell_summary(conv, ["text"], dictionary(spark, sf))
+    return X.spell_summary(read_table(spark, sf, "conversations"), ["text"], dictionary(spark, sf))
 
 
 def memory(spark, sf):

@@ -77,22 +77,17 @@ def combine_files(spark: SparkSession, paths: Sequence[str], column_mapping: Map
     return out
 
 
-def encoding_audit(spark: SparkSession, path_glob: str, sniff_bytes: int = 5000) -> DataFrame:
-    """Guess each file's encoding from its first bytes, as one Spark job over many files.
+def encoding_audit(spark: SparkSession, path_glob: str) -> DataFrame:
+    """Tell each file's encoding from all its bytes, as one Spark job over many files.
 
-    BOMs decide first; otherwise the first ``sniff_bytes`` bytes must be valid
-    UTF-8 (allowing up to 3 bytes cut from the end, since the cut can split a
-    character), else ISO-8859-1.
+    BOMs decide first; otherwise the whole content must be valid UTF-8, else ISO-8859-1.
+    A file is one cell, so it is bounded by what a cell holds (2 GB).
     """
     files = spark.read.format("binaryFile").load(path_glob).select("path", "content")
     hexh = F.hex(F.substring(F.col("content"), 1, 4))
-    valid = F.lit(False)
-    for cut in range(0, 4):
-        size = F.greatest(F.least(F.length("content"), F.lit(sniff_bytes)) - F.lit(cut), F.lit(0))
-        valid = valid | F.is_valid_utf8(F.substring(F.col("content"), F.lit(1), size).cast("string"))
     enc = (F.when(hexh.startswith("EFBBBF"), "UTF-8-SIG")
            .when(hexh.startswith("FFFE") | hexh.startswith("FEFF"), "UTF-16")
-           .when(valid, UTF8).otherwise(LATIN1))
+           .when(F.is_valid_utf8(F.col("content").cast("string")), UTF8).otherwise(LATIN1))
     return files.select("path", F.length("content").alias("n_bytes"), enc.alias("encoding"))
 
 

@@ -9,11 +9,13 @@ the cluster's shared checkpoint location, never a machine-local one.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
@@ -43,6 +45,12 @@ class TableStore:
         name = self._name(key)
         return self.spark.table(name) if self.spark.catalog.tableExists(name) else None
 
+    def load_many(self, keys) -> DataFrame | None:
+        """The rows of all present ``keys`` (by name, missing columns null) with their key in ``store_key``."""
+        found = [(k, self.load(k)) for k in keys]
+        frames = [df.withColumn("store_key", F.lit(k)) for k, df in found if df is not None]
+        return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
+
     def list(self) -> list[str]:
         tables = [t.name for t in self.spark.catalog.listTables() if t.name.startswith(self.prefix.lower()) and not t.isTemporary]
         found = [self.spark.sql(f"SHOW TBLPROPERTIES {t}").where(f"key = '{KEY}'").select("value").first() for t in tables]

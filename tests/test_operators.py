@@ -312,3 +312,9 @@ def test_safe_sheet_labels_unique(spark):
     got = [r["sheet"] for r in S.safe_sheet_labels(df, "q", "_Summary").orderBy("q").collect()]
     assert len(set(got)) == 3 and all(len(x) <= 31 for x in got)
     assert "Short_Summary" in got and any(x.endswith("_2") for x in got)
+
+
+def test_columns_table(spark):
+    from sondage.operators import discovery as Q
+    df = spark.createDataFrame([(1, "a")], "customerid long, attribute string")
+    assert [tuple(r) for r in Q.columns_table(df).collect()] == [(1, "customerid", "bigint"), (2, "attribute", "string")]

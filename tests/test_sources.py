@@ -117,3 +117,19 @@ def test_no_local_scratch_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(Session())
+
+
+def test_encoding_audit_reads_whole_files(spark):
+    d = _tmp()
+    for name, data in {"a.csv": b"plain," * 2000 + "é".encode("latin-1"), "b.csv": ("é" * 6000).encode(),
+                       "c.csv": b"\xef\xbb\xbfx", "d.csv": "x".encode("utf-16")}.items():
+        with open(os.path.join(d, name), "wb") as f:
+            f.write(data)
+    got = {r["path"][-5:]: r["encoding"] for r in SF.encoding_audit(spark, d + "/*.csv").collect()}
+    assert got == {"a.csv": "ISO-8859-1", "b.csv": "UTF-8", "c.csv": "UTF-8-SIG", "d.csv": "UTF-16"}
+
+
+def test_maxdiff_malformed(spark):
+    from sondage.operators import summarise as A
+    df = spark.createDataFrame([("P", "a:M,b"), ("P", "c:L"), ("P", None)], "product string, md string")
+    assert [tuple(r) for r in A.maxdiff_malformed(df, ["md"], ["product"]).collect()] == [("P", "md", 3, 1)]

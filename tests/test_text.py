@@ -95,3 +95,17 @@ def test_translate_service_variant(spark):
     assert got == {1: "hello", 2: "nan", 3: None, 4: "salut"}
     got2 = {r["id"]: r["text_translated"] for r in X.translate_tm(df, "text", "lang", "fr", tm).collect()}
     assert got2 == {1: "bonjour", 2: "nan", 3: "", 4: "salut"}
+
+
+def test_spelling_of_random_words(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choices("abc", k=rnd.randint(1, 9)))
+    dic = {word(): rnd.randint(1, 9) for _ in range(80)}
+    queries = {word() for _ in range(120)} | {"z" * 10_000}
+    exp = {}
+    for q in queries:
+        near = [(d, -f, w) for w, f in dic.items() if abs(len(w) - len(q)) <= 2 and (d := lev(q, w)) <= 2]
+        exp[q] = q if q in dic else min(near)[2] if near else q
+    got = X.spelling_corrections(spark.createDataFrame([(q,) for q in queries], "word string"),
+                                 spark.createDataFrame(list(dic.items()), "word string, freq long"))
+    assert {r["word"]: r["corrected"] for r in got.collect()} == exp
