@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..fixtures import STUDY, TARGET, survey_wide
 from ..operators import reshape as R
 from ..operators import sensory as E
 from .registry import query
-from .sqlgen import unpivot
+from .sqlgen import t_p, unpivot
 
 WIDE = ("survey_wide",)
 JAR = STUDY["JAR"]
@@ -71,22 +73,23 @@ a AS (SELECT product, token, COUNT(CASE WHEN chk = 1 THEN 1 END) AS n_c, COUNT(C
         AVG(CASE WHEN chk = 1 THEN y END) AS m_c, AVG(CASE WHEN chk = 0 THEN y END) AS m_u,
         VAR_SAMP(CASE WHEN chk = 1 THEN y END) AS v_c, VAR_SAMP(CASE WHEN chk = 0 THEN y END) AS v_u
       FROM m GROUP BY product, token)
+SELECT *, round({t_p('t', 'df')}, 6) AS p_value FROM (
 SELECT product, 'cata' AS question, token AS attribute, CAST(n_c AS BIGINT) AS n_checked,
   CAST(n_u AS BIGINT) AS n_not_checked, m_c AS mean_checked, m_u AS mean_not_checked, m_c - m_u AS penalty,
   CASE WHEN n_c > 1 AND n_u > 1 THEN (m_c - m_u) / sqrt(v_c / n_c + v_u / n_u) END AS t,
   CASE WHEN n_c > 1 AND n_u > 1 THEN (v_c / n_c + v_u / n_u) * (v_c / n_c + v_u / n_u)
     / ((v_c / n_c) * (v_c / n_c) / (n_c - 1) + (v_u / n_u) * (v_u / n_u) / (n_u - 1)) END AS df
-FROM a"""
+FROM a) p"""
 
 
 @query("cata_penalty", _cata_penalty_sql(False), views=WIDE)
 def cata_penalty(spark, sf):
-    return E.cata_penalty(survey_wide(spark, sf), "cata", TARGET).drop("p_value")
+    return E.cata_penalty(survey_wide(spark, sf), "cata", TARGET).withColumn("p_value", F.round("p_value", 6))
 
 
 @query("cata_penalty_exact", _cata_penalty_sql(True), views=WIDE)
 def cata_penalty_exact(spark, sf):
-    return E.cata_penalty(survey_wide(spark, sf), "cata", TARGET, mode="exact").drop("p_value")
+    return E.cata_penalty(survey_wide(spark, sf), "cata", TARGET, mode="exact").withColumn("p_value", F.round("p_value", 6))
 
 
 def _jar_sql(inverted: bool) -> str:

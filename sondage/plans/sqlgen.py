@@ -15,3 +15,18 @@ def unpivot(table: str, ids, cols, qname: str = "question", vname: str = "score"
 
 def values_list(vals) -> str:
     return ", ".join("'" + str(v).replace("'", "''") + "'" for v in vals)
+
+
+def normal_p(z: str) -> str:
+    """Two-sided normal p of |z| as SQL without erf: Phi(z) - 1/2 = phi(z) (z + z^3/3 + z^5/(3*5) + ...)."""
+    az = f"abs({z})"
+    term = f"exp((2 * k + 1) * ln(greatest({az}, 1e-300)) - {az} * {az} / 2 - (k + 1) * ln(2.0) - lgamma(k + 1.5) + 0.5 * ln(pi()))"
+    return f"(CASE WHEN {az} > 8 THEN 0.0 ELSE greatest(0.0, 1 - sqrt(2 / pi()) * list_sum([{term} FOR k IN range(0, 300)])) END)"
+
+
+def t_p(t: str, df: str) -> str:
+    """Two-sided Student t p as SQL: 1 - I_x(1/2, df/2) with x = t^2 / (df + t^2), by its series of positive terms."""
+    x = f"greatest({t} * {t} / ({df} + {t} * {t}), 1e-300)"
+    term = (f"exp((k + 0.5) * ln({x}) + {df} / 2 * ln({df} / ({df} + {t} * {t})) + lgamma(k + 0.5 + {df} / 2) - lgamma(k + 1.5)"
+            f" - lgamma({df} / 2))")
+    return f"(CASE WHEN {t} IS NOT NULL THEN greatest(0.0, 1 - list_sum([{term} FOR k IN range(0, 1500)])) END)"

@@ -9,7 +9,7 @@ from ..functions.pvalues import norm_ppf
 from ..operators import reshape as R
 from ..operators import stats as H
 from .registry import query
-from .sqlgen import unpivot
+from .sqlgen import normal_p, unpivot
 
 WIDE = ("survey_wide",)
 MW_Q = ["ten_taste", "ten_aroma", "ten_foam", "t2b_store", "liking"]
@@ -72,7 +72,7 @@ SELECT question, name1, name2, n1, n2, u1 AS u_statistic, delta AS cliffs_delta,
   z_r, abs(z_r) / sqrt(n) AS r,
   CASE WHEN abs(z_r) / sqrt(n) < 0.1 THEN 'negligible' WHEN abs(z_r) / sqrt(n) < 0.3 THEN 'small'
        WHEN abs(z_r) / sqrt(n) < 0.5 THEN 'medium' ELSE 'large' END AS r_z_strength,
-  z_c AS z_corrected,
+  z_c AS z_corrected, round(CASE WHEN z_c <= 0 THEN 1.0 ELSE {normal_p('z_c')} END, 6) AS p_value,
   {_verdict(f'z_c > {Z95!r}')} AS hypothesis_95,
   {_verdict(f'z_c > {Z90!r}')} AS hypothesis_90
 FROM z"""
@@ -81,9 +81,14 @@ FROM z"""
 MW_SQL = _mw_sql(MW_Q)
 
 
+def _rounded(df):
+    """p-values to 6 decimals, as their SQL series are added up to rounding errors."""
+    return df.withColumn("p_value", F.round("p_value", 6))
+
+
 @query("mann_whitney", MW_SQL, views=WIDE)
 def mann_whitney(spark, sf):
-    return H.mann_whitney(survey_wide(spark, sf), MW_Q).drop("p_value")
+    return _rounded(H.mann_whitney(survey_wide(spark, sf), MW_Q))
 
 
 @query("cliffs_delta", f"WITH m AS ({MW_SQL}) SELECT question, name1, name2, cliffs_delta, strength FROM m",
@@ -122,6 +127,7 @@ SELECT question, name1, name2, len1, len2, n_pairs,
   CASE WHEN is22 THEN b END AS b, CASE WHEN is22 THEN c END AS c,
   CASE WHEN is22 AND disc = 0 THEN 0.0 WHEN is22 THEN stat END AS chi2,
   CASE WHEN is22 AND disc > 0 AND disc < 25 THEN 'E' ELSE '' END AS e, status,
+  CASE WHEN status <> 'ok' THEN NULL WHEN disc < 25 THEN p_exact ELSE round({normal_p('sqrt(stat)')}, 4) END AS p_value,
   CASE WHEN status <> 'ok' THEN status WHEN disc < 25 THEN {_verdict('p_exact < 0.05')}
        ELSE {_verdict(f'stat > {c95!r}')} END AS confidence_95,
   CASE WHEN status <> 'ok' THEN status WHEN disc < 25 THEN {_verdict('p_exact < 0.10')}
@@ -131,7 +137,7 @@ FROM s"""
 
 @query("mcnemar", _mcnemar_sql(), views=WIDE)
 def mcnemar(spark, sf):
-    return H.mcnemar(binary_wide(spark, sf), BIN_T4B + BIN_T2B).drop("p_value")
+    return H.mcnemar(binary_wide(spark, sf), BIN_T4B + BIN_T2B)
 
 
 def _wilcoxon_sql(cols):
@@ -162,7 +168,7 @@ z AS (SELECT *, least(w_plus, w_minus) AS statistic,
         (least(w_plus, w_minus) - n * (n + 1) / 4.0) / sqrt((n * (n + 1) * (2 * n + 1) - 0.5 * COALESCE(tie, 0)) / 24.0) AS z
       FROM a WHERE n_pairs > 0)
 SELECT question, name1, name2, CAST(n_pairs AS BIGINT) AS n_pairs, CAST(n AS BIGINT) AS n_nonzero,
-  w_plus, w_minus, statistic, z, (n <= 50 AND COALESCE(max_t, 1) <= 1 AND n_zero = 0) AS exact,
+  w_plus, w_minus, statistic, z, round({normal_p('z')}, 6) AS p_value, (n <= 50 AND COALESCE(max_t, 1) <= 1 AND n_zero = 0) AS exact,
   abs(z) AS z_value, abs(z) / sqrt(n_pairs) AS r,
   CASE WHEN abs(z) / sqrt(n_pairs) > 0.5 THEN 'large' WHEN abs(z) / sqrt(n_pairs) > 0.3 THEN 'moderate'
        WHEN abs(z) / sqrt(n_pairs) >= 0.1 THEN 'small' ELSE 'undetermined' END AS intensity,
@@ -173,7 +179,7 @@ FROM z"""
 
 @query("wilcoxon", _wilcoxon_sql(WX_Q), views=WIDE)
 def wilcoxon(spark, sf):
-    return H.wilcoxon(survey_wide(spark, sf), WX_Q).drop("p_value")
+    return _rounded(H.wilcoxon(survey_wide(spark, sf), WX_Q))
 
 
 def _fisher_sql():
@@ -223,7 +229,12 @@ def pairs(spark, sf):
     return H.product_pairs(survey_wide(spark, sf))
 
 
-@query("stats_batch", views=WIDE)
+@query("stats_batch", f"""
+SELECT question, name1, name2, 'mann_whitney' AS test, u_statistic AS statistic, p_value, hypothesis_95, hypothesis_90 FROM ({MW_SQL}) m
+UNION ALL
+SELECT question, name1, name2, 'mcnemar', chi2, p_value, confidence_95, confidence_90 FROM ({_mcnemar_sql()}) c
+UNION ALL
+SELECT question, name1, name2, 'wilcoxon', statistic, p_value, hypothesis_95, hypothesis_90 FROM ({_wilcoxon_sql(WX_Q)}) w""", views=WIDE)
 def stats_batch(spark, sf):
     """Mann-Whitney and McNemar p-values on the same columns, plus Wilcoxon (one long table)."""
     w = survey_wide(spark, sf)
@@ -235,4 +246,4 @@ def stats_batch(spark, sf):
         "p_value", F.col("confidence_95").alias("hypothesis_95"), F.col("confidence_90").alias("hypothesis_90"))
     wx = H.wilcoxon(w, WX_Q).select("question", "name1", "name2", F.lit("wilcoxon").alias("test"),
                                     "statistic", "p_value", "hypothesis_95", "hypothesis_90")
-    return mw.unionByName(mc).unionByName(wx)
+    return _rounded(mw.unionByName(mc).unionByName(wx))
