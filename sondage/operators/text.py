@@ -10,7 +10,7 @@
   capped at ``max_features`` terms; NMF by multiplicative updates where each
   pass re-solves document weights W per Arrow batch against the broadcast
   topic matrix H (k x V) and emits partial sums of W'X and W'W, which Spark
-  reduces by term before the driver updates H.
+  sums by (term, topic) before the driver updates H, until the error stops falling.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalar as S
 from ..partitioning import balance
+from ..session import scratch_path
 
 # Word characters as Python 3 regexes see them (letters, digits, underscore in any script);
 # Java's plain \w is ASCII-only, so the class is spelled out.
@@ -174,7 +175,7 @@ def tfidf_rows(docs: DataFrame, id_col: str, text_col: str, max_features: int =
     non-word runs); English stop words removed before n-grams; smooth idf
     ln((1+n)/(1+df)) + 1; vocabulary = the ``max_features`` most frequent terms
     with document frequency >= ``min_df``.  The term-frequency table is
-    checkpointed once (it feeds the vocabulary job and the weight job).
+    written once (it feeds the vocabulary job and the weight job).
     """
     spark = docs.sparkSession
     docs = balance(docs, id_col)
@@ -189,7 +190,7 @@ def tfidf_rows(docs: DataFrame, id_col: str, text_col: str, max_features: int =
                                             "slice(t, 2, size(t)), (a, b) -> concat(a, ' ', b)))"))
     tf = (toks.select(id_col, F.explode(grams).alias("term"))
           .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
-    tf = tf.persist()  # reused by the vocabulary and the weight jobs
+    tf = _written(tf, "tfidf-counts")  # read by the vocabulary and the weight jobs
     n_docs = docs.count() if n_docs is None else n_docs
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     top = stats.where(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(max_features).collect()
@@ -206,6 +207,13 @@ def tfidf_rows(docs: DataFrame, id_col: str, text_col: str, max_features: int =
                        F.transform(F.col("s.w"), lambda x: x / F.col("_norm")).alias("val")), vocab
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """Write under the shared scratch folder and read again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _batch_w(rows: pd.DataFrame, H: np.ndarray, inner: int, eps: float = 1e-10):
     """Solve W for a batch of documents given H by multiplicative updates."""
     k, V = H.shape
@@ -222,9 +230,16 @@ def _batch_w(rows: pd.DataFrame, H: np.ndarray, inner: int, eps: float = 1e-10):
     return W, ridx, cidx, vals
 
 
-def nmf(rows: DataFrame, id_col: str, k: int, V: int, outer: int = 40, inner: int = 15, seed: int = 42):
-    """Returns (H as numpy k x V, DataFrame(id, weights array<double>))."""
+def nmf(rows: DataFrame, id_col: str, k: int, V: int, outer: int = 400, inner: int = 15, seed: int = 42,
+        tol: float = 1e-3):
+    """Returns (H as numpy k x V, DataFrame(id, weights array<double>)).
+
+    Passes end when one lowers the error ||X - WH|| by less than ``tol`` of the first
+    pass's error, or after ``outer``.  The error follows from the sums of the pass.
+    """
     spark = rows.sparkSession
+    squares = rows.agg(F.sum(F.aggregate("val", F.lit(0.0), lambda a, x: a + x * x))).first()[0] or 0.0
+    first = last = None
     rng = np.random.RandomState(seed)
     H = np.abs(rng.standard_normal((k, V))) * 0.1 + 1e-3
     for _ in range(outer):
@@ -242,24 +257,25 @@ def nmf(rows: DataFrame, id_col: str, k: int, V: int, outer: int = 40, inner: in
                 num += np.stack([np.bincount(cidx, weights=vals * W[ridx, t], minlength=VV)
                                  for t in range(kk)], axis=1)
                 wtw += W.T @ W
-            touched = np.nonzero(num.any(axis=1))[0]
-            # one row per term touched by this partition, plus row -1 carrying W'W
-            yield pd.DataFrame({"term_idx": np.concatenate([touched, [-1]]).astype(np.int32),
-                                "num": list(num[touched]) + [wtw.ravel()]})
-
-        part = rows.mapInPandas(partials, "term_idx int, num array<double>")
-        lst = F.collect_list("num")
-        red = (part.groupBy("term_idx")
-               .agg(F.aggregate(F.slice(lst, 2, F.size(lst)), F.element_at(lst, 1),
-                                lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b)).alias("num"))
-               .collect())  # at most V rows of k numbers (the factor), plus k*k: not data
-        num = np.zeros((V, k))
-        wtw = np.zeros((k, k))
-        for r in red:
-            if r["term_idx"] < 0:
-                wtw = np.array(r["num"]).reshape(k, k)
-            else:
-                num[r["term_idx"]] = r["num"]
+            t, j = np.nonzero(num)
+            # one row per (term, topic) touched by this partition, and rows -1, -2 .. carrying W'W
+            rows_, cols_ = np.divmod(np.arange(kk * kk), kk)
+            yield pd.DataFrame({"term_idx": np.concatenate([t, -1 - rows_]).astype(np.int32),
+                                "topic": np.concatenate([j, cols_]).astype(np.int32),
+                                "v": np.concatenate([num[t, j], wtw.ravel()])})
+
+        part = rows.mapInPandas(partials, "term_idx int, topic int, v double")
+        red = part.groupBy("term_idx", "topic").agg(F.sum("v").alias("v")).toPandas()  # (V + k) x k numbers at most
+        num, wtw = np.zeros((V, k)), np.zeros((k, k))
+        t, j, v = (red[c].to_numpy() for c in ("term_idx", "topic", "v"))
+        num[t[t >= 0], j[t >= 0]] = v[t >= 0]
+        wtw[-1 - t[t < 0], j[t < 0]] = v[t < 0]
+        error = math.sqrt(max(0.0, squares - 2 * float((H * num.T).sum()) + float((wtw * (H @ H.T)).sum())))
+        first = error if first is None else first
+        if last is not None and last - error < tol * first:
+            Hb.unpersist()
+            break
+        last = error
         H = H * num.T / (wtw @ H + 1e-10)
         Hb.unpersist()
     Hb = spark.sparkContext.broadcast(H)
@@ -277,7 +293,7 @@ def nmf(rows: DataFrame, id_col: str, k: int, V: int, outer: int = 40, inner: in
 
 def themes(df: DataFrame, id_col: str, text_col: str, n_topics: int | None = None, max_features: int = 5000,
            top_terms: int = 8, exemplars: int = 3, min_df: int = 2, assign_threshold: float = 0.35,
-           seed: int = 42, outer: int = 40, inner: int = 15, column_label: str | None = None) -> dict:
+           seed: int = 42, outer: int = 400, inner: int = 15, column_label: str | None = None) -> dict:
     """Theme discovery for one open-ended column.
 
     Returns DataFrames: ``themes`` (theme, label, top_terms, count, pct, pct_1dp),
@@ -297,8 +313,7 @@ def themes(df: DataFrame, id_col: str, text_col: str, n_topics: int | None = Non
         empty = spark.createDataFrame([], "theme int, label string, top_terms string, count long, pct double")
         return {"themes": empty, "assignments": None, "exemplars": None, "k": 0}
     k = min(k, n, len(vocab))
-    rows = rows.persist()  # read once per NMF pass
-    rows.count()
+    rows = _written(rows, "tfidf-rows")  # read once per NMF pass
     H, W = nmf(rows, id_col, k, len(vocab), outer, inner, seed)
     terms = [[vocab[j] for j in np.argsort(-H[t], kind="stable")[:top_terms]] for t in range(k)]
     labels = [f"Theme {t + 1}: " + ", ".join(terms[t][:3]) for t in range(k)]

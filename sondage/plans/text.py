@@ -9,9 +9,6 @@ from ..functions.scalar import PY_WHITESPACE as WS
 from ..operators import text as X
 from .registry import query
 
-_THEMES: dict = {}
-
-
 MIN_FREQ = 5  # occurrences that make a word of the documents a dictionary word
 
 
@@ -57,11 +54,8 @@ def translate_tm_api(spark, sf):
 
 
 def _themes(spark, sf):
-    key = (id(spark), sf)
-    if key not in _THEMES:
-        docs = read_table(spark, sf, "documents").select("doc_id", "text")
-        _THEMES[key] = X.themes(docs, "doc_id", "text", column_label="documents.text", outer=20, inner=15)
-    return _THEMES[key]
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return X.themes(docs, "doc_id", "text", column_label="documents.text")
 
 
 @query("themes", views=())
@@ -77,3 +71,8 @@ def theme_assign(spark, sf):
 @query("theme_summary", views=())
 def theme_summary(spark, sf):
     return _themes(spark, sf)["exemplars"]
+
+
+@query("theme_dictionary", views=())
+def theme_dictionary(spark, sf):
+    return _themes(spark, sf)["dictionary"]

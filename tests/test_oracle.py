@@ -11,7 +11,7 @@ from .conftest import SF_SMALL
 LLM_QUERIES = set(E.LLM_QUERIES)  # tested in tests/llm
 ORACLES = {k: v for k, v in E.oracle_sql().items() if k not in LLM_QUERIES}
 KEYS = sorted(k for k in E.queries() if k not in LLM_QUERIES)
-HEAVY = {"gbt_importance", "driver_merge", "driver_rf", "themes", "theme_assign", "theme_summary",
+HEAVY = {"gbt_importance", "driver_merge", "driver_rf", "themes", "theme_assign", "theme_summary", "theme_dictionary",
          "study_run"}  # tests/test_study.py runs its parts; the trees take minutes
 
 
