@@ -1,27 +1,35 @@
 """Token ids of whole texts, equal to those of the ``tokenizers`` library for a file.
 
-The library merges every occurrence of a word anew and is several times too slow for a
-corpus, so it takes only the texts outside of the rules below; tests hold all against it.
-
-ByteBpe   byte-level files without normalizer: texts of plain Latin characters without
-          special strings go to ``tiktoken``, built from the vocabulary of the same file.
-WordBpe   files that drop white space and mark word ends: texts are cut at white space, the
-          ids of each distinct word are kept, and new words are merged together as arrays;
-          in each round every word merges its pair of least rank, leftmost first.
+The library is several times too slow for a corpus, so it takes only the texts outside of
+the rules below (special strings, other scripts).  Plain Latin texts go to ``tiktoken``,
+built from the vocabulary and merges of the same file.
+
+The library merges listed pairs; tiktoken merges neighbours whose joined bytes are a token.
+The two agree if every token is what its own bytes are merged to: until a token's rank,
+nothing outside of its span has touched the span, so it holds the listed pair or none.
+Tokens that their own bytes don't give (the library is asked) are never made and left out.
+
+ByteBpe   byte-level files without normalizer
+WordBpe   files that drop white space, lower-case, and mark word ends: a byte that plain
+          texts don't hold stands for the mark, put after every piece of the text
 """
 
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 
 import numpy as np
 import regex
 import tiktoken
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models
 
-KEPT = 800_000  # distinct parts whose ids are kept at a time
-WIDTH = 40  # bytes of a piece that is merged as arrays
-NONE = np.int32(2**31 - 1)
+END = "\x01"  # stands for the mark of a word's end
+# Latin letters (composed, and such as lower-case to one letter), common signs, plain white space
+PLAIN = regex.compile(r"[\t-\r -~¡-¬®-įı-ɏ‐-‧€]*")
+SIGNS = "".join(chr(c) for c in (*range(0x21, 0x250), *range(0x2010, 0x2028), 0x20AC)
+                if PLAIN.fullmatch(chr(c)) and unicodedata.category(chr(c))[0] != "L")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -31,170 +39,93 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Merges:
-    """Merges pieces (byte strings) to ids, many at a time."""
-
-    def __init__(self, model: dict):
-        vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
-        letters = _byte_letters()
-        self.first = np.zeros(256, np.int32)
-        self.last = np.zeros(256, np.int32)
-        for letter, byte in letters.items():
-            self.first[byte] = vocab[letter]
-            self.last[byte] = vocab[letter + suffix]
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        keys = np.array([vocab[a] << 17 | vocab[b] for a, b in pairs], np.int64)
-        new = np.array([vocab[a + b] for a, b in pairs], np.int32)
-        _, once = np.unique(keys, return_index=True)  # of a repeated pair the first counts
-        size = 1 << 19
-        self.mask = size - 1
-        self.keys = np.full(size, -1, np.int64)
-        self.rank = np.full(size, NONE, np.int32)
-        self.new = new
-        self.probes = 1
-        for r in np.sort(once).tolist():
-            at, n = int(self._at(keys[r:r + 1])[0]), 1
-            while self.keys[at] != -1:
-                at, n = (at + 1) & self.mask, n + 1
-            self.keys[at], self.rank[at] = keys[r], r
-            self.probes = max(self.probes, n)
-
-    def _at(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) & self.mask
-
-    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        keys = a.astype(np.int64) << 17 | b
-        at = self._at(keys)
-        out = np.where(self.keys[at] == keys, self.rank[at], NONE)
-        for _ in range(self.probes - 1):
-            at = (at + 1) & self.mask
-            out = np.where(self.keys[at] == keys, self.rank[at], out)
-        return out
-
-    def apply(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of each piece (little-endian, 32 bits); none may be empty or longer than WIDTH."""
-        out: list = [None] * len(pieces)
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        order = np.argsort(sizes, kind="stable")
-        for part in np.split(order, range(4096, len(order), 4096)):
-            if not len(part):
-                continue
-            n, width = sizes[part], int(sizes[part[-1]])
-            joined = b"".join([pieces[i].ljust(width, b"\0") for i in part.tolist()])
-            raw = np.frombuffer(joined, np.uint8).reshape(len(part), width)
-            sym = self.first[raw]
-            rows = np.arange(len(part))
-            sym[rows, n - 1] = self.last[raw[rows, n - 1]]
-            n = n.copy()
-            columns = np.arange(width)
-            live = rows[n > 1]
-            while len(live):
-                w = int(n[live].max())
-                s = sym[live, :w]
-                rank = self.ranks(s[:, :-1], s[:, 1:])
-                rank[columns[None, 1:w] >= n[live][:, None]] = NONE
-                at = rank.argmin(axis=1)
-                best = rank[np.arange(len(live)), at]
-                go = best != NONE
-                live, at, best, s = live[go], at[go], best[go], s[go]
-                moved = np.concatenate((s[:, 1:], s[:, -1:]), axis=1)
-                s = np.where(columns[None, :w] > at[:, None], moved, s)
-                s[np.arange(len(live)), at] = self.new[best]
-                sym[live, :w] = s
-                n[live] -= 1
-                live = live[n[live] > 1]
-            ids, at = sym.astype("<u4").tobytes(), range(0, 4 * width * len(part), 4 * width)
-            for i, a, b in zip(part.tolist(), at, (4 * (n + width * rows)).tolist(), strict=True):
-                out[i] = ids[a:b]
-        return out
-
-
-# Latin letters (composed, and such as lower-case to one letter), common signs, plain white space
-PLAIN = regex.compile(r"[\t-\r -~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f\u2010-\u2027\u20ac]*")
-
-
 class _File:
+    pattern = ""
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            self.spec = json.load(f)
+            spec = json.load(f)
         self.library = Tokenizer.from_file(path)
-        self.special = [t["content"] for t in self.spec["added_tokens"]]
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        model, letters = spec["model"], _byte_letters()
+        vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
+
+        def named(token: str) -> str:
+            return token.removesuffix(suffix) + END if suffix and token.endswith(suffix) else token
+
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        # in order of rank: bytes, bytes with the mark, merges
+        made = [(None, c) for c in sorted(letters, key=letters.get)]
+        made += [((c, END), c + suffix) for c in sorted(letters, key=letters.get)] * bool(suffix)
+        made += [((named(a), named(b)), a + b) for a, b in merges]
+        names = dict.fromkeys([named(t) for _, t in made] + [END])
+        own = models.BPE(vocab={t: i for i, t in enumerate(names)}, merges=[pair for pair, _ in made if pair])
+        ranks: dict[bytes, int] = {}
+        self.ids = np.full(len(made), -1, np.int64)
+        for rank, (pair, token) in enumerate(made):
+            name = named(token)
+            if pair is None or [t.value for t in own.tokenize(name)] == [name]:
+                data = bytes(1 if c == END else letters[c] for c in name)
+                if ranks.setdefault(data, rank) == rank:
+                    self.ids[rank] = vocab[token]
+        if suffix:
+            self.ids[1] = -1  # a mark without a piece
+        self.same = bool((self.ids == np.arange(len(made))).all())
+        self.fast = tiktoken.Encoding("file", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
 
     def by_library(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def is_plain(self, text: str) -> bool:
-        return PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
-
-
-class ByteBpe(_File):
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-    def __init__(self, path: str):
-        super().__init__(path)
-        letters = _byte_letters()
-        special = set(self.special)
-        ranks = {bytes(letters[c] for c in token): id_ for token, id_ in self.spec["model"]["vocab"].items() if token not in special}
-        self.fast = tiktoken.Encoding("file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    def marked(self, text: str) -> str:
+        return text
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        return [self.fast.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes() if self.is_plain(t)
-                else self.by_library(t) for t in texts]
+        out = []
+        for t in texts:
+            if PLAIN.fullmatch(t) is None or any(s in t for s in self.special):
+                out.append(self.by_library(t))
+            else:
+                ids = self.fast.encode_to_numpy(self.marked(t), disallowed_special=())
+                if not self.same:
+                    ids = self.ids[ids]
+                    ids = ids[ids >= 0]
+                out.append(ids.astype("<u4").tobytes())
+        return out
+
+
+class ByteBpe(_File):
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class WordBpe(_File):
-    PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\n")
+    pattern = f"[^{END}]+{END}|{END}"
+    pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    signs = re.compile(f"[{re.escape(SIGNS)}]+")
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.merges = Merges(self.spec["model"])
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        """The ids of new plain words, none of which holds white space."""
-        pieces = self.PIECES.findall("\n".join(words).lower())
-        distinct = [p for p in dict.fromkeys(pieces) if p != "\n"]
-        raw = [p.encode() for p in distinct]
-        short = [i for i, p in enumerate(raw) if len(p) <= WIDTH]
-        ids = dict.fromkeys(distinct)
-        for i, x in zip(short, self.merges.apply([raw[i] for i in short]), strict=True):
-            ids[distinct[i]] = x
-        known, at = self.known, 0
-        pieces.append("\n")
-        for word in words:
-            end = pieces.index("\n", at)
-            if end == at + 1:
-                found = ids[pieces[at]]
-                known[word] = self.by_library(word) if found is None else found
-            else:
-                parts = [ids[p] for p in pieces[at:end]]
-                known[word] = self.by_library(word) if None in parts else b"".join(parts)
-            at = end + 1
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > KEPT:
-            self.known = {}
-        get, cuts = self.known.get, []
-        for t in texts:
-            if self.is_plain(t):
-                for c in "\n\t\r\x0b\x0c":
-                    if c in t:
-                        t = t.replace(c, " ")
-                cuts.append(t.split(" "))
-            else:
-                cuts.append(None)
-        out: list = [None if c is None else list(map(get, c)) for c in cuts]
-        open_ = [i for i, ids in enumerate(out) if ids is not None and None in ids]
-        new: dict[str, None] = {}
-        for i in open_:
-            new.update(dict.fromkeys([w for w, ids in zip(cuts[i], out[i], strict=True) if ids is None]))
-        if new:
-            self._learn(list(new))
-        for i in open_:
-            out[i] = map(self.known.__getitem__, cuts[i])
-        return [self.by_library(t) if ids is None else b"".join(ids) for t, ids in zip(texts, out, strict=True)]
+        self.known: dict[str, str] = {}
+
+    def _signs(self, m: re.Match) -> str:
+        run = m.group()
+        if run not in self.known:
+            if len(run) > 16:
+                return END + END.join(self.pieces.findall(run)) + END
+            if len(self.known) > 100_000:
+                self.known = {}
+            self.known[run] = END + END.join(self.pieces.findall(run)) + END
+        return self.known[run]
+
+    def marked(self, text: str) -> str:
+        """The text with a mark after every piece, and some more marks, which give no ids."""
+        text = text.lower()
+        if "'" in text:  # an apostrophe's piece may hold the letters after it
+            return END.join([*self.pieces.findall(text), ""])
+        text = self.signs.sub(self._signs, text)
+        for c in " \n\t\r\x0b\x0c":
+            text = text.replace(c, END)
+        return text + END
 
 
 _LOADED: dict[str, _File] = {}
