@@ -32,6 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,14 +124,27 @@ PIECE = pa.schema([("id", pa.int64()), ("sha", pa.binary()), ("start", pa.int64(
                    ("digest", pa.binary()), ("words", pa.binary()), ("hashes", pa.list_(pa.int64()))])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> (id, sha, body): the words joined by one space, compressed for the shuffle."""
+    for b in batches:
+        joined = [b" ".join((t or b"").split()) for t in b.column(1).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), pa.array([hashlib.sha256(j).digest() for j in joined], pa.binary()),
+             pa.array([zstandard.compress(j) for j in joined], pa.binary())], names=["id", "sha", "body"])
+
+
+def _unpacked(body: bytes) -> bytes:
+    return zstandard.decompress(body)
+
+
 def _pieces(window: int):
-    """(id, sha, text, shared minimizers) -> one row per run of windows with one shared minimizer."""
+    """(id, sha, body, shared minimizers) -> one row per run of windows with one shared minimizer."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            for id_, sha, text, shared in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words = text.split()
-                joined = b" ".join(words)
+            for id_, sha, body, shared in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                joined = _unpacked(body)
+                words = joined.split(b" ")
                 runs, wins = _run_hashes(joined, (K, window))
                 m = _minimizers(runs, window)
                 wanted = np.isin(m, np.array(shared, np.int64).view(np.uint64))
@@ -243,15 +257,15 @@ def _match(window: int):
 
 
 def _cut(window: int):
-    """(id, sha, text, starts and lengths of runs of repeated windows) -> what is kept."""
+    """(id, sha, body, starts and lengths of runs of repeated windows) -> what is kept."""
     schema = pa.schema([("id", pa.int64()), ("sha", pa.binary()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()),
                         ("kept_text", pa.string()), ("spans", pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for id_, sha, text, runs in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words = text.split()
+            for id_, sha, body, runs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words = _unpacked(body).split(b" ")
                 change = np.zeros(len(words) + 1, np.int64)
                 np.add.at(change, [r["at"] for r in runs], 1)
                 np.add.at(change, [r["at"] + r["n"] + window - 1 for r in runs], -1)
@@ -285,21 +299,26 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     marks = firsts.select("id", "sha", F.explode("marks").alias("mark"))
     shared = marks.groupBy("mark").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("mark")
     wanted = marks.join(shared, "mark").groupBy("id", "sha").agg(F.collect_list("mark").alias("shared"))
-    same_text = F.sha2(F.array_join(F.array_remove(F.split(F.translate("text", "\t\n\x0b\x0c\r", " " * 5), " "), ""), " "), 256)
-    texts = written(src.join(wanted, "id").where(F.unhex(same_text) == F.col("sha")).dropDuplicates(["id", "sha"])
-                    .select("id", "sha", F.encode("text", "UTF-8").alias("text"), "shared"), "substring-texts")
+    packed = src.mapInArrow(_packed, "id long, sha binary, body binary")
+    texts = written(packed.join(wanted, ["id", "sha"]).dropDuplicates(["id", "sha"]), "substring-texts")
 
-    pieces = written(texts.mapInArrow(_pieces(window), "id long, sha binary, start long, mark long, digest binary,"
+    pieces = written(texts.select("id", "sha", "body", "shared").mapInArrow(_pieces(window), "id long, sha binary, start long, mark long, digest binary,"
                                       " words binary, hashes array<long>"), "substring-pieces")
     distinct = written(pieces.groupBy("mark", "digest").agg(
         F.min("id").alias("first_doc"), F.max("id").alias("last_doc"), F.first("words").alias("words"),
         F.first("hashes").alias("hashes")), "substring-distinct")
     windows = distinct.select("mark", "digest", "first_doc", "last_doc", F.posexplode("hashes").alias("place", "hash"))
-    repeated = windows.groupBy("hash").agg(F.min("first_doc").alias("a"), F.max("last_doc").alias("b")).where("a < b").select("hash")
-    places = windows.join(repeated, "hash").groupBy("mark", "digest").agg(F.collect_list("place").alias("places"))
-    trimmed = written(distinct.join(places, ["mark", "digest"]).select("digest", "mark", "words", "first_doc", "places")
-                      .mapInArrow(_trim(window), "digest binary, at long, mark long, trimmed binary, words binary, n long,"
-                                  " first_doc long"), "substring-trimmed")
+    # written: joined with plain exchanges on both sides, of which a hot hash can be split
+    repeated = written(windows.groupBy("hash").agg(F.min("first_doc").alias("a"), F.max("last_doc").alias("b"))
+                       .where("a < b").select("hash"), "substring-hashes")
+    # of a piece that several documents have, every window is repeated
+    many = distinct.where("first_doc < last_doc").withColumn("places", F.expr("transform(hashes, (h, i) -> i)"))
+    places = (windows.where("first_doc = last_doc").join(repeated, "hash").groupBy("mark", "digest")
+              .agg(F.collect_list("place").alias("places")))
+    few = distinct.join(places, ["mark", "digest"])
+    names = ["digest", "mark", "words", "first_doc", "places"]
+    trimmed = written(many.select(names).unionByName(few.select(names)).mapInArrow(
+        _trim(window), "digest binary, at long, mark long, trimmed binary, words binary, n long, first_doc long"), "substring-trimmed")
 
     classes = trimmed.groupBy("mark", "trimmed").agg(F.min("first_doc").alias("first_doc"), F.first("words").alias("words"),
                                                      F.first("n").alias("n"))
@@ -316,7 +335,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     hits = pieces.select("id", "sha", "start", "mark", "digest").join(found, ["mark", "digest"]).where("first_doc < id")
     runs = hits.groupBy("id", "sha").agg(F.collect_list(F.struct(
         (F.col("start") + F.col("at")).alias("at"), F.col("n_win").alias("n"))).alias("runs"))
-    cut = texts.select("id", "sha", "text").join(runs, ["id", "sha"]).mapInArrow(
+    cut = texts.select("id", "sha", "body").join(runs, ["id", "sha"]).mapInArrow(
         _cut(window), "id long, sha binary, n_removed long, kept_sha256 string, kept_text string,"
         " spans array<struct<at:long,n:long>>")
     # written, so that the joins below meet plain exchanges, whose hot keys can be split
