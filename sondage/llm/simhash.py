@@ -32,7 +32,7 @@ from .components import components
 LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 BLOCK = 1 << 16  # shingles hashed at a time
 SAMPLE_ROWS = 1 << 14  # fingerprints that shape the shards; they only balance the work
-SHARD_POINTS = 1 << 14  # points of a shard to aim at
+SHARD_POINTS = 1 << 15  # points of a shard to aim at: larger ones get fewer visitors in all
 LEAF = 96  # points of a node that is compared bit by bit
 
 
