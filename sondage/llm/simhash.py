@@ -226,7 +226,8 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: s
     """
     fps = written(fingerprints(docs, shingle, id_col, text_col), "simhash-fingerprints")
     least = written(fps.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    roots = components(near_links(least.select("fp"), radius))
+    links = written(near_links(least.select("fp"), radius), "simhash-links")  # read twice below
+    roots = components(links)
     rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     named = written(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
