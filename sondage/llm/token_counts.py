@@ -37,8 +37,8 @@ from .bpe import _byte_letters
 from .common import shuffle_partitions
 
 CHUNK_CHARS = 1 << 15
-KEPT = 300_000  # stretches whose count is kept at a time
-STATES = 150_000  # compiled states that are kept at a time
+KEPT = 600_000  # stretches and pieces whose count is kept at a time
+STATES = 200_000  # compiled states that are kept at a time
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 ENDINGS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 # what lies between synchronizing places: white space after something else starts a new stretch
@@ -103,14 +103,14 @@ class Compiled:
         # tokens that the merges never leave whole are none
         self.tokens = {t for t in self.tokens if t not in self.parts or self.beside(*self.parts[t][:2], self.parts[t][2])}
         self.pairs = {}
+        self.counts: dict[str, int] = {}  # of stretches and of pieces, which are stretches too
         self.reset()
 
     def reset(self) -> None:
+        """Forget the states (they are compiled anew when met again)."""
         self.states: dict[tuple, int] = {}
         self.keys: list[tuple] = []
-        self.steps: list[dict[int, tuple[int, int]]] = []
-        self.counts: dict[str, int] = {}  # of stretches
-        self.pieces: dict[str, int] = {}
+        self.steps: dict[int, tuple[int, int]] = {}  # by state and byte
         self.start = self._state((b"", (None,), (0,)))
 
     def _edge(self, token: bytes, right: bool) -> list[tuple[bytes, int, float]]:
@@ -145,7 +145,6 @@ class Compiled:
         if key not in self.states:
             self.states[key] = len(self.keys)
             self.keys.append(key)
-            self.steps.append({})
         return self.states[key]
 
     def _step(self, state: int, byte: int) -> tuple[int, int]:
@@ -168,15 +167,16 @@ class Compiled:
         base, keep = count[-1], [k == n or text[k:] in self.prefixes for k in range(i, n + 1)]
         made = self._state((text[i:], tuple([x if k else None for x, k in zip(last[i:], keep, strict=True)]),
                             tuple([c - base if k else None for c, k in zip(count[i:], keep, strict=True)])))
-        self.steps[state][byte] = made, emitted
+        self.steps[state << 8 | byte] = made, emitted
         return made, emitted
 
     def piece(self, data: bytes) -> int:
         """Tokens of a piece: the sum of what the transitions emit."""
-        state, n, steps = self.start, 0, self.steps
+        if len(self.keys) > STATES:
+            self.reset()
+        state, n, get = self.start, 0, self.steps.get
         for byte in data:
-            step = steps[state].get(byte)
-            state, emitted = step or self._step(state, byte)
+            state, emitted = get(state << 8 | byte) or self._step(state, byte)
             n += emitted
         return n
 
@@ -186,7 +186,7 @@ class Compiled:
             if s in text:
                 a, b = text.split(s, 1)
                 return self.count(a) + 1 + self.count(b)
-        total, known = 0, self.pieces
+        total, known = 0, self.counts
         for p in pieces(text):
             n = known.get(p)
             if n is None:
@@ -198,12 +198,11 @@ class Compiled:
 
     def total(self, stretches: list[str]) -> int:
         """Tokens of stretches between synchronizing places, each distinct one counted once."""
+        if len(self.counts) > KEPT:
+            self.counts = {}
         known = self.counts
         out = list(map(known.get, stretches))
         if None in out:
-            if max(len(known), len(self.pieces)) > KEPT or len(self.keys) > STATES:
-                self.reset()
-                known, out = self.counts, [None] * len(stretches)
             for i, n in enumerate(out):
                 if n is None:
                     s = stretches[i]
