@@ -36,25 +36,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the one with the smallest id.
+    """One row of each SimHash group stays: of those with the smallest id the one with the least text hash.
 
-    Of rows repeating that id the one with the least text hash stays.  A row without an id
-    goes if its group has one with an id, and stays otherwise (once per text).
+    A row without an id stays only if nothing with an id is in its group.
     """
     prepare(spark)
     d = _hashed(docs)
-    groups = simhash.simhash_groups(d, shingle=4, radius=4)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    least = d.groupBy("doc_id").agg(F.min("text_hash").alias("least"))
-    named = least.where("doc_id IS NOT NULL").join(stay, "doc_id").select("doc_id", F.col("least").alias("text_hash"))
-    # rows without an id have a group of their own only if nothing with an id is near
-    nameless = groups.where("doc_id IS NULL AND component_id IS NULL").limit(1).count() > 0
-    if nameless:
-        lone = simhash.fingerprints(d.where("doc_id IS NULL")).select("fp").distinct()
-        lone = lone.join(groups.where("component_id IS NULL").select("fp").distinct(), "fp")
-        texts = d.where("doc_id IS NULL").select("text", "text_hash")
-        keyed = simhash.fingerprints(texts.withColumn("doc_id", F.col("text_hash"))).withColumnRenamed("id", "text_hash")
-        named = named.unionByName(keyed.join(lone, "fp").select(F.lit(None).cast("long").alias("doc_id"), "text_hash").distinct())
+    groups = simhash.simhash_groups(d, shingle=4, radius=4, also=("text_hash",), rooted=True)
+    # by root, as groups that hold the same id have the same component_id
+    named = (groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id")
+             .agg(F.min("text_hash").alias("text_hash")).select("doc_id", "text_hash"))
     kept = d.alias("d").join(named.alias("k"), _same("d", "k"), "left_semi")
     return kept.dropDuplicates(["doc_id", "text_hash"]).select(*COLUMNS)
 

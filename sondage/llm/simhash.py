@@ -56,13 +56,16 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(starts)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) per row; fp is the unsigned fingerprint as a signed long.  A null text has none, hence 0."""
+def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text",
+                 also: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp, *also) per row; fp is the unsigned fingerprint as a signed long.  A null text has none, hence 0."""
+    schema = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in also)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t or b"", shingle) for t in b.column(1).cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "id long, fp long")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], names=["id", "fp", *also])
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col), *also).mapInArrow(run, "id long, fp long" + schema)
 
 
 def distance(a, b) -> np.ndarray:
@@ -216,20 +219,22 @@ def near_links(points: DataFrame, radius: int) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id) per row of ``docs``.
+                   text_col: str = "text", also: tuple[str, ...] = (), rooted: bool = False) -> DataFrame:
+    """(id, *also, fp, component_id) per row of ``docs``; with ``rooted`` root, too.
 
     component_id: the smallest id reachable over links of at most ``radius`` differing
     bits, the row's own id included.  A null or blank text has fingerprint 0 and is
     linked like any other; rows with equal ids are rows of their own; a null id names no
     component, so only rows that reach no id get a null.  An empty table gives none.
+    root, a fingerprint of the component, tells components apart that share an id.
     """
-    fps = written(fingerprints(docs, shingle, id_col, text_col), "simhash-fingerprints")
+    fps = written(fingerprints(docs, shingle, id_col, text_col, also), "simhash-fingerprints")
     least = written(fps.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
     links = written(near_links(least.select("fp"), radius), "simhash-links")  # read twice below
     roots = components(links)
-    rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+    joined = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = written(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
-                    .select("fp", "component_id"), "simhash-components")
-    return fps.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    last = ["component_id", "root"] if rooted else ["component_id"]
+    named = written(joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+                    .select("fp", *last), "simhash-components")
+    return fps.join(named, "fp").select(F.col("id").alias(id_col), *also, "fp", *last)

@@ -153,5 +153,19 @@ def test_stages_take_odd_rows(spark):
             assert kept >= len(rows)
 
 
+def test_each_group_keeps_one_row(spark):
+    """Ids that occur with different texts, and rows without an id."""
+    rnd = random.Random(11)
+    base = {k: [f"{k}{rnd.randrange(900)}" for _ in range(300)] for k in "abcdef"}
+    copy = lambda k: " ".join([*base[k][:-1], "other"])
+    text = {k: " ".join(v) for k, v in base.items()}
+    # group a is led by 5; 5 is in groups b (led by 2) and c (its own), too; d has no id; e has one beside a nameless row; f is alone
+    rows = [(5, text["a"]), (8, copy("a")), (2, text["b"]), (5, copy("b")), (5, text["c"]), (5, copy("c")), (None, text["d"]), (None, copy("d")),
+            (None, text["d"]), (None, text["e"]), (9, copy("e")), (5, text["f"])]
+    docs = documents(spark, [(i, t, "en", "s") for i, t in rows])
+    got = sorted((r["text"][0], r["doc_id"] or 0) for r in pipeline.near_duplicate_stage(spark, docs, SF).collect())
+    assert got == [("a", 5), ("b", 2), ("c", 5), ("d", 0), ("e", 9), ("f", 5)]
+
+
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, SF).columns[:3] == ["doc_id", "piece", "start"]
