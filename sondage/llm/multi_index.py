@@ -168,8 +168,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 5, recall: float
     id, and a row with the query's id is no answer to it.  Vectors that are null, empty or
     zero, or hold nulls or non-finite numbers, take no part, nor do rows with a null id or
     with another dimension than most of the sample has.  Of rows repeating an id each is an
-    entry; of queries repeating an id with other vectors each is answered.  Without entries
-    there are no rows.
+    entry; of queries repeating an id with other vectors each is answered, and a query that
+    repeats id and vector is answered once.  Without entries there are no rows.
     """
     spark = vectors.sparkSession
     keep = top + 1
@@ -200,13 +200,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 5, recall: float
     starts = np.concatenate(([0], np.cumsum(counts)))
     blocks = int(-(-starts[-1] // ENTRY_BLOCK))
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Queries with the distance at which they stop and the blocks that they visit."""
+    def taking_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_pylist()
             places, vs = _take_part(b.column(1))
             rows = [(ids[i], v) for i, v in zip(places.tolist(), vs, strict=True) if ids[i] is not None and len(v) == size]
-            unit = _unit(_matrix([v for _, v in rows])) if rows else np.zeros((0, size // 8))
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([v for _, v in rows], pa.binary())],
+                                             names=["id", "v"])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries with the distance at which they stop and the blocks that they visit."""
+        for b in batches:
+            vs = b.column(1).to_pylist()
+            unit = _unit(_matrix(vs)) if vs else np.zeros((0, size // 8))
             stop = stop_distances(index, unit, counts, enough)
             visits = []
             for (a, c), d in zip(zip(*index.near(unit), strict=True), stop, strict=True):
@@ -216,12 +222,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 5, recall: float
                 np.add.at(met, first, 1)
                 np.add.at(met, last + 1, -1)
                 visits.append(np.flatnonzero(np.cumsum(met)[:-1]).tolist())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _ in rows], pa.int64()), pa.array([v for _, v in rows], pa.binary()),
-                 pa.array(stop, pa.float64()), pa.array(visits, pa.list_(pa.int64()))], names=["id", "v", "stop", "blocks"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(stop, pa.float64()), pa.array(visits, pa.list_(pa.int64()))],
+                                             names=["id", "v", "stop", "blocks"])
 
-    asked = written(queries.select(F.col(id_col).cast("long"), F.col(vector_col)).mapInArrow(
-        find, "id long, v binary, stop double, blocks array<long>"), "ann-queries")
+    # a query given several times is asked once, or its copies would fill the ranks with the same answers
+    once = (queries.select(F.col(id_col).cast("long"), F.col(vector_col)).mapInArrow(taking_part, "id long, v binary")
+            .dropDuplicates(["id", "v"]))
+    asked = written(once.mapInArrow(find, "id long, v binary, stop double, blocks array<long>"), "ann-queries")
     groups = max(1, -(-asked.count() // QUERY_BLOCK))
     start = F.element_at(F.lit(starts[:-1].tolist()).cast("array<long>"), (F.col("cell") + 1).cast("int"))
     amount = F.element_at(F.lit(counts.tolist()).cast("array<long>"), (F.col("cell") + 1).cast("int"))

@@ -87,6 +87,23 @@ def test_nearest_neighbours(spark):
     assert multi_index.nearest(df.limit(0), df).count() == 0 and multi_index.nearest(df, df.limit(0)).count() == 0
 
 
+def test_repeated_queries_are_answered_once(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [rows[50]] * 4 + [rows[100], (150, (-x[150]).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = multi_index.nearest(df, df.where("vec_id % 50 = 0"), top=5, recall=1.0).collect()
+    norm = np.sqrt((x * x).sum(axis=1))
+    for q in (50, 100):
+        cosine = x @ x[q] / (norm * norm[q])
+        cosine[q] = -2
+        mine = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)
+        assert [k for k, _ in mine] == [1, 2, 3, 4, 5]
+        assert len({i for _, i in mine}) == 5 and len({i for _, i in mine} & set(np.argsort(-cosine)[:5].tolist())) >= 4
+    assert sorted(r["rank"] for r in got if r["query_id"] == 150) == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
+
+
 def test_traversal_is_by_summed_distance():
     rng = np.random.default_rng(1)
     a, b = rng.random(7), rng.random(5)
