@@ -13,11 +13,14 @@ sides are dealt by content first:
    pieces collapse, and a piece is trimmed to the windows whose hash occurs in several
    documents; then equal ones collapse again.  So a passage that a third of all
    documents share becomes one row, whatever surrounds it.
-3. Trimmed pieces are dealt to shards of bounded size by minimizer.  A shard builds one
-   suffix automaton over its pieces in order of their smallest document id, with the
-   first document on every state, and streams the pieces past it.  Where the matching
-   statistic reaches the window length, the state names the first document that holds
-   the window.  Hashes only choose what is compared; the automaton reads the words.
+3. Trimmed pieces are dealt to shards by minimizer.  A shard builds one suffix automaton
+   over its pieces in order of their smallest document id, with the first document on
+   every state, and streams the pieces past it.  Where the matching statistic reaches the
+   window length, the state names the first document that holds the window.  Hashes only
+   choose what is compared; the automaton reads the words.
+   Pieces of one minimizer always meet, so a minimizer with more words than a shard should
+   hold goes to no shard: its windows are dealt singly, by a 128-bit digest of their words,
+   and the first document of each is a partial aggregate, of bounded size for any window.
 4. Windows that start in a smaller document join to maximal spans, which are cut out.
 
 Texts are shuffled once (and those with a shared piece once more); all else is hashes.
@@ -256,6 +259,50 @@ def _match(window: int):
     return run
 
 
+def _digests(window: int):
+    """(mark, trimmed, words, first_doc) -> one row per window of a piece, with the digest of its words."""
+    schema = pa.schema([("mark", pa.int64()), ("trimmed", pa.binary()), ("win", pa.int64()), ("key", pa.binary()), ("first_doc", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for mark, trimmed, joined, doc in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+                starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(joined)]))
+                n = len(starts) - window + 1
+                for k in range(0, n, BLOCK >> 4):
+                    m = min(n, k + (BLOCK >> 4))
+                    keys = [xxhash.xxh3_128_digest(joined[i:j]) for i, j in
+                            zip(starts[k:m].tolist(), ends[k + window - 1:m + window - 1].tolist(), strict=True)]
+                    columns = [mark] * (m - k), [trimmed] * (m - k), range(k, m), keys, [doc] * (m - k)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+    return run
+
+
+def _joined_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(mark, trimmed, windows with their first document) -> runs of windows, as of a shard."""
+    schema = pa.schema([("mark", pa.int64()), ("trimmed", pa.binary()), ("win", pa.int64()), ("n_win", pa.int64()), ("first_doc", pa.int64())])
+    for b in batches:
+        rows = []
+        for mark, trimmed, wins in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            first = np.array([w["first_doc"] for w in sorted(wins, key=lambda w: w["win"])], np.int64)
+            edges = np.concatenate(([0], np.flatnonzero(first[1:] != first[:-1]) + 1, [len(first)]))
+            rows += [(mark, trimmed, i, j - i, int(first[i])) for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+
+def _crowded(pieces: DataFrame, window: int) -> DataFrame:
+    """The spans of trimmed pieces whose minimizers have too many words for a shard."""
+    schema = "mark long, trimmed binary, win long, key binary, first_doc long"
+    least = pieces.groupBy("mark", "trimmed").agg(F.min("first_doc").alias("first_doc"), F.first("words").alias("words"))
+    windows = written(least.select("mark", "trimmed", "words", "first_doc").mapInArrow(_digests(window), schema), "substring-crowded")
+    # written: joined with plain exchanges on both sides, of which a hot window can be split
+    first = written(windows.groupBy("key").agg(F.min("first_doc").alias("first_doc")), "substring-crowded-first")
+    named = windows.drop("first_doc").join(first, "key").groupBy("mark", "trimmed").agg(
+        F.collect_list(F.struct("win", "first_doc")).alias("wins"))
+    return named.mapInArrow(_joined_runs, "mark long, trimmed binary, win long, n_win long, first_doc long")
+
+
 def _cut(window: int):
     """(id, sha, body, starts and lengths of runs of repeated windows) -> what is kept."""
     schema = pa.schema([("id", pa.int64()), ("sha", pa.binary()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()),
@@ -320,13 +367,20 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     trimmed = written(many.select(names).unionByName(few.select(names)).mapInArrow(
         _trim(window), "digest binary, at long, mark long, trimmed binary, words binary, n long, first_doc long"), "substring-trimmed")
 
-    classes = trimmed.groupBy("mark", "trimmed").agg(F.min("first_doc").alias("first_doc"), F.first("words").alias("words"),
-                                                     F.first("n").alias("n"))
+    # minimizers with more words than a shard should hold; of them there are few
+    crowded = written(trimmed.groupBy("mark", "trimmed").agg(F.first("n").alias("n")).groupBy("mark").agg(F.sum("n").alias("n"))
+                      .where(F.col("n") > SHARD_WORDS).select("mark"), "substring-marks")
+    some = crowded.limit(1).count() > 0
+    dealt = trimmed.join(crowded, "mark", "left_anti") if some else trimmed
+    classes = dealt.groupBy("mark", "trimmed").agg(F.min("first_doc").alias("first_doc"), F.first("words").alias("words"),
+                                                   F.first("n").alias("n"))
     total = trimmed.agg(F.sum("n")).first()[0] or 0
     shards = max(1, total // SHARD_WORDS)
     spans = (classes.withColumn("shard", F.pmod(F.xxhash64("mark"), F.lit(shards)))
              .repartition(max(shuffle_partitions(spark), 1), "shard").groupBy("shard")
              .applyInPandas(_match(window), "mark long, trimmed binary, win long, n_win long, first_doc long"))
+    if some:
+        spans = spans.unionByName(_crowded(trimmed.join(crowded, "mark", "left_semi"), window))
     spans = written(spans, "substring-spans")
 
     # back to the pieces that collapsed, and to their documents

@@ -131,6 +131,33 @@ def test_substring_dedup(spark):
     assert substring_dedup.substring_dedup(df.limit(0)).count() == 0
 
 
+def test_shards_are_bounded(spark, tmp_path, monkeypatch):
+    """A run of words that is the minimizer in many documents, each with a near copy and other surroundings."""
+    rnd, window, most = random.Random(8), 20, 600
+    least = lambda run: int(substring_dedup._run_hashes(" ".join(run).encode(), (10,))[0][0])
+    licence = min((words(rnd, 10) for _ in range(20_000)), key=least)
+    rows = []
+    for i in range(100):
+        text = words(rnd, 30) + licence + words(rnd, 30)
+        rows += [(i, " ".join(text)), (1000 + i, " ".join(["new", *text])), (2000 + i, " ".join([*text[15:], "end"]))]
+    match = substring_dedup._match
+
+    def measured(window):
+        run = match(window)
+
+        def shard(pdf):
+            size = sum(len(t.split()) for t in pdf["words"])
+            (tmp_path / f"{size}-{pdf['shard'].iloc[0]}").touch()
+            return run(pdf)
+        return shard
+    monkeypatch.setattr(substring_dedup, "_match", measured)
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", most)
+    got = substring_dedup.substring_dedup(spark.createDataFrame([(i, t, "clash") for i, t in rows], DOCS), window=window).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted(brute_cut(rows, window))
+    sizes = [int(p.name.split("-")[0]) for p in tmp_path.iterdir()]
+    assert sizes and max(sizes) < 3 * most
+
+
 def test_automaton_names_the_first_document():
     rnd = random.Random(9)
     docs = [[rnd.randrange(3) for _ in range(rnd.randrange(1, 40))] for _ in range(40)]
