@@ -45,3 +45,20 @@ def n_words(text: Column) -> Column:
 def spread_sample(df: DataFrame, rows: int, n: int, *keys: str) -> DataFrame:
     """About ``rows`` of the ``n`` rows of ``df``, chosen by a hash of ``keys`` (all, if fewer)."""
     return df.where(F.pmod(F.xxhash64(*keys), F.lit(max(n, 1))) < rows)
+
+
+HEAVY_GROUPS = 4096  # groups with more than this share of all rows are joined by broadcast; there are fewer than that
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str = "group_size") -> DataFrame:
+    """Every row of ``rows`` with the columns of its group (inner join on ``keys``, which hold no null).
+
+    ``groups`` has one row per group, with the number ``n`` of its rows.  A group with more than
+    a 4096th of all rows would land in one task; there are fewer than 4096 of those, so they are
+    broadcast, and all other groups are joined by a shuffle.
+    """
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    heavy = F.col(n) * HEAVY_GROUPS > total
+    large = F.broadcast(groups.where(heavy))
+    rest = rows.join(F.broadcast(groups.where(heavy).select(*keys)), keys, "left_anti")
+    return rows.join(large, keys).unionByName(rest.join(groups.where(~heavy), keys))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    divergence,
+    exact_dedup,
     mixing,
     multi_index,
     packing,
@@ -15,6 +17,7 @@ from . import (
     token_counts,
     token_shards,
     url_filter,
+    vector_codes,
     warc,
 )
 from .common import prepare, table, written
@@ -139,3 +142,82 @@ n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT w.doc_id, len(ws) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+
+@query
+def op11_source_divergence(spark, sf_dir):
+    return divergence.divergence(table(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
+ORACLES["op11_source_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT row, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+kept AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT row) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+dense AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+gs AS (SELECT lang, source, sum(n) AS total FROM dense GROUP BY ALL),
+ls AS (SELECT lang, sum(n) AS total FROM dense GROUP BY ALL),
+p AS (SELECT dense.*, 1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v) AS p FROM dense JOIN gs USING (lang, source) JOIN v USING (lang)),
+lq AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 5)) // (any_value(ls.total) + 5 * any_value(v)) AS q
+  FROM dense JOIN ls USING (lang) JOIN v USING (lang) GROUP BY lang, term),
+f AS (SELECT a.lang, a.source, b.source AS other, sum(abs(a.p - b.p)) AS f
+  FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value
+  FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.other = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p JOIN lq USING (lang, term) WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM x QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
+@query
+def op12_digest_index(spark, sf_dir):
+    found = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), deliveries=2)
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+ORACLES["op12_digest_index"] = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS x FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,
+  row_number() OVER (PARTITION BY x ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(x) AS text_sha256
+FROM t
+"""
+
+
+@query
+def op13_active_lloyd(spark, sf_dir):
+    codes, books = vector_codes.vector_codes(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+    code = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    return vector_codes.label_errors(codes).select("vec_id", code.alias("code"), "error", "label_error",
+                                                   F.lit(vector_codes.codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
+def _lloyd_sql(rounds: int = 4) -> str:
+    """Full scans in every round; doubles are exact at these sizes."""
+    sql = ["""v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label,
+  list_transform(embedding, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+p AS MATERIALIZED (SELECT r, part, x[part * (len(x) // 4) + 1:(part + 1) * (len(x) // 4)] AS x FROM v, range(4) AS t(part)),
+b0 AS MATERIALIZED (SELECT part, r AS entry, x FROM p WHERE r < 256)"""]
+    for i in range(rounds + 1):
+        sql.append(f"""a{i} AS MATERIALIZED (SELECT r, part, min(CAST(list_dot_product(p.x, p.x) - 2 * list_dot_product(p.x, b{i}.x)
+  + list_dot_product(b{i}.x, b{i}.x) AS BIGINT) * 256 + entry) AS m FROM p JOIN b{i} USING (part) GROUP BY r, part)""")
+        if i < rounds:
+            sql.append(f"""b{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(n.x, b{i}.x) AS x FROM b{i} LEFT JOIN (
+  SELECT part, entry, list(c ORDER BY pos) AS x FROM (SELECT part, entry, pos, floor(sum(c) / count(*)) AS c
+    FROM (SELECT part, m % 256 AS entry, unnest(x) AS c, unnest(range(len(x))) AS pos FROM p JOIN a{i} USING (r, part))
+    GROUP BY part, entry, pos) GROUP BY part, entry) AS n USING (part, entry))""")
+    return "WITH " + ",\n".join(sql) + f""",
+e AS (SELECT r, string_agg(format('{{:02x}}', m % 256), '' ORDER BY part) AS code, CAST(sum(m // 256) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+h AS (SELECT sha256(string_agg(list_aggregate(list_transform(x, lambda c: CAST(CAST(c AS BIGINT) AS VARCHAR)), 'string_agg', ','), ','
+  ORDER BY part, entry)) AS h FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM v JOIN e USING (r) CROSS JOIN h"""
+
+
+ORACLES["op13_active_lloyd"] = _lloyd_sql()

@@ -13,7 +13,9 @@ COLUMNS = {
     "op4": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
     "op5": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"], "op6": ["doc_id", "fingerprint", "component_id"],
     "op7": ["doc_id", "size", "source_size", "target", "taken"], "op8": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
-    "op9": ["doc_id", "start", "n_tokens", "ids_crc32"], "op10": ["page_id", "host", "path", "rule", "verdict"]}
+    "op9": ["doc_id", "start", "n_tokens", "ids_crc32"], "op10": ["page_id", "host", "path", "rule", "verdict"],
+    "op11": ["lang", "source", "part", "item", "value", "rank"], "op12": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
+    "op13": ["vec_id", "code", "error", "label_error", "codebooks_sha256"]}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -25,13 +27,13 @@ def test_query(spark, name):
     con = duckdb.connect()
     for t in ("documents", "embeddings", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
-    table = {"op1": "embeddings", "op4": "pages", "op10": "pages"}.get(op, "documents")
+    table = {"op1": "embeddings", "op4": "pages", "op10": "pages", "op13": "embeddings"}.get(op, "documents")
     n = con.execute(f"SELECT COUNT(*) FROM {table}" + (" WHERE vec_id % 50 = 0" if op == "op1" else "")).fetchone()[0]
-    assert len(got) == 5 * n if op == "op1" else len(got) >= n if op == "op5" else len(got) == n
+    assert len(got) == 5 * n if op == "op1" else len(got) >= n if op == "op5" else len(got) == n or op == "op11"
     if name in ORACLES:
         want = con.execute(ORACLES[name]).fetchdf()
         assert norm(got[sorted(got.columns)]) == norm(want[sorted(want.columns)])
 
 
-def test_ten_operators_are_registered():
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+def test_all_operators_are_registered():
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
