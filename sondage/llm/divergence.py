@@ -3,12 +3,13 @@
 Terms are counted per (language, source); only fixed-width digests of them are shuffled,
 and text is joined back for what is returned:
 
-1. Each task adds up its own documents and writes (language, source, digest, term, count,
-   documents) rows.  They are not shuffled; the jobs below read the columns they need.
+1. Each task adds up its own documents and writes two kinds of rows: the digest, text and
+   number of documents of each term it met in a language, and the counts of a group's
+   digests, packed by bucket of digests.  The jobs below read the columns they need.
 2. Documents per (language, digest) are summed, without strings; the digests in enough
-   documents may belong to kept terms.
-3. For those alone, the smallest and largest term of a digest are looked up.  Where the
-   two differ, several terms share the digest: its rows are counted again by term and split.
+   documents may belong to kept terms.  The packed counts are shuffled by bucket and added up.
+3. For those digests alone, the smallest and largest term are looked up.  Where the two
+   differ, several terms share the digest: the texts are counted again by term for it.
 4. Counts per source become integer frequencies.  Distances between sources are summed in
    blocks of terms: a block is a dense matrix sources x terms, and hands on one number per
    pair of sources.  The terms that stand out are ranked by value first; strings come
@@ -25,19 +26,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import UPPER, written
+from .common import UPPER, shuffle_partitions, written
 
 # A-Z lower-cased; a-z and all bytes of non-ASCII characters stay; everything else separates terms
 TERM_BYTES = bytes(b + 32 if chr(b) in UPPER else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
-FLUSH_TERMS = 1 << 17  # terms that a task counts before it hands them on
+FLUSH_TERMS = 1 << 20  # counts that a task holds before it hands them on, about 100 MB
 PIECE = 1 << 20  # bytes of a text split at a time
 CELLS = 1 << 16  # sources x terms of a block to aim at
 TILE = 1024  # sources of a block at most
-SMALL_ROWS = 1 << 17  # a table of up to so many rows of a few numbers is broadcast
+SMALL_ROWS = 1 << 19  # a table of up to so many rows of a few numbers is broadcast
 SCALE, SMOOTH = 1_000_000_000, 5
 
 
@@ -52,39 +54,116 @@ def pieces(text: bytes) -> Iterator[list[bytes]]:
         at = cut
 
 
-def _partials(bits: int):
-    fields = pa.schema([("lid", pa.int64()), ("gid", pa.int64()), ("digest", pa.int64()), ("term", pa.string()),
-                        ("n", pa.int64()), ("docs", pa.int64())])
+def _digests(terms: list[bytes], bits: int) -> np.ndarray:
+    h = np.fromiter(map(xxhash.xxh64_intdigest, terms), np.uint64, len(terms))
+    return (h >> np.uint64(64 - bits)).view(np.int64)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict = {}
-        size = 0
 
-        def flush():
-            for (lid, gid), (tf, df) in total.items():
-                terms = list(tf)
-                h = np.fromiter(map(xxhash.xxh64_intdigest, terms), np.uint64, len(terms)) >> np.uint64(64 - bits)
+def _numbers(counter: Counter) -> np.ndarray:
+    return np.fromiter(counter.values(), np.int64, len(counter))
+
+
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, dict]]:
+    """Occurrences by (language, group) and documents by language, every ``FLUSH_TERMS`` counts."""
+    tf: dict = {}
+    df: dict = {}
+    size = 0
+    for batch in batches:
+        lids, gids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for lid, gid, text in zip(lids, gids, batch.column(2).cast(pa.binary()), strict=True):
+            own = tf.setdefault((lid, gid), Counter())
+            before, seen = len(own), set()
+            for terms in pieces(text.as_py()):
+                own.update(terms)
+                seen.update(terms)
+            df.setdefault(lid, Counter()).update(seen)
+            size += len(own) - before
+            if size > FLUSH_TERMS:
+                yield tf, df
+                tf, df, size = {}, {}, 0
+    yield tf, df
+
+
+PARTIALS = "lid long, digest long, term string, docs long, bucket int, gid long, digests array<long>, n array<long>"
+
+
+def _partials(buckets: int, bits: int):
+    """Two kinds of rows: a term's digest, text and documents in a language; and a group's
+    digests of one bucket with their counts.  A task repeats a term's text once per language."""
+    names = [f.split()[0] for f in PARTIALS.split(", ")]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tf, df in _tallied(batches):
+            for lid, counts in df.items():
+                terms = list(counts)
+                m = len(terms)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(m, lid, np.int64)), pa.array(_digests(terms, bits)), pa.array(terms, pa.binary()).cast(pa.string()),
+                    pa.array(_numbers(counts)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()),
+                    pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64()))], names=names)
+            for (lid, gid), counts in tf.items():
+                h = _digests(list(counts), bits)
+                bucket = np.uint64(buckets) * (h.view(np.uint64) >> np.uint64(max(bits - 24, 0))) >> np.uint64(min(bits, 24))
+                order = np.argsort(bucket, kind="stable")
+                used, starts = np.unique(bucket[order], return_index=True)
+                ends = pa.array(np.append(starts, len(h)).astype(np.int32))
+                m = len(used)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(terms), lid, np.int64)), pa.array(np.full(len(terms), gid, np.int64)),
-                    pa.array(h.view(np.int64)), pa.array(terms, pa.binary()).cast(pa.string()),
-                    pa.array(np.fromiter(tf.values(), np.int64, len(terms))),
-                    pa.array(np.fromiter((df[t] for t in terms), np.int64, len(terms)))], schema=fields)
-            total.clear()
-
-        for batch in batches:
-            lids, gids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lid, gid, text in zip(lids, gids, batch.column(2).cast(pa.binary()), strict=True):
-                tf, df = total.setdefault((lid, gid), (Counter(), Counter()))
-                before, seen = len(tf), set()
-                for terms in pieces(text.as_py()):
-                    tf.update(terms)
-                    seen.update(terms)
-                df.update(seen)
-                size += len(tf) - before
-                if size > FLUSH_TERMS:
-                    yield from flush()
-                    size = 0
-        yield from flush()
+                    pa.array(np.full(m, lid, np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64()),
+                    pa.array(used.astype(np.int32)), pa.array(np.full(m, gid, np.int64)),
+                    pa.ListArray.from_arrays(ends, pa.array(h[order])), pa.ListArray.from_arrays(ends, pa.array(_numbers(counts)[order]))],
+                    names=names)
+
+    return count
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, lid, gid, digests, n) -> (lid, gid, digest, n), summed over the partition."""
+    lang: dict = {}
+    held, size = [], 0
+
+    def add_up() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        g, d, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((d, g))
+        g, d, n = g[order], d[order], n[order]
+        first = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (d[1:] != d[:-1])))
+        return g[first], d[first], np.add.reduceat(n, first)
+
+    distinct = 0
+    for batch in batches:
+        gids = batch.column("gid").to_numpy()
+        lang.update(zip(gids.tolist(), batch.column("lid").to_pylist(), strict=True))
+        lists = batch.column("digests")
+        sizes = lists.value_lengths().to_numpy()
+        held.append((np.repeat(gids, sizes), lists.flatten().to_numpy(), batch.column("n").flatten().to_numpy()))
+        size += int(sizes.sum())
+        if size > max(FLUSH_TERMS, 2 * distinct):
+            held = [add_up()]
+            size = distinct = len(held[0][0])
+    if not held:
+        return
+    g, d, n = add_up()
+    for at in range(0, len(g), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        lids = np.fromiter((lang[x] for x in g[part].tolist()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (lids, g[part], d[part], n[part])], names=["lid", "gid", "digest", "n"])
+
+
+def _by_term(bits: int):
+    """(lid, gid, digest, term, n, docs) rows: counts with the terms themselves."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # documents of a term by group: a batch at a time
+            for gid in set(batch.column(1).to_pylist()):
+                own = batch.filter(pc.equal(batch.column(1), gid))
+                for tf, df in _tallied([own]):
+                    for (lid, _), counts in tf.items():
+                        terms, m = list(counts), len(counts)
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(np.full(m, lid, np.int64)), pa.array(np.full(m, gid, np.int64)), pa.array(_digests(terms, bits)),
+                            pa.array(terms, pa.binary()).cast(pa.string()), pa.array(_numbers(counts)),
+                            pa.array(np.fromiter((df[lid][t] for t in terms), np.int64, m))],
+                            names=["lid", "gid", "digest", "term", "n", "docs"])
 
     return count
 
@@ -116,21 +195,24 @@ def kept_terms(docs: DataFrame, seed: int, min_docs: int, digest_bits: int = 64)
     ``sub`` is 0, or numbers the terms that share a digest.  ``docs``: (lang, source, text), without nulls.
     """
     rows = docs.select(*[c.alias(k) for k, c in _ids(seed).items()], "text")
-    partials = rows.mapInArrow(_partials(digest_bits), "lid long, gid long, digest long, term string, n long, docs long")
-    partials = written(partials, "divergence-partials")
+    buckets = 4 * shuffle_partitions(docs.sparkSession)
+    partials = written(rows.mapInArrow(_partials(buckets, digest_bits), PARTIALS), "divergence-partials")
+    texts = partials.where("bucket IS NULL")
     often = F.sum("docs") >= min_docs
-    kept = written(partials.groupBy("lid", "digest").agg(often.alias("often")).where("often").select("lid", "digest"),
+    kept = written(texts.groupBy("lid", "digest").agg(often.alias("often")).where("often").select("lid", "digest"),
                    "divergence-kept")
-    near = partials.join(_checked(kept), ["lid", "digest"], "left_semi")
-    names = written(near.groupBy("lid", "digest").agg(F.min("term").alias("term"), F.max("term").alias("last")),
-                    "divergence-names")
-    counts = near.groupBy("lid", "gid", "digest").agg(F.sum("n").alias("n")).withColumn("sub", F.lit(0))
+    names = written(texts.join(_checked(kept), ["lid", "digest"], "left_semi").groupBy("lid", "digest")
+                    .agg(F.min("term").alias("term"), F.max("term").alias("last")), "divergence-names")
+    packed = partials.where("bucket IS NOT NULL").select("bucket", "lid", "gid", "digests", "n")
+    merged = packed.repartition(shuffle_partitions(docs.sparkSession), "bucket").mapInArrow(_merged, "lid long, gid long, digest long, n long")
+    counts = merged.join(_checked(kept), ["lid", "digest"], "left_semi").select("lid", "gid", "digest", "n", F.lit(0).alias("sub"))
     terms = names.where("term = last").select("lid", "digest", F.lit(0).alias("sub"), "term")
     shared = names.where("term <> last").select("lid", "digest")
     if shared.isEmpty():
         return written(counts, "divergence-counts"), terms
-    # several terms share these digests: only their rows are counted with the term itself
-    each = written(partials.join(shared, ["lid", "digest"], "left_semi").groupBy("lid", "gid", "digest", "term")
+    # several terms share these digests: the texts are read again, and their rows are counted by term
+    each = rows.mapInArrow(_by_term(digest_bits), "lid long, gid long, digest long, term string, n long, docs long")
+    each = written(each.join(shared, ["lid", "digest"], "left_semi").groupBy("lid", "gid", "digest", "term")
                    .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "divergence-shared")
     split = (each.groupBy("lid", "digest", "term").agg(often.alias("often")).where("often").drop("often")
              .withColumn("sub", F.row_number().over(Window.partitionBy("lid", "digest").orderBy("term"))))
@@ -213,7 +295,7 @@ def divergence(docs: DataFrame, min_docs: int = 30, top: int = 50, text_col: str
     Null text, language and source count as ''.  A repeated row is a document of its own;
     a group without terms still has its pairs; a language of one source has no pairs; no
     rows give no rows.  Equal values rank by item.  A task holds the distinct terms of one
-    text and up to ``FLUSH_TERMS`` counts besides.  ``digest_bits``: fewer than 64 make terms
+    text and up to ``FLUSH_TERMS`` counts besides, later the distinct digests of a few buckets.  ``digest_bits``: fewer than 64 make terms
     share digests (for tests); the result is the same.
     """
     d = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a)

@@ -154,6 +154,7 @@ def test_divergence_in_small_blocks(spark, monkeypatch):
     plain = divergence.divergence(table(spark, rows), min_docs=9, top=6)
     assert {tuple(r) for r in plain.collect()} == want
     monkeypatch.setattr(divergence, "CELLS", 1)
+    monkeypatch.setattr(divergence, "FLUSH_TERMS", 3)
     assert {tuple(r) for r in divergence.divergence(table(spark, rows), min_docs=9, top=6).collect()} == want
     text = ("aB c1d " * 1000).encode()
     monkeypatch.setattr(divergence, "PIECE", 10)
@@ -263,3 +264,30 @@ def test_vector_codes_take_few_or_no_rows(spark):
     odd, books = vector_codes.vector_codes(vector_table(spark, [(1, [0.1] * 5, 1), (2, [0.3] * 5, None), (3, [], 1)]))
     assert [b.shape for b in books] == [(2, 2)] * 4 and sorted(r["error"] for r in odd.collect()) == [0, 0]
     assert vector_codes.vector_codes(vector_table(spark, [(1, [], 1)]))[0].first()["error"] == 0
+
+
+def test_counts_handed_on_in_parts(monkeypatch):
+    """Within one process: a task that hands on its counts every few terms, and adds up packed rows in parts."""
+    import pyarrow as pa
+
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choices(["aa", "bb", "cc", "dd", "ee"], k=6)) for _ in range(60)]
+    gids = [rnd.choice([10, 20, 21]) for _ in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array([g // 10 for g in gids]), pa.array(gids), pa.array(texts)], names=["lid", "gid", "text"])
+    monkeypatch.setattr(divergence, "FLUSH_TERMS", 4)
+    rows = list(divergence._partials(3, 64)([batch, batch]))
+    packed = [r.filter(pa.compute.is_valid(r.column("bucket"))) for r in rows]
+    got = {(r["gid"], r["digest"]): (r["lid"], r["n"]) for b in divergence._merged(iter(packed)) for r in b.to_pylist()}
+    want, docs = collections.Counter(), collections.Counter()
+    for g, t in zip(gids * 2, texts * 2, strict=True):
+        want.update((g, w) for w in t.split())
+        docs.update((g // 10, w) for w in set(t.split()))
+    digest = {t: int(divergence._digests([t.encode()], 64)[0]) for t in ("aa", "bb", "cc", "dd", "ee")}
+    assert got == {(g, digest[t]): (g // 10, n) for (g, t), n in want.items()}
+    terms = collections.Counter()
+    for b in rows:
+        for r in b.to_pylist():
+            if r["term"] is not None:
+                assert r["digest"] == digest[r["term"]]
+                terms[r["lid"], r["term"]] += r["docs"]
+    assert terms == docs
