@@ -8,9 +8,8 @@ matter how many respondents there are.  Everything the linear methods need
 is a p x p computation on that row, done per product inside
 ``applyInPandas`` — the data itself never leaves Spark.
 
-Tree methods use MLlib (RandomForestRegressor, GBTRegressor); permutation
-importance deals the rows at random once, permutes columns within Arrow batches
-and scores all (feature, repeat) copies in one pass.
+The random forest is MLlib's; boosted trees and their permutation importance are in
+``boosting``.
 """
 
 from __future__ import annotations
@@ -22,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .boosting import boosted_importance
+
 # ---------------------------------------------------------------------------
 # Gram aggregation
 # ---------------------------------------------------------------------------
@@ -288,54 +289,14 @@ def random_forest_importance(df: DataFrame, predictors: Sequence[str], target: s
 
 def gbt_permutation_importance(df: DataFrame, predictors: Sequence[str], target: str, threshold: float = 0.99,
                                group: str = "product", repeats: int = 5, seed: int = 42,
-                               max_iter: int = 100) -> DataFrame:
-    """Boosted-tree permutation importance (MSE increase, clipped at 0, to 100) per group.
-
-    Threshold > 1 is a percentage.  Null predictors are kept (MLlib trees need
-    numbers, so they become the sentinel 0, below every scale point); rows with a
-    NULL target are dropped.  Rows are dealt at random once; each Arrow batch then
-    permutes every column ``repeats`` times, and all copies are scored in one
-    ``transform`` and averaged by (feature, repeat).
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
+                               max_iter: int = 100, **options) -> DataFrame:
+    """Histogram-boosted trees, permutation importance (MSE increase, clipped at 0, to 100) per group.
 
-    mt = threshold / 100.0 if threshold > 1 else float(threshold)
-    preds = [c for c in dict.fromkeys(predictors) if c != target]
-    valid = valid_predictors(df, preds, mt, group)
-    spark = df.sparkSession
-    rows = []
-    for g in _groups(df, group):
-        vp = valid.get(g, [])
-        if not vp:
-            continue
-        d = (df.where((F.col(group) == g) & F.col(target).isNotNull())
-             .select(*[F.col(c).cast("double") for c in vp], F.col(target).cast("double").alias("_y"))
-             .fillna(0.0, subset=vp))
-        va = VectorAssembler(inputCols=vp, outputCol="features", handleInvalid="keep")
-        model = GBTRegressor(featuresCol="features", labelCol="_y", stepSize=0.1, maxIter=max_iter,
-                             minInstancesPerNode=20, maxDepth=5, seed=seed).fit(va.transform(d))
-
-        def copies(batches, vp=vp):
-            from pyspark import TaskContext
-            part = TaskContext.get().partitionId()
-            for k, pdf in enumerate(batches):
-                yield pdf.assign(_feature=-1, _rep=0)  # as it is
-                for f, name in enumerate(vp):
-                    for r in range(repeats):
-                        order = np.random.default_rng([seed, part, k, f, r]).permutation(len(pdf))
-                        yield pdf.assign(**{name: pdf[name].to_numpy()[order]}, _feature=f, _rep=r)
-
-        fields = ", ".join(f"`{c}` double" for c in [*vp, "_y"])
-        dealt = d.repartition(max(1, spark.sparkContext.defaultParallelism))
-        scored = model.transform(va.transform(dealt.mapInPandas(copies, f"{fields}, _feature int, _rep int")))
-        mse = (scored.groupBy("_feature", "_rep").agg(F.avg(F.pow(F.col("prediction") - F.col("_y"), 2)).alias("m"))
-               .groupBy("_feature").agg(F.avg("m").alias("m")).collect())
-        mean = {r["_feature"]: r["m"] for r in mse}
-        imp = {vp[f]: max(m - mean[-1], 0.0) for f, m in mean.items() if f >= 0}
-        tot = sum(imp.values())
-        rows += [(g, v, 100.0 * imp.get(v, 0.0) / tot if tot > 0 else 0.0) for v in vp]
-    return spark.createDataFrame(rows, f"{group} string, variable string, hgb_weight double")
+    Threshold > 1 is a percentage.  Missing answers stay missing (each split learns their
+    side), but for 0/1 predictors, where they become 0; rows with a NULL target are
+    dropped.  See ``boosting`` for the method and further options.
+    """
+    return boosted_importance(df, predictors, target, threshold, group, repeats, seed, max_iter, **options)
 
 
 def driver_merge(df: DataFrame, predictors: Sequence[str], target: str, threshold: float = 0.3,
