@@ -1,4 +1,4 @@
-"""Open-ended text: spelling normalisation, translation memory, TF-IDF + NMF themes.
+"""Open-ended text: spelling normalisation, translation memory, themes.
 
 * Spelling: exact candidates by segments (of a dictionary word's three segments two
   edits leave one untouched, so it occurs in the query word near its place), a join
@@ -6,28 +6,19 @@
   (distance, -frequency, word).  Only DISTINCT words are corrected; the
   word -> correction map is joined back.
 * Translation: a translation-memory join keyed by (language, text hash).
-* Themes: TF-IDF in sparse long form (doc, term, weight) with the vocabulary
-  capped at ``max_features`` terms; NMF by multiplicative updates where each
-  pass re-solves document weights W per Arrow batch against the broadcast
-  topic matrix H (k x V) and emits partial sums of W'X and W'W, which Spark
-  sums by (term, topic) before the driver updates H, until the error stops falling.
+* Themes: see ``themes``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import scalar as S
 from ..partitioning import balance
-from ..session import scratch_path
+from .themes import theme_analysis, themes  # noqa: F401
 
 # Word characters as Python 3 regexes see them (letters, digits, underscore in any script);
 # Java's plain \w is ASCII-only, so the class is spelled out.
@@ -160,198 +151,3 @@ def translate_tm(df: DataFrame, column: str, lang_col: str | None, source_lang:
         res = F.when(c.isNull() | F.lower(stripped).isin("", "nan", "none"), c).otherwise(
             F.coalesce("translated", c))
     return j.select(*[x[k] for k in df.columns], res.alias(out))
-
-
-# ---------------------------------------------------------------------------
-# Themes: TF-IDF + NMF
-# ---------------------------------------------------------------------------
-
-
-def tfidf_rows(docs: DataFrame, id_col: str, text_col: str, max_features: int = 5000, min_df: int = 2,
-               ngram: int = 2, stop_words: bool = True, n_docs: int | None = None):
-    """Sparse TF-IDF rows (id, idx array<int>, val array<double>), L2-normalised, and the vocabulary.
-
-    Tokens: lower-cased maximal runs of >= 2 word characters (split on
-    non-word runs); English stop words removed before n-grams; smooth idf
-    ln((1+n)/(1+df)) + 1; vocabulary = the ``max_features`` most frequent terms
-    with document frequency >= ``min_df``.  The term-frequency table is
-    written once (it feeds the vocabulary job and the weight job).
-    """
-    spark = docs.sparkSession
-    docs = balance(docs, id_col)
-    words = F.filter(F.split(F.lower(F.col(text_col)), r"(?U)\W+"), lambda x: F.char_length(x) >= 2)
-    toks = docs.select(id_col, words.alias("t"))
-    if stop_words:
-        sw = StopWordsRemover.loadDefaultStopWords("english")
-        toks = toks.withColumn("t", F.filter("t", lambda x: ~x.isin(sw)))
-    grams = F.col("t")
-    if ngram >= 2:
-        grams = F.concat(F.col("t"), F.expr("IF(size(t) < 2, array(), zip_with(slice(t, 1, size(t) - 1), "
-                                            "slice(t, 2, size(t)), (a, b) -> concat(a, ' ', b)))"))
-    tf = (toks.select(id_col, F.explode(grams).alias("term"))
-          .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
-    tf = _written(tf, "tfidf-counts")  # read by the vocabulary and the weight jobs
-    n_docs = docs.count() if n_docs is None else n_docs
-    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    top = stats.where(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(max_features).collect()
-    vocab = [r["term"] for r in top]  # bounded by max_features
-    if not vocab:
-        return None, []
-    vdf = spark.createDataFrame([(t, i, math.log((1 + n_docs) / (1 + r["df"])) + 1.0)
-                                 for i, (t, r) in enumerate(zip(vocab, top))], "term string, term_idx int, idf double")
-    w = tf.join(F.broadcast(vdf), "term").select(id_col, "term_idx", (F.col("tf") * F.col("idf")).alias("w"))
-    rows = w.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("term_idx", "w"))).alias("s"))
-    # the norm is its own column: referenced inside the lambda it would be recomputed per element
-    rows = rows.withColumn("_norm", F.sqrt(F.aggregate(F.col("s.w"), F.lit(0.0), lambda acc, x: acc + x * x)))
-    return rows.select(id_col, F.col("s.term_idx").alias("idx"),
-                       F.transform(F.col("s.w"), lambda x: x / F.col("_norm")).alias("val")), vocab
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """Write under the shared scratch folder and read again."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _batch_w(rows: pd.DataFrame, H: np.ndarray, inner: int, eps: float = 1e-10):
-    """Solve W for a batch of documents given H by multiplicative updates."""
-    k, V = H.shape
-    nd = len(rows)
-    ridx = np.repeat(np.arange(nd), rows["idx"].map(len).to_numpy())
-    cidx = np.concatenate(rows["idx"].to_numpy()) if nd else np.zeros(0, dtype=int)
-    vals = np.concatenate(rows["val"].to_numpy()) if nd else np.zeros(0)
-    cidx = cidx.astype(int)
-    XHt = np.stack([np.bincount(ridx, weights=vals * H[t, cidx], minlength=nd) for t in range(k)], axis=1)
-    HHt = H @ H.T
-    W = np.full((nd, k), math.sqrt(max(vals.mean() if len(vals) else 0.0, eps) / k))
-    for _ in range(inner):
-        W *= XHt / (W @ HHt + eps)
-    return W, ridx, cidx, vals
-
-
-def nmf(rows: DataFrame, id_col: str, k: int, V: int, outer: int = 400, inner: int = 15, seed: int = 42,
-        tol: float = 1e-3):
-    """Returns (H as numpy k x V, DataFrame(id, weights array<double>)).
-
-    Passes end when one lowers the error ||X - WH|| by less than ``tol`` of the first
-    pass's error, or after ``outer``.  The error follows from the sums of the pass.
-    """
-    spark = rows.sparkSession
-    squares = rows.agg(F.sum(F.aggregate("val", F.lit(0.0), lambda a, x: a + x * x))).first()[0] or 0.0
-    first = last = None
-    rng = np.random.RandomState(seed)
-    H = np.abs(rng.standard_normal((k, V))) * 0.1 + 1e-3
-    for _ in range(outer):
-        Hb = spark.sparkContext.broadcast(H)
-
-        def partials(it, Hb=Hb):
-            Hl = Hb.value
-            kk, VV = Hl.shape
-            num = np.zeros((VV, kk))
-            wtw = np.zeros((kk, kk))
-            for pdf in it:
-                if len(pdf) == 0:
-                    continue
-                W, ridx, cidx, vals = _batch_w(pdf, Hl, inner)
-                num += np.stack([np.bincount(cidx, weights=vals * W[ridx, t], minlength=VV)
-                                 for t in range(kk)], axis=1)
-                wtw += W.T @ W
-            t, j = np.nonzero(num)
-            # one row per (term, topic) touched by this partition, and rows -1, -2 .. carrying W'W
-            rows_, cols_ = np.divmod(np.arange(kk * kk), kk)
-            yield pd.DataFrame({"term_idx": np.concatenate([t, -1 - rows_]).astype(np.int32),
-                                "topic": np.concatenate([j, cols_]).astype(np.int32),
-                                "v": np.concatenate([num[t, j], wtw.ravel()])})
-
-        part = rows.mapInPandas(partials, "term_idx int, topic int, v double")
-        red = part.groupBy("term_idx", "topic").agg(F.sum("v").alias("v")).toPandas()  # (V + k) x k numbers at most
-        num, wtw = np.zeros((V, k)), np.zeros((k, k))
-        t, j, v = (red[c].to_numpy() for c in ("term_idx", "topic", "v"))
-        num[t[t >= 0], j[t >= 0]] = v[t >= 0]
-        wtw[-1 - t[t < 0], j[t < 0]] = v[t < 0]
-        error = math.sqrt(max(0.0, squares - 2 * float((H * num.T).sum()) + float((wtw * (H @ H.T)).sum())))
-        first = error if first is None else first
-        if last is not None and last - error < tol * first:
-            Hb.unpersist()
-            break
-        last = error
-        H = H * num.T / (wtw @ H + 1e-10)
-        Hb.unpersist()
-    Hb = spark.sparkContext.broadcast(H)
-
-    def final_w(it, Hb=Hb):
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            W, *_ = _batch_w(pdf, Hb.value, inner * 3)
-            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), "weights": list(W)})
-
-    id_type = rows.schema[id_col].dataType.simpleString()
-    return H, rows.mapInPandas(final_w, f"{id_col} {id_type}, weights array<double>")
-
-
-def themes(df: DataFrame, id_col: str, text_col: str, n_topics: int | None = None, max_features: int = 5000,
-           top_terms: int = 8, exemplars: int = 3, min_df: int = 2, assign_threshold: float = 0.35,
-           seed: int = 42, outer: int = 400, inner: int = 15, column_label: str | None = None) -> dict:
-    """Theme discovery for one open-ended column.
-
-    Returns DataFrames: ``themes`` (theme, label, top_terms, count, pct, pct_1dp),
-    ``assignments`` (id, text, themes, assigned), ``exemplars`` (theme, rank, id, quote, weight)
-    and ``dictionary`` (the JSON-ready theme dictionary, one row).
-    """
-    spark = df.sparkSession
-    label = column_label or text_col
-    docs = (df.select(id_col, S.clean_text(F.col(text_col)).alias("_text"))
-            .where(F.col("_text").isNotNull() & (F.length("_text") > 0)))
-    n = docs.count()
-    k = n_topics or (max(3, min(8, int(round(2 * math.log(n))))) if n > 10 else 3)
-    rows, vocab = tfidf_rows(docs, id_col, "_text", max_features, min_df, 2, True, n_docs=n)
-    if not vocab:
-        rows, vocab = tfidf_rows(docs, id_col, "_text", max_features, 1, 1, False, n_docs=n)
-    if not vocab:
-        empty = spark.createDataFrame([], "theme int, label string, top_terms string, count long, pct double")
-        return {"themes": empty, "assignments": None, "exemplars": None, "k": 0}
-    k = min(k, n, len(vocab))
-    rows = _written(rows, "tfidf-rows")  # read once per NMF pass
-    H, W = nmf(rows, id_col, k, len(vocab), outer, inner, seed)
-    terms = [[vocab[j] for j in np.argsort(-H[t], kind="stable")[:top_terms]] for t in range(k)]
-    labels = [f"Theme {t + 1}: " + ", ".join(terms[t][:3]) for t in range(k)]
-    tdf = spark.createDataFrame([(t + 1, labels[t], ", ".join(terms[t]), terms[t]) for t in range(k)],
-                                "theme int, label string, top_terms string, terms array<string>")
-    # documents without any vocabulary term have an all-zero W row
-    W = docs.select(id_col, "_text").join(W, id_col, "left").withColumn(
-        "weights", F.coalesce("weights", F.array_repeat(F.lit(0.0), k)))
-    mx = F.array_max("weights")
-    thr = F.lit(assign_threshold) * F.when(mx == 0, F.lit(1e-9)).otherwise(mx)
-    idxs = F.sequence(F.lit(0), F.lit(k - 1))
-    sel = F.filter(idxs, lambda i: F.element_at("weights", i + 1) >= thr)
-    argmax = F.array_position("weights", mx) - 1
-    assigned = F.when(F.size(sel) > 0, sel).otherwise(F.array(argmax.cast("int")))
-    A = W.withColumn("assigned", F.transform(assigned, lambda i: i + 1))
-    long = A.select(id_col, "_text", "weights", F.explode("assigned").alias("theme"))
-    counts = long.groupBy("theme").agg(F.count(F.lit(1)).alias("count"))
-    summary = (tdf.join(counts, "theme", "left").fillna(0, subset=["count"])
-               .withColumn("pct", F.col("count") * 100.0 / F.lit(n))
-               .withColumn("pct_1dp", F.bround(F.col("pct"), 1))
-               .select(F.lit(label).alias("oe_column"), "theme", "label", "top_terms",
-                       F.col("count").cast("long").alias("count"), "pct", "pct_1dp"))
-    # exemplars: first 15 documents of each theme in document order, best ``exemplars`` by weight;
-    # two-stage top-k (per hash bucket, then per theme) so no theme lands whole in one task
-    cap = exemplars * 5
-    lw = long.withColumn("weight", F.element_at("weights", F.col("theme")))
-    b = F.abs(F.xxhash64(id_col)) % 64
-    st1 = lw.withColumn("_b", b).withColumn(
-        "_r", F.row_number().over(Window.partitionBy("theme", "_b").orderBy(id_col))).where(F.col("_r") <= cap)
-    st2 = st1.withColumn("_r", F.row_number().over(Window.partitionBy("theme").orderBy(id_col))).where(
-        F.col("_r") <= cap)
-    ex = st2.withColumn("rank", F.row_number().over(Window.partitionBy("theme").orderBy(F.desc("weight"), id_col))) \
-        .where(F.col("rank") <= exemplars).select("theme", "rank", id_col, F.col("_text").alias("quote"), "weight")
-    lab_map = F.create_map(*[x for t in range(k) for x in (F.lit(t + 1), F.lit(labels[t]))])
-    assignments = A.select(id_col, F.col("_text").alias("verbatim"), "assigned",
-                           F.array_join(F.transform("assigned", lambda i: lab_map[i]), " | ").alias("assigned_themes"))
-    dictionary = tdf.agg(F.to_json(F.struct(
-        F.lit(label).alias("column"),
-        F.collect_list(F.struct("label", F.col("terms").alias("top_terms"))).alias("themes"))).alias("json"))
-    return {"themes": summary, "assignments": assignments, "exemplars": ex, "dictionary": dictionary, "k": k,
-            "H": H, "vocab": vocab}

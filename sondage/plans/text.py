@@ -55,7 +55,7 @@ def translate_tm_api(spark, sf):
 
 def _themes(spark, sf):
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
-    return X.themes(docs, "doc_id", "text", column_label="documents.text")
+    return X.theme_analysis(docs, "doc_id", ["text"], save_name="documents", labels=["documents.text"])
 
 
 @query("themes", views=())

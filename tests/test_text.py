@@ -1,11 +1,18 @@
 """Text operators: spelling vs brute force, translation memory, themes invariants."""
 
+import collections
 import itertools
+import json
 import random
+import re
 
+import numpy as np
+import pytest
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
 from sondage.operators import text as X
+from sondage.operators import themes as TH
 
 
 def lev(a, b):
@@ -109,3 +116,132 @@ def test_spelling_of_random_words(spark):
     got = X.spelling_corrections(spark.createDataFrame([(q,) for q in queries], "word string"),
                                  spark.createDataFrame(list(dic.items()), "word string, freq long"))
     assert {r["word"]: r["corrected"] for r in got.collect()} == exp
+
+
+# --- themes ---------------------------------------------------------------------------------------
+
+
+def dense_nmf(x, k, iters=2000, tol=1e-4):
+    """Non-negative factorisation as the usual library does it, dense: NNDSVD start with zeros filled by the mean,
+    one coordinate descent sweep of W, then of H, until the violation is ``tol`` of the first."""
+    u, s, v = np.linalg.svd(x, full_matrices=False)
+    w, h = np.zeros((len(x), k)), np.zeros((k, x.shape[1]))
+    w[:, 0], h[0] = np.sqrt(s[0]) * abs(u[:, 0]), np.sqrt(s[0]) * abs(v[0])
+    for t in range(1, k):
+        sides = [(np.maximum(sign * u[:, t], 0), np.maximum(sign * v[t], 0)) for sign in (1, -1)]
+        size, a, b = max(((np.linalg.norm(a) * np.linalg.norm(b), a, b) for a, b in sides), key=lambda z: z[0])
+        w[:, t], h[t] = np.sqrt(s[t] * size) * a / np.linalg.norm(a), np.sqrt(s[t] * size) * b / np.linalg.norm(b)
+    w[w < 1e-6], h[h < 1e-6] = x.mean(), x.mean()
+
+    def sweep(m, gram, b):
+        off = 0.0
+        for t in range(k):
+            grad = m @ gram[t] - b[:, t]
+            off += np.abs(np.where(m[:, t] == 0, np.minimum(grad, 0), grad)).sum()
+            if gram[t, t]:
+                m[:, t] = np.maximum(m[:, t] - grad / gram[t, t], 0)
+        return off
+
+    first = None
+    for _ in range(iters):
+        ht = h.T.copy()
+        off = sweep(w, h @ h.T, x @ h.T) + sweep(ht, w.T @ w, x.T @ w)
+        h = ht.T
+        first = first or off
+        if off <= tol * first:
+            break
+    return w, h
+
+
+def answers(n=150, seed=6):
+    rnd = random.Random(seed)
+    topics = [["taste", "sweet", "sugar", "flavour", "honey"], ["box", "pack", "lid", "open", "seal"], ["price", "cost", "cheap", "money", "shop"],
+              ["taste", "box", "price", "nice", "good"]]
+    return [(i, " ".join(rnd.choices(topics[i % 4], k=9)) + "  ​" + rnd.choice(["Great!", "bad", ""])) for i in range(n)]
+
+
+def test_factorisation_agrees_with_a_dense_one(spark):
+    df = spark.createDataFrame(answers(), "id long, text string")
+    res = X.themes(df, "id", "text", n_topics=4, tol=1e-4)
+    terms = res["vocab"]
+    maker = TH.Vectoriser(2, frozenset(StopWordsRemover.loadDefaultStopWords("english")))
+    texts = [re.sub(r"\s+", " ", t.replace("​", " ")).strip() for _, t in answers()]
+    docs = [maker.grams(t) for t in texts]
+    counts = collections.Counter(g for d in docs for g in d)
+    df_ = collections.Counter(g for d in docs for g in set(d))
+    assert terms == sorted(t for t in counts if df_[t] >= 2)
+    x = np.array([[d.count(t) * (np.log((1 + len(docs)) / (1 + df_[t])) + 1) for t in terms] for d in docs])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    w, h = dense_nmf(x, 4, tol=1e-6)
+    mine = res["H"]
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    assert np.abs(unit(mine) - unit(h)).max() < 0.01  # topics in the same order, too
+    ours = TH.solve(x @ mine.T, mine @ mine.T)
+    assert np.linalg.norm(x - ours @ mine) <= np.linalg.norm(x - w @ h) * 1.001
+    again = X.themes(df.repartition(5), "id", "text", n_topics=4, tol=1e-4, seed=99)
+    assert np.abs(again["H"] - mine).max() < 1e-3  # neither the seed nor the partitions show
+
+
+def test_leading_vectors_equal_an_svd(spark):
+    rnd = np.random.default_rng(3)
+    x = rnd.random((60, 30)) * (rnd.random((60, 30)) < 0.3)
+    rows = spark.createDataFrame([(0, np.flatnonzero(r).tolist(), r[r > 0].tolist()) for r in x], "col int, idx array<int>, val array<double>")
+    values, v, norms = TH.leading_vectors(rows, {0: 30}, {0: 5}, 1)[0]
+    u, s, vt = np.linalg.svd(x, full_matrices=False)
+    assert values == pytest.approx(s[:5])
+    for t in range(5):
+        sign = np.sign(v[:, t] @ vt[t])
+        assert v[:, t] * sign == pytest.approx(vt[t], abs=1e-4)
+        a, b = (np.linalg.norm(np.maximum(z * u[:, t], 0)) for z in (sign, -sign))
+        assert norms[:, t] == pytest.approx([a, b], abs=1e-4)
+
+
+def test_solve_is_the_best_non_negative_solution():
+    rnd = np.random.default_rng(2)
+    h = rnd.random((3, 8))
+    x = rnd.standard_normal((20, 8))
+    w = TH.solve(x @ h.T, h @ h.T)
+    grad = w @ h @ h.T - x @ h.T
+    assert (w >= 0).all() and np.abs(np.where(w > 0, grad, np.minimum(grad, 0))).max() < 1e-6
+    assert (TH.solve(np.zeros((2, 2)), np.zeros((2, 2))) == 0).all()
+
+
+def test_several_columns_at_once(spark):
+    rows = [(i, t, None, "the and of", "blue green red" if i % 2 else "  ", 5) for i, t in answers(60)]
+    df = spark.createDataFrame(rows, "id long, likes string, empty string, stops string, few string, col int")
+    out = X.theme_analysis(df, "id", ["likes", "empty", "stops", "absent", "few"], save_name="wave1", n_topics=3)
+    d = json.loads(out["dictionary"].first()["json"])
+    assert (d["save_name"], d["language"], list(d["columns"])) == ("wave1", "en", ["likes", "empty", "stops", "few"])
+    assert d["meta"] == {"method": "TF-IDF + NMF", "assign_threshold": 0.35, "min_df": 2, "max_features": 5000, "top_terms": 8, "random_state": 42}
+    assert d["columns"]["empty"] == {"themes": []}
+    assert [len(d["columns"][c]["themes"]) for c in ("likes", "stops", "few")] == [3, 3, 3]
+    assert {t for x in d["columns"]["stops"]["themes"] for t in x["top_terms"]} == {"the", "and", "of"}  # fell back to all words
+    alone = X.themes(df, "id", "likes", n_topics=3)
+    assert [x["label"] for x in d["columns"]["likes"]["themes"]] == [r["label"] for r in alone["themes"].orderBy("theme").collect()]
+    verbatims = out["assignments"].collect()
+    by_column = collections.Counter(r["oe_column"] for r in verbatims)
+    assert by_column == {"likes": 60, "stops": 60, "few": 30}
+    texts = dict(answers(60))
+    for r in verbatims:
+        themes = d["columns"][r["oe_column"]]["themes"]
+        assert r["assigned_themes"] == " | ".join(themes[i - 1]["label"] for i in r["assigned"]) and r["assigned"]
+        assert r["oe_column"] != "likes" or r["verbatim"] == texts[r["id"]]  # as it was written
+    overview = out["themes"].collect()
+    assert {(r["oe_column"], r["theme"]): r["count"] for r in overview} == {
+        (c, t): sum(t in r["assigned"] for r in verbatims if r["oe_column"] == c) for c in by_column for t in (1, 2, 3)}
+    assert all(r["pct"] == pytest.approx(100 * r["count"] / by_column[r["oe_column"]]) for r in overview)
+    assert {r["oe_column"] for r in out["exemplars"].collect()} == set(by_column)
+
+
+def test_themes_without_any_term(spark):
+    empty = spark.createDataFrame([], "id long, text string")
+    signs = spark.createDataFrame([(1, "?!"), (2, "a b"), (3, None)], "id long, text string")
+    for df, n in ((empty, 0), (signs, 2)):
+        out = X.themes(df, "id", "text")
+        assert out["themes"].count() == 0 == out["exemplars"].count() and out["k"] == 0
+        got = out["assignments"].collect()
+        assert len(got) == n and all(r["assigned"] == [] and r["assigned_themes"] == "" for r in got)
+        assert json.loads(out["dictionary"].first()["json"])["columns"] == {"text": {"themes": []}}
+    nothing = X.theme_analysis(empty, "id", ["absent"])
+    assert json.loads(nothing["dictionary"].first()["json"])["columns"] == {} and nothing["assignments"].count() == 0
+    assert nothing["themes"].columns == ["oe_column", "theme", "label", "top_terms", "count", "pct", "pct_1dp"]
