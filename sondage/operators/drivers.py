@@ -1,9 +1,9 @@
 """Driver analysis: which attributes drive liking, from one Gram aggregation.
 
-``gram`` is ONE Spark aggregation per product over listwise-complete rows:
-n, sum(x_i), sum(x_i x_j) (i <= j) for predictors and target.  Partial sums are
-combined map-side, so the exchange carries one row per product per task no
-matter how many respondents there are.  Everything the linear methods need
+``gram`` is ONE Spark pass over listwise-complete rows for all products: n, means and
+centred products of predictors and target.  Tasks merge their batches pairwise, so
+the exchange carries one row per product and task no matter how many respondents
+there are, and large values lose no digits to cancellation.  Everything the linear methods need
 (correlations, standardised OLS, Johnson weights, lasso, condition indices)
 is a p x p computation on that row, done per product inside
 ``applyInPandas`` — the data itself never leaves Spark.
@@ -14,10 +14,11 @@ The random forest is MLlib's; boosted trees and their permutation importance are
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,55 +37,119 @@ def valid_predictors(df: DataFrame, predictors: Sequence[str], threshold: float,
     return {r[group]: [c for c in predictors if r[c] <= threshold] for r in rows}
 
 
+GRAM_SALTS = 64  # first-step merges of a group
+
+
+class Moments:
+    """Count, means and centred products of rows; two of them merge without the cancellation of raw sums."""
+
+    def __init__(self, n: int, mean: np.ndarray, m2: np.ndarray):
+        self.n, self.mean, self.m2 = n, mean, m2
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Moments:
+        mean = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
+        c = x - mean
+        return cls(len(x), mean, c.T @ c)
+
+    def add(self, other: Moments) -> None:
+        n = self.n + other.n
+        if not other.n:
+            return
+        d = other.mean - self.mean
+        self.m2 = self.m2 + other.m2 + np.outer(d, d) * (self.n * other.n / n)
+        self.mean = self.mean + d * (other.n / n)
+        self.n = n
+
+
+def _moment_rows(states: dict, groups: pa.DataType, salt: int) -> pa.RecordBatch:
+    rows = [(g, salt, m.n, m.mean.tolist(), m.m2.ravel().tolist()) for g, m in states.items()]
+    kinds = (groups, pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+    columns = list(zip(*rows, strict=True)) or [[] for _ in kinds]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["g", "salt", "n", "mean", "m2"])
+
+
+def _partial_moments(columns: list, complete: dict | None):
+    """Per task: the moments of each group's complete rows, on the columns that must be complete there."""
+    everything = np.arange(len(columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        states: dict = {}
+        kind = None
+        for batch in batches:
+            kind = batch.column(0).type
+            x = np.stack([batch.column(i + 1).to_numpy(zero_copy_only=False).astype(float) for i in range(len(columns))], axis=1)
+            names = batch.column(0).to_pylist()
+            for g in set(names):
+                need = everything if complete is None else np.array([columns.index(c) for c in complete.get(g, [])], int)
+                if not len(need):
+                    continue
+                own = x[np.array([v == g for v in names])]
+                own = own[~np.isnan(own[:, need]).any(axis=1)]
+                full = np.zeros_like(own)
+                full[:, need] = own[:, need]
+                part = Moments.of(full)
+                if g in states:
+                    states[g].add(part)
+                else:
+                    states[g] = part
+        if states:
+            yield _moment_rows(states, kind, TaskContext.get().partitionId() % GRAM_SALTS)
+
+    return run
+
+
+def _merged_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    states: dict = {}
+    kind = None
+    for batch in batches:
+        kind = batch.column("g").type
+        for g, n, mean, m2 in zip(*(batch.column(c).to_pylist() for c in ("g", "n", "mean", "m2")), strict=True):
+            part = Moments(n, np.array(mean), np.array(m2).reshape(len(mean), len(mean)))
+            if g in states:
+                states[g].add(part)
+            else:
+                states[g] = part
+    if states:
+        yield _moment_rows(states, kind, 0)
+
+
 def gram(df: DataFrame, columns: Sequence[str], group: str = "product",
          complete: dict | None = None) -> DataFrame:
-    """One row per group: n, s_<i>, ss_<i>_<j> over rows complete on the group's columns.
+    """One row per group: n, mean (per column) and m2 (centred products, columns x columns) of its complete rows.
 
-    ``complete`` maps group -> the columns that must be non-null (listwise
-    deletion); by default all ``columns``.
+    ``complete`` maps group -> the columns that must be non-null (listwise deletion) and are counted;
+    by default all ``columns``.  Groups without a complete row are left out, as are null groups.  Each
+    task merges its batches, and tasks merge in two steps, so no task reads a row of every other.
     """
     cols = list(columns)
-    x = df.select(group, *[F.col(c).cast("double").alias(c) for c in cols])
-    if complete is None:
-        cond = F.lit(True)
-        for c in cols:
-            cond = cond & F.col(c).isNotNull()
-    else:
-        cond = F.lit(False)
-        for g, cs in complete.items():
-            cg = F.col(group) == F.lit(g)
-            for c in cs:
-                cg = cg & F.col(c).isNotNull()
-            cond = cond | cg
-    x = x.where(cond)
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.sum(c).alias(f"s_{i}") for i, c in enumerate(cols)]
-    aggs += [F.sum(F.col(a) * F.col(b)).alias(f"ss_{i}_{j}")
-             for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
-    return x.groupBy(group).agg(*aggs)
+    x = df.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    kind = dict(df.dtypes)[group]
+    schema = f"g {kind}, salt int, n long, mean array<double>, m2 array<double>"
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = x.mapInArrow(_partial_moments(cols, complete), schema)
+    part = part.repartition(tasks, "g", "salt").mapInArrow(_merged_moments, schema)
+    whole = part.repartition(tasks, "g").mapInArrow(_merged_moments, schema)
+    return whole.where("n > 0").select(F.col("g").alias(group), "n", "mean", "m2")
 
 
 def gram_long(g: DataFrame, columns: Sequence[str], group: str = "product") -> DataFrame:
+    """(group, n, var_i, var_j, s): sums of products, raw, of each pair of columns."""
     cols = list(columns)
-    names = [f"ss_{i}_{j}" for i in range(len(cols)) for j in range(len(cols)) if j >= i]
-    lab = F.create_map(*[x for i in range(len(cols)) for j in range(len(cols)) if j >= i
-                         for x in (F.lit(f"ss_{i}_{j}"), F.struct(F.lit(cols[i]).alias("a"),
-                                                                    F.lit(cols[j]).alias("b")))])
-    u = g.select(group, "n", *names).unpivot([group, "n"], names, "k", "s")
-    return u.select(group, "n", lab[F.col("k")]["a"].alias("var_i"), lab[F.col("k")]["b"].alias("var_j"), "s")
+    p = len(cols)
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(cols[i]).alias("var_i"), F.lit(cols[j]).alias("var_j"))
+                      for i in range(p) for j in range(i, p)])
+    u = g.withColumn("pair", F.explode(pairs))
+    s = F.col("m2")[F.col("pair.i") * p + F.col("pair.j")] + F.col("n") * F.col("mean")[F.col("pair.i")] * F.col("mean")[F.col("pair.j")]
+    return u.select(group, "n", "pair.var_i", "pair.var_j", s.alias("s"))
 
 
 def _moments(row: pd.Series, p: int):
     """(n, mean vector, population covariance) from one Gram row."""
     n = float(row["n"])
-    s = np.array([row[f"s_{i}"] for i in range(p)], dtype=float)
-    ss = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            ss[i, j] = ss[j, i] = row[f"ss_{i}_{j}"]
-    m = s / n
-    cov = ss / n - np.outer(m, m)
-    return n, m, cov
+    return n, np.array(row["mean"], dtype=float), np.array(row["m2"], dtype=float).reshape(p, p) / n
 
 
 def _corr(cov: np.ndarray):

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import PREDICTORS, TARGET, survey_wide
+from ..fixtures import PREDICTORS, SCORED, TARGET, survey_wide
 from ..operators import drivers as D
 from .registry import query
 
 WIDE = ("survey_wide",)
 TWO = ["ten_taste", "ten_aroma"]
-GRAM_COLS = ["ten_taste", "ten_aroma", "liking"]
+GRAM_COLS = SCORED
 
 
 def _gram_sql() -> str:
@@ -79,6 +79,29 @@ def ols_signed(spark, sf):
     return D.ols_signed(survey_wide(spark, sf), TWO, TARGET)
 
 
+@query("ols_signed_full", views=WIDE)
+def ols_signed_full(spark, sf):
+    return D.ols_signed(survey_wide(spark, sf), PREDICTORS, TARGET)
+
+
+COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in [*PREDICTORS, TARGET])
+
+
+@query("ols_normal_equations", "\nUNION ALL ".join(
+    f"SELECT product, '{c}' AS variable, COUNT(*) AS n_rows, 0.0 AS residual FROM survey_wide WHERE {COMPLETE} GROUP BY product"
+    for c in PREDICTORS), views=WIDE)
+def ols_normal_equations(spark, sf):
+    """Covariance of each predictor with what the fit over all predictors leaves over: zero to six places."""
+    wide = survey_wide(spark, sf).select("product", *PREDICTORS, TARGET).dropna(subset=[*PREDICTORS, TARGET])
+    fit = D.ols_signed(wide, PREDICTORS, TARGET, standardize=False).groupBy("product").agg(
+        F.map_from_entries(F.collect_list(F.struct("variable", "ols_coefficient"))).alias("b"))
+    fitted = sum((F.col(c) * F.col("b")[c] for c in PREDICTORS), F.lit(0.0))
+    left = wide.join(F.broadcast(fit), "product").withColumn("left", F.col(TARGET) - fitted)  # a row per product
+    each = left.groupBy("product").agg(F.count(F.lit(1)).alias("n_rows"), *[F.covar_pop(c, "left").alias(c) for c in PREDICTORS])
+    long = each.unpivot(["product", "n_rows"], PREDICTORS, "variable", "residual")
+    return long.select("product", "variable", "n_rows", (F.round("residual", 6) + 0.0).alias("residual"))
+
+
 @query("condition_index", """
 WITH c AS (SELECT product, abs(corr(ten_taste, ten_aroma)) AS r FROM survey_wide
            WHERE ten_taste IS NOT NULL AND ten_aroma IS NOT NULL GROUP BY product),

@@ -318,3 +318,28 @@ def test_columns_table(spark):
     from sondage.operators import discovery as Q
     df = spark.createDataFrame([(1, "a")], "customerid long, attribute string")
     assert [tuple(r) for r in Q.columns_table(df).collect()] == [(1, "customerid", "bigint"), (2, "attribute", "string")]
+
+
+def test_gram_merges_centred_partials(spark):
+    """Large values keep their correlations; groups have column sets of their own."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 3)) + 1e9
+    rows = [("P" if i % 2 else "Q", *(float(v) for v in r[:2]), None if i % 7 == 0 else float(r[2])) for i, r in enumerate(x)]
+    df = spark.createDataFrame([*rows, (None, 1.0, 2.0, 3.0), ("R", None, None, None)], "product string, a double, b double, c double").repartition(9)
+    got = {r["product"]: r for r in D.gram(df, ["a", "b", "c"], complete={"P": ["a", "b"], "Q": ["a", "b", "c"], "R": ["a"]}).collect()}
+    assert set(got) == {"P", "Q"}
+    for g, cols in (("P", [0, 1]), ("Q", [0, 1, 2])):
+        own = x[[i for i, r in enumerate(rows) if r[0] == g and (g == "P" or r[3] is not None)]][:, cols]
+        cov = np.array(got[g]["m2"]).reshape(3, 3)[np.ix_(cols, cols)] / got[g]["n"]
+        assert got[g]["n"] == len(own) and cov == pytest.approx(np.cov(own.T, bias=True), abs=1e-6)
+    assert D.gram(df.limit(0), ["a", "b"]).count() == 0
+
+
+def test_wide_gram_is_one_pass(spark):
+    """300 predictors and hundreds of products."""
+    cols = [f"x{i}" for i in range(300)]
+    df = spark.range(600).select((F.col("id") % 300).cast("string").alias("product"), *[(F.col("id") * (i + 1) % 17).cast("double").alias(c) for i, c in enumerate(cols)])
+    g = D.gram(df, cols, complete={str(p): cols[: 10 + p % 5] for p in range(300)})
+    assert g.count() == 300 and g.agg(F.sum("n")).first()[0] == 600
