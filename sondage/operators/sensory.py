@@ -61,6 +61,9 @@ def cata_mcnemar(wide: DataFrame, columns: Sequence[str], key: str = "customer_i
                                         F.element_at(F.split(F.concat(F.lit(col + "_"), "token"), "_"), -1)
                                         .alias("attribute"),
                                         F.col("b").cast("long").alias("b"), F.col("c").cast("long").alias("c")))
+    if not parts:
+        return wide.sparkSession.createDataFrame([], "name1 string, name2 string, question string, token string, attribute string, b long, c long,"
+                                                     " p_value double")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

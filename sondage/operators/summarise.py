@@ -129,7 +129,7 @@ def crosstab(wide: DataFrame, pairs: Mapping[str, Sequence[str]], group: Sequenc
              ) -> DataFrame:
     """Long contingency counts (group, name, value1, value2, n); NULL on either side excluded.
 
-    Pairs that do not name exactly two existing columns are skipped.
+    Pairs that do not name exactly two existing columns are skipped; without any other no rows.
     """
     parts = []
     for name, cols in pairs.items():
@@ -140,6 +140,9 @@ def crosstab(wide: DataFrame, pairs: Mapping[str, Sequence[str]], group: Sequenc
                      .groupBy(*group, F.col(a).cast("double").alias("value1"),
                               F.col(b).cast("double").alias("value2"))
                      .agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.lit(name)))
+    if not parts:
+        empty = wide.where(F.lit(False))
+        return empty.select(*group, F.lit("").alias("name"), *[F.lit(0.0).alias(v) for v in ("value1", "value2")], F.lit(0).cast("long").alias("n"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -211,6 +214,9 @@ def cata_counts(wide: DataFrame, columns: Sequence[str], group: Sequence[str] =
         parts.append(joined.select(*group, F.lit(c).alias("question"), S.cata_sheet_name(F.lit(c)).alias("sheet"),
                                    "attribute", F.col("count").cast("long").alias("count"),
                                    (F.col("count") * 100.0 / F.col("_base")).alias("percentage")))
+    if not parts:
+        return wide.where(F.lit(False)).select(*group, *[F.lit("").alias(c) for c in ("question", "sheet", "attribute")],
+                                               F.lit(0).cast("long").alias("count"), F.lit(0.0).alias("percentage"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -1,8 +1,9 @@
 """Open-ended text: spelling normalisation, translation memory, themes.
 
-* Spelling: exact candidates by segments (of a dictionary word's three segments two
-  edits leave one untouched, so it occurs in the query word near its place), a join
-  on those keys, of which a word has a bounded number, ``levenshtein`` on the candidates, and the best candidate by
+* Spelling: exact candidates by keys.  Short dictionary words are met by leaving out up to two
+  letters on both sides (words within two edits have such a rest in common), long ones by
+  segments (of three, two edits leave one untouched, so it occurs in the query word near its
+  place).  A word has a bounded number of keys; ``levenshtein`` on the candidates, and the best by
   (distance, -frequency, word).  Only DISTINCT words are corrected; the
   word -> correction map is joined back.
 * Translation: a translation-memory join keyed by (language, text hash).
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..partitioning import balance
+from ..session import scratch_path
 from .themes import theme_analysis, themes  # noqa: F401
 
 # Word characters as Python 3 regexes see them (letters, digits, underscore in any script);
@@ -35,26 +37,42 @@ def _segment(length: str, i: str) -> tuple[str, str]:
     return f"({i} * ({length} div 3) + least({i}, {length} % 3))", f"({length} div 3 + IF({i} < {length} % 3, 1, 0))"
 
 
-def _own_segments(word: str):
-    """Keys of a dictionary word: its length, and each of its three segments (or that it is short)."""
+SHORT = 12  # dictionary words up to this length are met by deletions, longer ones by segments of five letters or so
+
+
+def _deletions(word: str, max_d: int) -> str:
+    """``word`` with up to ``max_d`` letters left out, in all ways, as SQL.
+
+    Two words within that many edits of one another have one of these in common.
+    """
+    one = f"transform(sequence(1, char_length({word})), i -> concat(substr({word}, 1, i - 1), substr({word}, i + 1)))"
+    two = (f"flatten(transform(sequence(2, greatest(char_length({word}), 2)), j -> transform(sequence(1, j - 1), i ->"
+           f" concat(substr({word}, 1, i - 1), substr({word}, i + 1, j - i - 1), substr({word}, j + 1)))))")
+    return f"array_distinct(concat(array({word}){f', {one}' if max_d > 0 else ''}{f', {two}' if max_d > 1 else ''}))"
+
+
+def _own_keys(word: str, max_d: int):
+    """Keys of a dictionary word: if short, itself with letters left out; else its length with each of its three segments."""
     start, size = _segment(f"char_length({word})", "i")
-    return F.expr(f"IF(char_length({word}) < 3, array(concat(char_length({word}), '|')), transform(sequence(0, 2), i ->"
-                  f" concat_ws('|', char_length({word}), i, substr({word}, {start} + 1, {size}))))")
+    return F.expr(f"""IF(char_length({word}) <= {SHORT}, transform({_deletions(word, max_d)}, d -> concat('-', d)),
+        transform(sequence(0, 2), i -> concat_ws('|', char_length({word}), i, substr({word}, {start} + 1, {size}))))""")
 
 
-def _met_segments(word: str, max_d: int):
+def _met_keys(word: str, max_d: int):
     """Keys of every dictionary word that ``word`` may be within ``max_d`` (at most 2) edits of.
 
-    Of a word's three segments two edits leave one untouched, at most ``max_d`` places off.
-    The keys number at most (2 max_d + 1) lengths x 3 segments x (2 max_d + 1) places,
-    however long the word is.
+    Short words are met by deletions.  Of a long word's three segments two edits leave one
+    untouched, at most ``max_d`` places off.  However long the word is, its keys are bounded.
     """
     start, size = _segment("l", "i")
     at = f"({start} + 1 + s)"
-    return F.expr(f"""array_distinct(filter(flatten(transform(sequence(greatest(char_length({word}) - {max_d}, 1), char_length({word}) + {max_d}), l ->
-        IF(l < 3, array(concat(l, '|')), flatten(transform(sequence(0, 2), i -> transform(sequence(-{max_d}, {max_d}), s ->
-          IF({at} >= 1 AND {at} + {size} - 1 <= char_length({word}), concat_ws('|', l, i, substr({word}, {at}, {size})), NULL))))))),
-        k -> k IS NOT NULL))""")
+    return F.expr(f"""concat(
+        IF(char_length({word}) BETWEEN 1 AND {SHORT + max_d}, transform({_deletions(word, max_d)}, d -> concat('-', d)), array()),
+        IF(char_length({word}) + {max_d} > {SHORT}, array_distinct(filter(flatten(transform(
+          sequence(greatest(char_length({word}) - {max_d}, {SHORT + 1}), char_length({word}) + {max_d}), l ->
+            flatten(transform(sequence(0, 2), i -> transform(sequence(-{max_d}, {max_d}), s ->
+              IF({at} >= 1 AND {at} + {size} - 1 <= char_length({word}), concat_ws('|', l, i, substr({word}, {at}, {size})), NULL)))))),
+          k -> k IS NOT NULL)), array()))""")
 
 
 def word_counts(df: DataFrame, column: str, lower: bool = True) -> DataFrame:
@@ -64,19 +82,28 @@ def word_counts(df: DataFrame, column: str, lower: bool = True) -> DataFrame:
             .groupBy("word").agg(F.count(F.lit(1)).alias("freq")))
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """Write under the shared scratch folder and read again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spelling_corrections(words: DataFrame, dictionary: DataFrame, max_distance: int = 2) -> DataFrame:
     """(word, corrected) for distinct ``words``: known words map to themselves; unknown words
     to the closest dictionary word (distance 1 before 2, then frequency, then alphabetical),
     or to themselves when nothing is within ``max_distance``."""
-    w = words.select("word").distinct()
-    dic = dictionary.select(F.col("word").alias("cand"), "freq")
+    # both sides are read several times, and may cost a scan of a corpus each
+    w = _written(words.select("word").distinct(), "spell-words")
+    dic = _written(dictionary.select(F.col("word").alias("cand"), "freq"), "spell-dictionary")
     known = w.join(dic, w["word"] == dic["cand"], "left_semi")
     unknown = w.join(dic, w["word"] == dic["cand"], "left_anti")
     if max_distance > 2:
         raise ValueError("words are matched by three segments, which bears two edits at most")
-    qk = unknown.select("word", F.explode(_met_segments("word", max_distance)).alias("key"))
-    dk = dic.where(F.col("cand") != "").select("cand", "freq", F.explode(_own_segments("cand")).alias("key"))
-    cands = (qk.join(dk, "key").select("word", "cand", "freq").distinct()
+    qk = unknown.select("word", F.explode(_met_keys("word", max_distance)).alias("key"))
+    dk = dic.where(F.col("cand") != "").select("cand", "freq", F.explode(_own_keys("cand", max_distance)).alias("key"))
+    near = F.abs(F.char_length("word") - F.char_length("cand")) <= max_distance
+    cands = (qk.join(dk, "key").where(near).select("word", "cand", "freq").distinct()
              .withColumn("dist", F.levenshtein("word", "cand", max_distance))
              .where((F.col("dist") >= 0) & (F.col("dist") <= max_distance)))
     win = Window.partitionBy("word").orderBy("dist", F.desc("freq"), "cand")
@@ -90,13 +117,14 @@ def spell_summary(df: DataFrame, columns: Sequence[str], dictionary: DataFrame,
     """Comma items, trimmed and lower-cased, blanks dropped, each word spell-corrected;
     counts and percent of items (2 dp, half-even) per column, largest first."""
     parts = []
+    dictionary = _written(dictionary.select("word", "freq"), "spell-dictionary") if len(columns) > 1 else dictionary
     for c in columns:
         if c not in df.columns:
             raise ValueError(f"Column '{c}' not found.")
         items = (balance(df.select(c), c).where(F.col(c).isNotNull())
                  .select(F.explode(F.split(F.col(c).cast("string"), ",")).alias("item"))
                  .select(F.lower(S.strip_whitespace("item")).alias("item")).where(F.col("item") != ""))
-        ic = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+        ic = _written(items.groupBy("item").agg(F.count(F.lit(1)).alias("n")), "spell-items")
         toks = ic.select("item", F.posexplode(F.regexp_extract_all("item", F.lit(WORD_SPLIT), 1)).alias("pos", "tok"))
         is_word = F.col("tok").rlike(f"^{WORD}+$")
         said = toks.where(is_word)
@@ -108,7 +136,8 @@ def spell_summary(df: DataFrame, columns: Sequence[str], dictionary: DataFrame,
         rebuilt = fixed.groupBy("item").agg(
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda s: s["tok"]),
                          "").alias("corrected"))
-        cnt = ic.join(rebuilt, "item").groupBy("corrected").agg(F.sum("n").alias("count"))
+        # written, or the total would run all of the above once more
+        cnt = _written(ic.join(rebuilt, "item").groupBy("corrected").agg(F.sum("n").alias("count")), "spell-counts")
         tot = cnt.select(F.sum("count")).scalar()  # scalar subquery, no single-partition window
         parts.append(cnt.select(F.lit(c).alias("question"), F.col("corrected").alias("item"),
                                 F.col("count").cast("long").alias("count"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import read_table, survey_eav, survey_wide
+from ..fixtures import SCORED, TARGET, read_table, survey_eav, survey_wide
 from ..functions import scalar as S
 from ..operators import clean as C
 from ..operators import reshape as R
@@ -203,3 +203,18 @@ def safe_labels(spark, sf):
     d = read_table(spark, sf, "documents")
     return d.select("doc_id", S.sanitize_filename("text").alias("filename"),
                     S.clean_sheet_name("text").alias("sheet"), S.cata_sheet_name("text").alias("cata_sheet"))
+
+
+LEAKY = ["jar_sweet"]
+
+
+@query("predictor_set", "\nUNION ALL ".join(
+    f"SELECT {i + 1} AS place, '{c}' AS variable, product, COUNT({c}) AS answered FROM survey_wide GROUP BY product"
+    for i, c in enumerate(["ten_taste", "ten_aroma", "ten_foam", "t2b_store", "jar_thick"])), views=WIDE)
+def predictor_set(spark, sf):
+    """Predictors without target, excluded and repeated columns, in order, and how often each is answered per product."""
+    w = survey_wide(spark, sf)
+    kept = C.predictor_set([*SCORED, "ten_taste"], TARGET, LEAKY)
+    answered = w.groupBy("product").agg(*[F.count(c).alias(c) for c in kept]).unpivot(["product"], kept, "variable", "answered")
+    place = F.array_position(F.array(*[F.lit(c) for c in kept]), F.col("variable")).cast("int")
+    return answered.select(place.alias("place"), "variable", "product", "answered")

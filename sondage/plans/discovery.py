@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..fixtures import survey_eav
 from ..operators import discovery as D
 from .registry import query
@@ -14,6 +16,20 @@ PRODUCTS = ["Product_STANDARD", "Product_LARGE"]
 STUDY = "Study_Brand#13"
 
 
+COLUMNS = ("customerid productname missiondesc attribute answerscore answer questionid question scaletype responseid questiongroup "
+           "questionsubgroup questionsubgroup2 year country studyname project_name originalsurveytype daynumber").split()
+
+
+@query("sx_1a_columns", "\nUNION ALL ".join(
+    f"SELECT {i + 1} AS ordinal, '{c}' AS column_name, COUNT({c}) AS filled FROM survey_eav" for i, c in enumerate(COLUMNS)))
+def sx_1a_columns(spark, sf):
+    """The view's columns in order, each with its number of filled cells."""
+    eav = survey_eav(spark, sf)
+    names = eav.columns
+    filled = eav.agg(*[F.count(c).alias(c) for c in names]).unpivot([], names, "column_name", "filled")
+    return D.columns_table(eav).join(F.broadcast(filled), "column_name").select("ordinal", "column_name", "filled")
+
+
 @query("sx_1b_sample", f"""
 SELECT questionid, question, attribute, answer, answerscore, scaletype FROM survey_eav
 WHERE answer IS NOT NULL AND year = {YEAR} ORDER BY responseid, questionid LIMIT 50""")

@@ -81,7 +81,8 @@ def combine_files(spark, sf):
     root = scratch_path(spark, "exports")
     w = survey_wide(spark, sf)
     paths = []
-    for prod, hdr in HEADERS.items():
+    for prod in sorted(r[0] for r in w.select("product").distinct().collect()):  # a file per product
+        hdr = HEADERS.get(prod, HEADERS["R"])
         p = f"{root}/{prod}"
         w.where(F.col("product") == prod).select(*[F.col(k).alias(v) for k, v in hdr.items()], "email") \
             .write.option("header", True).csv(p)
@@ -173,3 +174,29 @@ def safe_labels_unique(spark, sf):
     from ..functions.scalar import safe_sheet_labels
     e = survey_eav(spark, sf).select("attribute").distinct()
     return safe_sheet_labels(e, "attribute", "_Summary")
+
+
+def _lists_json(rows, name: str, value: str, path: str) -> None:
+    """One JSON object of lists: every ``name`` with the distinct values of ``value``."""
+    names = sorted(r[0] for r in rows.select(name).distinct().collect())  # roles or scale levels
+    lists = [F.collect_set(F.when(F.col(name) == n, F.col(value))).alias(str(n)) for n in names]
+    rows.select(name, value).distinct().agg(*lists).coalesce(1).write.json(path)
+
+
+@query("config_dim", "SELECT DISTINCT scaletype AS role, attribute AS question FROM survey_eav")
+def config_dim(spark, sf):
+    """The questions of each scale, as a study configuration written from the responses."""
+    path = scratch_path(spark, "study-config")
+    _lists_json(survey_eav(spark, sf), "scaletype", "attribute", path)
+    return SF.config_dim(spark, path)
+
+
+@query("likert_dim", """
+SELECT DISTINCT CAST(answerscore AS INTEGER) AS level, answer AS label FROM survey_eav
+WHERE answerscore IS NOT NULL AND answer IS NOT NULL""")
+def likert_dim(spark, sf):
+    """The answers given at each score, as a level file written from the responses."""
+    path = scratch_path(spark, "likert-levels")
+    e = survey_eav(spark, sf).where("answerscore IS NOT NULL AND answer IS NOT NULL")
+    _lists_json(e.withColumn("level", F.concat(F.lit("level_"), F.col("answerscore").cast("int"))), "level", "answer", path)
+    return SF.likert_dim(spark, path)

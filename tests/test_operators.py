@@ -343,3 +343,11 @@ def test_wide_gram_is_one_pass(spark):
     df = spark.range(600).select((F.col("id") % 300).cast("string").alias("product"), *[(F.col("id") * (i + 1) % 17).cast("double").alias(c) for i, c in enumerate(cols)])
     g = D.gram(df, cols, complete={str(p): cols[: 10 + p % 5] for p in range(300)})
     assert g.count() == 300 and g.agg(F.sum("n")).first()[0] == 600
+
+
+def test_reports_without_a_usable_column_are_empty(spark):
+    df = spark.createDataFrame([("P", 1, 2.0)], "product string, customer_id int, a double")
+    assert A.crosstab(df, {"x": ["a"], "y": ["a", "absent"]}).columns == ["product", "name", "value1", "value2", "n"]
+    assert A.crosstab(df, {}).count() == 0 == A.cata_counts(df, []).count()
+    assert A.cata_counts(df, []).columns == ["product", "question", "sheet", "attribute", "count", "percentage"]
+    assert E.cata_mcnemar(df, []).count() == 0

@@ -245,3 +245,33 @@ def test_themes_without_any_term(spark):
     nothing = X.theme_analysis(empty, "id", ["absent"])
     assert json.loads(nothing["dictionary"].first()["json"])["columns"] == {} and nothing["assignments"].count() == 0
     assert nothing["themes"].columns == ["oe_column", "theme", "label", "top_terms", "count", "pct", "pct_1dp"]
+
+
+def test_spelling_of_long_and_odd_words(spark):
+    """Around the length where segments take over, edits at every place, and words of one letter."""
+    rnd = random.Random(12)
+    base = ["".join(rnd.choices("abcdef", k=n)) for n in range(1, 19) for _ in range(4)]
+    dic = {w: rnd.randint(1, 9) for w in base}
+    queries = set()
+    for w in base:
+        for _ in range(6):
+            q = list(w)
+            for _ in range(rnd.randint(1, 3)):
+                at = rnd.randrange(len(q) + 1)
+                q[at:at + rnd.randint(0, 1)] = rnd.choice(["", "a", "é", "x"])
+            queries.add("".join(q))
+    queries.discard("")
+    exp = {}
+    for q in queries:
+        near = [(d, -f, w) for w, f in dic.items() if abs(len(w) - len(q)) <= 2 and (d := lev(q, w)) <= 2]
+        exp[q] = q if q in dic else min(near)[2] if near else q
+    got = X.spelling_corrections(spark.createDataFrame([(q,) for q in queries], "word string"),
+                                 spark.createDataFrame(list(dic.items()), "word string, freq long"))
+    assert {r["word"]: r["corrected"] for r in got.collect()} == exp
+
+
+def test_spelling_keys_are_selective(spark):
+    """Short words of an alphabet: a key meets few of them."""
+    words = ["".join(p) for p in itertools.product("abcdefgh", repeat=4)]
+    keys = spark.createDataFrame([(w,) for w in words], "word string").select(F.explode(X._own_keys("word", 2)).alias("k"))
+    assert keys.groupBy("k").count().agg(F.max("count")).first()[0] < len(words) / 10
