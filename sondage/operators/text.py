@@ -100,12 +100,14 @@ def spelling_corrections(words: DataFrame, dictionary: DataFrame, max_distance:
     unknown = w.join(dic, w["word"] == dic["cand"], "left_anti")
     if max_distance > 2:
         raise ValueError("words are matched by three segments, which bears two edits at most")
-    qk = unknown.select("word", F.explode(_met_keys("word", max_distance)).alias("key"))
-    dk = dic.where(F.col("cand") != "").select("cand", "freq", F.explode(_own_keys("cand", max_distance)).alias("key"))
+    # dealt by number: words are few bytes but many keys, and AQE would put them into one task by their bytes
+    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    qk = unknown.repartition(n, "word").select("word", F.explode(_met_keys("word", max_distance)).alias("key")).repartition(n, "key")
+    dk = dic.where(F.col("cand") != "").repartition(n, "cand").select(
+        "cand", "freq", F.explode(_own_keys("cand", max_distance)).alias("key")).repartition(n, "key")
     near = F.abs(F.char_length("word") - F.char_length("cand")) <= max_distance
-    cands = (qk.join(dk, "key").where(near).select("word", "cand", "freq").distinct()
-             .withColumn("dist", F.levenshtein("word", "cand", max_distance))
-             .where((F.col("dist") >= 0) & (F.col("dist") <= max_distance)))
+    cands = (qk.join(dk, "key").where(near).withColumn("dist", F.levenshtein("word", "cand", max_distance))
+             .where((F.col("dist") >= 0) & (F.col("dist") <= max_distance)).select("word", "cand", "freq", "dist").distinct())
     win = Window.partitionBy("word").orderBy("dist", F.desc("freq"), "cand")
     best = cands.withColumn("_r", F.row_number().over(win)).where("_r = 1").select("word", "cand")
     fixed = unknown.join(best, "word", "left").select("word", F.coalesce("cand", "word").alias("corrected"))
