@@ -12,6 +12,7 @@ from ..session import scratch_path
 from ..sources import files as SF
 from ..sources import sinks as SK
 from ..sources.store import TableStore
+from ..sources.versions import VersionedStore
 from .registry import query
 
 WIDE = ("survey_wide",)
@@ -104,27 +105,20 @@ def store_roundtrip(spark, sf):
 @query("store_list", """
 SELECT concat('Product ', product) AS key, COUNT(*) AS rows FROM survey_wide GROUP BY product""", views=WIDE)
 def store_list(spark, sf):
-    store = TableStore(spark, prefix="lst_")
-    for key in store.list():  # of an earlier run in this session
-        store.delete(key)
+    store = VersionedStore(spark)
     w = survey_wide(spark, sf)
-    for r in w.select("product").distinct().collect():  # one row per product studied
-        store.save(w.where(F.col("product") == r[0]), f"Product {r[0]}")
+    store.save_all(w.withColumn("key", F.concat(F.lit("Product "), "product")), "key")  # all products in one job
     store.save(w.limit(0), "scratch")
     store.delete("scratch")
-    counted = [(k, store.load(k).count()) for k in store.list()]
-    return spark.createDataFrame(counted, "key string, rows long")
+    return store.load_many(store.list()).groupBy(F.col("store_key").alias("key")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("store_load_many", """
 SELECT product AS store_key, COUNT(*) AS rows, SUM(liking) AS liking FROM survey_wide GROUP BY product""", views=WIDE)
 def store_load_many(spark, sf):
-    store = TableStore(spark, prefix="many_")
-    w = survey_wide(spark, sf)
-    keys = [r[0] for r in w.select("product").distinct().collect()]  # one row per product studied
-    for k in keys:
-        store.save(w.where(F.col("product") == k).drop("product"), k)
-    return store.load_many([*keys, "absent"]).groupBy("store_key").agg(
+    store = VersionedStore(spark)
+    store.save_all(survey_wide(spark, sf), "product")
+    return store.load_many([*store.list(), "absent"]).groupBy("store_key").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("liking").alias("liking"))
 
 
