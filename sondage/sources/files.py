@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # Encodings the CSV reader accepts for the audit's verdicts.
 UTF8 = "UTF-8"
 LATIN1 = "ISO-8859-1"
+WINDOWS = "windows-1252"
 
 
 def _csv(spark: SparkSession, multiline: bool, encoding: str = UTF8):
@@ -78,17 +79,32 @@ def combine_files(spark: SparkSession, paths: Sequence[str], column_mapping: Map
 
 
 def encoding_audit(spark: SparkSession, path_glob: str) -> DataFrame:
-    """Tell each file's encoding from all its bytes, as one Spark job over many files.
+    """(path, n_bytes, encoding) of each plain file from all its bytes, as one Spark job over splits of all files.
 
-    BOMs decide first; otherwise the whole content must be valid UTF-8, else ISO-8859-1.
-    A file is one cell, so it is bounded by what a cell holds (2 GB).
+    Files are read by line, as bytes: a line end is a byte of its own in UTF-8, so a file is
+    valid UTF-8 if its lines are, and any number of splits and tasks may judge it.  A cell holds a line, not a
+    file.  In this order: a byte order mark (UTF-8-SIG, UTF-16); a tenth or more NUL bytes (UTF-16LE
+    or UTF-16BE, by the place of the first one); valid UTF-8; bytes 80 to 9F, which are
+    letters and signs in Windows-1252 only; else ISO-8859-1.  Spark's readers pass over empty files.
     """
-    files = spark.read.format("binaryFile").load(path_glob).select("path", "content")
-    hexh = F.hex(F.substring(F.col("content"), 1, 4))
-    enc = (F.when(hexh.startswith("EFBBBF"), "UTF-8-SIG")
-           .when(hexh.startswith("FFFE") | hexh.startswith("FEFF"), "UTF-16")
-           .when(F.is_valid_utf8(F.col("content").cast("string")), UTF8).otherwise(LATIN1))
-    return files.select("path", F.length("content").alias("n_bytes"), enc.alias("encoding"))
+    files = spark.read.format("binaryFile").load(path_glob).select(F.col("_metadata.file_path").alias("file"), "path", F.col("length").alias("n_bytes"))
+    raw = spark.read.option("lineSep", "\n").text(path_glob)
+    size = F.octet_length("value")
+    valid = F.is_valid_utf8("value")
+    latin = F.decode(F.col("value").cast("binary"), LATIN1)
+    lines = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start"), "value").select(
+        "file", F.struct(F.col("file_block_start"), F.monotonically_increasing_id().alias("row"),
+                         F.hex(F.substring(F.col("value").cast("binary"), 1, 4)).alias("head")).alias("place"),
+        size.alias("size"), (size - F.octet_length(F.replace("value", F.lit("\x00"), F.lit("")))).alias("nul"), valid.alias("valid"),
+        (~valid & latin.rlike("[\u0080-\u009f]")).alias("signs"))
+    stats = lines.groupBy("file").agg(F.min("place")["head"].alias("head"), (F.sum("size") + F.count(F.lit(1))).alias("seen"), F.sum("nul").alias("nul"),
+                                      F.bool_and("valid").alias("valid"), F.bool_or("signs").alias("signs"))
+    # the line reader takes off a UTF-8 byte order mark: three bytes are missing (one may be counted for a missing last line end)
+    encoding = (F.when(F.col("n_bytes") - F.coalesce("seen", F.lit(0)) >= 2, "UTF-8-SIG")
+                .when(F.col("head").startswith("FFFE") | F.col("head").startswith("FEFF"), "UTF-16")
+                .when(F.col("nul") * 10 >= F.col("n_bytes"), F.when(F.col("head").startswith("00"), "UTF-16BE").otherwise("UTF-16LE"))
+                .when(F.col("valid"), UTF8).when(F.col("signs"), WINDOWS).otherwise(LATIN1))
+    return files.join(stats, "file", "left").select("path", "n_bytes", encoding.alias("encoding"))
 
 
 def config_dim(spark: SparkSession, path: str) -> DataFrame:

@@ -133,3 +133,27 @@ def test_maxdiff_malformed(spark):
     from sondage.operators import summarise as A
     df = spark.createDataFrame([("P", "a:M,b"), ("P", "c:L"), ("P", None)], "product string, md string")
     assert [tuple(r) for r in A.maxdiff_malformed(df, ["md"], ["product"]).collect()] == [("P", "md", 3, 1)]
+
+
+def test_encoding_audit_of_every_kind(spark):
+    """Over several splits; a character at a split, a long line, no last line end, an empty file."""
+    d = _tmp()
+    text = "crème,brûlée\n" * 3000
+    planted = {"utf8": text.encode(), "utf8-no-end": text.strip().encode(), "sig": text.encode("utf-8-sig"), "sig-no-end": "a,é".encode("utf-8-sig"),
+               "latin": text.encode("latin-1"), "windows": (text + "“quoted” – 5 €\n").encode("windows-1252"), "ascii": b"a,b\r\n" * 900,
+               "u16": text.encode("utf-16"), "u16le": text.encode("utf-16-le"), "u16be": text.encode("utf-16-be"), "empty": b"", "sig-only": b"\xef\xbb\xbf",
+               "long": "é".encode() * 200_000, "cut-off": "é".encode()[:1] + b"\n" + "é".encode()[1:], "late": text.encode() + b"\xe9\n", "ends": b"\n\n\n"}
+    for name, content in planted.items():
+        with open(os.path.join(d, name), "wb") as f:
+            f.write(content)
+    limit = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "4097")
+    try:
+        got = {os.path.basename(r["path"]): (r["n_bytes"], r["encoding"]) for r in SF.encoding_audit(spark, f"{d}/*").collect()}
+    finally:
+        spark.conf.set(limit, before)
+    want = {"utf8": "UTF-8", "utf8-no-end": "UTF-8", "sig": "UTF-8-SIG", "sig-no-end": "UTF-8-SIG", "latin": "ISO-8859-1", "windows": "windows-1252",
+            "ascii": "UTF-8", "u16": "UTF-16", "u16le": "UTF-16LE", "u16be": "UTF-16BE", "sig-only": "UTF-8-SIG", "long": "UTF-8",
+            "cut-off": "ISO-8859-1", "late": "ISO-8859-1", "ends": "UTF-8"}
+    assert got == {k: (len(planted[k]), e) for k, e in want.items()} and set(planted) - set(got) == {"empty"}
