@@ -119,13 +119,13 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
             out.write(struct.pack(FOOTER, at, len(rows), sha, MAGIC))
             out.close()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([file]), pa.array(rows[:1, 0]), pa.array([len(rows)], pa.int64()), pa.array([int(rows[:, 1].sum())], pa.int64())],
-                names=["path", "first_id", "n_docs", "n_tokens"])
+                [pa.array([file]), pa.array(rows[:1, 0]), pa.array(rows[-1:, 0]), pa.array([len(rows)], pa.int64()),
+                 pa.array([int(rows[:, 1].sum())], pa.int64())], names=["path", "first_id", "last_id", "n_docs", "n_tokens"])
 
     manifest = written(frames.repartitionByRange(int(shards), "id", "frame").sortWithinPartitions("id", "frame")
-                       .mapInArrow(store, "path string, first_id long, n_docs long, n_tokens long"), "token-manifest")
-    # shards of rows with one id: those of an equal first id hold no smaller ids and any order of them will do
-    before = Window.orderBy("first_id", F.col("n_docs"), "path").rowsBetween(Window.unboundedPreceding, -1)
+                       .mapInArrow(store, "path string, first_id long, last_id long, n_docs long, n_tokens long"), "token-manifest")
+    # an id may fill whole shards and begin the next one, which ends with a larger id; one row per shard meets here
+    before = Window.orderBy("first_id", "last_id", "path").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))), f"{path}/dictionary"
 
 

@@ -159,3 +159,13 @@ def test_dictionary_makes_short_documents_smaller(spark):
     with_dictionary = int(shard.index[:, 2].max())
     alone = sum(len(zstandard.compress(shard.document(k).tobytes())) for k in range(len(shard.index)))
     assert with_dictionary < 0.9 * alone and manifest.agg(F.sum("n_docs")).first()[0] == 3000
+
+
+def test_an_id_over_several_shards_keeps_its_place(spark, monkeypatch):
+    monkeypatch.setattr(token_shards, "SHARD_BYTES", 300)
+    rnd = random.Random(3)
+    said = [(5, " ".join(rnd.choices(["one", "two", "red", "sea", "word"], k=40))) for _ in range(60)] + [(i, "x y z") for i in (4, 6, 7, 8)]
+    df = spark.createDataFrame(said, "doc_id long, text string")
+    got = token_shards.token_shards(df, tokenizer(WORDS), end_id=1).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [4] + [5] * 60 + [6, 7, 8]
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:], strict=False))
