@@ -1,21 +1,24 @@
 """Approximate nearest neighbours by an inverted multi-index (largest cosine).
 
 1. Vectors that take part are scaled to length 1; equal ones collapse to a class that keeps
-   its smallest ids (as many as an answer can hold, and one more for the query itself).
+   its smallest distinct ids (as many as an answer can hold, and one more for the query
+   itself), each as often as it is given, but not more often than an answer can hold it.
 2. Two codebooks, one per half of the vector, are fitted on a bounded sample.  A vector lies
    in the cell of its two nearest centroids; K x K cells, with K growing with the corpus.
 3. A query visits centroid pairs in order of summed distance, with a heap over the two sorted
    lists, until the cells visited hold enough entries.  How many are enough is measured on
    the sample: the share of entries that finds ``recall`` of the true neighbours there.
-   What the query takes along is the summed distance at which it stopped.
-4. Entries lie in blocks of neighbouring cells (a cell larger than a block is cut), queries in
-   blocks of ids.  Each block of entries meets each block of queries that visits it, and
-   entries in visited cells are scored exactly; the best of all blocks make the answer.
+   What the query takes along are the cells that it visits.
+4. Entries lie in blocks of neighbouring cells (a cell larger than a block is cut).  A query
+   goes to the blocks of its cells; a block is copied only if more queries come than one
+   group holds, once per such group.  Entries in visited cells are scored exactly, and the
+   best of all blocks make the answer.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +34,7 @@ TRIALS = 256  # of them, that are queries when the share is measured
 CELL_ROWS = 32  # entries of a cell to aim at
 ENTRY_BLOCK, QUERY_BLOCK = 1 << 13, 1 << 10
 GATHER = 1 << 14  # rows whose equal vectors collapse before the shuffle
+SALTS = 16  # parts of the queries of a block when they learn how many groups the block has
 
 
 def _take_part(column: pa.Array) -> tuple[np.ndarray, list[bytes]]:
@@ -46,14 +50,20 @@ def _take_part(column: pa.Array) -> tuple[np.ndarray, list[bytes]]:
     return np.array(places, np.int64), vectors
 
 
-def _collapse(keep: int):
+def _smallest(ids: list[int], top: int) -> list[int]:
+    """The ``top`` + 1 smallest distinct ids in ascending order, each up to ``top`` times."""
+    n = Counter(ids)
+    return [i for i in sorted(n)[:top + 1] for _ in range(min(n[i], top))]
+
+
+def _collapse(top: int):
     """(id, vector) -> (v, ids): per block of rows one row per distinct vector, with its smallest ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list[int]] = {}
         n = 0
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array([sorted(x)[:keep] for x in held.values()], pa.list_(pa.int64()))],
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array([_smallest(x, top) for x in held.values()], pa.list_(pa.int64()))],
                                              names=["v", "ids"])
             held.clear()
             return out
@@ -127,16 +137,27 @@ def traverse(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[float, int, int]]:
             heapq.heappush(heap, (sa[0] + sb[j + 1], 0, j + 1))
 
 
-def stop_distances(index: MultiIndex, unit: np.ndarray, counts: np.ndarray, enough: int) -> np.ndarray:
-    """For each query the summed distance at which its cells hold ``enough`` entries."""
-    out = np.full(len(unit), np.inf)
-    for q, (a, b) in enumerate(zip(*index.near(unit), strict=True)):
-        held = 0
-        for d, i, j in traverse(a, b):
-            held += counts[i * index.k + j]
-            if held >= enough:
-                out[q] = d
-                break
+def visited_cells(index: MultiIndex, a: np.ndarray, b: np.ndarray, counts: np.ndarray, enough: int) -> np.ndarray:
+    """The occupied cells, ascending, up to the summed distance at which they hold ``enough`` entries.
+
+    a, b: distances of one query to the centroids of the halves.  Cells as far as the last one are in.
+    """
+    held, stop = 0, np.inf
+    for d, i, j in traverse(a, b):
+        held += counts[i * index.k + j]
+        if held >= enough:
+            stop = d
+            break
+    return np.flatnonzero(((a[:, None] + b[None, :]).ravel() <= stop) & (counts > 0))
+
+
+def places(cells: np.ndarray, starts: np.ndarray) -> dict[int, list[int]]:
+    """block -> those of ``cells`` that have entries in it; starts: of cells in the order of all entries."""
+    out: dict[int, list[int]] = {}
+    first, last = starts[cells] // ENTRY_BLOCK, (starts[cells + 1] - 1) // ENTRY_BLOCK
+    for c, i, j in zip(cells.tolist(), first.tolist(), last.tolist(), strict=True):
+        for block in range(i, j + 1):
+            out.setdefault(block, []).append(c)
     return out
 
 
@@ -172,10 +193,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 5, recall: float
     repeats id and vector is answered once.  Without entries there are no rows.
     """
     spark = vectors.sparkSession
-    keep = top + 1
-    gathered = vectors.select(F.col(id_col).cast("long"), F.col(vector_col)).mapInArrow(_collapse(keep), "v binary, ids array<long>")
-    classes = written(gathered.groupBy("v").agg(F.flatten(F.collect_list("ids")).alias("ids"))
-                      .select("v", F.slice(F.sort_array("ids"), 1, keep).alias("ids")), "ann-classes")
+    gathered = vectors.select(F.col(id_col).cast("long"), F.col(vector_col)).mapInArrow(_collapse(top), "v binary, ids array<long>")
+    distinct = F.slice(F.array_distinct("ids"), 1, top + 1)
+    smallest = F.flatten(F.transform(distinct, lambda d: F.array_repeat(
+        d, F.least(F.lit(top), F.size(F.filter("ids", lambda x: x == d))))))
+    classes = written(gathered.groupBy("v").agg(F.sort_array(F.flatten(F.collect_list("ids"))).alias("ids"))
+                      .select("v", smallest.alias("ids")), "ann-classes")
     n = classes.count()
     sample = sorted(bytes(r["v"]) for r in spread_sample(classes.select("v"), SAMPLE_ROWS, n, "v").limit(2 * SAMPLE_ROWS).collect())
     out_schema = "query_id long, rank int, id long, score double"
@@ -196,9 +219,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 5, recall: float
     counts = np.zeros(index.k ** 2, np.int64)
     for r in entries.groupBy("cell").count().collect():  # at most K x K rows
         counts[r["cell"]] = r["count"]
-    enough = max(keep, int(np.ceil(share * counts.sum())))
+    enough = max(top + 1, int(np.ceil(share * counts.sum())))
     starts = np.concatenate(([0], np.cumsum(counts)))
-    blocks = int(-(-starts[-1] // ENTRY_BLOCK))
 
     def taking_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,34 +231,38 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 5, recall: float
                                              names=["id", "v"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Queries with the distance at which they stop and the blocks that they visit."""
+        """Queries with the blocks that they visit, and their cells there."""
         for b in batches:
             vs = b.column(1).to_pylist()
             unit = _unit(_matrix(vs)) if vs else np.zeros((0, size // 8))
-            stop = stop_distances(index, unit, counts, enough)
-            visits = []
-            for (a, c), d in zip(zip(*index.near(unit), strict=True), stop, strict=True):
-                cells = np.flatnonzero(((a[:, None] + c[None, :]).ravel() <= d) & (counts > 0))
-                first, last = starts[cells] // ENTRY_BLOCK, (starts[cells + 1] - 1) // ENTRY_BLOCK
-                met = np.zeros(blocks + 1, np.int64)
-                np.add.at(met, first, 1)
-                np.add.at(met, last + 1, -1)
-                visits.append(np.flatnonzero(np.cumsum(met)[:-1]).tolist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(stop, pa.float64()), pa.array(visits, pa.list_(pa.int64()))],
-                                             names=["id", "v", "stop", "blocks"])
+            visits = [[{"block": k, "cells": c} for k, c in places(visited_cells(index, *near, counts, enough), starts).items()]
+                      for near in zip(*index.near(unit), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(visits, pa.list_(pa.struct([("block", pa.int64()), ("cells", pa.list_(pa.int64()))])))],
+                names=["id", "v", "visits"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Entries with their block: a cell's entries are spread by hash over the places that the cell has."""
+        for b in batches:
+            cell, hashed = b.column(2).to_numpy(), b.column(3).to_numpy()
+            block = (starts[cell] + hashed % counts[cell]) // ENTRY_BLOCK
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(block, pa.int64())], names=["v", "ids", "cell", "block"])
 
     # a query given several times is asked once, or its copies would fill the ranks with the same answers
     once = (queries.select(F.col(id_col).cast("long"), F.col(vector_col)).mapInArrow(taking_part, "id long, v binary")
             .dropDuplicates(["id", "v"]))
-    asked = written(once.mapInArrow(find, "id long, v binary, stop double, blocks array<long>"), "ann-queries")
-    groups = max(1, -(-asked.count() // QUERY_BLOCK))
-    start = F.element_at(F.lit(starts[:-1].tolist()).cast("array<long>"), (F.col("cell") + 1).cast("int"))
-    amount = F.element_at(F.lit(counts.tolist()).cast("array<long>"), (F.col("cell") + 1).cast("int"))
-    block = F.floor((start + F.pmod(F.xxhash64("v"), amount)) / ENTRY_BLOCK).cast("long")
-    given = entries.select(F.explode(F.expr(f"sequence(0L, {groups - 1}L)")).alias("group"), block.alias("block"),
-                           F.lit(None).cast("long").alias("id"), "v", F.lit(None).cast("double").alias("stop"), "ids", "cell")
-    asking = asked.select(F.pmod(F.xxhash64("id", "v"), F.lit(groups)).alias("group"), F.explode("blocks").alias("block"), "id", "v", "stop",
-                          F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("long").alias("cell"))
+    asked = written(once.mapInArrow(find, "id long, v binary, visits array<struct<block:long,cells:array<long>>>"), "ann-queries")
+    asking = asked.select("id", "v", F.xxhash64("id", "v").alias("h"), F.inline("visits"))
+    groups = written(asked.select(F.explode("visits.block").alias("block")).groupBy("block")
+                     .agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("groups")), "ann-groups")
+    given = (entries.select("v", "ids", "cell", F.xxhash64("v").alias("h"))
+             .mapInArrow(place, "v binary, ids array<long>, cell long, block long").join(groups, "block")
+             .select(F.explode(F.expr("sequence(0L, groups - 1)")).alias("group"), "block", F.lit(None).cast("long").alias("id"), "v",
+                     "ids", "cell", F.lit(None).cast("array<long>").alias("cells")))
+    salted = groups.select("*", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt"))
+    asking = (asking.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("long")).join(salted, ["block", "salt"])
+              .select(F.pmod(F.floor(F.col("h") / SALTS), F.col("groups")).alias("group"), "block", "id", "v",
+                      F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("long").alias("cell"), "cells"))
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         e, q = pdf[pdf["cell"].notna()], pdf[pdf["cell"].isna()]
@@ -244,22 +270,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 5, recall: float
         if len(e) and len(q):
             ev, qv = _matrix(e["v"].tolist()), _matrix(q["v"].tolist())
             en, qn = np.sqrt((ev * ev).sum(axis=1)), np.sqrt((qv * qv).sum(axis=1))
-            a, b = index.near(_unit(qv))
-            cell = e["cell"].to_numpy(np.int64)
+            held, inverse = np.unique(e["cell"].to_numpy(np.int64), return_inverse=True)
             lists = e["ids"].tolist()
-            owner = np.repeat(np.arange(len(e)), [len(x) for x in lists])
-            ids = np.concatenate(lists).astype(np.int64)
-            for k, (id_, stop) in enumerate(zip(q["id"].to_numpy(np.int64).tolist(), q["stop"].tolist(), strict=True)):
-                visited = a[k][cell // index.k] + b[k][cell % index.k] <= stop
-                at = np.flatnonzero(visited[owner] & (ids != id_))
+            n_ids = np.array([len(x) for x in lists])
+            first, all_ids = np.cumsum(n_ids) - n_ids, np.concatenate(lists).astype(np.int64)
+            for k, (id_, v, cells) in enumerate(zip(q["id"].to_numpy(np.int64).tolist(), q["v"], q["cells"], strict=True)):
+                at = np.flatnonzero(np.isin(held, cells)[inverse])
                 if not len(at):
                     continue
-                cosine = (ev @ qv[k] / (en * qn[k]))[owner[at]]
-                if len(at) > top:
-                    least = np.partition(cosine, len(at) - top)[len(at) - top]
-                    at, cosine = at[cosine >= least], cosine[cosine >= least]
-                for i in np.lexsort((ids[at], -cosine))[:top]:
-                    rows.append((id_, bytes(q["v"].iloc[k]), int(ids[at[i]]), float(cosine[i])))
+                # row by row, so that a score does not depend on what else lies in the block
+                cosine = np.einsum("ij,j->i", ev[at], qv[k]) / (en[at] * qn[k])
+                owner = np.repeat(np.arange(len(at)), n_ids[at])
+                ids = all_ids[first[at][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n_ids[at]) - n_ids[at], n_ids[at])]
+                owner, ids = owner[ids != id_], ids[ids != id_]
+                cosine = cosine[owner]
+                if len(ids) > top:
+                    best = cosine >= np.partition(cosine, len(ids) - top)[len(ids) - top]
+                    ids, cosine = ids[best], cosine[best]
+                rows += [(id_, bytes(v), int(ids[i]), float(cosine[i])) for i in np.lexsort((ids, -cosine))[:top]]
         return pd.DataFrame(rows, columns=["query_id", "v", "id", "score"])
 
     met = given.unionByName(asking).repartition(shuffle_partitions(spark), "group", "block")

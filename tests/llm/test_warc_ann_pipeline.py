@@ -104,6 +104,49 @@ def test_repeated_queries_are_answered_once(spark):
     assert sorted(r["rank"] for r in got if r["query_id"] == 150) == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
 
 
+def test_a_repeated_id_leaves_room_for_equal_vectors(spark):
+    # id 0 fills its class seven times over; the answer to it is the other rows of that class
+    v, w = [1.0, 2.0, 3.0, 4.0], [4.0, -3.0, 2.0, -1.0]
+    rows = [(0, v)] * 7 + [(i, v) for i in (9, 4, 7, 3, 8, 8, 8)] + [(1, w)] * 8
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {r["rank"]: r["vec_id"] for r in multi_index.nearest(df, df.where("vec_id = 0"), top=5).collect()}
+    assert [got[k] for k in sorted(got)] == [3, 4, 7, 8, 8]
+    other = multi_index.nearest(df, df.where("vec_id = 9"), top=5).collect()
+    assert [r["vec_id"] for r in sorted(other, key=lambda r: r["rank"])] == [0] * 5
+
+
+def test_the_last_visited_cell_is_searched():
+    # a query takes its cells along, so they hold what they were counted to hold, however queries are batched
+    rng = np.random.default_rng(6)
+    x = multi_index._unit(rng.normal(size=(3000, 24)))
+    index = multi_index.MultiIndex(x, 3000)
+    counts = np.bincount(index.cells(x), minlength=index.k ** 2)
+    starts = np.concatenate(([0], np.cumsum(counts)))
+    for q, (a, b) in enumerate(zip(*index.near(x[:60]), strict=True)):
+        cells = multi_index.visited_cells(index, a, b, counts, 400)
+        assert counts[cells].sum() >= 400 > counts[cells].sum() - counts[cells].max() and (counts[cells] > 0).all(), q
+        assert sorted({c for at in multi_index.places(cells, starts).values() for c in at}) == cells.tolist()
+    whole = np.array([4, 9]), np.array([0, 0, 0, 0, 0, 20_000, 20_000, 20_000, 20_000, 20_000, 20_010])
+    assert multi_index.places(*whole) == {0: [4], 1: [4], 2: [4, 9]}
+
+
+def test_clustered_vectors(spark):
+    # two queries of each cluster; a third of all vectors lies in one of them; scores don't depend on blocks
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 16)) * 4
+    which = np.where(rng.random(4000) < 0.33, 0, rng.integers(40, size=4000))
+    x = centres[which] + rng.normal(size=(4000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = multi_index.nearest(df, df.where("vec_id % 50 = 0"), top=5).collect()
+    unit = multi_index._unit(x)
+    hit = 0
+    for q in range(0, 4000, 50):
+        cosine = unit @ unit[q]
+        cosine[q] = -2
+        hit += len({r["vec_id"] for r in got if r["query_id"] == q} & set(np.argsort(-cosine)[:5].tolist()))
+    assert len(got) == 400 and hit >= 0.9 * 400
+
+
 def test_traversal_is_by_summed_distance():
     rng = np.random.default_rng(1)
     a, b = rng.random(7), rng.random(5)
