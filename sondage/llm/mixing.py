@@ -9,8 +9,10 @@ prefix sum of sizes stays within the rest; the document at the edge is taken in
 
 A source may hold any share of the rows, so its prefix sum is built in two steps:
 sums per (source, key bucket) first, their running totals (one small row per
-bucket), then sorted running totals inside a bucket.  The number of buckets grows
-with the corpus, so a bucket stays small.  Only DataFrame functions are used.
+bucket), then sorted running totals inside a bucket.  A bucket is an equal part of
+the distribution that the keys of the source have by the weights of its documents
+(a mixture of exponentials over a histogram of the weights), so buckets stay even
+and small whatever the weights are.  Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -20,9 +22,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, written
+from .common import join_groups, n_words, written
 
 BUCKET_ROWS = 2000  # documents of a bucket to aim at
+WEIGHT_STEPS = 32  # steps of a quality weight in the histogram of a source
 SEED = 7
 
 
@@ -33,6 +36,26 @@ def quality_weight(text: Column) -> Column:
     return F.coalesce(F.lit(0.25) + F.lit(0.75) * plain / F.nullif(n, F.lit(0)), F.lit(0.25))
 
 
+def key_buckets(sized: DataFrame) -> DataFrame:
+    """``sized`` (source, quality, key) with the column ``bucket``, which ascends with the key in a source.
+
+    A key is exponential with the rate ``quality``, so a key k is larger than a share of
+    sum(p * (1 - exp(-k * w))) of its source, p being the share of the documents with weight
+    w.  Weights are rounded down to steps; from 0.25 on a bucket is expected to hold at
+    most 9/8 of ``BUCKET_ROWS``.
+    """
+    name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    keyed = sized.withColumn("name", name)
+    step = F.greatest(F.floor(F.col("quality") * WEIGHT_STEPS), F.lit(1)) / WEIGHT_STEPS
+    steps = keyed.groupBy("name", step.alias("w")).agg(F.count("*").alias("n"))
+    model = written(steps.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("w", "n"))).alias("steps"), F.sum("n").alias("group_size")),
+                    "mix-weights")
+    below = F.aggregate("steps", F.lit(0.0), lambda acc, x: acc + x["n"] / F.col("group_size") * (1 - F.exp(-F.col("key") * x["w"])))
+    buckets = F.ceil(F.col("group_size") / BUCKET_ROWS)
+    return (join_groups(keyed, model, ["name"]).withColumn("bucket", F.floor(below * buckets).cast("long"))
+            .drop("name", "steps", "group_size"))
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float], max_epochs: int) -> DataFrame:
     """(source, source_size) -> the same plus ``target``.
 
@@ -77,16 +100,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int =
     u = (F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col), text), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     sized = written(docs.select(
         F.col(id_col).alias("id"), *also, F.col(source_col).alias("source"), n_words(text).alias("size"),
-        (-F.log(u) / quality_weight(text)).alias("key")), "mix-sizes")
+        quality_weight(text).alias("quality"), u.alias("u")).select("*", (-F.log("u") / F.col("quality")).alias("key")).drop("u"), "mix-sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(per_source, weights, max_epochs)
     targets = targets.withColumn(
         "epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     targets = targets.withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
 
-    buckets = max(1, sized.count() // BUCKET_ROWS)
-    # 1 - exp(-key) lies in (0, 1) and grows with the key
-    d = sized.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("long"))
+    d = written(key_buckets(sized), "mix-buckets")  # read twice below
     sums = d.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(running), F.lit(0)).alias("start"))

@@ -126,3 +126,19 @@ def test_heavier_documents_are_drawn_more_often(spark):
     got = mixing.mix(df, weights=(1, 9)).where("source = 's'").groupBy((F.col("doc_id") % 2).alias("plain")).agg(F.sum("part").alias("n"))
     n = {r["plain"]: r["n"] for r in got.collect()}
     assert n[1] > 1.5 * n[0]
+
+
+def test_buckets_stay_even_at_any_weight(spark):
+    # three sources: all weights low, all high, and mixed; the largest bucket stays near the aim
+    n = 60_000
+    quality = F.expr("case id % 3 when 0 then 0.25 when 1 then 1.0 else 0.25 + 0.75 * (id % 101) / 100 end")
+    sized = spark.range(n).withColumn("source", F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string"))).withColumn("quality", quality)
+    sized = sized.withColumn("key", -F.log((F.pmod(F.xxhash64("id"), F.lit(1 << 40)) + F.lit(0.5)) / F.lit(float(1 << 40))) / F.col("quality"))
+    got = mixing.key_buckets(sized).cache()
+    assert got.count() == n
+    sizes = got.groupBy("source", "bucket").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).collect()
+    assert max(r["n"] for r in sizes) < 1.3 * mixing.BUCKET_ROWS and len(sizes) >= 30
+    for source in (None, "1", "2"):
+        spans = sorted((r["bucket"], r["a"], r["b"]) for r in sizes if r["source"] == source)
+        assert all(x[2] < y[1] for x, y in zip(spans, spans[1:], strict=False))
+    got.unpersist()
