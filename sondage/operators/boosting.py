@@ -67,6 +67,7 @@ class Group:
     predictors: list
     edges: dict = field(default_factory=dict)  # predictor -> ascending thresholds
     zero_fill: frozenset = frozenset()
+    complete: bool = False  # rows that lack a predictor take no part
     span: float = 0.0  # of the target
     rows: int = 0
     base: float = 0.0
@@ -133,12 +134,13 @@ def _unit(*columns) -> F.Column:
 
 
 def make_cells(df: DataFrame, predictors: Sequence[str], target: str, group: str, threshold: float,
-               holdout: float, seed: int) -> tuple[list[Group], DataFrame]:
+               holdout: float, seed: int, complete: bool = False) -> tuple[list[Group], DataFrame]:
     """The groups, and their cells (code, bins, y, n, held, f): ``n`` training and ``held`` held-out rows.
 
     Rows without target take no part.  Per group, predictors with a greater missing share
     than ``threshold`` are left out (over all its rows), and missing values of predictors that only
-    hold 0 and 1 become 0.  Of a cell of c rows, c * ``holdout`` are held out, rounded up or down by a hash.
+    hold 0 and 1 become 0; with ``complete``, no missing value is filled and rows that lack one of the
+    predictors left are dropped.  Of a cell of c rows, c * ``holdout`` are held out, rounded up or down by a hash.
     """
     preds = [c for c in dict.fromkeys(predictors) if c != target]
     num = lambda c: F.when(F.isnan(F.col(c).cast("double")), None).otherwise(F.col(c).cast("double"))
@@ -150,8 +152,8 @@ def make_cells(df: DataFrame, predictors: Sequence[str], target: str, group: str
     for r in sorted(d.where(F.col(group).isNotNull()).groupBy(group).agg(*aggs).collect(), key=lambda r: r[group]):  # a row per group
         kept = [c for c in preds if r[c]["gap"] <= threshold]
         if r["_rows"] and kept:
-            g = groups[r[group]] = Group(len(groups), r[group], kept, span=r["_high"] - r["_low"], rows=r["_rows"],
-                                         zero_fill=frozenset(c for c in kept if not r[c]["other"]))
+            g = groups[r[group]] = Group(len(groups), r[group], kept, span=r["_high"] - r["_low"], rows=r["_rows"], complete=complete,
+                                         zero_fill=frozenset(c for c in kept if not r[c]["other"] and not complete))
             rows[r[group]] = g.rows
     spark = df.sparkSession
     cell = "code int, bins binary, y double, n long, held long, f double"
@@ -183,7 +185,9 @@ def _weighted(groups: dict, group: str, predictors: list):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for _, part in pdf.groupby(group, sort=False):
+            for name, part in pdf.groupby(group, sort=False):
+                if name in groups and groups[name].complete:
+                    part = part.dropna(subset=groups[name].predictors)
                 for out in binned([part]):
                     yield out.assign(c=part["_n"].to_numpy())
 

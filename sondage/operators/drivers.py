@@ -8,8 +8,8 @@ there are, and large values lose no digits to cancellation.  Everything the line
 is a p x p computation on that row, done per product inside
 ``applyInPandas`` — the data itself never leaves Spark.
 
-The random forest is MLlib's; boosted trees and their permutation importance are in
-``boosting``.
+The random forest is in ``forest``; boosted trees and their permutation importance are
+in ``boosting``.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import boosted_importance
+from .forest import forest_importance
 
 # ---------------------------------------------------------------------------
 # Gram aggregation
@@ -316,40 +317,18 @@ def condition_index(df: DataFrame, predictors: Sequence[str], threshold: float,
 
 
 # ---------------------------------------------------------------------------
-# Tree methods (MLlib)
+# Tree methods
 # ---------------------------------------------------------------------------
 
 
-def _groups(df: DataFrame, group: str) -> list:
-    return sorted(r[0] for r in df.select(group).distinct().collect())
-
-
 def random_forest_importance(df: DataFrame, predictors: Sequence[str], target: str, threshold: float = 0.3,
                              group: str = "product", num_trees: int = 100, seed: int = 42,
-                             max_depth: int = 30) -> DataFrame:
-    """Impurity importances of a 100-tree random forest (sqrt features), to 100, per group.
+                             max_depth: int | None = None) -> DataFrame:
+    """Impurity importances of a 100-tree random forest (sqrt features, no depth limit), to 100, per group.
 
-    Trees grow to depth 30, the most that MLlib allows.
+    All trees of all groups grow in the same jobs; see ``forest`` for the method.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-
-    preds = [c for c in dict.fromkeys(predictors) if c != target]
-    valid = valid_predictors(df, preds, threshold, group)
-    spark = df.sparkSession
-    rows = []
-    for g in _groups(df, group):
-        vp = valid.get(g, [])
-        if not vp:
-            continue
-        d = df.where(F.col(group) == g).select(*[F.col(c).cast("double") for c in vp + [target]]).dropna()
-        va = VectorAssembler(inputCols=vp, outputCol="features")
-        model = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=num_trees,
-                                      featureSubsetStrategy="sqrt", seed=seed, maxDepth=max_depth).fit(va.transform(d))
-        imp = model.featureImportances.toArray()
-        w = 100.0 * imp / imp.sum() if imp.sum() > 0 else np.zeros_like(imp)
-        rows += [(g, v, float(x)) for v, x in zip(vp, w)]
-    return spark.createDataFrame(rows, f"{group} string, variable string, rf_weight double")
+    return forest_importance(df, predictors, target, threshold, group, num_trees, seed, max_depth)
 
 
 def gbt_permutation_importance(df: DataFrame, predictors: Sequence[str], target: str, threshold: float = 0.99,
