@@ -40,9 +40,11 @@ def product_pairs(df: DataFrame, col: str = "product") -> DataFrame:
 
 
 def _freq(long: DataFrame) -> DataFrame:
+    """Answers per level, of a long table or one that is counted already (column n)."""
+    n = F.sum("n") if "n" in long.columns else F.count(F.lit(1))
     return (long.where(F.col("score").isNotNull())
             .groupBy("product", "question", F.col("score").alias("value"))
-            .agg(F.count(F.lit(1)).alias("n")))
+            .agg(n.alias("n")))
 
 
 def _paired_by_pair(fq: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -83,15 +85,20 @@ def _cliff_label(d):
 
 
 def mann_whitney(wide: DataFrame, questions: Sequence[str], group: str = "product",
-                 ids: Sequence[str] = ("customer_id",)) -> DataFrame:
+                 ids: Sequence[str] = ("customer_id",), counts: DataFrame | None = None) -> DataFrame:
     """Two-sided Mann-Whitney U for every question and product pair, with effect sizes.
 
+    ``counts``: ``summarise.answer_counts`` by product, in place of the table.
+
     ``u_statistic`` is U of the first sample; ``cliffs_delta`` = 2U/(n1 n2) - 1
     (equal to the pairwise-count definition); ``z_r``/``r`` use the plain
     normal approximation without tie or continuity correction, as reported.
     """
-    long = long_form(wide.withColumnRenamed(group, "product") if group != "product" else wide,
-                     [*ids, "product"], questions)
+    if counts is None:
+        long = long_form(wide.withColumnRenamed(group, "product") if group != "product" else wide,
+                         [*ids, "product"], questions)
+    else:
+        long = counts.where(F.col("question").isin(list(questions)))
     rs = rank_sums(long)
     n1, n2 = F.col("n1"), F.col("n2")
     n = n1 + n2

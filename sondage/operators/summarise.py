@@ -45,21 +45,34 @@ def freq(wide: DataFrame, columns: Sequence[str], group: Sequence[str] = ("produ
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def _level_grid(wide: DataFrame, columns: Sequence[str], group: Sequence[str]) -> DataFrame:
+def answer_counts(wide: DataFrame, columns: Sequence[str], group: Sequence[str] = ("product",)) -> DataFrame:
+    """(group, question, score, n): rows per answer, missing ones (score NULL) included.
+
+    What the reports of a study share: ``counts=`` of the operators takes it in place of the table.
+    """
+    return _long(wide, columns, group).groupBy(*group, "question", "score").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _counts(wide: DataFrame, columns: Sequence[str], group: Sequence[str], counts: DataFrame | None) -> DataFrame:
+    return answer_counts(wide, columns, group) if counts is None else counts.where(F.col("question").isin(list(columns)))
+
+
+def _level_grid(wide: DataFrame, columns: Sequence[str], group: Sequence[str], counts: DataFrame | None = None) -> DataFrame:
     """Counts on the union of levels of all columns, zero-filled: (group, question, value, n).
 
     Built as a pivot by question (explicit column list) and an unpivot back, so
     the zero cells come from the pivot rather than a cross join.
     """
-    lng = _long(wide, columns, group).where(F.col("score").isNotNull())
-    piv = (lng.groupBy(*group, F.col("score").alias("value")).pivot("question", list(columns))
-           .agg(F.count(F.lit(1))).na.fill(0, subset=list(columns)))
+    answered = _counts(wide, columns, group, counts).where(F.col("score").isNotNull())
+    piv = (answered.groupBy(*group, F.col("score").alias("value")).pivot("question", list(columns))
+           .agg(F.sum("n")).na.fill(0, subset=list(columns)))
     return piv.unpivot([*group, "value"], list(columns), "question", "n")
 
 
-def likert_counts(wide: DataFrame, columns: Sequence[str], group: Sequence[str] = ("product",)) -> DataFrame:
+def likert_counts(wide: DataFrame, columns: Sequence[str], group: Sequence[str] = ("product",),
+                  counts: DataFrame | None = None) -> DataFrame:
     """Counts per level plus a Total row; percent of Total rounded half-even to 0 dp."""
-    grid = _level_grid(wide, columns, group)
+    grid = _level_grid(wide, columns, group, counts)
     w = Window.partitionBy(*group, "question")
     grid = grid.withColumn("total", F.sum("n").over(w))
     levels = grid.select(*group, "question", F.col("value").cast("string").alias("level"),
@@ -73,19 +86,18 @@ def likert_counts(wide: DataFrame, columns: Sequence[str], group: Sequence[str]
 
 
 def box_scores(wide: DataFrame, five: Sequence[str], ten: Sequence[str],
-               group: Sequence[str] = ("product",)) -> DataFrame:
+               group: Sequence[str] = ("product",), counts: DataFrame | None = None) -> DataFrame:
     """Long (group, question, metric, value): ten box metrics per column, Mean for 10-point.
 
     Percent of non-null answers; an all-null column gives NULL, not 0/0.
     """
     cols = list(dict.fromkeys([*five, *ten]))
-    lng = _long(wide, cols, group)
-    s = F.col("score")
-    base = F.count(s)
-    aggs = [F.try_divide(F.sum(F.when(s.isin([float(x) for x in lv]), 1.0).otherwise(0.0)) * 100.0, base)
+    s, n = F.col("score"), F.col("n")
+    base = F.sum(F.when(s.isNotNull(), n))  # NULL without answers
+    aggs = [F.try_divide(F.sum(F.when(s.isin([float(x) for x in lv]), n).otherwise(0)) * 100.0, base)
             .alias(name) for name, lv in BOX_METRICS]
-    aggs.append(F.avg(s).alias("Mean"))
-    per = lng.groupBy(*group, "question").agg(*aggs)
+    aggs.append(F.try_divide(F.sum(s * n), base).alias("Mean"))
+    per = _counts(wide, cols, group, counts).groupBy(*group, "question").agg(*aggs)
     metrics = [m for m, _ in BOX_METRICS]
     out = per.unpivot([*group, "question"], metrics + ["Mean"], "metric", "value")
     return out.where((F.col("metric") != "Mean") | F.col("question").isin(list(ten)))
@@ -173,24 +185,24 @@ def pooled_summary(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
     return value_summary(wide, columns, group=(), fraction=True, total_row=True)
 
 
-def jar_5pt(wide: DataFrame, columns: Sequence[str], group: Sequence[str] = ("product",)) -> DataFrame:
+def jar_5pt(wide: DataFrame, columns: Sequence[str], group: Sequence[str] = ("product",),
+            counts: DataFrame | None = None) -> DataFrame:
     """Percent per level (union of levels, zero-filled), denominator = answered rows."""
-    grid = _level_grid(wide, columns, group)
+    grid = _level_grid(wide, columns, group, counts)
     tot = F.sum("n").over(Window.partitionBy(*group, "question"))
     return grid.select(*group, "question", "value",
                        F.try_divide(F.col("n") * 100.0, tot).alias("pct"))
 
 
 def jar_3pt(wide: DataFrame, columns: Sequence[str], abbreviations: Mapping[str, str] | None = None,
-            group: Sequence[str] = ("product",), base: str = "all") -> DataFrame:
+            group: Sequence[str] = ("product",), base: str = "all", counts: DataFrame | None = None) -> DataFrame:
     """Too Little {1,2} / JAR {3} / Too Much {4,5}; denominator = all rows (NULL included)."""
     abbreviations = abbreviations or {}
-    lng = _long(wide, columns, group)
-    s = F.col("score")
-    den = F.count(F.lit(1)) if base == "all" else F.count(s)
-    aggs = [F.try_divide(F.sum(F.when(s.isin([float(x) for x in lv]), 1.0).otherwise(0.0)) * 100.0, den)
+    s, n = F.col("score"), F.col("n")
+    den = F.sum("n") if base == "all" else F.sum(F.when(s.isNotNull(), n))
+    aggs = [F.try_divide(F.sum(F.when(s.isin([float(x) for x in lv]), n).otherwise(0)) * 100.0, den)
             .alias(name) for name, lv in JAR_CATEGORIES]
-    per = lng.groupBy(*group, "question").agg(*aggs)
+    per = _counts(wide, columns, group, counts).groupBy(*group, "question").agg(*aggs)
     amap = F.create_map(*[F.lit(x) for kv in abbreviations.items() for x in kv]) if abbreviations else None
     label = F.coalesce(amap[F.col("question")], F.col("question")) if amap is not None else F.col("question")
     return per.unpivot([*group, "question"], [n for n, _ in JAR_CATEGORIES], "category", "pct").select(

@@ -158,6 +158,46 @@ def study_run(spark, sf):
                      abbreviations={"jar_sweet": "Sweetness", "jar_thick": "Thickness"}).drop("path")
 
 
+def _report_sql() -> str:
+    """The frequency reports of the study in one long table, from the SQL of the single reports."""
+    from . import summaries  # noqa: F401  registers them
+    from .registry import REGISTRY
+    columns = {
+        "likert_counts": ("question", "level", {"count": "count", "percentage": "percentage"}),
+        "box_scores": ("question", "metric", {"value": "value"}),
+        "jar_5pt": ("question", "CAST(value AS VARCHAR)", {"pct": "pct"}),
+        "jar_3pt": ("attribute", "category", {"pct": "pct"}),
+        "crosstab": ("name", "CAST(value1 AS VARCHAR) || '|' || CAST(value2 AS VARCHAR)", {"n": "n"}),
+        "cata_counts": ("question", "attribute", {"count": "count", "percentage": "percentage"}),
+    }
+    return "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS report, product, {question} AS question, {item} AS item, '{measure}' AS measure, "
+        f"CAST({column} AS DOUBLE) AS value FROM ({REGISTRY[name].oracle}) AS t"
+        for name, (question, item, measures) in columns.items() for measure, column in measures.items())
+
+
+@query("study_reports", _report_sql(), views=WIDE)
+def study_reports(spark, sf):
+    """The frequency reports that a study run writes, read back into one long table."""
+    from ..fixtures import STUDY, TARGET
+    from .study import run_study
+    shape = {"likert_counts": ("question", "level", ["count", "percentage"]), "box_scores": ("question", "metric", ["value"]),
+             "jar_5pt": ("question", "value", ["pct"]), "jar_3pt": ("attribute", "category", ["pct"]),
+             "crosstab": ("name", None, ["n"]), "cata_counts": ("question", "attribute", ["count", "percentage"])}
+    done = run_study(spark, survey_wide(spark, sf), STUDY, TARGET, only=list(shape),
+                     abbreviations={"jar_sweet": "Sweetness", "jar_thick": "Thickness"})
+    out = None
+    for r in done.collect():  # a row per report
+        question, item, measures = shape[r["table"]]
+        item = F.col(item).cast("string") if item else F.concat_ws("|", F.col("value1").cast("string"), F.col("value2").cast("string"))
+        rows = spark.read.parquet(r["path"]).select(F.lit(r["table"]).alias("report"), "product", F.col(question).alias("question"),
+                                                    item.alias("item"), *[F.col(m).cast("double").alias(f"_{m}") for m in measures])
+        long = rows.unpivot(["report", "product", "question", "item"], [f"_{m}" for m in measures], "measure", "value")
+        long = long.withColumn("measure", F.substring("measure", 2, 20))
+        out = long if out is None else out.unionByName(long)
+    return out
+
+
 @query("safe_labels_unique", """
 WITH b AS (SELECT attribute, rtrim(substr(trim(regexp_replace(attribute, '[:\\\\/?*\\[\\]]', ' ', 'g')), 1, 23)) || '_Summary' AS base
            FROM (SELECT DISTINCT attribute FROM survey_eav)),

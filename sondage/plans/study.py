@@ -2,14 +2,17 @@
 
 The reference loops products and recomputes everything per table; here the
 long form and the aggregations are keyed by product, so each report is ONE
-Spark job over all products, and each result goes to the report sink under
-``out_root/<table>`` (partitioned by sheet where the report has sheets).
+Spark job over all products, and each result is written to ``out_root/<table>``.
+The answers per (product, question, score) are counted once and written; counts, boxes,
+JAR tables and rank tests are made from that small table.  Reports don't depend on each
+other, so some run at a time, and the cluster is not idle while one ends.
 """
 
 from __future__ import annotations
 
 import functools
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,12 +25,16 @@ from ..operators.clean import predictor_set
 from ..operators.reshape import dichotomize
 from ..session import scratch_path
 
+AT_A_TIME = 4  # reports that run at the same time
+
 
 def run_study(spark: SparkSession, wide: DataFrame, config: dict, target: str, out_root: str | None = None,
               threshold: float = 0.3, inverted_jar: bool = True, abbreviations: dict | None = None,
               ri_remove: Sequence[str] = (), ri_remove_all: Sequence[str] | None = None,
-              hgb: dict | None = None) -> DataFrame:
-    """Run the study's reports; returns a manifest (table, rows, path).
+              hgb: dict | None = None, only: Sequence[str] | None = None) -> DataFrame:
+    """Run the study's reports (those named by ``only``); returns a manifest (table, rows, path).
+
+    A report whose questions the study lacks is left out.  A report that fails ends the run.
 
     Drivers are sought among the T2B and 10-point questions: boosted trees, which bear
     missing answers, without ``ri_remove``; all other methods without ``ri_remove_all``
@@ -41,32 +48,41 @@ def run_study(spark: SparkSession, wide: DataFrame, config: dict, target: str, o
                                      F.ceil(F.col(c) / 2).cast("double")).otherwise(F.col(c)) for c in five_ten})
     broad = predictor_set(t2b + ten, target, ri_remove)
     clean = predictor_set(t2b + ten, target, ri_remove if ri_remove_all is None else ri_remove_all)
-    tables = {
-        "spearman": E.spearman(w5, ten + t2b + [target]),
-        "condition_index": D.condition_index(w5, ten + t2b, threshold),
-        "jar_penalty": E.jar_penalty(wide, jar, target, abbreviations, inverted=inverted_jar),
-        "jar_5pt": A.jar_5pt(wide, jar),
-        "jar_3pt": A.jar_3pt(wide, jar, abbreviations),
-        "box_scores": A.box_scores(wide, t2b, ten),
-        "likert_counts": A.likert_counts(wide, ten + t2b),
-        "crosstab": A.crosstab(wide, config.get("column_pairs_dict", {})) if config.get("column_pairs_dict") else None,
-        "cata_counts": A.cata_counts(wide, cata) if cata else None,
-        "cata_penalty": functools.reduce(DataFrame.unionByName, [E.cata_penalty(wide, c, target) for c in cata]) if cata else None,
-        "maxdiff": A.maxdiff(wide, md, group=["product"]) if md else None,
-        "drivers_hgb": D.gbt_permutation_importance(wide, broad, target, 0.99, **(hgb or {})),
-        "drivers_combined": D.driver_merge(wide, clean, target, threshold, run_hgb=False),
-        "ols_signed": D.ols_signed(wide, clean, target),
-        "mann_whitney": H.mann_whitney(wide, ten + t2b),
-        "wilcoxon": H.wilcoxon(wide, ten),
-        "mcnemar": H.mcnemar(dichotomize(wide, t2b + jar, [4, 5], keep=["customer_id", "product"]), t2b + jar),
-        "cata_mcnemar": E.cata_mcnemar(wide, cata) if cata else None,
+    asked = list(dict.fromkeys(ten + t2b + jar))
+    counted = f"{out_root}/answer_counts"
+    A.answer_counts(wide, asked, ["product"]).write.mode("overwrite").parquet(counted)
+    counts = spark.read.parquet(counted)
+    reports = {
+        "spearman": lambda: E.spearman(w5, ten + t2b + [target]),
+        "condition_index": lambda: D.condition_index(w5, ten + t2b, threshold),
+        "jar_penalty": lambda: E.jar_penalty(wide, jar, target, abbreviations, inverted=inverted_jar),
+        "jar_5pt": lambda: A.jar_5pt(wide, jar, counts=counts),
+        "jar_3pt": lambda: A.jar_3pt(wide, jar, abbreviations, counts=counts),
+        "box_scores": lambda: A.box_scores(wide, t2b, ten, counts=counts),
+        "likert_counts": lambda: A.likert_counts(wide, ten + t2b, counts=counts),
+        "crosstab": lambda: A.crosstab(wide, config["column_pairs_dict"]) if config.get("column_pairs_dict") else None,
+        "cata_counts": lambda: A.cata_counts(wide, cata) if cata else None,
+        "cata_penalty": lambda: functools.reduce(DataFrame.unionByName, [E.cata_penalty(wide, c, target) for c in cata]) if cata else None,
+        "maxdiff": lambda: A.maxdiff(wide, md, group=["product"]) if md else None,
+        "drivers_hgb": lambda: D.gbt_permutation_importance(wide, broad, target, 0.99, **(hgb or {})),
+        "drivers_combined": lambda: D.driver_merge(wide, clean, target, threshold, run_hgb=False),
+        "ols_signed": lambda: D.ols_signed(wide, clean, target),
+        "mann_whitney": lambda: H.mann_whitney(wide, ten + t2b, counts=counts),
+        "wilcoxon": lambda: H.wilcoxon(wide, ten),
+        "mcnemar": lambda: H.mcnemar(dichotomize(wide, t2b + jar, [4, 5], keep=["customer_id", "product"]), t2b + jar),
+        "cata_mcnemar": lambda: E.cata_mcnemar(wide, cata) if cata else None,
     }
-    manifest = []
-    for name, df in tables.items():
+
+    def report(name: str):
+        df = reports[name]()
         if df is None:
-            continue
+            return None
         path = f"{out_root}/{name}"
         df.write.mode("overwrite").parquet(path)
-        manifest.append((name, spark.read.parquet(path).count(), path))
+        return name, spark.read.parquet(path).count(), path
+
+    names = [n for n in reports if only is None or n in only]
+    with ThreadPoolExecutor(AT_A_TIME) as pool:
+        manifest = [m for m in pool.map(report, names) if m]
     wide.unpersist()
     return spark.createDataFrame(manifest, "table string, rows long, path string")

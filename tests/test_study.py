@@ -3,8 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sondage.operators import drivers as D
+from sondage.operators import stats as H
+from sondage.operators import summarise as A
 from sondage.plans.study import run_study
 
 
@@ -42,3 +45,25 @@ def test_trees_rank_the_planted_driver_first(spark):
         for product in ("P", "Q"):
             w = {r["variable"]: r[column] for r in table.where(f"product = '{product}'").collect()}
             assert sum(w.values()) == pytest.approx(100.0) and w["ten_a"] == max(w.values()) and w["ten_a"] > 60
+
+
+def test_reports_from_shared_counts_equal_those_from_the_table(spark, tmp_path):
+    df = survey(spark, 60).withColumn("t2b_c", F.when(F.col("customer_id") % 4 > 0, F.col("t2b_c")))
+    df = df.withColumn("jar_d", F.when(F.col("product") == "P", F.col("jar_d")))  # no answers at all in Q
+    config = {"TEN": ["ten_a", "ten_b"], "T2B": ["t2b_c"], "JAR": ["jar_d"]}
+    only = ["box_scores", "likert_counts", "jar_5pt", "jar_3pt", "mann_whitney", "crosstab"]
+    done = {r["table"]: r["path"] for r in run_study(spark, df, config, "liking", f"file://{tmp_path}", only=only).collect()}
+    assert set(done) == set(only) - {"crosstab"}
+    ten, t2b, jar = config.values()
+    direct = {"box_scores": A.box_scores(df, t2b, ten), "likert_counts": A.likert_counts(df, ten + t2b), "jar_5pt": A.jar_5pt(df, jar),
+              "jar_3pt": A.jar_3pt(df, jar), "mann_whitney": H.mann_whitney(df, ten + t2b)}
+    for name, want in direct.items():
+        assert sorted(map(str, spark.read.parquet(done[name]).collect())) == sorted(map(str, want.collect())), name
+    boxes = {(r["product"], r["question"], r["metric"]): r["value"] for r in direct["box_scores"].collect()}
+    by_hand = df.where("product = 'P' AND t2b_c IS NOT NULL").agg(F.avg(F.col("t2b_c").isin([4.0, 5.0]).cast("double")) * 100).first()[0]
+    assert boxes["P", "t2b_c", "% T2B"] == pytest.approx(by_hand) and ("P", "t2b_c", "Mean") not in boxes
+
+
+def test_a_failing_report_ends_the_run(spark, tmp_path):
+    with pytest.raises(Exception, match="nowhere"):
+        run_study(spark, survey(spark, 10), {"TEN": ["ten_a"], "CATA": ["nowhere"]}, "liking", f"file://{tmp_path}", only=["cata_counts"])
