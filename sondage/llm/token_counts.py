@@ -13,12 +13,13 @@ The last token of a prefix is the longest suffix token that the tokenizer would
 beside the last token of what comes before it (``Compiled.beside``): the two are compared by
 the ranks at which the parts along their common edge are made and used up.
 
-A text is cut into chunks anywhere.  A chunk's state map is (head, count, tail): what comes
-before its first synchronizing place (where white space follows something else, so that
-every state leads to the start state), the tokens between, and what comes after the last.
-Two maps compose to one: the tail of the first and the head of the second make up the text
-between.  Composition is associative; a long document's chunks are spread over tasks and
-their maps are composed by a parallel prefix scan (doubling).
+A text is cut into chunks anywhere; each sees a few characters on both sides, which decide the
+edges of its pieces.  A chunk's state map leads from entry states to (exit state, count): every
+edge leads to the start state, so only the part before a chunk's first edge is run once per entry.
+The entry is known if its piece begins among the characters seen before the chunk; else
+the states that any start among those leads to are the entries.  Maps compose like
+functions; a long document's maps are composed by a parallel scan over tasks, 64 at a time.  Of a
+document whose states stay outside the maps, the chunks are run in order, one state carried along.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -34,9 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _byte_letters
-from .common import shuffle_partitions
+from .common import shuffle_partitions, written
 
 CHUNK_CHARS = 1 << 15
+CONTEXT = 256  # characters seen on both sides of a chunk: more than a special string, twice the longest token of one sign
+FAN = 64  # maps composed by a task at a time
 KEPT = 600_000  # stretches and pieces whose count is kept at a time
 STATES = 200_000  # compiled states that are kept at a time
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -88,6 +92,8 @@ class Compiled:
             spec = json.load(f)
         model, letters = spec["model"], _byte_letters()
         self.special = [t["content"] for t in spec["added_tokens"]]
+        # longer special strings are looked for first; the group keeps them when a text is split
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         raw = {t: bytes(letters[c] for c in t) for t in model["vocab"] if t not in set(self.special)}
         pairs = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         # a token's parts and the rank at which it is made; single bytes are there from the start
@@ -182,13 +188,10 @@ class Compiled:
 
     def count(self, text: str) -> int:
         """Tokens of a stretch of text from the start state; special strings are one each."""
-        for s in self.special:
-            if s in text:
-                a, b = text.split(s, 1)
-                return self.count(a) + 1 + self.count(b)
         total, known = 0, self.counts
-        for p in pieces(text):
-            n = known.get(p)
+        for i, j, special in self.spans(text):
+            p = text[i:j]
+            n = 1 if special else known.get(p)
             if n is None:
                 n = self.piece(p.encode())
                 if len(p) < 64:
@@ -196,6 +199,35 @@ class Compiled:
             total += n
         return total
 
+    def spans(self, text: str) -> Iterator[tuple[int, int, bool]]:
+        """(from, to, is it a special string?) of the pieces of a text, in order."""
+        at = 0
+        for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
+            if k % 2:
+                yield at, at + len(part), True
+                at += len(part)
+            else:
+                for p in pieces(part):
+                    yield at, at + len(p), False
+                    at += len(p)
+
+    def run(self, keys: list[tuple], data: bytes) -> tuple[list[tuple], list[int]]:
+        """The states that entry states lead to, and the tokens emitted; equal states go on as one."""
+        counts = [0] * len(keys)
+        for k in range(0, len(data), 256):
+            if len(self.keys) > STATES:
+                self.reset()
+            done = {}
+            for key in set(keys):
+                state, n = self._state(key), 0
+                for byte in data[k:k + 256]:
+                    state, emitted = self.steps.get(state << 8 | byte) or self._step(state, byte)
+                    n += emitted
+                done[key] = self.keys[state], n
+            counts = [c + done[key][1] for c, key in zip(counts, keys, strict=True)]
+            keys = [done[key][0] for key in keys]
+        return keys, counts
+
     def total(self, stretches: list[str]) -> int:
         """Tokens of stretches between synchronizing places, each distinct one counted once."""
         if len(self.counts) > KEPT:
@@ -224,40 +256,60 @@ def compiled(path: str) -> Compiled:
     return _LOADED[path]
 
 
-# A state map: (head, count, tail); without a synchronizing place, (text, None, "").
-StateMap = tuple[str, int | None, str]
-
+START = (b"", (None,), (0,))  # the state between two pieces
+SPECIAL = "special"  # the state within a special string, which is counted where it begins
+StateMap = dict  # entry state -> (exit state, tokens emitted)
 
-def state_map(machine: Compiled, text: str) -> StateMap:
-    parts = STRETCH.findall(text)
-    return (parts[0], machine.total(parts[1:-1]), parts[-1]) if len(parts) > 1 else (text, None, "")
 
+def state_map(machine: Compiled, before: str, text: str, after: str, entry: tuple | str | None = None) -> StateMap:
+    """The map of a chunk between the characters seen before and after it.
 
-def compose(machine: Compiled, f: StateMap, g: StateMap) -> StateMap:
-    """The map of the text of f followed by that of g."""
-    # where they meet may be a synchronizing place itself, or split one
-    inner = state_map(machine, (f[0] if f[1] is None else f[2]) + g[0])
-    if f[1] is not None:
-        inner = (f[0], f[1] + (0 if inner[1] is None else machine.total([inner[0]]) + inner[1]), inner[0] if inner[1] is None else inner[2])
-    if g[1] is None:
-        return inner
-    if inner[1] is None:
-        return inner[0], g[1], g[2]
-    return inner[0], inner[1] + machine.total([inner[2]]) + g[1], g[2]
+    ``before`` is shorter than CONTEXT only at the start of a document, ``after`` at its end.
+    With ``entry`` the chunk is run from that state alone.
+    """
+    window, a = before + text + after, len(before)
+    b = a + len(text)
+    parts = STRETCH.findall(text)
+    if len(parts) > 1:  # whole stretches lie between the first and the last synchronizing place
+        total, last = machine.total(parts[1:-1]), b - len(parts[-1])
+        spans = [*machine.spans(window[:a + len(parts[0])]), *((last + i, last + j, x) for i, j, x in machine.spans(window[last:]))]
+    else:
+        total, spans = 0, machine.spans(window)
+    spans = [x for x in spans if x[1] > a and x[0] < b]
+    heads, leave = {START: 0}, START
+    if spans and spans[0][0] < a:  # the chunk begins within a piece
+        i, j, special = spans.pop(0)
+        if special:
+            heads = {SPECIAL: 0}
+            ends = [SPECIAL]
+        else:
+            if entry is not None:
+                enter = [entry]
+            else:
+                known = i > 0 or a < CONTEXT
+                enter = list({machine.run([START], window[k:a].encode())[0][0]: None for k in ([i] if known else range(a))})
+            ends, counts = machine.run(enter, window[a:min(j, b)].encode())
+            heads = dict(zip(enter, counts, strict=True))
+        if j > b:
+            return {key: (end, heads[key]) for key, end in zip(heads, ends, strict=True)}
+    if spans and spans[-1][1] > b:  # it ends within one
+        i, _, special = spans.pop()
+        if special:
+            leave, n = SPECIAL, 1
+        else:
+            (leave,), (n,) = machine.run([START], window[i:b].encode())
+        total += n
+    total += sum(1 if special else machine.total([window[i:j]]) for i, j, special in spans)
+    return {key: (leave, n + total) for key, n in heads.items()}
 
 
-def scan(machine: Compiled, maps: list[StateMap]) -> list[StateMap]:
-    """All prefixes of maps composed, by doubling: log2(n) rounds of independent compositions."""
-    step = 1
-    while step < len(maps):
-        maps = [*maps[:step], *(compose(machine, maps[i - step], maps[i]) for i in range(step, len(maps)))]
-        step *= 2
-    return maps
+def compose(f: StateMap, g: StateMap) -> StateMap:
+    """The map of the text of f followed by that of g; entries that g's entries don't continue are left out."""
+    return {key: (g[leave][0], n + g[leave][1]) for key, (leave, n) in f.items() if leave in g}
 
 
-def finish(machine: Compiled, m: StateMap) -> int:
-    """The tokens of a whole text from its map: it starts at the start state and ends after its tail."""
-    return machine.total([m[0]]) if m[1] is None else machine.total([m[0]]) + m[1] + machine.total([m[2]])
+MAP_ROW = "row long, id long, hash long, n int, chunk int, n_bytes long, enter array<string>, leave array<string>, count array<long>"
+MAP_COLUMNS = [x.split()[0] for x in MAP_ROW.split(", ")]
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, chunk_chars: int = CHUNK_CHARS,
@@ -279,36 +331,81 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, chunk_chars
             texts = b.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()),
-                 pa.array([finish(machine, state_map(machine, t)) for t in texts], pa.int64())], names=["id", "n_bytes", "n_tokens"])
+                 pa.array([machine.total(STRETCH.findall(t)) for t in texts], pa.int64())], names=["id", "n_bytes", "n_tokens"])
+
+    # long texts: chunk rows are dealt over all tasks, then their maps meet by document; the row tells repeated ones apart
+    spark = docs.sparkSession
+    long_ = (d.where(F.col("n") > chunk_chars).select(F.monotonically_increasing_id().alias("row"), "id", "n", "text", F.xxhash64("text").alias("hash"))
+             .select("*", F.explode(F.expr(f"sequence(0, cast((n - 1) div {chunk_chars} as int))")).alias("chunk")))
+    long_ = long_.withColumn("seen", F.least(F.col("chunk") * F.lit(chunk_chars), F.lit(CONTEXT))).select(
+        "row", "id", "hash", "n", "chunk", "seen",
+        F.expr(f"substring(text, chunk * {chunk_chars} - seen + 1, seen + {chunk_chars + CONTEXT})").alias("text"))
 
-    # long texts: chunk rows are dealt over all tasks, then their maps meet by document
-    long_ = d.where(F.col("n") > chunk_chars).withColumn("hash", F.xxhash64("text")).select(
-        "id", "hash", "n", "text", F.explode(F.expr(f"sequence(0, cast((n - 1) div {chunk_chars} as int))")).alias("chunk"))
-    long_ = long_.select("id", "hash", "n", "chunk", F.expr(f"substring(text, chunk * {chunk_chars} + 1, {chunk_chars})").alias("text"))
-    long_ = long_.repartition(shuffle_partitions(docs.sparkSession), "id", "hash", "chunk")
+    def parts(b: pa.RecordBatch) -> Iterator[tuple[str, str, str]]:
+        for seen, text in zip(b.column("seen").to_pylist(), b.column("text").to_pylist(), strict=True):
+            yield text[:seen], text[seen:seen + chunk_chars], text[seen + chunk_chars:]
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled(tokenizer)
         for b in batches:
-            texts = b.column(4).to_pylist()
-            m = list(zip(*(state_map(machine, t) for t in texts), strict=True)) or [(), (), ()]
+            sizes, enter, leave, count = [], [], [], []
+            for before, text, after in parts(b):
+                m = state_map(machine, before, text, after)
+                sizes.append(len(text.encode()))
+                enter.append([repr(key) for key in m])
+                leave.append([repr(x) for x, _ in m.values()])
+                count.append([n for _, n in m.values()])
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:4], pa.array([len(t.encode()) for t in texts], pa.int64()),
-                 *(pa.array(c, t) for c, t in zip(m, (pa.string(), pa.int64(), pa.string()), strict=True))],
-                names=["id", "hash", "n", "chunk", "n_bytes", "head", "count", "tail"])
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        machine = compiled(tokenizer)
-        repeats = int((pdf["chunk"] == 0).sum())  # equal rows are counted once, and returned as often as they are there
-        pdf = pdf.sort_values("chunk").drop_duplicates("chunk")
-        counts = [None if pd.isna(c) else int(c) for c in pdf["count"]]
-        last = scan(machine, list(zip(pdf["head"], counts, pdf["tail"], strict=True)))[-1]
-        id_ = pdf["id"].iloc[0]
-        row = (None if pd.isna(id_) else int(id_), int(pdf["n_bytes"].sum()), finish(machine, last))
-        out = pd.DataFrame([row] * repeats, columns=["id", "n_bytes", "n_tokens"])
-        return out.astype({"id": "Int64"})
-
-    joined = (long_.mapInArrow(maps, "id long, hash long, n int, chunk int, n_bytes long, head string, count long, tail string")
-              .groupBy("id", "hash", "n").applyInPandas(join, "id long, n_bytes long, n_tokens long"))
-    return small.mapInArrow(whole, "id long, n_bytes long, n_tokens long").unionByName(joined).select(
-        F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+                [*b.columns[:5], pa.array(sizes, pa.int64()), pa.array(enter, pa.list_(pa.string())),
+                 pa.array(leave, pa.list_(pa.string())), pa.array(count, pa.list_(pa.int64()))], names=MAP_COLUMNS)
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk")
+        each = [dict(zip(e, zip(x, map(int, n), strict=True), strict=True)) for e, x, n in zip(pdf["enter"], pdf["leave"], pdf["count"], strict=True)]
+        m = reduce(compose, each)
+        out = pdf.iloc[:1].copy()
+        out["chunk"], out["n_bytes"] = out["chunk"] // FAN, pdf["n_bytes"].sum()
+        out["id"] = out["id"].astype("Int64")
+        for column, values in zip(MAP_COLUMNS[6:], (list(m), [x for x, _ in m.values()], [n for _, n in m.values()]), strict=True):
+            out[column] = [values]
+        return out
+
+    def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, doc, state, done, total = compiled(tokenizer), None, START, -1, 0
+        for b in batches:
+            out: list[list] = [[], [], [], []]
+            for *key, chunk, (before, text, after) in zip(*(b.column(c).to_pylist() for c in ("id", "hash", "n", "chunk")), parts(b), strict=True):
+                if key != doc:
+                    doc, state, done, total = key, START, -1, 0
+                if chunk == done:  # of equal rows one is run
+                    continue
+                ((state, n),) = state_map(machine, before, text, after, state).values()
+                done, total = chunk, total + n
+                if chunk == (key[2] - 1) // chunk_chars:
+                    for column, value in zip(out, (*key, total), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)],
+                                             names=["id", "hash", "n", "n_tokens"])
+
+    row = "id long, n_bytes long, n_tokens long"
+    counted = small.mapInArrow(whole, row)
+    made = written(long_.repartition(shuffle_partitions(spark), "row", "id", "chunk").mapInArrow(maps, MAP_ROW), "token-maps")
+    most = made.agg(F.max("chunk")).first()[0]
+    if most is not None:
+        composed = made
+        while most > 0:
+            composed = composed.groupBy("row", "id", "hash", "n", F.expr(f"chunk div {FAN}")).applyInPandas(fold, MAP_ROW)
+            most //= FAN
+        through = F.array_position("enter", F.lit(repr(START)))
+        composed = written(composed.select("id", "hash", "n", "n_bytes", F.when(
+            (through > 0) & (F.get("leave", (through - 1).cast("int")) == repr(START)), F.get("count", (through - 1).cast("int"))).alias("n_tokens")), "token-composed")
+        counted = counted.unionByName(composed.where("n_tokens IS NOT NULL").select("id", "n_bytes", "n_tokens"))
+        rest = composed.where("n_tokens IS NULL")
+        if rest.limit(1).count():
+            same = lambda x: (F.col("l.id").eqNullSafe(x["id"]) & (F.col("l.hash") == x["hash"]) & (F.col("l.n") == x["n"]))
+            keys = rest.select("id", "hash", "n").distinct()
+            ordered = (long_.alias("l").join(keys, same(keys), "left_semi").repartition(shuffle_partitions(spark), "id", "hash", "n")
+                       .sortWithinPartitions("id", "hash", "n", "chunk").mapInArrow(in_order, "id long, hash long, n int, n_tokens long"))
+            ordered = written(ordered, "token-ordered")
+            counted = counted.unionByName(rest.drop("n_tokens").alias("l").join(ordered, same(ordered)).select("l.id", "n_bytes", "n_tokens"))
+    return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

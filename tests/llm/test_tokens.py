@@ -1,5 +1,6 @@
 """Token ids, counts, packing and shards against the tokenizers library."""
 
+import functools
 import random
 import zlib
 
@@ -36,27 +37,57 @@ def test_ids_equal_the_librarys(name):
         assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(every)] == want
 
 
+def whole(machine, text):
+    return machine.total(token_counts.STRETCH.findall(text))
+
+
+def chunk_maps(machine, text, k):
+    c = token_counts.CONTEXT
+    return [token_counts.state_map(machine, text[max(i - c, 0):i], text[i:i + k], text[i + k:i + k + c]) for i in range(0, len(text), k)]
+
+
+def in_order(machine, text, k):
+    state, total, c = token_counts.START, 0, token_counts.CONTEXT
+    for i in range(0, len(text), k):
+        ((state, n),) = token_counts.state_map(machine, text[max(i - c, 0):i], text[i:i + k], text[i + k:i + k + c], state).values()
+        total += n
+    return state, total
+
+
+# pieces longer than the context: one letter, one class, words run together, signs, white space, special strings
+RUNS = ["a" * 5000, "ab" * 2500, "the" * 900 + "quick" * 400, "中文" * 900, "é" * 2000, "-=" * 700, " " * 1500 + "x", "\n" * 900 + "'s",
+        "'" * 300 + "s" * 300, "<|endoftext|>" * 90, "x" * 200 + "<|endoftext|>" + "1" * 200, "🙂" * 500,
+        "".join(random.Random(9).choices("abcdefghijklmnopqrstuvwxyz", k=6000)), "".join(random.Random(8).choices("'sdtrevml", k=2000))]
+
+
 def test_counts_equal_the_librarys_however_a_text_is_cut():
-    machine, rnd = token_counts.Compiled(tokenizer(BYTE)), random.Random(4)
-    every = texts(2000, 2)
+    machine, rnd, missed = token_counts.Compiled(tokenizer(BYTE)), random.Random(4), 0
+    every = [*texts(2000, 2), *("".join(rnd.choices(PARTS, k=90)) for _ in range(100)), *RUNS]
     for text, e in zip(every, library(BYTE).encode_batch(every, add_special_tokens=False), strict=True):
-        assert token_counts.finish(machine, token_counts.state_map(machine, text)) == len(e.ids)
-        if 0 < len(text) < 400:
-            k = rnd.randrange(1, 12)
-            maps = [token_counts.state_map(machine, text[i:i + k]) for i in range(0, len(text), k)]
-            prefixes = token_counts.scan(machine, maps)
-            assert token_counts.finish(machine, prefixes[-1]) == len(e.ids)
-            left = token_counts.compose(machine, token_counts.compose(machine, maps[0], maps[len(maps) // 2]), maps[-1])
-            right = token_counts.compose(machine, maps[0], token_counts.compose(machine, maps[len(maps) // 2], maps[-1]))
-            assert left == right
+        assert whole(machine, text) == len(e.ids)
+        if text:
+            k = rnd.randrange(1, 12) if len(text) < 400 else rnd.randrange(70, 400)
+            maps = chunk_maps(machine, text, k)
+            left = functools.reduce(token_counts.compose, maps)
+            half = len(maps) // 2
+            if half:
+                right = token_counts.compose(functools.reduce(token_counts.compose, maps[:half]), functools.reduce(token_counts.compose, maps[half:]))
+                assert left == right
+            found = left.get(token_counts.START)
+            missed += found is None
+            assert found in (None, (token_counts.START, len(e.ids)))
+            assert in_order(machine, text, k) == (token_counts.START, len(e.ids))
+    assert missed <= len(RUNS) // 4  # those are run in order
 
 
 def test_states_can_be_forgotten(monkeypatch):
     monkeypatch.setattr(token_counts, "STATES", 50)
     machine = token_counts.Compiled(tokenizer(BYTE))
-    every = texts(300, 3)
+    every = [*texts(300, 3), *RUNS[:3]]
     for text, e in zip(every, library(BYTE).encode_batch(every, add_special_tokens=False), strict=True):
-        assert token_counts.finish(machine, token_counts.state_map(machine, text)) == len(e.ids)
+        assert whole(machine, text) == len(e.ids)
+        if text:
+            assert functools.reduce(token_counts.compose, chunk_maps(machine, text, 100))[token_counts.START] == (token_counts.START, len(e.ids))
 
 
 @pytest.fixture(scope="module")
@@ -75,6 +106,19 @@ def test_token_counts(spark, rows):
     assert token_counts.token_counts(df.limit(0), tokenizer(BYTE)).count() == 0
 
 
+def test_long_texts_without_white_space(spark, monkeypatch):
+    lib = library(BYTE)
+    every = [*RUNS, "a" * 300_001, RUNS[0]]  # chunks in three levels; a repeated row
+    df = spark.createDataFrame([(i // 2, t, "") for i, t in enumerate(every)], DOCS)
+    want = sorted((i // 2, len(t.encode()), len(lib.encode(t, add_special_tokens=False).ids)) for i, t in enumerate(every))
+    got = token_counts.token_counts(df, tokenizer(BYTE), chunk_chars=70).drop("over_limit")
+    assert sorted(tuple(r) for r in got.collect()) == want
+    # no entry state fits: every text is run in order
+    monkeypatch.setattr(token_counts, "compose", lambda f, g: {})
+    got = token_counts.token_counts(df, tokenizer(BYTE), chunk_chars=70).drop("over_limit")
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
 def test_packing(spark, rows):
     df, cap, lib = spark.createDataFrame(rows, DOCS), 64, library(BYTE)
     got = packing.pack_documents(df, tokenizer(BYTE), cap, 2).collect()
