@@ -1,11 +1,12 @@
 """Open-ended text: spelling normalisation, translation memory, themes.
 
-* Spelling: exact candidates by keys.  Short dictionary words are met by leaving out up to two
-  letters on both sides (words within two edits have such a rest in common), long ones by
-  segments (of three, two edits leave one untouched, so it occurs in the query word near its
-  place).  A word has a bounded number of keys; ``levenshtein`` on the candidates, and the best by
-  (distance, -frequency, word).  Only DISTINCT words are corrected; the
-  word -> correction map is joined back.
+* Spelling: exact candidates by keys.  An edit inserts, drops or changes a letter or swaps two
+  neighbours.  Short dictionary words are met by leaving out up to two letters on both sides (words
+  within two edits have such a rest in common), long ones by segments (of five, two edits leave
+  one untouched, as a swap may touch two, so it occurs in the query word near its place).  A word
+  has a bounded number of keys; the candidates' distance is told by ``levenshtein`` of the words and
+  of their swaps, and the best is the first by (distance, -frequency, word).  Only DISTINCT words
+  are corrected; the word -> correction map is joined back.
 * Translation: a translation-memory join keyed by (language, text hash).
 * Themes: see ``themes``.
 """
@@ -33,11 +34,13 @@ WORD_SPLIT = rf"({WORD}+|[^\p{{L}}\p{{N}}_\s]|\s)"
 
 
 def _segment(length: str, i: str) -> tuple[str, str]:
-    """(start from 0, size) of the i-th of three segments of a word of ``length``, as SQL."""
-    return f"({i} * ({length} div 3) + least({i}, {length} % 3))", f"({length} div 3 + IF({i} < {length} % 3, 1, 0))"
+    """(start from 0, size) of the i-th of the segments of a word of ``length``, as SQL."""
+    n = SEGMENTS
+    return f"({i} * ({length} div {n}) + least({i}, {length} % {n}))", f"({length} div {n} + IF({i} < {length} % {n}, 1, 0))"
 
 
-SHORT = 12  # dictionary words up to this length are met by deletions, longer ones by segments of five letters or so
+SHORT = 14  # dictionary words up to this length are met by deletions, longer ones by segments of three letters or more
+SEGMENTS = 5
 
 
 def _deletions(word: str, max_d: int) -> str:
@@ -52,16 +55,16 @@ def _deletions(word: str, max_d: int) -> str:
 
 
 def _own_keys(word: str, max_d: int):
-    """Keys of a dictionary word: if short, itself with letters left out; else its length with each of its three segments."""
+    """Keys of a dictionary word: if short, itself with letters left out; else its length with each of its segments."""
     start, size = _segment(f"char_length({word})", "i")
     return F.expr(f"""IF(char_length({word}) <= {SHORT}, transform({_deletions(word, max_d)}, d -> concat('-', d)),
-        transform(sequence(0, 2), i -> concat_ws('|', char_length({word}), i, substr({word}, {start} + 1, {size}))))""")
+        transform(sequence(0, {SEGMENTS - 1}), i -> concat_ws('|', char_length({word}), i, substr({word}, {start} + 1, {size}))))""")
 
 
 def _met_keys(word: str, max_d: int):
     """Keys of every dictionary word that ``word`` may be within ``max_d`` (at most 2) edits of.
 
-    Short words are met by deletions.  Of a long word's three segments two edits leave one
+    Short words are met by deletions.  Of a long word's five segments two edits leave one
     untouched, at most ``max_d`` places off.  However long the word is, its keys are bounded.
     """
     start, size = _segment("l", "i")
@@ -70,11 +73,27 @@ def _met_keys(word: str, max_d: int):
         IF(char_length({word}) BETWEEN 1 AND {SHORT + max_d}, transform({_deletions(word, max_d)}, d -> concat('-', d)), array()),
         IF(char_length({word}) + {max_d} > {SHORT}, array_distinct(filter(flatten(transform(
           sequence(greatest(char_length({word}) - {max_d}, {SHORT + 1}), char_length({word}) + {max_d}), l ->
-            flatten(transform(sequence(0, 2), i -> transform(sequence(-{max_d}, {max_d}), s ->
+            flatten(transform(sequence(0, {SEGMENTS - 1}), i -> transform(sequence(-{max_d}, {max_d}), s ->
               IF({at} >= 1 AND {at} + {size} - 1 <= char_length({word}), concat_ws('|', l, i, substr({word}, {at}, {size})), NULL)))))),
           k -> k IS NOT NULL)), array()))""")
 
 
+def _swaps(word: str) -> str:
+    """``word`` with two neighbouring letters swapped, in all ways, as SQL."""
+    return (f"transform(sequence(1, greatest(char_length({word}) - 1, 1)), i -> concat(substr({word}, 1, i - 1),"
+            f" substr({word}, i + 1, 1), substr({word}, i, 1), substr({word}, i + 2)))")
+
+
+def _edits(a: str, b: str):
+    """Edits between two words, swaps of neighbours being one each, up to 2; null beyond."""
+    plain = f"levenshtein({a}, {b}, 4)"  # two swaps are four plain edits
+    swapped = (f"exists({_swaps(a)}, x -> levenshtein(x, {b}, 1) >= 0) OR exists({_swaps(b)}, x -> levenshtein({a}, x, 1) >= 0)"
+               f" OR arrays_overlap({_swaps(a)}, {_swaps(b)})")
+    return F.expr(f"""CASE WHEN {plain} < 0 THEN NULL WHEN {plain} < 2 THEN {plain}
+        WHEN {plain} = 2 THEN IF(char_length({a}) = char_length({b}) AND array_contains({_swaps(a)}, {b}), 1, 2)
+        WHEN {swapped} THEN 2 END""")
+
+
 def word_counts(df: DataFrame, column: str, lower: bool = True) -> DataFrame:
     """(word, freq) over all ``\\w+`` words of a text column."""
     x = F.lower(F.col(column)) if lower else F.col(column)
@@ -92,22 +111,22 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 def spelling_corrections(words: DataFrame, dictionary: DataFrame, max_distance: int = 2) -> DataFrame:
     """(word, corrected) for distinct ``words``: known words map to themselves; unknown words
     to the closest dictionary word (distance 1 before 2, then frequency, then alphabetical),
-    or to themselves when nothing is within ``max_distance``."""
+    or to themselves when nothing is within ``max_distance``.  Swapped neighbours are one edit."""
     # both sides are read several times, and may cost a scan of a corpus each
     w = _written(words.select("word").distinct(), "spell-words")
     dic = _written(dictionary.select(F.col("word").alias("cand"), "freq"), "spell-dictionary")
     known = w.join(dic, w["word"] == dic["cand"], "left_semi")
     unknown = w.join(dic, w["word"] == dic["cand"], "left_anti")
     if max_distance > 2:
-        raise ValueError("words are matched by three segments, which bears two edits at most")
+        raise ValueError("words are matched by five segments, which bears two edits at most")
     # dealt by number: words are few bytes but many keys, and AQE would put them into one task by their bytes
     n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     qk = unknown.repartition(n, "word").select("word", F.explode(_met_keys("word", max_distance)).alias("key")).repartition(n, "key")
     dk = dic.where(F.col("cand") != "").repartition(n, "cand").select(
         "cand", "freq", F.explode(_own_keys("cand", max_distance)).alias("key")).repartition(n, "key")
     near = F.abs(F.char_length("word") - F.char_length("cand")) <= max_distance
-    cands = (qk.join(dk, "key").where(near).withColumn("dist", F.levenshtein("word", "cand", max_distance))
-             .where((F.col("dist") >= 0) & (F.col("dist") <= max_distance)).select("word", "cand", "freq", "dist").distinct())
+    cands = (qk.join(dk, "key").where(near).withColumn("dist", _edits("word", "cand"))
+             .where(F.col("dist") <= max_distance).select("word", "cand", "freq", "dist").distinct())
     win = Window.partitionBy("word").orderBy("dist", F.desc("freq"), "cand")
     best = cands.withColumn("_r", F.row_number().over(win)).where("_r = 1").select("word", "cand")
     fixed = unknown.join(best, "word", "left").select("word", F.coalesce("cand", "word").alias("corrected"))

@@ -16,13 +16,20 @@ from sondage.operators import themes as TH
 
 
 def lev(a, b):
-    prev = list(range(len(b) + 1))
-    for i, ca in enumerate(a, 1):
-        cur = [i]
-        for j, cb in enumerate(b, 1):
-            cur.append(min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + (ca != cb)))
-        prev = cur
-    return prev[-1]
+    """Edits between a and b: letters inserted, dropped or changed, neighbours swapped."""
+    seen = {}  # the unrestricted distance: letters may come between swapped ones
+    d = {(-1, j): len(a) + len(b) for j in range(-1, len(b) + 1)} | {(i, -1): len(a) + len(b) for i in range(-1, len(a) + 1)}
+    d |= {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i, x in enumerate(a, 1):
+        last = 0
+        for j, y in enumerate(b, 1):
+            k, m = seen.get(y, 0), last
+            if x == y:
+                last = j
+            d[i, j] = min(d[i - 1, j - 1] + (x != y), d[i, j - 1] + 1, d[i - 1, j] + 1,
+                          d[k - 1, m - 1] + (i - k - 1) + 1 + (j - m - 1) if k and m else len(a) + len(b))
+        seen[x] = i
+    return d[len(a), len(b)]
 
 
 def test_spelling_matches_brute_force(spark):
@@ -30,7 +37,7 @@ def test_spelling_matches_brute_force(spark):
     dic = {w: rnd.randint(1, 50) for w in ["sweet", "sweat", "creamy", "fresh", "bitter", "butter", "salty",
                                            "to", "too", "a", "milk", "silk"]}
     queries = ["swet", "sweeet", "creamt", "frsh", "bittr", "buter", "salty", "tooo", "t", "milkk", "xyzzy",
-               "sweetnes", "ab", "fresh"]
+               "sweetnes", "ab", "fresh", "frehs", "mikl", "ot", "lsaty", "rbeitter", "bteur"]
     exp = {}
     for q in queries:
         if q in dic:
@@ -109,6 +116,15 @@ def test_spelling_of_random_words(spark):
     word = lambda: "".join(rnd.choices("abc", k=rnd.randint(1, 9)))
     dic = {word(): rnd.randint(1, 9) for _ in range(80)}
     queries = {word() for _ in range(120)} | {"z" * 10_000}
+    for _ in range(60):  # long words with two swaps or edits anywhere, at the edges of segments too
+        w = "".join(rnd.choices("abcde", k=rnd.randint(12, 22)))
+        dic[w] = rnd.randint(1, 9)
+        for _ in range(3):
+            q = list(w)
+            for _ in range(2):
+                i = rnd.randrange(len(q) - 1)
+                q[i:i + 2] = rnd.choice([[q[i + 1], q[i]], [q[i + 1], q[i]], [q[i]], [q[i], "b", q[i + 1]], ["d", q[i + 1]]])
+            queries.add("".join(q))
     exp = {}
     for q in queries:
         near = [(d, -f, w) for w, f in dic.items() if abs(len(w) - len(q)) <= 2 and (d := lev(q, w)) <= 2]
