@@ -1,7 +1,9 @@
 """Themes in open-ended answers: TF-IDF and non-negative matrix factorisation, for all columns in the same jobs.
 
-* Vocabulary: tasks count terms and documents per (column, term), Spark sums them, and the
-  ``max_features`` most frequent terms of each column come to the driver.
+* Vocabulary: tasks count words and documents per (column, word), Spark sums them, and the
+  ``max_features`` most frequent words of each column come to the driver.  A term of two words is
+  not more frequent than either, so only pairs of words as frequent as the last of these are
+  counted in a second pass; the most frequent of both kinds are the vocabulary.
 * TF-IDF rows are made by a map over the documents, without a shuffle.
 * Start: the leading singular vectors of each column's matrix X by block Krylov iteration.  A pass
   sums X'(XQ) over the documents for all columns; it ends when the singular values stand still, so
@@ -23,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +37,10 @@ from ..functions import scalar as S
 from ..partitioning import balance
 from ..session import scratch_path
 
-TOKEN = re.compile(r"\b\w\w+\b")
+TOKEN = re.compile(r"\w\w+")
 FLUSH_TERMS = 1 << 19  # terms that a task counts before it hands them on
+PAIR_WORDS = 1 << 18  # frequent words that tasks are sent; with more of them, all pairs are counted
+TERM_BUCKETS = 64  # first-step choices of a column's terms
 OVERSAMPLE = 4  # vectors of a block beyond the topics
 SVD_PASSES, SVD_TOL = 20, 1e-8
 SWEEPS, SWEEP_TOL = 500, 1e-10
@@ -50,30 +55,48 @@ class Vectoriser:
     stop: frozenset
     terms: list = field(default_factory=list)
     idf: np.ndarray | None = None
-    index: dict = field(default_factory=dict)
-    pairs: dict = field(default_factory=dict)
+    number: dict = field(default_factory=dict)  # words of the vocabulary, alone or in pairs; stop words: -2
+    single: np.ndarray | None = None  # by word number: its place in the vocabulary, or -1
+    pairs: np.ndarray | None = None  # pairs of word numbers, ascending
+    pair_at: np.ndarray | None = None  # their places in the vocabulary
 
     def learn(self, terms: list, idf: list) -> None:
         self.terms, self.idf = terms, np.array(idf)
-        for i, term in enumerate(terms):
-            a, _, b = term.partition(" ")
+        split = [term.split(" ") for term in terms]
+        words = {w: i for i, w in enumerate(dict.fromkeys(w for parts in split for w in parts))}
+        self.single = np.full(len(words), -1, np.int64)
+        pairs = []
+        for i, (a, *b) in enumerate(split):
             if b:
-                self.pairs.setdefault(a, {})[b] = i
+                pairs.append((words[a] * len(words) + words[b[0]], i))
             else:
-                self.index[term] = i
+                self.single[words[a]] = i
+        keys = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        self.pairs, self.pair_at = keys[:, 0], keys[:, 1]
+        self.number = words | dict.fromkeys(self.stop, -2)
+
+    def words(self, text: str) -> list:
+        return [w for w in TOKEN.findall(text.lower()) if w not in self.stop]
 
     def grams(self, text: str) -> list:
-        words = [w for w in TOKEN.findall(text.lower()) if w not in self.stop]
+        words = self.words(text)
         return words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)] if self.ngram > 1 else words
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Indices and values of the text's row, of length 1; empty without a term of the vocabulary."""
-        words = [w for w in TOKEN.findall(text.lower()) if w not in self.stop]
-        counts = Counter(i for w in words if (i := self.index.get(w)) is not None)
-        if self.ngram > 1:  # two-word terms by their first word: the others need no text of their own
-            counts.update(i for a, b in zip(words, words[1:], strict=False) if (d := self.pairs.get(a)) and (i := d.get(b)) is not None)
-        idx = np.array(sorted(counts), np.int32)
-        val = np.array([counts[i] for i in idx.tolist()], np.float64) * self.idf[idx]
+        at = np.array(list(map(self.number.get, TOKEN.findall(text.lower()), repeat(-1))), np.int64)
+        at = at[at != -2]
+        found = self.single[at[at >= 0]]
+        found = found[found >= 0]
+        if len(self.pairs):
+            first, second = at[:-1], at[1:]
+            known = (first >= 0) & (second >= 0)
+            key = first[known] * len(self.single) + second[known]
+            place = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            found = np.concatenate([found, self.pair_at[place[self.pairs[place] == key]]])
+        idx, counts = np.unique(found, return_counts=True)
+        idx = idx.astype(np.int32)
+        val = counts.astype(np.float64) * self.idf[idx]
         norm = math.sqrt(float(val @ val))
         return idx, val / norm if norm else val
 
@@ -84,7 +107,8 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _term_counts(makers: dict):
+def _term_counts(grams: dict):
+    """Counts and documents of the terms that ``grams[col](text)`` lists, as far as a task has seen them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, docs, size = {}, {}, 0
 
@@ -97,11 +121,11 @@ def _term_counts(makers: dict):
 
         for batch in batches:
             for c, text in zip(batch.column("col").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                grams = makers[c].grams(text)
+                terms = grams[c](text)
                 own = total.setdefault(c, Counter())
                 before = len(own)
-                own.update(grams)
-                docs.setdefault(c, Counter()).update(set(grams))
+                own.update(terms)
+                docs.setdefault(c, Counter()).update(set(terms))
                 size += len(own) - before
                 if size > FLUSH_TERMS:
                     yield from flush()
@@ -111,19 +135,57 @@ def _term_counts(makers: dict):
     return run
 
 
+def _pairs(maker: Vectoriser, kept: frozenset | None):
+    """Lists a text's terms of two words, both of them in ``kept`` unless that is None."""
+    def pairs(text: str) -> list:
+        words = maker.words(text)
+        return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if kept is None or a in kept and b in kept]
+
+    return pairs
+
+
+def _summed(docs: DataFrame, grams: dict, min_df: int) -> DataFrame:
+    """(col, term, total, docs) of the terms in at least ``min_df`` documents, over the columns in ``grams``."""
+    chosen = docs.where(F.col("col").isin(list(grams))).select("col", "text")
+    counts = chosen.mapInArrow(_term_counts(grams), "col int, term string, total long, docs long")
+    return counts.groupBy("col", "term").agg(F.sum("total").alias("total"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_df)
+
+
+def _most_frequent(summed: DataFrame, most: int) -> dict:
+    """col -> its ``most`` first (term, total, docs) by total, then by term.
+
+    Two steps (per bucket of terms, then per column), so that no column's terms meet in one task.
+    """
+    order = [F.desc("total"), F.col("term")]
+    inside = Window.partitionBy("col", F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS))).orderBy(*order)
+    first = summed.withColumn("place", F.row_number().over(inside)).where(F.col("place") <= most)
+    top = first.withColumn("place", F.row_number().over(Window.partitionBy("col").orderBy(*order))).where(F.col("place") <= most)
+    found: dict = {}
+    for r in sorted(top.collect(), key=lambda r: (r["col"], r["place"])):  # max_features x columns
+        found.setdefault(r["col"], []).append((r["term"], r["total"], r["docs"]))
+    return found
+
+
 def vocabularies(docs: DataFrame, makers: dict, sizes: dict, max_features: int, min_df: int) -> None:
     """Fill the vocabularies of ``makers`` (column -> Vectoriser): at most ``max_features`` terms a column,
-    by total count, then in order.  ``docs``: (col, id, text); ``sizes``: documents by column."""
-    chosen = docs.where(F.col("col").isin(list(makers))).select("col", "text")
-    counts = chosen.mapInArrow(_term_counts(makers), "col int, term string, total long, docs long")
-    summed = counts.groupBy("col", "term").agg(F.sum("total").alias("total"), F.sum("docs").alias("docs"))
-    place = F.row_number().over(Window.partitionBy("col").orderBy(F.desc("total"), "term"))
-    top = summed.where(F.col("docs") >= min_df).withColumn("place", place).where(F.col("place") <= max_features)
-    found: dict = {}
-    for r in sorted(top.collect(), key=lambda r: (r["col"], r["term"])):  # max_features x columns
-        found.setdefault(r["col"], []).append((r["term"], math.log((1 + sizes[r["col"]]) / (1 + r["docs"])) + 1.0))
+    by total count, then in order.  ``docs``: (col, id, text); ``sizes``: documents by column.
+
+    A pair of words has at most the total and the documents of either word.  Where single words fill the
+    vocabulary, pairs with a word below the last one's total can't enter, and aren't counted.
+    """
+    words = _written(_summed(docs, {c: m.words for c, m in makers.items()}, min_df), "theme-words")
+    found = _most_frequent(words, max_features)
+    grams = {}
+    for c, m in makers.items():
+        if m.ngram > 1 and c in found:
+            least = found[c][-1][1] if len(found[c]) == max_features else 0
+            kept = words.where((F.col("col") == c) & (F.col("total") >= least)).select("term").limit(PAIR_WORDS + 1).toArrow()
+            grams[c] = _pairs(m, frozenset(kept.column("term").to_pylist()) if kept.num_rows <= PAIR_WORDS else None)
+    pairs = _most_frequent(_summed(docs, grams, min_df), max_features) if grams else {}
     for c, terms in found.items():
-        makers[c].learn([t for t, _ in terms], [i for _, i in terms])
+        best = sorted(terms + pairs.get(c, []), key=lambda t: (-t[1], t[0]))[:max_features]
+        best.sort()
+        makers[c].learn([t for t, _, _ in best], [math.log((1 + sizes[c]) / (1 + n)) + 1.0 for _, _, n in best])
 
 
 def _vectors(makers: dict):
@@ -150,18 +212,24 @@ def _vectors(makers: dict):
 
 
 class Sparse:
-    """Rows of X: column indices, values, and the row of each entry."""
+    """Rows of X: their sizes, column indices and values."""
 
     def __init__(self, sizes: np.ndarray, idx: np.ndarray, val: np.ndarray, width: int):
-        self.rows, self.idx, self.val, self.n, self.width = np.repeat(np.arange(len(sizes)), sizes), idx, val, len(sizes), width
+        self.sizes, self.idx, self.val, self.width = sizes, idx.astype(np.int64), val, width
+        self.filled = np.flatnonzero(sizes)
+        self.starts = (np.cumsum(sizes) - sizes)[self.filled]
 
     def times(self, m: np.ndarray) -> np.ndarray:
         """X m, for m of width x k."""
-        return np.stack([np.bincount(self.rows, self.val * m[self.idx, t], self.n) for t in range(m.shape[1])], axis=1)
+        out = np.zeros((len(self.sizes), m.shape[1]))
+        for t, column in enumerate(np.ascontiguousarray(m.T)):
+            if len(self.filled):
+                out[self.filled, t] = np.add.reduceat(self.val * column.take(self.idx), self.starts)
+        return out
 
     def back(self, w: np.ndarray) -> np.ndarray:
         """X' w, for w of rows x k."""
-        return np.stack([np.bincount(self.idx, self.val * w[self.rows, t], self.width) for t in range(w.shape[1])], axis=1)
+        return np.stack([np.bincount(self.idx, self.val * np.repeat(column, self.sizes), self.width) for column in np.ascontiguousarray(w.T)], axis=1)
 
 
 def _sums(rows: DataFrame, work: dict, widths: dict) -> dict:

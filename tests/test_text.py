@@ -3,6 +3,7 @@
 import collections
 import itertools
 import json
+import math
 import random
 import re
 
@@ -291,3 +292,29 @@ def test_spelling_keys_are_selective(spark):
     words = ["".join(p) for p in itertools.product("abcdefgh", repeat=4)]
     keys = spark.createDataFrame([(w,) for w in words], "word string").select(F.explode(X._own_keys("word", 2)).alias("k"))
     assert keys.groupBy("k").count().agg(F.max("count")).first()[0] < len(words) / 10
+
+
+def test_vocabulary_in_two_steps_is_the_whole_count(spark, monkeypatch):
+    rnd = random.Random(5)
+    letters = "abcdefgh"
+    texts = [" ".join(a + a + b for a, b in zip(rnd.choices(letters, k=12), rnd.choices(letters[:3], k=12), strict=True))
+             + f" solo{i} once{i} the" for i in range(60)]
+    docs = spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)], "col int, id int, text string").repartition(3)
+    stop = frozenset(["the"])
+    plain = TH.Vectoriser(2, stop)
+    total, seen = collections.Counter(), collections.Counter()
+    for t in texts:
+        total.update(plain.grams(t))
+        seen.update(set(plain.grams(t)))
+    for most, sent in ((10, 1 << 18), (10, 2), (30, 1 << 18), (10_000, 1 << 18)):  # also: too many words to send; all words fit
+        monkeypatch.setattr(TH, "PAIR_WORDS", sent)
+        best = sorted((t for t in total if seen[t] >= 2), key=lambda t: (-total[t], t))[:most]
+        makers = {0: TH.Vectoriser(2, stop)}
+        TH.vocabularies(docs, makers, {0: len(texts)}, most, 2)
+        assert makers[0].terms == sorted(best)
+        assert makers[0].idf.tolist() == [math.log(61 / (1 + seen[t])) + 1.0 for t in sorted(best)]
+    # no task gets all terms of a column: each bucket hands on its first ones
+    words = spark.createDataFrame([(0, f"w{i}", 1 + i % 7, 2) for i in range(5000)], "col int, term string, total long, docs long")
+    assert [t for t, _, _ in TH._most_frequent(words, 4)[0]] == sorted(f"w{i}" for i in range(6, 5000, 7))[:4]
+    # a pair with a rare word is not counted
+    assert TH._pairs(plain, frozenset(["aa", "bb"]))("aa bb the cc aa the bb") == ["aa bb", "aa bb"]
