@@ -18,7 +18,8 @@ passes inside one task.
 
 Permutation importance: rows get a rank by a seeded key within their group, in two steps
 (buckets, then within a bucket), and rank joins rank: each row is paired with another
-one for each repeat, and every predictor in turn takes the partner's value.
+one for each repeat, and every predictor in turn takes the partner's value.  Pairs whose own
+rows are alike are brought together, and a prediction is made once for alike rows and values.
 """
 
 from __future__ import annotations
@@ -44,6 +45,7 @@ CHUNK = 1 << 16  # cells that a task works on at a time
 SLOTS = 1024  # places that the cells of a group are dealt to
 FOLD_ROUNDS = 10  # rounds after which predictions are written to the cells
 BUCKET_ROWS = 10_000  # rows of a rank bucket to aim at
+PLACE_ROWS = 20_000  # alike rows whose pairs are dealt to one place
 SHARE_BITS = 53
 
 
@@ -145,12 +147,15 @@ def make_cells(df: DataFrame, predictors: Sequence[str], target: str, group: str
     preds = [c for c in dict.fromkeys(predictors) if c != target]
     num = lambda c: F.when(F.isnan(F.col(c).cast("double")), None).otherwise(F.col(c).cast("double"))
     d = df.select(F.col(group), *[num(c).alias(c) for c in preds], num(target).alias("_y"))
-    aggs = [F.count(F.lit(1)).alias("_all"), F.count("_y").alias("_rows"), F.min("_y").alias("_low"), F.max("_y").alias("_high")]
-    aggs += [F.struct(F.avg(F.col(c).isNull().cast("double")).alias("gap"),
+    # the only reading of ``df``: all rows, also those without a target, as the shares of missing values are theirs
+    everything = _written(d.where(F.col(group).isNotNull()).groupBy(group, *preds, "_y").agg(F.count(F.lit(1)).alias("_n")), "boost-rows")
+    aggs = [F.sum(F.when(F.col("_y").isNotNull(), F.col("_n"))).alias("_rows"), F.sum("_n").alias("_all"),
+            F.min("_y").alias("_low"), F.max("_y").alias("_high")]
+    aggs += [F.struct(F.sum(F.when(F.col(c).isNull(), F.col("_n")).otherwise(0)).alias("missing"),
                       F.max((F.col(c) != 0) & (F.col(c) != 1)).alias("other")).alias(c) for c in preds]
     groups, rows = {}, {}
-    for r in sorted(d.where(F.col(group).isNotNull()).groupBy(group).agg(*aggs).collect(), key=lambda r: r[group]):  # a row per group
-        kept = [c for c in preds if r[c]["gap"] <= threshold]
+    for r in sorted(everything.groupBy(group).agg(*aggs).collect(), key=lambda r: r[group]):  # a row per group
+        kept = [c for c in preds if r[c]["missing"] / r["_all"] <= threshold]
         if r["_rows"] and kept:
             g = groups[r[group]] = Group(len(groups), r[group], kept, span=r["_high"] - r["_low"], rows=r["_rows"], complete=complete,
                                          zero_fill=frozenset(c for c in kept if not r[c]["other"] and not complete))
@@ -159,9 +164,8 @@ def make_cells(df: DataFrame, predictors: Sequence[str], target: str, group: str
     cell = "code int, bins binary, y double, n long, held long, f double"
     if not groups:
         return [], spark.createDataFrame([], cell)
-    d = d.where(F.col("_y").isNotNull())
+    counted = everything.where(F.col("_y").isNotNull())
     # copies of a row are told apart, so that a sample takes its share of them
-    counted = _written(d.groupBy(group, *preds, "_y").agg(F.count(F.lit(1)).alias("_n")), "boost-rows")
     copies = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("_n", F.lit(SAMPLE_ROWS)))))
     for (name, c), e in _edges(copies, group, preds, rows, seed).items():
         if name in groups and c in groups[name].predictors:
@@ -621,32 +625,45 @@ def ranked(rows: DataFrame, key: F.Column, buckets: int) -> DataFrame:
             .withColumn("rank", F.col("start") + F.col("place")).drop("key", "bucket", "start", "place"))
 
 
+def _alike(table: pa.Table, p: int):
+    """(code, bins, y, partners' bins, own row of each partner) by group; rows next to each other that are alike are one own row."""
+    codes, y = table.column("code").to_numpy(), table.column("y").to_numpy()
+    own, other = _bins(table, "bins", p), _bins(table, "partner", p)
+    new = np.ones(len(y), bool)
+    new[1:] = (codes[1:] != codes[:-1]) | (y[1:] != y[:-1]) | (own[1:] != own[:-1]).any(axis=1)
+    for code in np.unique(codes):
+        at = np.flatnonzero(codes == code)
+        first = at[new[at]]
+        yield int(code), own[first], y[first], other[at], np.cumsum(new[at]) - 1
+
+
 def _permuted_errors(groups: list[Group], p: int, predictors: list):
-    """Per task and group: rows, summed squared error as it is (feature -1) and with each predictor from the partner."""
+    """Per task and group: summed squared error as it is (feature -1) and with each predictor from the partner.
+
+    Rows come sorted, so those alike are next to each other: a prediction for a row and a partner's value counts for all of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict = {}
         for table in _gathered(batches):
-            codes, y = table.column("code").to_numpy(), table.column("y").to_numpy()
-            own, other = _bins(table, "bins", p), _bins(table, "partner", p)
-            for code in np.unique(codes):
-                at = np.flatnonzero(codes == code)
+            for code, own, y, other, row in _alike(table, p):
                 g = groups[code]
-                x = own[at]
-                plain = [tree.predict(x) for tree in g.trees]
+                plain = [tree.predict(own) for tree in g.trees]
                 for f in [-1, *(predictors.index(c) for c in g.predictors)]:
+                    value = other[:, f] if f >= 0 else 0
+                    key, times = np.unique(row * 256 + value, return_counts=True)
+                    at, value = np.divmod(key, 256)
                     x = own[at]
                     if f >= 0:
-                        x = x.copy()
-                        x[:, f] = other[at, f]
+                        x[:, f] = value
                     e = np.full(len(at), g.base)
-                    for tree, value in zip(g.trees, plain, strict=True):
-                        e += tree.predict(x) if f >= 0 and (tree.feature == f).any() else value
+                    for tree, unchanged in zip(g.trees, plain, strict=True):
+                        e += tree.predict(x) if f >= 0 and (tree.feature == f).any() else unchanged[at]
                     e -= y[at]
-                    total[code, f] = total.get((code, f), 0) + int(_fixed(e * e, 2.0 ** g.loss_bits).astype(np.int64).sum())
+                    total[code, f] = total.get((code, f), 0) + int((_fixed(e * e, 2.0 ** g.loss_bits).astype(np.int64) * times).sum())
         if total:
             keys = list(total)
-            yield pa.RecordBatch.from_arrays([pa.array([int(c) for c, _ in keys], pa.int32()), pa.array([f for _, f in keys], pa.int32()),
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in keys], pa.int32()), pa.array([f for _, f in keys], pa.int32()),
                                               pa.array(list(total.values()), pa.int64())], names=["code", "feature", "e"])
 
     return run
@@ -655,12 +672,16 @@ def _permuted_errors(groups: list[Group], p: int, predictors: list):
 def permutation_importance(groups: list[Group], cells: DataFrame, predictors: list, repeats: int, seed: int) -> dict:
     """code -> {predictor: rise of the mean squared error, averaged over ``repeats``}; all rows, held out or not."""
     p, most = len(predictors), max(g.rows for g in groups)
-    rows = cells.select("code", "bins", "y", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") + F.col("held"))).alias("copy"))
+    alike = F.col("n") + F.col("held")
+    rows = cells.select("code", "bins", "y", alike.alias("alike"), F.explode(F.sequence(F.lit(1).cast("long"), alike)).alias("copy"))
     rows = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats))))
     ranks = ranked(rows, _unit(F.lit(seed), "rep", "code", "bins", "y", "copy"), max(1, most // BUCKET_ROWS))
     ranks = _written(ranks.drop("copy"), "permuted-rows")
     partner = ranks.where("rep > 0").select("code", "rank", F.col("bins").alias("partner"))
-    pairs = ranks.where("rep = 0").select("code", "rank", "bins", "y").join(partner, ["code", "rank"]).select("code", "bins", "y", "partner")
+    pairs = ranks.where("rep = 0").select("code", "rank", "bins", "y", "alike").join(partner, ["code", "rank"])
+    # pairs of alike rows meet and are next to each other; rows with very many copies go to several places
+    place = F.pmod(F.col("rank"), 1 + F.floor(F.col("alike") / PLACE_ROWS))
+    pairs = pairs.repartition("code", "bins", "y", place).sortWithinPartitions("code", "bins", "y").drop("rank", "alike")
     errors = pairs.mapInArrow(_permuted_errors(groups, p, predictors), "code int, feature int, e long")
     sums = {(r["code"], r["feature"]): int(r["e"]) for r in
             errors.groupBy("code", "feature").agg(F.sum(F.col("e").cast("decimal(38,0)")).alias("e")).collect()}

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,3 +215,49 @@ def test_leaf_wise_order_takes_the_greatest_gain_first():
     t.learn(right, (4.0, 0, 0, False, 20, 1))
     assert t.order() == ([0, right], []) and list(itertools.chain(t.tree(0.1, 1.0).feature)).count(0) == 1
     assert (t.finished(0.1, 1.0).feature >= 0).tolist() == [True, False, True, False, False]
+
+
+def counted_rows(spark, n=300):
+    """Rows whose every reading is counted: (df, accumulator)."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [("A" if i % 3 else "B", float(i % 5), float(i % 4), float(i % 5 + i % 2)) for i in range(n)]
+    schema = "product string, a double, b double, liking double"
+    return spark.createDataFrame(rows, schema).repartition(3).mapInArrow(count, schema), read
+
+
+def test_rows_are_read_once(spark):
+    df, read = counted_rows(spark)
+    groups, cells = B.make_cells(df, ["a", "b"], "liking", "product", 0.99, 0.1, 1)
+    assert sum(r["n"] + r["held"] for r in cells.collect()) == 300 and read.value == 300
+
+
+def test_driver_merge_reads_its_rows_once(spark):
+    df, read = counted_rows(spark)
+    out = D.driver_merge(df, ["a", "b"], "liking", run_hgb=False).collect()
+    assert len(out) == 4 and read.value == 300
+
+
+def test_alike_pairs_are_predicted_once(monkeypatch):
+    tree = B.Tree(np.array([0, -1, -1]), np.array([1, 0, 0]), np.array([False] * 3), np.array([1, 0, 0]), np.array([2, 0, 0]), np.array([0.0, -1.0, 1.0]))
+    group = B.Group(0, "A", ["a", "b"], span=4.0, rows=900, trees=[tree])
+    rng = np.random.default_rng(3)
+    own = np.repeat(np.array([[0, 1], [2, 1], [2, 3]], np.uint8), 300, axis=0)
+    y, other = np.repeat([0.0, 1.0, 3.0], 300), rng.integers(0, 4, (900, 2)).astype(np.uint8)
+    batch = pa.RecordBatch.from_pydict({"code": pa.array([0] * 900, pa.int32()), "bins": [b.tobytes() for b in own], "y": y,
+                                        "partner": [b.tobytes() for b in other]})
+    predicted = []
+    plain = B.Tree.predict
+    monkeypatch.setattr(B.Tree, "predict", lambda self, bins: predicted.append(len(bins)) or plain(self, bins))
+    out = {r["feature"]: r["e"] for b in B._permuted_errors([group], 2, ["a", "b"])(iter([batch])) for r in b.to_pylist()}
+    assert sum(predicted) == 3 + 3 * 4  # the rows as they are, and each with the four values of ``a``; ``b`` has no part in the tree
+    for f in (-1, 0, 1):
+        x = own.copy()
+        if f >= 0:
+            x[:, f] = other[:, f]
+        assert out[f] == int(B._fixed((plain(tree, x) - y) ** 2, 2.0 ** group.loss_bits).astype(np.int64).sum())
