@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .boosting import boosted_importance
+from .boosting import _written, boosted_importance
 from .forest import forest_importance
 
 # ---------------------------------------------------------------------------
@@ -346,6 +346,8 @@ def gbt_permutation_importance(df: DataFrame, predictors: Sequence[str], target:
 def driver_merge(df: DataFrame, predictors: Sequence[str], target: str, threshold: float = 0.3,
                  group: str = "product", run_hgb: bool = True) -> DataFrame:
     """Linear, Johnson, lasso and forest weights (and boosted trees) outer-merged on (group, variable)."""
+    # written once, as each method reads the rows several times and they may come from joins
+    df = _written(df.select(*dict.fromkeys([group, *predictors, target])), "driver-rows")
     out = linear_drivers(df, predictors, target, threshold, group).drop("n_rows")
     out = out.join(random_forest_importance(df, predictors, target, threshold, group), [group, "variable"], "full_outer")
     if run_hgb:
