@@ -139,7 +139,9 @@ def _pairs(maker: Vectoriser, kept: frozenset | None):
     """Lists a text's terms of two words, both of them in ``kept`` unless that is None."""
     def pairs(text: str) -> list:
         words = maker.words(text)
-        return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if kept is None or a in kept and b in kept]
+        if kept is not None:
+            words = [w if w in kept else None for w in words]
+        return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if a and b]
 
     return pairs
 
@@ -396,7 +398,7 @@ def factorise(rows: DataFrame, widths: dict, ks: dict, sizes: dict, max_iter: in
 # ---------------------------------------------------------------------------
 
 
-def _weighted(makers: dict, h: dict, ks: dict):
+def _weighted(makers: dict, h: dict):
     """(col, id, text, verbatim) -> the same with the weights of every topic; all zero without a term of the vocabulary."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -404,11 +406,9 @@ def _weighted(makers: dict, h: dict, ks: dict):
             weights = [[] for _ in cols]
             for c in set(cols) & set(h):
                 at = [i for i, x in enumerate(cols) if x == c]
-                b = np.zeros((len(at), ks[c]))
-                for k, i in enumerate(at):
-                    idx, val = makers[c].vector(texts[i])
-                    b[k] = h[c][:, idx] @ val
-                for i, w in zip(at, solve(b, h[c] @ h[c].T).tolist(), strict=True):
+                found = [makers[c].vector(texts[i]) for i in at]
+                x = Sparse(np.array([len(idx) for idx, _ in found]), *map(np.concatenate, zip(*found, strict=True)), h[c].shape[1])
+                for i, w in zip(at, solve(x.times(h[c].T), h[c] @ h[c].T).tolist(), strict=True):
                     weights[i] = w
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weights, pa.list_(pa.float64()))], names=[*batch.schema.names, "weights"])
 
@@ -471,7 +471,7 @@ def theme_analysis(df: DataFrame, id_col: str, columns: Sequence[str], save_name
     model = spark.createDataFrame(rows_of, "col int, oe_column string, theme int, label string, top_terms string, n long")
 
     fields = f"col int, id {id_type}, verbatim string, text string"
-    weighted = docs.select("col", "id", "verbatim", "text").mapInArrow(_weighted(makers, h, ks), f"{fields}, weights array<double>")
+    weighted = docs.select("col", "id", "verbatim", "text").mapInArrow(_weighted(makers, h), f"{fields}, weights array<double>")
     top = F.array_max("weights")
     bar = F.lit(assign_threshold) * F.when(top == 0, F.lit(1e-9)).otherwise(top)
     over = F.filter(F.transform("weights", lambda w, i: F.when(w >= bar, i + 1)), lambda i: i.isNotNull())
