@@ -47,6 +47,7 @@ FOLD_ROUNDS = 10  # rounds after which predictions are written to the cells
 BUCKET_ROWS = 10_000  # rows of a rank bucket to aim at
 PLACE_ROWS = 20_000  # alike rows whose pairs are dealt to one place
 SHARE_BITS = 53
+RANK_BITS = 40  # of the rank of a row in its group
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -361,7 +362,8 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _bins(table: pa.Table, name: str, p: int) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), np.uint8).reshape(-1, p)
+    fixed = table.column(name).combine_chunks().cast(pa.binary(p))  # the bytes of all rows in a row
+    return np.frombuffer(fixed.buffers()[1], np.uint8)[fixed.offset * p:][: len(fixed) * p].reshape(-1, p)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], p: int):
@@ -620,9 +622,11 @@ def ranked(rows: DataFrame, key: F.Column, buckets: int) -> DataFrame:
     counts = d.groupBy("code", "rep", "bucket").agg(F.count(F.lit(1)).alias("m"))
     before = Window.partitionBy("code", "rep").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("code", "rep", "bucket", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("code", "rep", "bucket").orderBy("key", "bins", "y", "copy")
-    return (d.withColumn("place", F.row_number().over(inside)).join(starts, ["code", "rep", "bucket"])
-            .withColumn("rank", F.col("start") + F.col("place")).drop("key", "bucket", "start", "place"))
+    # the hash tells buckets apart at a glance while rows are sorted
+    inside = Window.partitionBy("part", "code", "rep", "bucket").orderBy("key", "bins", "y", "copy")
+    return (d.withColumn("part", F.xxhash64("code", "rep", "bucket")).withColumn("place", F.row_number().over(inside))
+            .join(starts, ["code", "rep", "bucket"])
+            .withColumn("rank", F.col("start") + F.col("place")).drop("key", "bucket", "start", "place", "part"))
 
 
 def _alike(table: pa.Table, p: int):
@@ -640,7 +644,7 @@ def _alike(table: pa.Table, p: int):
 def _permuted_errors(groups: list[Group], p: int, predictors: list):
     """Per task and group: summed squared error as it is (feature -1) and with each predictor from the partner.
 
-    Rows come sorted, so those alike are next to each other: a prediction for a row and a partner's value counts for all of them.
+    Rows that are alike come next to each other: a prediction for a row and a partner's value counts for all of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -677,11 +681,14 @@ def permutation_importance(groups: list[Group], cells: DataFrame, predictors: li
     rows = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats))))
     ranks = ranked(rows, _unit(F.lit(seed), "rep", "code", "bins", "y", "copy"), max(1, most // BUCKET_ROWS))
     ranks = _written(ranks.drop("copy"), "permuted-rows")
-    partner = ranks.where("rep > 0").select("code", "rank", F.col("bins").alias("partner"))
-    pairs = ranks.where("rep = 0").select("code", "rank", "bins", "y", "alike").join(partner, ["code", "rank"])
-    # pairs of alike rows meet and are next to each other; rows with very many copies go to several places
+    # one number for group and rank, as rows are joined and sorted by it
+    at = F.shiftleft(F.col("code").cast("long"), RANK_BITS) + F.col("rank")
+    partner = ranks.where("rep > 0").select(at.alias("at"), F.col("bins").alias("partner"))
+    # pairs of alike rows meet and are next to each other, by a hash; rows with very many copies go to several places
     place = F.pmod(F.col("rank"), 1 + F.floor(F.col("alike") / PLACE_ROWS))
-    pairs = pairs.repartition("code", "bins", "y", place).sortWithinPartitions("code", "bins", "y").drop("rank", "alike")
+    own = ranks.where("rep = 0").select("code", "bins", "y", at.alias("at"), place.alias("place"), F.xxhash64("code", "bins", "y").alias("same"))
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = own.join(partner, "at").repartition(tasks, "same", "place").sortWithinPartitions("same").select("code", "bins", "y", "partner")
     errors = pairs.mapInArrow(_permuted_errors(groups, p, predictors), "code int, feature int, e long")
     sums = {(r["code"], r["feature"]): int(r["e"]) for r in
             errors.groupBy("code", "feature").agg(F.sum(F.col("e").cast("decimal(38,0)")).alias("e")).collect()}

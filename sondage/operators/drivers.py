@@ -82,12 +82,13 @@ def _partial_moments(columns: list, complete: dict | None):
         for batch in batches:
             kind = batch.column(0).type
             x = np.stack([batch.column(i + 1).to_numpy(zero_copy_only=False).astype(float) for i in range(len(columns))], axis=1)
-            names = batch.column(0).to_pylist()
-            for g in set(names):
+            names = batch.column(0).dictionary_encode()
+            codes = names.indices.to_numpy()
+            for code, g in enumerate(names.dictionary.to_pylist()):
                 need = everything if complete is None else np.array([columns.index(c) for c in complete.get(g, [])], int)
                 if not len(need):
                     continue
-                own = x[np.array([v == g for v in names])]
+                own = x[codes == code]
                 own = own[~np.isnan(own[:, need]).any(axis=1)]
                 full = np.zeros_like(own)
                 full[:, need] = own[:, need]

@@ -7,6 +7,7 @@ tokens, and "unchecked" counts are totals minus checked counts.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import pvalues as PV
 from ..functions import scalar as S
 from .reshape import long_form
-from .stats import product_pairs, t_test_from_moments
+from .stats import respondent_pairs, t_test_from_moments
 
 # ---------------------------------------------------------------------------
 # CATA pairwise McNemar (exact) on token indicators
@@ -31,42 +32,29 @@ def cata_mcnemar(wide: DataFrame, columns: Sequence[str], key: str = "customer_i
     are skipped.  ``attribute`` is the text after the last '_' of the dummy
     name ``<question>_<token>``, ``token`` the full token.
     """
-    pairs = product_pairs(wide)
-    cust = wide.select("product", key).distinct()
-    pc = (cust.join(pairs, cust["product"] == pairs["name1"]).select("name1", "name2", key)
-          .join(cust.withColumnRenamed("product", "name2"), ["name2", key]))
-    n_pairs = pc.groupBy("name1", "name2").agg(F.count(F.lit(1)).alias("n"))
-    parts = []
-    for col in columns:
-        tok = (wide.where(F.col(col).isNotNull())
-               .select("product", key, F.explode(F.split(F.col(col), ",")).alias("token"))
-               .where(F.col("token") != "").distinct())
-        vocab = tok.select("product", "token").distinct()
-        common = (vocab.join(pairs, vocab["product"] == pairs["name1"]).select("name1", "name2", "token")
-                  .join(vocab.withColumnRenamed("product", "name2"), ["name2", "token"]))
-        t1 = tok.join(pairs, tok["product"] == pairs["name1"]).select(
-            "name1", "name2", key, "token", F.lit(1).alias("x"), F.lit(0).alias("y"))
-        t2 = tok.join(pairs, tok["product"] == pairs["name2"]).select(
-            "name1", "name2", key, "token", F.lit(0).alias("x"), F.lit(1).alias("y"))
-        flags = (t1.unionByName(t2).join(pc, ["name1", "name2", key], "left_semi")
-                 .groupBy("name1", "name2", key, "token").agg(F.max("x").alias("x"), F.max("y").alias("y")))
-        cnt = flags.groupBy("name1", "name2", "token").agg(
-            F.sum("x").alias("n1"), F.sum("y").alias("n2"),
-            F.count_if((F.col("x") == 0) & (F.col("y") == 1)).alias("b"),
-            F.count_if((F.col("x") == 1) & (F.col("y") == 0)).alias("c"))
-        j = (common.join(cnt, ["name1", "name2", "token"], "left").join(n_pairs, ["name1", "name2"])
-             .fillna(0, subset=["n1", "n2", "b", "c"]))
-        ok = (F.col("n1") > 0) & (F.col("n1") < F.col("n")) & (F.col("n2") > 0) & (F.col("n2") < F.col("n"))
-        parts.append(j.where(ok).select("name1", "name2", F.lit(col).alias("question"), "token",
-                                        F.element_at(F.split(F.concat(F.lit(col + "_"), "token"), "_"), -1)
-                                        .alias("attribute"),
-                                        F.col("b").cast("long").alias("b"), F.col("c").cast("long").alias("c")))
-    if not parts:
+    cols = list(dict.fromkeys(columns))
+    if not cols:
         return wide.sparkSession.createDataFrame([], "name1 string, name2 string, question string, token string, attribute string, b long, c long,"
                                                      " p_value double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    rows = wide.where(F.col("product").isNotNull() & F.col(key).isNotNull()).select(
+        key, "product", *[F.col(c).alias(f"q{i}") for i, c in enumerate(cols)])
+    pairs = respondent_pairs(rows, key, {f"q{i}": F.sort_array(F.collect_set(f"q{i}")) for i in range(len(cols))})
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("question"), F.col(f"first.q{i}").alias("cells1"), F.col(f"second.q{i}").alias("cells2"))
+                               for i, c in enumerate(cols)]))
+    # equal cells are counted before they are cut into tokens
+    cells = pairs.select("name1", "name2", each.alias("p")).groupBy("name1", "name2", "p.question", "p.cells1", "p.cells2").agg(F.count(F.lit(1)).alias("n"))
+    tokens = lambda c: F.array_distinct(F.filter(F.flatten(F.transform(c, lambda x: F.split(x, ","))), lambda t: t != ""))
+    sets = cells.select("name1", "name2", "question", "n", tokens("cells1").alias("t1"), tokens("cells2").alias("t2"))
+    # the row without a token counts all respondents of the pair
+    flags = sets.select("*", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_union("t1", "t2"))).alias("token"))
+    x, y = (F.coalesce(F.array_contains(t, F.col("token")), F.lit(False)) for t in ("t1", "t2"))
+    total = lambda when: F.sum(F.when(when, F.col("n")).otherwise(0))
+    cnt = flags.groupBy("name1", "name2", "question", "token").agg(
+        total(x).alias("n1"), total(y).alias("n2"), total(~x & y).alias("b"), total(x & ~y).alias("c"), total(F.col("token").isNull()).alias("n"))
+    j = cnt.withColumn("n", F.max("n").over(Window.partitionBy("name1", "name2", "question"))).where(F.col("token").isNotNull())
+    ok = (F.col("n1") > 0) & (F.col("n1") < F.col("n")) & (F.col("n2") > 0) & (F.col("n2") < F.col("n"))
+    out = j.where(ok).select("name1", "name2", "question", "token",
+                             F.element_at(F.split(F.concat("question", F.lit("_"), "token"), "_"), -1).alias("attribute"), "b", "c")
     return out.withColumn("p_value", PV.mcnemar_exact_udf("b", "c"))
 
 
@@ -87,11 +75,11 @@ def cata_penalty(wide: DataFrame, column: str, target: str, group: Sequence[str]
     ``mode='exact'`` uses token equality.
     """
     g = list(group)
-    # per ROW semantics: a generated row id, unique by construction, so a respondent id
-    # repeated many times cannot multiply the checked-token x target join
-    rows = wide.select(*g, F.col(column).alias("_cell"), F.col(target).cast("double").alias("_y")) \
-        .withColumn("_row", F.monotonically_increasing_id()).checkpoint()
-    key = "_row"
+    # rows with the same cell check the same tokens, so counts and sums per cell stand for them
+    y = F.col(target).cast("double")
+    rows = wide.groupBy(*g, F.col(column).alias("_cell")).agg(
+        F.count(y).alias("_n"), F.sum(y).alias("_s"), F.sum(y * y).alias("_q")).checkpoint()
+    key = "_cell"
     rt = (rows.where(F.col("_cell").isNotNull())
           .select(*g, key, F.explode(F.transform(F.split("_cell", ","), S.strip_whitespace)).alias("u"))
           .where(F.col("u") != "").distinct())
@@ -105,11 +93,9 @@ def cata_penalty(wide: DataFrame, column: str, target: str, group: Sequence[str]
                    .select(*[F.col(f"big.{c}").alias(c) for c in g], F.col("big.u").alias("u"),
                            F.col("small.u").alias("token")))
     checked = rt.join(contain, [*g, "u"]).select(*g, key, "token").distinct()
-    ys = rows.where(F.col("_y").isNotNull()).select(*g, key, "_y")
-    tot = ys.groupBy(*g).agg(F.count(F.lit(1)).alias("n_all"), F.sum("_y").alias("s_all"),
-                             F.sum(F.col("_y") * F.col("_y")).alias("q_all"))
-    ch = checked.join(ys, [*g, key]).groupBy(*g, "token").agg(
-        F.count(F.lit(1)).alias("n_c"), F.sum("_y").alias("s_c"), F.sum(F.col("_y") * F.col("_y")).alias("q_c"))
+    tot = rows.groupBy(*g).agg(F.sum("_n").alias("n_all"), F.sum("_s").alias("s_all"), F.sum("_q").alias("q_all"))
+    ch = checked.join(rows, [*g, key]).groupBy(*g, "token").agg(
+        F.sum("_n").alias("n_c"), F.sum("_s").alias("s_c"), F.sum("_q").alias("q_c"))
     vt = vocab.select(*g, F.col("u").alias("token"))
     j = vt.join(ch, [*g, "token"], "left").join(tot, g, "left").fillna(0, subset=["n_c", "s_c", "q_c"])
     n_c, n_u = F.col("n_c"), F.coalesce(F.col("n_all"), F.lit(0)) - F.col("n_c")
@@ -245,20 +231,21 @@ def jar_penalty(wide: DataFrame, jar_columns: Sequence[str], target: str,
 
 
 def joint_freq(wide: DataFrame, columns: Sequence[str], group: Sequence[str] = ("product",)) -> DataFrame:
-    """(group, q1, q2, v1, v2, n) over rows where both columns are answered, q1 < q2 by position.
+    """(group, q1, q2, v1, v2, n) over rows where both columns are answered, q1 <= q2 by position.
 
-    Each row emits its p(p-1)/2 column pairs (p = number of columns, fixed by
-    the questionnaire); the map-side partial aggregate collapses them to at
-    most p^2 x levels^2 rows per task before the shuffle.
+    Rows alike in all columns are counted first.  Each of these emits its p(p+1)/2 column pairs, a
+    column with itself among them (p = number of columns, fixed by the questionnaire); the map-side
+    partial aggregate collapses them to at most p^2 x levels^2 rows per task before the shuffle.
     """
     g = list(group)
     cols = list(columns)
-    pairs = [F.struct(F.lit(a).alias("q1"), F.lit(b).alias("q2"), F.col(a).cast("double").alias("v1"),
-                      F.col(b).cast("double").alias("v2"))
-             for i, a in enumerate(cols) for b in cols[i + 1:]]
-    ex = wide.select(*g, F.explode(F.array(*pairs)).alias("p")).select(*g, "p.*")
+    answers = [F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]
+    alike = wide.select(*g, *answers).groupBy(*g, *[f"c{i}" for i in range(len(cols))]).agg(F.count(F.lit(1)).alias("n"))
+    pairs = [F.struct(F.lit(a).alias("q1"), F.lit(cols[j]).alias("q2"), F.col(f"c{i}").alias("v1"), F.col(f"c{j}").alias("v2"))
+             for i, a in enumerate(cols) for j in range(i, len(cols))]
+    ex = alike.select(*g, "n", F.explode(F.array(*pairs)).alias("p")).select(*g, "n", "p.*")
     return (ex.where(F.col("v1").isNotNull() & F.col("v2").isNotNull())
-            .groupBy(*g, "q1", "q2", "v1", "v2").agg(F.count(F.lit(1)).alias("n")))
+            .groupBy(*g, "q1", "q2", "v1", "v2").agg(F.sum("n").alias("n")))
 
 
 def spearman(wide: DataFrame, columns: Sequence[str], group: Sequence[str] = ("product",)) -> DataFrame:
@@ -272,25 +259,25 @@ def spearman(wide: DataFrame, columns: Sequence[str], group: Sequence[str] = ("p
     jf = joint_freq(wide, columns, g)
     keys = [*g, "q1", "q2"]
 
-    def ranks(v):
-        m = jf.groupBy(*keys, v).agg(F.sum("n").alias("t"))
-        w = Window.partitionBy(*keys).orderBy(v).rowsBetween(Window.unboundedPreceding, 0)
-        return m.select(*keys, v, (F.sum("t").over(w) - F.col("t") + (F.col("t") + 1) / 2.0).alias("r_" + v))
+    def rank(v):
+        upto = Window.partitionBy(*keys).orderBy(v).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        t = F.sum("n").over(Window.partitionBy(*keys, v))
+        return (F.sum("n").over(upto) - t + (t + 1) / 2.0).alias("r_" + v)
 
-    j = jf.join(ranks("v1"), [*keys, "v1"]).join(ranks("v2"), [*keys, "v2"])
+    j = jf.select("*", rank("v1"), rank("v2"))
     n, r1, r2 = F.col("n"), F.col("r_v1"), F.col("r_v2")
     a = j.groupBy(*keys).agg(F.sum(n).alias("N"), F.sum(n * r1).alias("s1"), F.sum(n * r2).alias("s2"),
                              F.sum(n * r1 * r1).alias("s11"), F.sum(n * r2 * r2).alias("s22"),
-                             F.sum(n * r1 * r2).alias("s12"))
+                             F.sum(n * r1 * r2).alias("s12"), (F.min("v1") < F.max("v1")).alias("varies"))
     N = F.col("N")
     cov = F.col("s12") - F.col("s1") * F.col("s2") / N
     v1 = F.col("s11") - F.col("s1") * F.col("s1") / N
     v2 = F.col("s22") - F.col("s2") * F.col("s2") / N
     rho = F.when((v1 > 1e-12) & (v2 > 1e-12) & (N > 1), cov / F.sqrt(v1 * v2))
-    off = a.select(*keys, rho.alias("rho"))
-    mirror = off.select(*g, F.col("q2").alias("q1"), F.col("q1").alias("q2"), "rho")
-    lng = long_form(wide, g, columns).where(F.col("score").isNotNull())
-    diag = lng.groupBy(*g, "question").agg(
-        F.when((F.count(F.lit(1)) > 1) & (F.min("score") < F.max("score")), F.lit(1.0)).alias("rho"))
-    diag = diag.select(*g, F.col("question").alias("q1"), F.col("question").alias("q2"), "rho")
-    return off.unionByName(mirror).unionByName(diag)
+    own = F.col("q1") == F.col("q2")
+    known = functools.reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in g], F.lit(True))
+    out = a.where(own | known).select(*keys, F.when(own, F.when(F.col("varies"), F.lit(1.0))).otherwise(rho).alias("rho"))
+    there = F.struct("q1", "q2")
+    back = F.struct(F.col("q2").alias("q1"), F.col("q1").alias("q2"))
+    both = F.explode(F.when(own, F.array(there)).otherwise(F.array(there, back)))
+    return out.select(*g, both.alias("q"), "rho").select(*g, "q.q1", "q.q2", "rho")

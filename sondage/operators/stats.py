@@ -137,37 +137,54 @@ def cliffs_delta(wide: DataFrame, questions: Sequence[str]) -> DataFrame:
 DUPLICATES = "error (duplicate respondents)"
 
 
-def _answers(long: DataFrame, key: str) -> DataFrame:
-    """One row per (question, product, key) with its number of answers (a repeated key is one row)."""
-    return (long.where(F.col("score").isNotNull()).groupBy("question", key, "product")
-            .agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("score")))
+def respondent_pairs(wide: DataFrame, key: str, answers: dict) -> DataFrame:
+    """(name1, name2, first, second): the products that a respondent rated, two at a time, and itself where it says so.
+
+    ``answers``: name -> aggregate over a respondent's rows for a product, which ``first`` and ``second``
+    hold as fields.  A field ``twice`` that is true pairs the product with itself as well.  A
+    respondent's products meet in one row, however many there are, and leave it as pairs at once.
+    """
+    rated = wide.groupBy(key, "product").agg(*[a.alias(name) for name, a in answers.items()])
+    rated = rated.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("product", *answers))).alias("a"))
+    first = rated.select("a", F.posexplode("a").alias("i", "first"))
+    start = F.col("i") + (F.when(F.col("first.twice"), 1).otherwise(2) if "twice" in answers else F.lit(2))
+    both = first.select("first", F.explode(F.slice("a", start, F.size("a"))).alias("second"))
+    return both.select(F.col("first.product").alias("name1"), F.col("second.product").alias("name2"), "first", "second")
 
 
-def paired_counts(long: DataFrame, key: str) -> DataFrame:
+def paired_counts(wide: DataFrame, questions: Sequence[str], key: str = "customer_id") -> DataFrame:
     """(question, name1, name2, x, y, n, duplicates): answered pairs across every product pair.
 
-    Respondents are matched on ``key``: their answers to a question meet in one row (one
-    shuffle, however many products there are), which emits its product pairs straight into
-    a partial count.  ``duplicates`` tells that a respondent answers more than once for one
-    of the two products; such a pair has no pairing, and its statistics are an error.
+    Respondents are matched on ``key`` with all their answers at once.  ``duplicates`` tells that a
+    respondent answers more than once for one of the two products; such a pair has no
+    pairing, and its statistics are an error.  Several tests can share this table (``paired=``).
     """
-    f = _answers(long, key)
-    by_respondent = f.groupBy("question", key).agg(F.sort_array(F.collect_list(F.struct("product", "score"))).alias("a"))
-    pairs = by_respondent.select("question", F.explode(F.expr(
-        "flatten(transform(a, (p, i) -> transform(slice(a, i + 2, size(a)), q ->"
-        " struct(p.product AS name1, q.product AS name2, p.score AS x, q.score AS y))))")).alias("p"))
-    counts = pairs.groupBy("question", "p.name1", "p.name2", "p.x", "p.y").agg(F.count(F.lit(1)).alias("n"))
-    twice = f.where("c > 1").select("question", "product").distinct()
-    for side in ("name1", "name2"):
-        flagged = twice.select("question", F.col("product").alias(side), F.lit(True).alias(f"_{side}"))
-        counts = counts.join(flagged, ["question", side], "left")
+    cols = list(questions)
+    rows = wide.select(key, "product", *[F.col(q).cast("double").alias(f"q{i}") for i, q in enumerate(cols)])
+    answers = {f"s{i}": F.min(f"q{i}") for i in range(len(cols))}  # a repeated key is one answer
+    answers |= {f"t{i}": F.count(f"q{i}") > 1 for i in range(len(cols))}
+    answers["twice"] = F.greatest(F.lit(False), F.lit(False), *[F.count(f"q{i}") > 1 for i in range(len(cols))])
+    pairs = respondent_pairs(rows, key, answers)
+    each = F.explode(F.array(*[F.struct(F.lit(q).alias("question"), F.col(f"first.s{i}").alias("x"), F.col(f"second.s{i}").alias("y"),
+                                        F.col(f"first.t{i}").alias("twice")) for i, q in enumerate(cols)]))
+    long = pairs.select("name1", "name2", each.alias("p")).select("p.question", "name1", "name2", "p.x", "p.y", "p.twice")
+    long = long.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    counts = long.groupBy("question", "name1", "name2", "x", "y").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"))
+    # a product paired with itself is there for its respondents who answer twice
+    own = F.col("name1").eqNullSafe(F.col("name2"))
+    flags = [F.max(own & F.col("twice") & F.col(side).isNotNull()).over(Window.partitionBy("question", side)) for side in ("name1", "name2")]
+    counts = counts.withColumns({"_name1": flags[0], "_name2": flags[1]}).where(~own)
     dup = F.coalesce("_name1", F.lit(False)) | F.coalesce("_name2", F.lit(False))
     return counts.select("question", "name1", "name2", "x", "y", "n", dup.alias("duplicates"))
 
 
-def mcnemar(binary_wide: DataFrame, questions: Sequence[str], key: str = "customer_id") -> DataFrame:
+def mcnemar(binary_wide: DataFrame, questions: Sequence[str], key: str = "customer_id",
+            paired: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Paired McNemar on 0/1 columns for every product pair (respondents joined on ``key``).
 
+    ``paired`` (``paired_counts`` of 0/1 answers) and ``counts`` (``summarise.answer_counts``), in
+    place of the table.
+
     b = #(first 0, second 1), c = #(first 1, second 0) over respondents answered
     in both.  A respondent twice in a product -> error; not 2x2 (a value missing on either side) -> skip; b + c = 0 -> no
     discordant pairs; b + c >= 25 -> chi-square without continuity correction,
@@ -175,9 +192,11 @@ def mcnemar(binary_wide: DataFrame, questions: Sequence[str], key: str = "custom
     Verdicts compare the p rounded to 4 dp.  ``len1``/``len2`` are each
     product's row counts for the question, so unequal tables stay visible.
     """
-    long = long_form(binary_wide, [key, "product"], questions)
-    lens = (long.groupBy("product", "question").agg(F.count(F.lit(1)).alias("len")))
-    pr = paired_counts(long, key)
+    if counts is None:
+        lens = long_form(binary_wide, ["product"], questions).groupBy("product", "question").agg(F.count(F.lit(1)).alias("len"))
+    else:
+        lens = counts.where(F.col("question").isin(list(questions))).groupBy("product", "question").agg(F.sum("n").alias("len"))
+    pr = paired_counts(binary_wide, questions, key) if paired is None else paired.where(F.col("question").isin(list(questions)))
     agg = pr.groupBy("question", "name1", "name2").agg(
         F.sum("n").alias("n_pairs"),
         F.sum(F.when((F.col("x") == 0) & (F.col("y") == 1), F.col("n")).otherwise(0)).alias("b"),
@@ -206,16 +225,17 @@ def mcnemar(binary_wide: DataFrame, questions: Sequence[str], key: str = "custom
                       F.when(ok, verdict(F.col("p_value"), 0.10)).otherwise(F.col("status")).alias("confidence_90"))
 
 
-def wilcoxon(wide: DataFrame, questions: Sequence[str], key: str = "customer_id") -> DataFrame:
+def wilcoxon(wide: DataFrame, questions: Sequence[str], key: str = "customer_id", paired: DataFrame | None = None) -> DataFrame:
     """Paired Wilcoxon signed-rank for every product pair (zero differences dropped).
 
+    ``paired``: ``paired_counts`` of the answers, in place of the table.
+
     Distribution of differences -> mid-ranks of |d| -> W+, W-; statistic =
     min(W+, W-).  Exact null distribution iff <= 50 non-zero pairs with no
     ties and no zeros, else the tie-corrected normal approximation.  ``z_value``
     = |Phi^-1(p/2)|, ``r`` = z / sqrt(all pairs incl. zeros).
     """
-    long = long_form(wide, [key, "product"], questions)
-    every = paired_counts(long, key)
+    every = paired_counts(wide, questions, key) if paired is None else paired.where(F.col("question").isin(list(questions)))
     pr = every.where(~F.col("duplicates"))
     keys = ["question", "name1", "name2"]
     # one chain: counts per |d| (signed) -> mid-ranks over |d| > 0 -> one aggregate

@@ -238,14 +238,15 @@ def cata_counts(wide: DataFrame, columns: Sequence[str], group: Sequence[str] =
 def _maxdiff_tokens(wide: DataFrame, columns: Sequence[str], group: Sequence[str]) -> DataFrame:
     lng = wide.select(*group, *[F.col(c).cast("string").alias(c) for c in columns]).unpivot(
         list(group), list(columns), "question", "cell").where(F.col("cell").isNotNull())
-    return lng.select(*group, "question", F.explode(F.split("cell", ",")).alias("tok"))
+    cells = lng.groupBy(*group, "question", "cell").agg(F.count(F.lit(1)).alias("n"))  # equal cells are cut once
+    return cells.select(*group, "question", "n", F.explode(F.split("cell", ",")).alias("tok"))
 
 
 def maxdiff_malformed(wide: DataFrame, columns: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """(group, question, tokens, malformed): all MaxDiff tokens, and those without a colon, which count nowhere."""
     toks = _maxdiff_tokens(wide, columns, group)
     return toks.groupBy(*group, "question").agg(
-        F.count(F.lit(1)).alias("tokens"), F.count_if(~F.col("tok").contains(":")).alias("malformed"))
+        F.sum("n").alias("tokens"), F.sum(F.when(~F.col("tok").contains(":"), F.col("n")).otherwise(0)).alias("malformed"))
 
 
 def maxdiff(wide: DataFrame, columns: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
@@ -255,10 +256,10 @@ def maxdiff(wide: DataFrame, columns: Sequence[str], group: Sequence[str] = ())
     """
     toks = _maxdiff_tokens(wide, columns, group)
     attr, choice = S.rsplit_colon(F.col("tok"))
-    toks = toks.select(*group, S.strip_whitespace(attr).alias("attribute"), S.strip_whitespace(choice).alias("choice"))
+    toks = toks.select(*group, "n", S.strip_whitespace(attr).alias("attribute"), S.strip_whitespace(choice).alias("choice"))
     agg = (toks.where(F.col("attribute").isNotNull()).groupBy(*group, "attribute")
-           .agg(F.sum(F.when(F.col("choice") == "M", 1).otherwise(0)).cast("long").alias("most"),
-                F.sum(F.when(F.col("choice") == "L", 1).otherwise(0)).cast("long").alias("least")))
+           .agg(F.sum(F.when(F.col("choice") == "M", F.col("n")).otherwise(0)).cast("long").alias("most"),
+                F.sum(F.when(F.col("choice") == "L", F.col("n")).otherwise(0)).cast("long").alias("least")))
     agg = agg.where((F.col("most") > 0) | (F.col("least") > 0))
     return agg.withColumn("net_score", F.col("most") - F.col("least")).orderBy(
         F.desc("net_score"), "attribute")

@@ -4,8 +4,9 @@ The reference loops products and recomputes everything per table; here the
 long form and the aggregations are keyed by product, so each report is ONE
 Spark job over all products, and each result is written to ``out_root/<table>``.
 The answers per (product, question, score) are counted once and written; counts, boxes,
-JAR tables and rank tests are made from that small table.  Reports don't depend on each
-other, so some run at a time, and the cluster is not idle while one ends.
+JAR tables and rank tests are made from that small table; the paired answers per
+(question, two products) likewise, for the paired tests.  Reports don't depend on each
+other, so some run at a time, the longest first, and the cluster is not idle while one ends.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from ..operators.reshape import dichotomize
 from ..session import scratch_path
 
 AT_A_TIME = 4  # reports that run at the same time
+PAIRED = ("question", "name1", "name2", "n", "duplicates")
+LONG = ("drivers_hgb", "drivers_combined")  # reports of many jobs, which begin first
 
 
 def run_study(spark: SparkSession, wide: DataFrame, config: dict, target: str, out_root: str | None = None,
@@ -68,8 +71,8 @@ def run_study(spark: SparkSession, wide: DataFrame, config: dict, target: str, o
         "drivers_combined": lambda: D.driver_merge(wide, clean, target, threshold, run_hgb=False),
         "ols_signed": lambda: D.ols_signed(wide, clean, target),
         "mann_whitney": lambda: H.mann_whitney(wide, ten + t2b, counts=counts),
-        "wilcoxon": lambda: H.wilcoxon(wide, ten),
-        "mcnemar": lambda: H.mcnemar(dichotomize(wide, t2b + jar, [4, 5], keep=["customer_id", "product"]), t2b + jar),
+        "wilcoxon": lambda: H.wilcoxon(wide, ten, paired=paired.result()),
+        "mcnemar": lambda: H.mcnemar(wide, t2b + jar, paired=dichotomize(paired.result(), ["x", "y"], [4, 5], keep=PAIRED), counts=counts),
         "cata_mcnemar": lambda: E.cata_mcnemar(wide, cata) if cata else None,
     }
 
@@ -81,8 +84,16 @@ def run_study(spark: SparkSession, wide: DataFrame, config: dict, target: str, o
         df.write.mode("overwrite").parquet(path)
         return name, spark.read.parquet(path).count(), path
 
+    def pairs():
+        path = f"{out_root}/paired_counts"
+        H.paired_counts(wide, asked).write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
     names = [n for n in reports if only is None or n in only]
     with ThreadPoolExecutor(AT_A_TIME) as pool:
-        manifest = [m for m in pool.map(report, names) if m]
+        # begins before the reports that wait for it
+        paired = pool.submit(pairs) if {"wilcoxon", "mcnemar"} & set(names) else None
+        running = {n: pool.submit(report, n) for n in sorted(names, key=lambda n: n not in LONG)}
+        manifest = [m for m in (running[n].result() for n in names) if m]
     wide.unpersist()
     return spark.createDataFrame(manifest, "table string, rows long, path string")
