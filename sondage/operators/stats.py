@@ -102,7 +102,7 @@ def mann_whitney(wide: DataFrame, questions: Sequence[str], group: str = "produc
     rs = rank_sums(long)
     n1, n2 = F.col("n1"), F.col("n2")
     n = n1 + n2
-    nn = n1 * n2
+    nn = n1.cast("double") * n2  # a product of three counts passes a long at some millions
     ok = (n1 > 0) & (n2 > 0)
     delta = F.when(ok, 2.0 * F.col("u1") / nn - 1.0)
     z_r = F.when(ok, (F.col("u1") - nn / 2.0) / F.sqrt(nn * (n + 1) / 12.0))
@@ -246,10 +246,11 @@ def wilcoxon(wide: DataFrame, questions: Sequence[str], key: str = "customer_id"
         F.sum("n").alias("all"))
     g = g.withColumn("t", F.when(F.col("ad") > 0, F.col("pos") + F.col("neg")).otherwise(F.lit(0)))
     g = _midranks(g, keys, "ad")
+    t = F.col("t").cast("double")  # cubes of counts pass a long at some millions
     a = g.groupBy(*keys).agg(
         F.sum(F.col("pos") * F.col("midrank")).alias("w_plus"),
         F.sum(F.col("neg") * F.col("midrank")).alias("w_minus"),
-        F.sum("t").alias("n_nonzero"), F.sum(F.col("t") * (F.col("t") * F.col("t") - 1)).alias("tie"),
+        F.sum("t").alias("n_nonzero"), F.sum(t * (t * t - 1)).alias("tie"),
         F.max("t").alias("max_t"), F.sum("all").alias("n_pairs"),
         F.sum(F.when(F.col("ad") == 0, F.col("all")).otherwise(0)).alias("n_zero"))
     a = a.withColumn("w_plus", F.when(F.col("n_nonzero") > 0, F.col("w_plus"))) \
@@ -257,7 +258,7 @@ def wilcoxon(wide: DataFrame, questions: Sequence[str], key: str = "customer_id"
          .withColumn("max_t", F.when(F.col("n_nonzero") > 0, F.col("max_t")))
     n = F.coalesce(F.col("n_nonzero"), F.lit(0))
     stat = F.least("w_plus", "w_minus")
-    var = (n * (n + 1) * (2 * n + 1) - 0.5 * F.coalesce(F.col("tie"), F.lit(0))) / 24.0
+    var = (n.cast("double") * (n + 1) * (2 * n + 1) - 0.5 * F.coalesce(F.col("tie"), F.lit(0))) / 24.0
     exact = (n <= 50) & (F.coalesce(F.col("max_t"), F.lit(1)) <= 1) & (F.col("n_zero") == 0)
     z = F.when(var > 0, (stat - n * (n + 1) / 4.0) / F.sqrt(var))
     p = F.when(n > 0, PV.wilcoxon_p_udf(stat, n, var, exact))

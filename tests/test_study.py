@@ -149,3 +149,21 @@ def test_spearman_keeps_groups_and_diagonal(spark):
     r = pytest.approx((1.5 ** 0.5) / 2 ** 0.5)  # ranks 1, 2, 3 and 1, 2.5, 2.5
     assert got == {("P", "a", "a"): 1.0, ("P", "b", "b"): 1.0, ("P", "a", "b"): r, ("P", "b", "a"): r, ("Q", "a", "a"): None,
                    (None, "a", "a"): 1.0, (None, "b", "b"): 1.0}
+
+
+def test_rank_tests_bear_many_millions_of_answers(spark):
+    """Cubes of counts pass a long from some millions of answers on: six times 1 GB has 5 million per product."""
+    m = 10_000_000
+    counts = spark.createDataFrame([(p, "a", float(s), m * k) for p, ks in (("P", (1, 2)), ("Q", (2, 1))) for s, k in enumerate(ks)],
+                                   "product string, question string, score double, n long")
+    mw = H.mann_whitney(None, ["a"], counts=counts).first()
+    assert mw["n1"] == mw["n2"] == 3 * m and mw["cliffs_delta"] == pytest.approx(1 / 3)
+    n = 3.0 * m
+    assert abs(mw["z_r"]) == pytest.approx(n * n / 6 / (n * n * (2 * n + 1) / 12) ** 0.5) and mw["p_value"] == 0
+    paired = spark.createDataFrame([("a", "P", "Q", 1.0, 2.0, 2 * m, False), ("a", "P", "Q", 2.0, 1.0, m, False), ("a", "P", "Q", 1.0, 1.0, m, False)],
+                                   "question string, name1 string, name2 string, x double, y double, n long, duplicates boolean")
+    wx = H.wilcoxon(None, ["a"], paired=paired).first()
+    half = (n + 1) / 2
+    var = (n * (n + 1) * (2 * n + 1) - 0.5 * n * (n * n - 1)) / 24
+    assert wx["w_minus"] == 2 * m * half and wx["w_plus"] == m * half and wx["n_pairs"] == 4 * m
+    assert wx["z"] == pytest.approx((m * half - n * (n + 1) / 4) / var ** 0.5)
